@@ -12,6 +12,7 @@ from mathquarry.llm.common import table
 from mathquarry.llm.exact_dedup import exact_groups
 from mathquarry.llm.mixing import mix_plan
 from mathquarry.llm.simhash import simhash_groups
+from mathquarry.llm.substring_dedup import substring_dedup
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +32,27 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+OP5_SQL = r"""
+WITH split AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), windows AS (
+  SELECT doc_id, s, array_to_string(words[s : s + 19], ' ') AS k FROM split, unnest(range(1, len(words) - 18)) AS u(s)
+), later AS (
+  SELECT doc_id, s FROM windows QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, s) > 1
+), gone AS (
+  SELECT doc_id, list(DISTINCT s + d) AS places FROM later, unnest(range(20)) AS u(d) GROUP BY doc_id
+), kept AS (
+  SELECT doc_id, words, CASE WHEN places IS NULL THEN words ELSE list_filter(words, lambda w, i: NOT list_contains(places, i)) END AS rest
+  FROM split LEFT JOIN gone USING (doc_id)
+)
+SELECT doc_id, len(words) AS n_words, len(words) - len(rest) AS n_removed, sha256(array_to_string(rest, ' ')) AS kept_sha256 FROM kept
+"""
+
+
 def op7_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mix_plan(table(spark, sf_dir, "documents"))
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
@@ -72,9 +94,9 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    listed = (op1_simhash_near_dedup, op4_exact_dedup, op7_mixing_sources, op8_bpe_encoding_decoding)
+    listed = (op1_simhash_near_dedup, op4_exact_dedup, op5_substring_dedup, op7_mixing_sources, op8_bpe_encoding_decoding)
     return {f.__name__: f for f in listed}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": OP4_SQL, "op7_mixing_sources": OP7_SQL}
+    return {"op4_exact_dedup": OP4_SQL, "op5_substring_dedup": OP5_SQL, "op7_mixing_sources": OP7_SQL}
