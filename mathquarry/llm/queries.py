@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from mathquarry.llm.bpe import bpe_digests
 from mathquarry.llm.common import table
 from mathquarry.llm.exact_dedup import exact_groups
+from mathquarry.llm.media import media_features
 from mathquarry.llm.mixing import mix_plan
 from mathquarry.llm.simhash import simhash_groups
 from mathquarry.llm.substring_dedup import substring_dedup
+from mathquarry.llm.token_store import new_path, read_store, write_store
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +23,10 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_features(table(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
@@ -53,6 +59,11 @@ SELECT doc_id, len(words) AS n_words, len(words) - len(rest) AS n_removed, sha25
 """
 
 
+def op6_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return read_store(write_store(docs, tokenizer_path(), new_path(docs)))
+
+
 def op7_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mix_plan(table(spark, sf_dir, "documents"))
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
@@ -94,7 +105,7 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    listed = (op1_simhash_near_dedup, op4_exact_dedup, op5_substring_dedup, op7_mixing_sources, op8_bpe_encoding_decoding)
+    listed = (op1_simhash_near_dedup, op2_media_columns, op4_exact_dedup, op5_substring_dedup, op6_token_id_output, op7_mixing_sources, op8_bpe_encoding_decoding)
     return {f.__name__: f for f in listed}
 
 
