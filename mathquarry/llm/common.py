@@ -94,3 +94,27 @@ def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     inside = ~SPACE[data]
     edge = np.diff(inside.view(np.int8), prepend=0)
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, dtype=np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+def mixed_hash(h: np.ndarray) -> np.ndarray:
+    """Spread the bits of each 64-bit value, in place."""
+    h ^= h >> np.uint64(33)
+    h *= np.uint64(0xFF51AFD7ED558CCD)
+    h ^= h >> np.uint64(33)
+    h *= np.uint64(0xC4CEB9FE1A85EC53)
+    h ^= h >> np.uint64(33)
+    return h
+
+
+def span_hashes(values: np.ndarray, base: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Polynomial hash modulo 2**64 of values[start:end] for each pair, from one running sum."""
+    total = np.zeros(len(values) + 1, dtype=np.uint64)
+    np.cumsum(values * _powers(base, len(values)), out=total[1:])
+    inverse = _powers(pow(base, -1, 1 << 64), len(values) + 1)
+    return (total[end] - total[start]) * inverse[start]

@@ -12,9 +12,11 @@ from mathquarry.llm.common import table
 from mathquarry.llm.exact_dedup import exact_groups
 from mathquarry.llm.media import media_features
 from mathquarry.llm.mixing import mix_plan
+from mathquarry.llm.quality import score_quality, train_quality
 from mathquarry.llm.simhash import simhash_groups
 from mathquarry.llm.substring_dedup import substring_dedup
 from mathquarry.llm.token_store import new_path, read_store, write_store
+from mathquarry.llm.toxicity import score_toxicity, train_toxicity
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +29,11 @@ def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_features(table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score_toxicity(docs, train_toxicity(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
@@ -98,6 +105,11 @@ def op8_bpe_encoding_decoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score_quality(docs, train_quality(docs, table(spark, sf_dir, "labels")))
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
@@ -105,7 +117,7 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    listed = (op1_simhash_near_dedup, op2_media_columns, op4_exact_dedup, op5_substring_dedup, op6_token_id_output, op7_mixing_sources, op8_bpe_encoding_decoding)
+    listed = (op1_simhash_near_dedup, op2_media_columns, op3_toxicity, op4_exact_dedup, op5_substring_dedup, op6_token_id_output, op7_mixing_sources, op8_bpe_encoding_decoding, op10_quality_classifier)
     return {f.__name__: f for f in listed}
 
 
