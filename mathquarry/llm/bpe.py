@@ -12,7 +12,7 @@ its text. It is built by one gadget per merge, in order of priority. The gadget
 All arcs together would be about as many as the square of the vocabulary (2.4e9 for 49k tokens), so
 the gadgets are kept as the columns ``left``, ``right``, ``made`` and ``cut``; an arc is looked up
 through them when it is first met and then stands in the transition table, whose size has a bound.
-Encoding runs a word over the token trie and the transition table; decoding emits arc labels.
+Encoding follows the arcs that spell a word through the transition table; decoding emits arc labels.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from mathquarry.llm.common import sliced, texts_of
-from mathquarry.llm.pieces import Remembering, pieces_of
+from mathquarry.llm.pieces import TEXT_BYTES, Remembering, pieces_of
 
 #: Arcs and words that a worker's tables hold before they start anew.
 TABLED = 300_000
@@ -54,22 +54,25 @@ class Automaton:
         self.cut: dict[tuple[int, int], int] = {}
         for k, (a, b) in enumerate(merges):
             self._gadget(k, vocab[a], vocab[b], vocab[a + b])
-        self.trie: dict = {}
-        bases = {i for i in vocab.values() if self.made[i] < 0 and len(self._symbols(self.labels[i])) == 1}
+        # arc labels by spelling: those inside a word, and those that end one
+        self.inner: dict[str, int] = {}
+        self.final: dict[str, int] = {}
+        self.reach: dict[str, int] = {}
         for token, i in vocab.items():
-            if i in bases or self.made[i] >= 0:
-                node = self.trie
-                for symbol in self._symbols(token):
-                    node = node.setdefault(symbol, {})
-                node[None] = i
-        self.table: dict[tuple[int, int], bool] = {}
+            body, ends = self._spelled(token)
+            if self.made[i] < 0 and len(body) > 1:
+                continue  # no merge makes it
+            (self.final if ends else self.inner)[body] = i
+            if not ends or not suffix:
+                self.reach[body[:2]] = max(len(body), self.reach.get(body[:2], 0))
+        if not suffix:
+            self.final = self.inner
+        self.table: dict[int, bool] = {}
         self.words: dict[str, tuple[int, ...]] = {}
 
-    def _symbols(self, token: str) -> list[str]:
-        if self.suffix and token.endswith(self.suffix) and token != self.suffix:
-            body = token[: -len(self.suffix)]
-            return [*body[:-1], body[-1] + self.suffix]
-        return list(token)
+    def _spelled(self, token: str) -> tuple[str, bool]:
+        ends = bool(self.suffix) and token.endswith(self.suffix) and token != self.suffix
+        return token[: -len(self.suffix)] if ends else token, ends
 
     def _gadget(self, k: int, u: int, v: int, w: int) -> None:
         self.cut.setdefault((u, v), k)
@@ -78,11 +81,12 @@ class Automaton:
 
     def arc(self, s: int, t: int) -> bool:
         """Whether state s has an arc labelled t."""
-        found = self.table.get((s, t))
+        key = s << 20 | t
+        found = self.table.get(key)
         if found is None:
             if len(self.table) >= TABLED:
                 self.table.clear()
-            found = self.table[s, t] = self._resolve(s, t)
+            found = self.table[key] = self._resolve(s, t)
         return found
 
     def _resolve(self, s: int, t: int) -> bool:
@@ -101,31 +105,46 @@ class Automaton:
                 until, t = min(until, made[t] + 1), self.left[t]
 
     def encode_word(self, word: str) -> tuple[int, ...]:
-        """Ids of one pre-split word in byte letters: the labels of the only path that spells it."""
+        """Ids of one pre-split word in byte letters: the labels of the only path that spells it.
+
+        From each place the longest label goes first. A prefix has one path only, so a place that
+        leads nowhere is given up once and for all.
+        """
         known = self.words.get(word)
         if known is not None:
             return known
-        symbols = [*word[:-1], word[-1] + self.suffix] if word else []
-        n = len(symbols)
-        arrived: list[tuple[int, int] | None] = [None] * (n + 1)
-        arrived[0] = (-1, -1)
-        for j in range(n):
-            if arrived[j] is None:
-                continue
-            state, node = arrived[j][0], self.trie
-            for k in range(j, n):
-                node = node.get(symbols[k])
-                if node is None:
-                    break
-                t = node.get(None)
-                if t is not None and arrived[k + 1] is None and (state < 0 or self.arc(state, t)):
-                    arrived[k + 1] = (t, j)
-        ids = []
+        n = len(word)
+        inner, reach, arc, tabled = self.inner.get, self.reach.get, self.arc, self.table.get
+        path: list[tuple[int, int, int]] = []
+        dead: set[int] = set()
+        state, j, k, fresh = -1, 0, 0, True
         while n:
-            t, n = arrived[n]
-            ids.append(t)
-        found = tuple(reversed(ids))
-        if len(word) <= 64:
+            if fresh:
+                t = self.final.get(word[j:])
+                if t is not None and (state < 0 or arc(state, t)):
+                    path.append((j, n, t))
+                    break
+                k = min(n - 1, j + reach(word[j : j + 2], 1))
+            while k > j:
+                t = inner(word[j:k])
+                if t is not None and k not in dead:
+                    if state < 0:
+                        break
+                    open_ = tabled(state << 20 | t)
+                    if arc(state, t) if open_ is None else open_:
+                        break
+                k -= 1
+            fresh = k > j
+            if fresh:
+                path.append((j, k, t))
+                state, j = t, k
+            else:
+                dead.add(j)
+                j, k, _ = path.pop()
+                state = path[-1][2] if path else -1
+                k -= 1
+        found = tuple([t for _, _, t in path])
+        if n <= 64:
             if len(self.words) >= TABLED:
                 self.words.clear()
             self.words[word] = found
@@ -188,7 +207,7 @@ def bpe_table(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = WordBPE(path)
         coded = Remembering(lambda pieces: [bpe.encode(p) for p in pieces])
-        for batch in sliced(batches, "text"):
+        for batch in sliced(batches, "text", TEXT_BYTES):
             pieces, which, starts = pieces_of(batch.column("text"))
             ids = coded(pieces)
             places = which.tolist()
@@ -203,13 +222,14 @@ def bpe_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = WordBPE(path)
+        numbers = [str(i) for i in range(len(bpe.automaton.labels))]
 
         def shown(pieces: list[str]) -> list[tuple[int, bytes, bytes]]:
             ids = [bpe.encode(p) for p in pieces]
-            return [(len(x), " ".join(map(str, x)).encode(), bpe.decode(x).encode()) for x in ids]
+            return [(len(x), " ".join([numbers[i] for i in x]).encode(), bpe.decode(x).encode()) for x in ids]
 
         coded, digest = Remembering(shown), lambda x: hashlib.sha256(x).hexdigest()
-        for batch in sliced(batches, "text"):
+        for batch in sliced(batches, "text", TEXT_BYTES):
             pieces, which, starts = pieces_of(batch.column("text"))
             values = coded(pieces)
             counts, ids, words = ([v[k] for v in values] for k in range(3))

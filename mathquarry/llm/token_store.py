@@ -16,6 +16,7 @@ from __future__ import annotations
 import os
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mathquarry.llm.common import shared_dir, sliced, texts_of
-from mathquarry.llm.pieces import Remembering, pieces_of, ragged
+from mathquarry.llm.pieces import TEXT_BYTES, Remembering, pieces_of, ragged
 
 MAGIC, HEAD, BLOCK = b"TIDS", "<4sBBIIQ", 4096
 
@@ -116,9 +117,9 @@ def write_store(docs: DataFrame, tokenizer: str, path: str, end_id: int | None =
         library.no_padding()
         library.no_truncation()
         bits = bits_for(library.get_vocab_size())
-        coded = Remembering(lambda pieces: [np.array(e.ids, dtype=np.uint32) for e in library.encode_batch_fast(pieces, add_special_tokens=False)])
+        coded = Remembering(lambda pieces: [array("I", e.ids).tobytes() for e in library.encode_batch_fast(pieces, add_special_tokens=False)])
         shard, first = TaskContext.get().partitionId(), 0
-        for seq, batch in enumerate(sliced(batches, "text")):
+        for seq, batch in enumerate(sliced(batches, "text", TEXT_BYTES)):
             pieces, which, starts = pieces_of(batch.column("text"))
             ids, bounds = ragged(coded(pieces), which, starts)
             ends = bounds[1:]

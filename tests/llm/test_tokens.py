@@ -92,3 +92,15 @@ def test_store(spark):
     assert got == want
     empty = docs.limit(0)
     assert token_store.read_store(token_store.write_store(empty, PATH, token_store.new_path(empty))).count() == 0
+
+
+@given(st.lists(st.text(st.sampled_from(list("aAbÉßÀ.,'<|> \n\t1!é́ΣİK中")), max_size=25) | st.sampled_from(["<|endoftext|>", "a,<|ENDOFTEXT|>.", "A.b, C.\x85d,", "x,\u2003y."]), max_size=5))
+@settings(max_examples=300, deadline=None)
+def test_pieces_give_whole_texts(texts):
+    import pyarrow as pa
+
+    from mathquarry.llm.pieces import pieces_of
+
+    pieces, which, starts = pieces_of(pa.array(texts, pa.string()))
+    for text, a, b in zip(texts, starts[:-1], starts[1:]):
+        assert [i for k in which[a:b] for i in OWN.encode(pieces[k])] == LIBRARY.encode(text, add_special_tokens=False).ids
