@@ -3,8 +3,8 @@
 Windows are hashed in numpy and dealt by hash into buckets, packed as binary blocks: eight bytes a
 window, and the documents as runs. Within a slice only the earliest of equal windows is sent, so a
 passage that a third of all documents share is pre-aggregated before the shuffle. A bucket tells
-which of its windows also start earlier; these starts go back to their documents, merge into maximal
-intervals, and the words in them are removed.
+which of its windows also start earlier; these starts go back, packed by group of documents, merge
+into maximal intervals, and the words in them are removed.
 """
 
 from __future__ import annotations
@@ -18,41 +18,17 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mathquarry.llm.common import as_bytes, joined, sliced, texts_of, word_bounds, written
+from mathquarry.llm.common import as_bytes, joined, mixed_hash, sliced, span_hashes, texts_of, word_bounds, written
 
 WINDOW = 20
 #: Bytes of text whose windows share a bucket; a bucket is what one task holds at once.
 BUCKET_BYTES = 12_000_000
 _NULL = np.iinfo(np.int64).min
 
-_MASK = (1 << 64) - 1
 _BYTE_BASE, _WORD_BASE = 0x9E3779B97F4A7C17, 0xC2B2AE3D27D4EB53
 _LETTER = np.random.default_rng(20260102).integers(0, 2**64, 256, dtype=np.uint64)
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
-    out[:1] = 1
-    return np.cumprod(out, dtype=np.uint64)
-
-
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h ^= h >> np.uint64(33)
-    h *= np.uint64(0xFF51AFD7ED558CCD)
-    h ^= h >> np.uint64(33)
-    h *= np.uint64(0xC4CEB9FE1A85EC53)
-    h ^= h >> np.uint64(33)
-    return h
-
-
-def _spans(values: np.ndarray, base: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Polynomial hash modulo 2**64 of values[start:end] for each pair, from one running sum."""
-    total = np.zeros(len(values) + 1, dtype=np.uint64)
-    np.cumsum(values * _powers(base, len(values)), out=total[1:])
-    inverse = _powers(pow(base, -1, 1 << 64), len(values) + 1)
-    return (total[end] - total[start]) * inverse[start]
-
-
 def windows(values: list[bytes], window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, row, start word) of every window of every text, in that order of rows and starts."""
     data, starts = joined(values)
@@ -63,37 +39,39 @@ def windows(values: list[bytes], window: int = WINDOW) -> tuple[np.ndarray, np.n
     start = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
     if not len(rows):
         return np.zeros(0, dtype=np.uint64), rows, start
-    word = _mixed(_spans(_LETTER[data], _BYTE_BASE, first, end) + (end - first).astype(np.uint64))
+    word = mixed_hash(span_hashes(_LETTER[data], _BYTE_BASE, first, end) + (end - first).astype(np.uint64))
     at = (np.cumsum(words) - words)[rows] + start
-    return _mixed(_spans(word, _WORD_BASE, at, at + window)), rows, start
+    return mixed_hash(span_hashes(word, _WORD_BASE, at, at + window)), rows, start
 
 
-def _packed(hashes: np.ndarray, docs: np.ndarray, starts: np.ndarray) -> bytes:
-    """Windows in order of (doc, start): hashes, runs of documents as differences, starts as differences."""
+def _packed(docs: np.ndarray, starts: np.ndarray, hashes: np.ndarray | None = None) -> bytes:
+    """Windows in order of (doc, start): hashes if any, runs of documents as differences, starts as differences."""
     new = np.flatnonzero(np.append(True, docs[1:] != docs[:-1]))
     ids = docs[new]
     runs = np.diff(np.append(new, len(docs))).astype(np.int32)
     steps = np.diff(starts, prepend=0)
     steps[new] = starts[new]
     narrow = np.uint16 if steps.max(initial=0) < 65536 else np.uint32
-    head = np.array([len(hashes), len(ids), np.dtype(narrow).itemsize], dtype=np.int64)
-    return b"".join([head.tobytes(), hashes.tobytes(), np.diff(ids, prepend=0).tobytes(), runs.tobytes(), steps.astype(narrow).tobytes()])
+    head = np.array([len(docs), len(ids), np.dtype(narrow).itemsize], dtype=np.int64)
+    return b"".join([head.tobytes(), np.diff(ids, prepend=0).tobytes(), runs.tobytes(), steps.astype(narrow).tobytes(), b"" if hashes is None else hashes.tobytes()])
 
 
 def _unpacked(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(docs, starts, hashes) of a packed block; hashes are empty if it has none."""
     n, m, width = np.frombuffer(block, np.int64, 3).tolist()
     at = 24
-    hashes = np.frombuffer(block, np.uint64, n, at)
-    ids = np.cumsum(np.frombuffer(block, np.int64, m, at + 8 * n))
-    runs = np.frombuffer(block, np.int32, m, at + 8 * (n + m))
-    steps = np.frombuffer(block, np.uint16 if width == 2 else np.uint32, n, at + 8 * (n + m) + 4 * m).astype(np.int64)
+    ids = np.cumsum(np.frombuffer(block, np.int64, m, at))
+    at += 8 * m
+    runs = np.frombuffer(block, np.int32, m, at)
+    at += 4 * m
+    steps = np.frombuffer(block, np.uint16 if width == 2 else np.uint32, n, at).astype(np.int64)
     total = np.cumsum(steps)
     begin = np.cumsum(runs) - runs
     starts = total - np.repeat(total[begin] - steps[begin], runs)
-    return hashes, np.repeat(ids, runs), starts
+    return np.repeat(ids, runs), starts, np.frombuffer(block[at + width * n :], np.uint64)
 
 
-def _later(hashes: np.ndarray, docs: np.ndarray, starts: np.ndarray) -> np.ndarray:
+def _later(docs: np.ndarray, starts: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Which windows have an equal one with a smaller (doc, start). Rows come in any order."""
     order = np.argsort(hashes, kind="stable")
     same = hashes[order[1:]] == hashes[order[:-1]]
@@ -117,11 +95,17 @@ def _runs(values: np.ndarray) -> Iterator[tuple[int, int]]:
         yield from zip(cut[:-1], cut[1:], strict=True)
 
 
-def _by_doc(docs: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    order = np.lexsort((starts, docs))
-    docs, starts = docs[order], starts[order].astype(np.uint32)
-    for a, b in _runs(docs):
-        yield int(docs[a]), starts[a:b].tobytes()
+def _grouped(docs: np.ndarray, starts: np.ndarray, groups: int) -> Iterator[tuple[int, bytes]]:
+    """Packed starts for each group of documents."""
+    group = _group_of(docs, groups)
+    order = np.lexsort((starts, docs, group))
+    docs, starts, group = docs[order], starts[order], group[order]
+    for a, b in _runs(group):
+        yield int(group[a]), _packed(docs[a:b], starts[a:b])
+
+
+def _group_of(docs: np.ndarray, groups: int) -> np.ndarray:
+    return (mixed_hash(docs.astype(np.uint64)) % np.uint64(groups)).astype(np.int32)
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -129,15 +113,17 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-_DEALT = pa.schema([("bucket", pa.int32()), ("ord", pa.int64()), ("block", pa.binary())])
-_BACK = pa.schema([("ord", pa.int64()), ("starts", pa.binary())])
+_DEALT = pa.schema([("bucket", pa.int32()), ("grp", pa.int32()), ("block", pa.binary())])
+_BACK = pa.schema([("grp", pa.int32()), ("ord", pa.int64()), ("doc_id", pa.int64()), ("block", pa.binary())])
+_BACK_DDL = "grp int, ord long, doc_id long, block binary"
+
 
+def repeated_starts(docs: DataFrame, buckets: int, window: int = WINDOW) -> DataFrame:
+    """``docs``: doc_id, text. Rows (grp, block): packed starts of windows that also start earlier, for a group of documents.
 
-def repeated_starts(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``docs``: doc_id, text. (ord, starts): per document the packed starts of windows that also start earlier."""
+    A group's number comes from its documents' ids, and there are as many groups as buckets.
+    """
     spark = docs.sparkSession
-    size = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(16, -(-size // BUCKET_BYTES))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):
@@ -145,15 +131,15 @@ def repeated_starts(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             if not len(hashes):
                 continue
             ids = batch.column("doc_id").fill_null(_NULL).to_numpy(zero_copy_only=False)[rows]
-            later = _later(hashes, ids, starts)
+            later = _later(ids, starts, hashes)
             bucket = ((hashes >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
-            # windows with an earlier equal in the slice go back to their document at once; they pass through a bucket of its own number
-            out = [(doc % buckets, doc, block) for doc, block in _by_doc(ids[later], starts[later])]
+            # windows with an earlier equal in the slice need no counting: they pass through a bucket on their way back
+            out = [(group, group, block) for group, block in _grouped(ids[later], starts[later], buckets)]
             sent = np.flatnonzero(~later)
             sent = sent[np.lexsort((starts[sent], ids[sent], bucket[sent]))]
             for a, b in _runs(bucket[sent]):
                 part = sent[a:b]
-                out.append((int(bucket[part[0]]), None, _packed(hashes[part], ids[part], starts[part])))
+                out.append((int(bucket[part[0]]), None, _packed(ids[part], starts[part], hashes[part])))
             yield _batch(out, _DEALT)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,26 +150,26 @@ def repeated_starts(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             parts = [np.concatenate(x) for x in zip(*map(_unpacked, held), strict=True)]
             held.clear()
             later = _later(*parts)
-            return _batch(list(_by_doc(parts[1][later], parts[2][later])), _BACK)
+            return _batch([(group, None, None, block) for group, block in _grouped(parts[0][later], parts[1][later], buckets)], _BACK)
 
         for batch in batches:
             done = []
-            for bucket, doc, block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for bucket, group, block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if bucket != at:
                     if held:
                         yield settled()
                     at = bucket
-                if doc is None:
+                if group is None:
                     held.append(block)
                 else:
-                    done.append((doc, block))
+                    done.append((group, None, None, block))
             yield _batch(done, _BACK)
         if held:
             yield settled()
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = docs.mapInArrow(deal, "bucket int, ord long, block binary")
-    return dealt.repartition(min(n, buckets), "bucket").sortWithinPartitions("bucket").mapInArrow(count, "ord long, starts binary")
+    dealt = docs.mapInArrow(deal, "bucket int, grp int, block binary")
+    return dealt.repartition(min(n, buckets), "bucket").sortWithinPartitions("bucket").mapInArrow(count, _BACK_DDL)
 
 
 def cut_words(words: list[bytes], starts: np.ndarray, window: int) -> list[bytes]:
@@ -207,34 +193,49 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     looked at. Windows are compared by a 64-bit hash.
     """
     plain = texts_of(docs, id_col, text_col)
-    back = written(repeated_starts(plain, window).groupBy("ord").agg(F.collect_list("starts").alias("starts")), "starts")
+    spark = docs.sparkSession
+    size = plain.select(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(16, -(-size // BUCKET_BYTES))
+    back = written(repeated_starts(plain, buckets, window), "starts")
 
     def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1)
         for batch in sliced(batches, "text"):
             packed = [press.compress(x) for x in as_bytes(batch.column("text"))]
             ids = batch.column("doc_id")
-            yield pa.RecordBatch.from_arrays([ids, ids.fill_null(_NULL), pa.array(packed, pa.binary())], ["doc_id", "ord", "packed"])
+            known = ids.fill_null(_NULL).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([pa.array(_group_of(known, buckets)), pa.array(known), ids, pa.array(packed, pa.binary())], schema=_BACK)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdDecompressor()
+        group, blocks, found = None, [], {}
         for whole in batches:
             for k in range(0, whole.num_rows, 500):
                 batch = whole.slice(k, 500)
-                n, removed, texts, digests = [], [], [], []
-                for packed, starts in zip(batch.column("packed").to_pylist(), batch.column("starts").to_pylist(), strict=True):
+                ids, n, removed, texts, digests = [], [], [], [], []
+                for to, known, doc, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if to != group:
+                        group, blocks, found = to, [], {}
+                    if known is None:  # a group's blocks come before its documents
+                        blocks.append(packed)
+                        continue
+                    if blocks:
+                        at, starts, _ = (np.concatenate(x) for x in zip(*map(_unpacked, blocks), strict=True))
+                        order = np.argsort(at, kind="stable")
+                        found, blocks = {int(at[order[a]]): starts[order[a:b]] for a, b in _runs(at[order])}, []
                     words = press.decompress(packed).split()
-                    kept = words if not starts else cut_words(words, np.concatenate([np.frombuffer(x, np.uint32) for x in starts]).astype(np.int64), window)
+                    kept = cut_words(words, found[known], window) if known in found else words
                     text = b" ".join(kept)
+                    ids.append(doc)
                     n.append(len(words))
                     removed.append(len(words) - len(kept))
                     texts.append(text)
                     digests.append(hashlib.sha256(text).hexdigest())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(digests)],
+                    [pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(digests, pa.string())],
                     ["doc_id", "n_words", "n_removed", "kept_text", "kept_sha256"],
                 )
 
-    packed = plain.mapInArrow(shrink, "doc_id long, ord long, packed binary")
-    joined_ = packed.join(back, "ord", "left").select("doc_id", "packed", "starts")
-    return joined_.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = plain.mapInArrow(shrink, _BACK_DDL).union(back).repartition(min(n, buckets), "grp").sortWithinPartitions("grp", F.col("ord").asc_nulls_first())
+    return dealt.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string")
