@@ -121,3 +121,9 @@ def rows_of(docs: DataFrame, keep: DataFrame, id_col: str = "doc_id", text_col:
     keyed = docs.withColumns({a: F.col(id_col).cast("long"), b: F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256)})
     right = keep.select(F.col("doc_id").alias("keep_a"), F.col("text_sha256").alias("keep_b"))
     return keyed.join(right, keyed[a].eqNullSafe(right.keep_a) & (keyed[b] == right.keep_b), "left_semi").dropDuplicates([a, b]).drop(a, b)
+
+
+def rows_with_id(docs: DataFrame, keep: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` whose id (null included) is in ``keep``; all columns stay as they are."""
+    right = keep.select(F.col("doc_id").alias("keep_a"))
+    return docs.join(right, docs[id_col].cast("long").eqNullSafe(right.keep_a), "left_semi")

@@ -10,19 +10,20 @@ from pyspark.sql import functions as F
 from mathquarry.llm.bpe import bpe_digests
 from mathquarry.llm.common import table
 from mathquarry.llm.exact_dedup import exact_groups
+from mathquarry.llm.html_text import extract_pages
 from mathquarry.llm.media import media_features
 from mathquarry.llm.mixing import mix_plan
 from mathquarry.llm.quality import score_quality, train_quality
-from mathquarry.llm.simhash import simhash_groups
+from mathquarry.llm.simhash import EXACT, simhash_groups
 from mathquarry.llm.substring_dedup import substring_dedup
 from mathquarry.llm.token_store import new_path, read_store, write_store
 from mathquarry.llm.toxicity import score_toxicity, train_toxicity
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three-word shingles here, as the query fixes; the operator's own default is five."""
-    found = simhash_groups(table(spark, sf_dir, "documents"), shingle=3)
-    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    """Three-word shingles and three bits here, as the query fixes; the operator's own defaults are wider."""
+    found = simhash_groups(table(spark, sf_dir, "documents"), shingle=3, scheme=EXACT)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,6 +106,10 @@ def op8_bpe_encoding_decoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return score_quality(docs, train_quality(docs, table(spark, sf_dir, "labels")))
@@ -117,7 +122,7 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    listed = (op1_simhash_near_dedup, op2_media_columns, op3_toxicity, op4_exact_dedup, op5_substring_dedup, op6_token_id_output, op7_mixing_sources, op8_bpe_encoding_decoding, op10_quality_classifier)
+    listed = (op1_simhash_near_dedup, op2_media_columns, op3_toxicity, op4_exact_dedup, op5_substring_dedup, op6_token_id_output, op7_mixing_sources, op8_bpe_encoding_decoding, op9_html_extraction, op10_quality_classifier)
     return {f.__name__: f for f in listed}
 
 

@@ -1,15 +1,21 @@
 """SimHash near-duplicate groups with bit-sliced comparison.
 
-Fingerprints are made per document in numpy. Candidates come from the pigeonhole rule: 64 bits in
-five blocks, so fingerprints that differ in at most three bits agree in two whole blocks. Within a
-bucket the fingerprints are stored as vertical bit planes, distances of a whole row of lanes are
-counted by carry-save bit counters, and 64-lane words whose lanes have all exceeded the radius are
-abandoned. Links become components by star contraction.
+Fingerprints are made per document in numpy. Candidates are fingerprints that agree in some whole
+blocks of bits, and share a bucket for each such choice of blocks. Within a bucket the fingerprints
+are stored as vertical bit planes, the distances of whole rows of 64-bit lanes are counted by
+carry-save adders, and words whose lanes have all exceeded the radius are abandoned. Links become
+components by star contraction.
+
+Two schemes of blocks are here. EXACT: 64 bits in five blocks; fingerprints that differ in at most
+three bits agree in two whole blocks, so no link is missed. WIDE: fingerprints of 256 bits whose
+distance estimates the similarity of shingle sets; pairs agree in two of nine seven-bit blocks of
+the first or the second word, which misses few pairs of similarity 0.8 and more.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
@@ -18,15 +24,36 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mathquarry.llm.common import SPACE, as_bytes, joined, sliced, texts_of, word_bounds, written
+from mathquarry.llm.common import SPACE, as_bytes, joined, mixed_hash, sliced, texts_of, word_bounds, written
 from mathquarry.llm.components import connected_components
 
-RADIUS = 3
-WIDTHS = (13, 13, 13, 13, 12)
 #: Rows of a bucket that one task compares; larger buckets are dealt out as pairs of blocks.
 BLOCK = 4096
 #: Oversized buckets up to this many are joined by broadcast (24 bytes each), more by a shuffle.
 HOT_BROADCAST = 50_000
+#: Buckets of up to this many rows are compared side by side, larger ones each on its own.
+SMALL = 32
+#: Rows that are gathered before their buckets are compared.
+GATHERED = 200_000
+
+
+@dataclass(frozen=True)
+class Scheme:
+    words: int  # 64-bit words of a fingerprint
+    radius: int
+    widths: tuple[int, ...]  # blocks of a word
+    agree: int  # blocks that candidates share
+    keyed: int  # words that candidates are looked for in
+
+    def masks(self) -> list[tuple[int, int]]:
+        """(word, mask of the blocks that agree) of each table."""
+        ends = np.cumsum(self.widths).tolist()
+        blocks = [((1 << w) - 1) << (e - w) for w, e in zip(self.widths, ends, strict=True)]
+        return [(word, sum(chosen)) for word in range(self.keyed) for chosen in combinations(blocks, self.agree)]
+
+
+EXACT = Scheme(1, 3, (13, 13, 13, 13, 12), 2, 1)
+WIDE = Scheme(4, 48, (7,) * 9, 2, 2)
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
@@ -35,9 +62,12 @@ _LOWER[SPACE] = 0x20
 _LANES = ((np.arange(256, dtype=np.uint64)[:, None] >> np.arange(8, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8).view(np.uint64).ravel()
 
 
-def fingerprints(values: list[bytes], shingle: int = 5) -> np.ndarray:
-    """SimHash of each text: a bit is 1 if more than half of its shingle hashes have it; 0 without words."""
-    out = np.zeros(len(values), dtype=np.uint64)
+def fingerprints(values: list[bytes], shingle: int = 5, words: int = 1) -> np.ndarray:
+    """SimHash of each text, a row of 64-bit words: a bit is 1 if more than half of its shingle hashes have it; 0 without words.
+
+    The first word is from XXH64 (seed 42) of the shingles, further ones from that hash mixed anew.
+    """
+    out = np.zeros((len(values), words), dtype=np.uint64)
     data, starts = joined(values)
     first, end = word_bounds(data)
     if not len(first):
@@ -49,10 +79,10 @@ def fingerprints(values: list[bytes], shingle: int = 5) -> np.ndarray:
     text = _LOWER[data[kept]].tobytes()
     to = np.cumsum(size + 1) - 1
     at = to - size
-    words = np.diff(np.searchsorted(first, starts))
-    last = np.cumsum(words)
-    begin = last - words
-    count = np.where(words == 0, 0, np.maximum(words - shingle + 1, 1))
+    size = np.diff(np.searchsorted(first, starts))
+    last = np.cumsum(size)
+    begin = last - size
+    count = np.where(size == 0, 0, np.maximum(size - shingle + 1, 1))
     live = np.flatnonzero(count)
     total = int(count.sum())
     group = np.repeat(live, count[live])
@@ -66,29 +96,29 @@ def fingerprints(values: list[bytes], shingle: int = 5) -> np.ndarray:
     owner = np.repeat(live, pieces)
     nth = np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
     cut = offset[owner] + 255 * nth
-    lanes = np.empty((len(cut), 8), dtype=np.uint64)
-    by_byte = hashes.view(np.uint8).reshape(-1, 8)
-    for k in range(8):
-        lanes[:, k] = np.add.reduceat(_LANES[by_byte[:, k]], cut)
-    ones = np.add.reduceat(lanes.view(np.uint8).astype(np.int64), np.cumsum(pieces) - pieces, axis=0)
-    bits = ones * 2 > count[live][:, None]
-    out[live] = np.packbits(bits, axis=1, bitorder="little").view("<u8").ravel()
+    head = np.cumsum(pieces) - pieces
+    for word_no in range(words):
+        if word_no:
+            hashes = mixed_hash(hashes + np.uint64(0x9E3779B97F4A7C15))
+        lanes = np.empty((len(cut), 8), dtype=np.uint64)
+        by_byte = hashes.view(np.uint8).reshape(-1, 8)
+        for k in range(8):
+            lanes[:, k] = np.add.reduceat(_LANES[by_byte[:, k]], cut)
+        ones = np.add.reduceat(lanes.view(np.uint8).astype(np.int64), head, axis=0)
+        bits = ones * 2 > count[live][:, None]
+        out[live, word_no] = np.packbits(bits, axis=1, bitorder="little").view("<u8").ravel()
     return out
 
 
-def fingerprint_table(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+def fingerprint_table(docs: DataFrame, id_col: str, text_col: str, shingle: int, words: int) -> DataFrame:
+    names = [f"fp{k}" for k in range(words)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):
-            found = fingerprints(as_bytes(batch.column("text")), shingle).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found)], ["doc_id", "fp"])
-
-    return texts_of(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
-
+            found = fingerprints(as_bytes(batch.column("text")), shingle, words).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(found[:, k]) for k in range(words))], ["doc_id", *names])
 
-def _masks() -> list[int]:
-    ends = np.cumsum(WIDTHS).tolist()
-    blocks = [((1 << w) - 1) << (e - w) for w, e in zip(WIDTHS, ends, strict=True)]
-    return [sum(pair) for pair in combinations(blocks, len(WIDTHS) - RADIUS)]
+    return texts_of(docs, id_col, text_col).mapInArrow(run, "doc_id long, " + ", ".join(f"{x} long" for x in names))
 
 
 def _signed(x: int) -> int:
@@ -96,57 +126,129 @@ def _signed(x: int) -> int:
 
 
 def planes_of(values: np.ndarray) -> np.ndarray:
-    """64 bit planes; lane i of a plane (bit i % 64 of word i // 64) is that bit of value i."""
-    lanes = -(-len(values) // 64) * 64
-    padded = np.zeros(lanes, dtype="<u8")
-    padded[: len(values)] = values
-    bits = np.unpackbits(padded.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    """Bit planes of rows of 64-bit words; lane i of a plane (bit i % 64 of word i // 64) is that bit of row i."""
+    n, words = values.shape
+    padded = np.zeros((-(-n // 64) * 64, words), dtype="<u8")
+    padded[:n] = values
+    bits = np.unpackbits(padded.view(np.uint8).reshape(len(padded), words * 8), axis=1, bitorder="little")
     return np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").view("<u8")
 
 
-def near_pairs(values: np.ndarray, reach: np.ndarray, radius: int = RADIUS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows within ``radius`` bits. Row i is held against rows i+1 to i+reach[i], one distance d of all rows at a time."""
+def _lanes(bits: np.ndarray) -> np.ndarray:
+    return np.packbits(bits, axis=-1, bitorder="little").view("<u8")
+
+
+def _add(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Carry-save adder of three planes: sum and carry."""
+    u = a ^ b
+    return u ^ c, (a & b) | (u & c)
+
+
+def within(n_planes: int, differ: Callable[[int, np.ndarray], np.ndarray], live: np.ndarray, active: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Lanes of ``active`` whose distance is at most ``radius``: (words still live, their lanes).
+
+    ``differ(p, live)`` gives the lanes that differ in plane p, for the live words (the last axis).
+    Eight planes at a time run through a tree of carry-save adders; now and then, words of which all
+    lanes have gone beyond the radius are abandoned.
+    """
+    shape = (*active.shape[:-1], len(live))
+    counts = [np.zeros(shape, dtype=np.uint64) for _ in range(n_planes.bit_length())]
+    active = active[..., live]
+    near = active
+    for g in range(0, n_planes, 8):
+        x = [differ(p, live) for p in range(g, g + 8)]
+        ones, a = _add(counts[0], x[0], x[1])
+        ones, b = _add(ones, x[2], x[3])
+        twos, c = _add(counts[1], a, b)
+        ones, a = _add(ones, x[4], x[5])
+        counts[0], b = _add(ones, x[6], x[7])
+        counts[1], d = _add(twos, a, b)
+        counts[2], carry = _add(counts[2], c, d)
+        for i in range(3, len(counts)):
+            counts[i], carry = counts[i] ^ carry, counts[i] & carry
+        if n_planes > 64 and (g // 8) % 4 != 3:
+            continue
+        beyond, equal = np.zeros(shape, dtype=np.uint64), ~np.zeros(shape, dtype=np.uint64)
+        for i in range(len(counts) - 1, -1, -1):
+            if radius >> i & 1:
+                equal = equal & counts[i]
+            else:
+                beyond |= equal & counts[i]
+                equal = equal & ~counts[i]
+        near = active & ~beyond
+        some = near.any(axis=tuple(range(near.ndim - 1))) if near.ndim > 1 else near != 0
+        if not some.all():
+            live, active, near = live[some], active[..., some], near[..., some]
+            counts = [c[..., some] for c in counts]
+            shape = near.shape
+            if not len(live):
+                break
+    return live, near
+
+
+def near_pairs(values: np.ndarray, reach: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows within ``radius`` bits. Row i is held against rows i+1 to i+reach[i], one shift d of all rows at a time."""
     n = len(values)
     planes = planes_of(values)
+    width = planes.shape[1]
     for d in range(1, int(reach.max(initial=0)) + 1):
-        open_ = np.zeros(planes.shape[1] * 64, dtype=bool)
+        open_ = np.zeros(width * 64, dtype=bool)
         open_[:n] = reach >= d
-        active = np.packbits(open_, bitorder="little").view("<u8")
-        live = np.flatnonzero(active)
+        active = _lanes(open_)
         jump, bit = divmod(d, 64)
-        # carry-save counters: ones and twos count to three, more holds what went beyond the radius
-        ones, twos, more = (np.zeros(len(live), dtype=np.uint64) for _ in range(3))
-        width = planes.shape[1]
-        for p in range(64):
+
+        def differ(p: int, live: np.ndarray, jump: int = jump, bit: int = bit) -> np.ndarray:
             plane = planes[p]
-            low, high = live + jump, live + jump + 1
+            low = live + jump
             shifted = np.where(low < width, plane[np.minimum(low, width - 1)], 0)
             if bit:
-                after = np.where(high < width, plane[np.minimum(high, width - 1)], 0)
+                after = np.where(low + 1 < width, plane[np.minimum(low + 1, width - 1)], 0)
                 shifted = (shifted >> np.uint64(bit)) | (after << np.uint64(64 - bit))
-            carry = plane[live] ^ shifted
-            up = ones & carry
-            ones ^= carry
-            over = twos & up
-            twos ^= up
-            more |= over
-            if p % 8 == 7:
-                some = (active[live] & ~more) != 0
-                if not some.all():
-                    live, ones, twos, more = live[some], ones[some], twos[some], more[some]
-                    if not len(live):
-                        break
+            return plane[live] ^ shifted
+
+        live, near = within(len(planes), differ, np.flatnonzero(active), active, radius)
         if len(live):
-            near = active[live] & ~more
-            if radius < 3:
-                near &= ~(twos & ones) if radius == 2 else ~twos if radius == 1 else ~(twos | ones)
-            hit = np.unpackbits(near.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            word, lane = np.nonzero(hit)
+            word, lane = np.nonzero(np.unpackbits(near.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
             a = live[word] * 64 + lane
             if len(a):
                 yield a, a + d
 
 
+def clusters(values: np.ndarray, radius: int, front: int = 64) -> np.ndarray:
+    """For each row of one bucket the lowest row that a chain of links leads to.
+
+    Breadth first: ``front`` rows at a time are held against the rows that no cluster has yet, so a
+    dense bucket is done after a few passes.
+    """
+    n, words = values.shape
+    root = np.full(n, -1)
+    free = np.arange(n)
+    all_bits = np.unpackbits(np.ascontiguousarray(values).view(np.uint8).reshape(n, words * 8), axis=1, bitorder="little").astype(bool)
+    while len(free):
+        seed = int(free[0])
+        root[seed] = seed
+        free = free[1:]
+        waiting = [np.array([seed])]
+        while waiting and len(free):
+            todo = np.concatenate(waiting)
+            waiting = [todo[front:]] if len(todo) > front else []
+            asked = all_bits[todo[:front]]
+            planes = planes_of(values[free])
+            open_ = np.zeros(planes.shape[1] * 64, dtype=bool)
+            open_[: len(free)] = True
+            active = np.broadcast_to(_lanes(open_), (len(asked), planes.shape[1]))
+            flips = np.where(asked.T, np.uint64(2**64 - 1), np.uint64(0))
+            live, near = within(len(planes), lambda p, live, planes=planes, flips=flips: planes[p][live][None, :] ^ flips[p][:, None], np.arange(planes.shape[1]), active, radius)
+            if len(live):
+                hit = np.bitwise_or.reduce(near, axis=0)
+                word, lane = np.nonzero(np.unpackbits(hit.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+                found = live[word] * 64 + lane
+                root[free[found]] = seed
+                waiting.append(free[found])
+                free = np.delete(free, found)
+    return root
+
+
 class Forest:
     """Union of rows by vectorised hooking to the lowest root."""
 
@@ -163,73 +265,92 @@ class Forest:
                 self.up = further
 
 
-def _bucket_links(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by bucket; links of each whole bucket leave as a star around its lowest row."""
-    kept: np.ndarray | None = None
+def _bucket_links(scheme: Scheme) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (t, k, i, j, node, words) come sorted by bucket; links of each whole bucket leave as stars."""
 
     def links(rows: np.ndarray) -> pa.RecordBatch:
         new = np.any(rows[1:, :4] != rows[:-1, :4], axis=1)
         ends = np.append(np.flatnonzero(new) + 1, len(rows))
-        reach = np.repeat(ends, np.diff(ends, prepend=0)) - 1 - np.arange(len(rows))
-        busy = np.flatnonzero((reach > 0) | np.append(False, ~new))
+        sizes = np.diff(ends, prepend=0)
+        a, b = [], []
+        for k in np.flatnonzero(sizes > SMALL).tolist():
+            part = rows[ends[k] - sizes[k] : ends[k]]
+            root = clusters(part[:, 5:].view(np.uint64), scheme.radius)
+            linked = np.flatnonzero(root != np.arange(len(root)))
+            a.append(part[linked, 4])
+            b.append(part[root[linked], 4])
+        reach = np.repeat(ends, sizes) - 1 - np.arange(len(rows))
+        busy = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= SMALL), sizes))
         rows, reach = rows[busy], reach[busy]
         forest = Forest(len(rows))
-        for a, b in near_pairs(rows[:, 4].copy().view(np.uint64), reach):
-            forest.join(a, b)
+        for x, y in near_pairs(np.ascontiguousarray(rows[:, 5:]).view(np.uint64), reach, scheme.radius):
+            forest.join(x, y)
         linked = np.flatnonzero(forest.up != np.arange(len(rows)))
-        return pa.RecordBatch.from_arrays([pa.array(rows[linked, 4]), pa.array(rows[forest.up[linked], 4])], ["a", "b"])
+        a.append(rows[linked, 4])
+        b.append(rows[forest.up[linked], 4])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
-    for batch in frames:
-        if not batch.num_rows:
-            continue
-        rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], axis=1)
-        rows = rows if kept is None else np.concatenate([kept, rows])
-        last = np.any(rows[:, :4] != rows[-1, :4], axis=1)
-        whole = int(np.flatnonzero(last)[-1]) + 1 if last.any() else 0
-        if whole:
-            yield links(rows[:whole])
-        kept = rows[whole:]
-    if kept is not None and len(kept):
-        yield links(kept)
-
-
-def near_links(fps: DataFrame) -> DataFrame:
-    """``fps``: distinct fingerprints (long fp). Links (a, b) that connect all pairs of at most three differing bits."""
-    spark = fps.sparkSession
-    keyed = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("k")) for t, m in enumerate(_masks())])).alias("x")).select("x.t", "x.k", "fp")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], axis=1))
+            if sum(map(len, held)) < GATHERED:
+                continue
+            rows = np.concatenate(held)
+            other = np.flatnonzero(np.any(rows[:, :4] != rows[-1, :4], axis=1))
+            whole = int(other[-1]) + 1 if len(other) else 0
+            if whole:
+                yield links(rows[:whole])
+            held = [rows[whole:]]
+        if held:
+            yield links(np.concatenate(held))
+
+    return run
+
+
+def near_links(nodes: DataFrame, scheme: Scheme) -> DataFrame:
+    """``nodes``: distinct fingerprints (node, fp0, fp1, ...). Links (a, b) that connect all candidates within the radius."""
+    spark = nodes.sparkSession
+    names = [f"fp{k}" for k in range(scheme.words)]
+    tables = [F.struct(F.lit(t).alias("t"), F.col(names[word]).bitwiseAND(F.lit(_signed(mask))).alias("k")) for t, (word, mask) in enumerate(scheme.masks())]
+    keyed = nodes.select("node", *names, F.explode(F.array(*tables)).alias("x")).select("x.t", "x.k", "node", *names)
     hot = written(keyed.groupBy("t", "k").count().where(F.col("count") > BLOCK).select("t", "k", F.ceil(F.col("count") * 2 / BLOCK).cast("int").alias("m")), "hot")
     many = hot.count()
-    cold = F.lit(0)
+    zero = F.lit(0)
     if many:
         side = F.broadcast(hot) if many <= HOT_BROADCAST else hot
-        own = F.pmod(F.xxhash64("fp"), F.col("m")).cast("int")
+        own = F.pmod(F.xxhash64("node"), F.col("m")).cast("int")
         j = F.col("j")
         dealt = (
             keyed.join(side, ["t", "k"], "left")
-            .withColumn("own", F.coalesce(own, cold))
-            .withColumn("j", F.explode(F.sequence(cold, F.coalesce(F.col("m"), F.lit(1)) - 1)))
-            .select("t", "k", F.least("own", j).alias("i"), F.greatest("own", j).alias("j"), "fp")
+            .withColumn("own", F.coalesce(own, zero))
+            .withColumn("j", F.explode(F.sequence(zero, F.coalesce(F.col("m"), F.lit(1)) - 1)))
+            .select("t", "k", F.least("own", j).alias("i"), F.greatest("own", j).alias("j"), "node", *names)
         )
     else:
-        dealt = keyed.select("t", "k", cold.alias("i"), cold.alias("j"), "fp")
+        dealt = keyed.select("t", "k", zero.alias("i"), zero.alias("j"), "node", *names)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(n, "t", "k", "i", "j").sortWithinPartitions("t", "k", "i", "j").mapInArrow(_bucket_links, "a long, b long")
+    return dealt.repartition(n, "t", "k", "i", "j").sortWithinPartitions("t", "k", "i", "j").mapInArrow(_bucket_links(scheme), "a long, b long")
 
 
-def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
-    """Near-duplicate groups of the whole table: (doc_id long, fp long, component_id long).
+def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, scheme: Scheme = WIDE) -> DataFrame:
+    """Near-duplicate groups of the whole table: (doc_id long, fp0, fp1, ... long, component_id long).
 
     Texts are lower-cased (A-Z only) and cut into words ``[^\\x20\\x09-\\x0D]+``; ``shingle`` words
     form a shingle, a shorter text is one shingle, a text without words has fingerprint zero and is
     linked like any other. Null text is empty. component_id is the smallest id that is reachable over
-    links of at most three bits. Rows of the same id each get their row; a null id never becomes a
-    component_id unless the group has no other id. An empty table gives no rows. Other columns,
+    links within the scheme's radius. Rows of the same id each get their row; a null id never becomes
+    a component_id unless the group has no other id. An empty table gives no rows. Other columns,
     whatever their names, are not looked at.
     """
-    marked = written(fingerprint_table(docs, id_col, text_col, shingle), "fp")
-    nodes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("low")), "nodes")
-    roots = written(connected_components(near_links(nodes.select("fp"))).withColumnRenamed("node", "fp"), "roots")
-    named = nodes.join(roots, "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    marked = written(fingerprint_table(docs, id_col, text_col, shingle, scheme.words), "fp")
+    names = [f"fp{k}" for k in range(scheme.words)]
+    node = F.col("fp0") if scheme.words == 1 else F.xxhash64(*names)
+    nodes = written(marked.groupBy(*names).agg(F.min("doc_id").alias("low")).withColumn("node", node), "nodes")
+    roots = written(connected_components(near_links(nodes.drop("low"), scheme)), "roots")
+    named = nodes.join(roots, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
     lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    by_fp = written(named.join(lowest, "root").select("fp", "component_id"), "classes")
-    return marked.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    by_node = written(named.join(lowest, "root").select("node", "component_id"), "classes")
+    return marked.withColumn("node", node).join(by_node, "node").select("doc_id", *names, "component_id")

@@ -34,17 +34,33 @@ TEXTS = ["", " \t\n", "Ab", "ab  AB", "a b c", "a b c d e f", "É É é x\x0by\x
 
 def test_fingerprint_is_the_plain_definition():
     for n in (3, 5):
-        assert simhash.fingerprints([t.encode() for t in TEXTS], n).tolist() == [slow_fingerprint(t, n) for t in TEXTS]
+        assert simhash.fingerprints([t.encode() for t in TEXTS], n)[:, 0].tolist() == [slow_fingerprint(t, n) for t in TEXTS]
 
 
-def test_near_pairs_finds_each_pair():
-    rng = np.random.default_rng(3)
-    base = rng.integers(0, 2**64, 40, dtype=np.uint64)
-    values = np.concatenate([base, base ^ (np.uint64(1) << rng.integers(0, 64, 40, dtype=np.uint64)), base[:20] ^ np.uint64(0b1111), base[:20] ^ np.uint64(0x8000000000000003)])
+def spread(rng, words):
+    base = rng.integers(0, 2**64, (40, words), dtype=np.uint64)
+    flips = [(0b1,), (0b1111,), (0x8000000000000003,), (0b111 << 60,)]
+    more = [base ^ np.array(list(f) + [0] * (words - 1), dtype=np.uint64) for f in flips]
+    values = np.concatenate([base, *more])
     rng.shuffle(values)
-    reach = len(values) - 1 - np.arange(len(values))
-    found = {(int(a), int(b)) for x, y in simhash.near_pairs(values, reach) for a, b in zip(x, y)}
-    assert found == {(i, j) for i in range(len(values)) for j in range(i + 1, len(values)) if bin(int(values[i] ^ values[j])).count("1") <= 3}
+    return values
+
+
+def far(a, b):
+    return sum(bin(int(x) ^ int(y)).count("1") for x, y in zip(a, b))
+
+
+def test_near_pairs_and_clusters_find_each_link():
+    rng = np.random.default_rng(3)
+    for words, radius in ((1, 3), (1, 1), (4, 3), (4, 110)):
+        values = spread(rng, words)
+        n = len(values)
+        found = {(int(a), int(b)) for x, y in simhash.near_pairs(values, n - 1 - np.arange(n), radius) for a, b in zip(x, y)}
+        want = {(i, j) for i in range(n) for j in range(i + 1, n) if far(values[i], values[j]) <= radius}
+        assert found == want
+        forest = simhash.Forest(n)
+        forest.join(np.array([i for i, _ in want]), np.array([j for _, j in want]))
+        assert simhash.clusters(values, radius, front=7).tolist() == forest.up.tolist()
 
 
 def test_groups_hold_against_brute_force(spark, monkeypatch):
@@ -53,9 +69,10 @@ def test_groups_hold_against_brute_force(spark, monkeypatch):
     texts = [*TEXTS, None, *near, " ".join(words), " ".join(words)]
     rows = [(i if i != 5 else None, t, "x") for i, t in enumerate(texts)] + [(3, TEXTS[3], "y")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, fp string")
-    for block in (4096, 8):
+    for block, small in ((4096, 32), (4096, 2), (8, 32)):
         monkeypatch.setattr(simhash, "BLOCK", block)
-        got = sorted((r.doc_id if r.doc_id is not None else -1, r.fp % 2**64, r.component_id if r.component_id is not None else -1) for r in simhash.simhash_groups(docs, shingle=3).collect())
+        monkeypatch.setattr(simhash, "SMALL", small)
+        got = sorted((r.doc_id if r.doc_id is not None else -1, r.fp0 % 2**64, r.component_id if r.component_id is not None else -1) for r in simhash.simhash_groups(docs, shingle=3, scheme=simhash.EXACT).collect())
         fps = [slow_fingerprint(t or "", 3) for _, t, _ in rows]
         label = components(fps)
         low = {}
@@ -66,6 +83,23 @@ def test_groups_hold_against_brute_force(spark, monkeypatch):
     assert simhash.simhash_groups(docs.limit(0)).count() == 0
 
 
+def test_wide_groups_find_similar_texts(spark):
+    rng = np.random.default_rng(7)
+    words = [f"w{i}" for i in range(2000)]
+    rows = []
+    for g in range(60):
+        text = rng.choice(words, 300).tolist()
+        rows.append((3 * g, " ".join(text)))
+        for k, changes in ((1, 5), (2, 60)):  # similarities of about 0.85 and 0.3
+            copy = list(text)
+            for at in np.linspace(0, 299, changes).astype(int):
+                copy[at] = "new"
+            rows.append((3 * g + k, " ".join(copy)))
+    found = {r.doc_id: r.component_id for r in simhash.simhash_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert np.mean([found[3 * g + 1] == 3 * g for g in range(60)]) > 0.95
+    assert all(found[3 * g] == 3 * g and found[3 * g + 2] == 3 * g + 2 for g in range(60))
+
+
 def test_components_of_chains_and_hubs(spark):
     chain = [(i, i + 1) for i in range(100, 160)]
     hub = [(1, k) for k in range(2, 60)]
