@@ -25,6 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from mathquarry.llm.bpe import byte_letters
 from mathquarry.llm.common import shared_dir, sliced, texts_of
 from mathquarry.llm.pieces import TEXT_BYTES, Remembering, pieces_of, ragged
 
@@ -99,6 +100,31 @@ class Image:
         return self.ids(int(self.ends[k - 1]) if k else 0, int(self.ends[k]))
 
 
+_BYTE_LETTERS = {b: c for b, c in byte_letters().items() if chr(b) != c}
+
+
+def encode_pieces(library, pieces: list[str]) -> list[bytes]:
+    """Packed ids of white-space pieces, by the library.
+
+    A piece of Latin letters only is one pre-split word, so its lower-cased byte letters go to the
+    library's model at once; all others take the library's whole way.
+    """
+    out: list[bytes | None] = []
+    other: list[str] = []
+    tokens = library.model.tokenize
+    for p in pieces:
+        if p.isalpha() and (p.isascii() or max(p) < "\u0250" and "\u0130" not in p):
+            word = p.lower()
+            if not word.isascii():
+                word = word.encode().decode("latin-1").translate(_BYTE_LETTERS)
+            out.append(array("I", [t.id for t in tokens(word)]).tobytes())
+        else:
+            out.append(None)
+            other.append(p)
+    rest = iter(library.encode_batch_fast(other, add_special_tokens=False))
+    return [array("I", next(rest).ids).tobytes() if x is None else x for x in out]
+
+
 def write_store(docs: DataFrame, tokenizer: str, path: str, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode every text with a ``tokenizers`` file, append ``end_id``, and write images in ascending order of ids.
 
@@ -117,7 +143,7 @@ def write_store(docs: DataFrame, tokenizer: str, path: str, end_id: int | None =
         library.no_padding()
         library.no_truncation()
         bits = bits_for(library.get_vocab_size())
-        coded = Remembering(lambda pieces: [array("I", e.ids).tobytes() for e in library.encode_batch_fast(pieces, add_special_tokens=False)])
+        coded = Remembering(lambda pieces: encode_pieces(library, pieces))
         shard, first = TaskContext.get().partitionId(), 0
         for seq, batch in enumerate(sliced(batches, "text", TEXT_BYTES)):
             pieces, which, starts = pieces_of(batch.column("text"))

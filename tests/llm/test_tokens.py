@@ -104,3 +104,12 @@ def test_pieces_give_whole_texts(texts):
     pieces, which, starts = pieces_of(pa.array(texts, pa.string()))
     for text, a, b in zip(texts, starts[:-1], starts[1:]):
         assert [i for k in which[a:b] for i in OWN.encode(pieces[k])] == LIBRARY.encode(text, add_special_tokens=False).ids
+
+
+@given(st.lists(st.text(st.sampled_from(list("aAzÉßÀŉǅªĿİ中Σ1,é́ķ")), max_size=9), max_size=6))
+@settings(max_examples=300, deadline=None)
+def test_pieces_by_the_model_are_those_of_the_library(pieces):
+    import numpy as np
+
+    got = [np.frombuffer(x, np.uint32).tolist() for x in token_store.encode_pieces(LIBRARY, pieces)]
+    assert got == [LIBRARY.encode(p, add_special_tokens=False).ids for p in pieces]
