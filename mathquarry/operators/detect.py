@@ -1,0 +1,411 @@
+"""Equation detection: one relational transform per family over the same entries table.
+
+Parsing an XML part or a payload is a pure function run in batches; everything else (relationships,
+payloads, evidence, confidence, risk, numbering) is joins, windows and column expressions.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+from functools import reduce
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from mathquarry.functions import odf, payload, word
+from mathquarry.sources.containers import is_story, part_order, story_type
+
+OBJECT_FIELDS = (
+    "pos int, paragraph_index int, run_index int, xpath string, rid string, preview_rid string, prog_id string, object_id string, shape_id string, field_code string, "
+    "style string, run_text string, paragraph_text string, text_before string, text_after string, element string, sha256 string, math_children int, omml string"
+)
+PROBE = (
+    "sha256 string, size long, is_ole boolean, intact boolean, damage string, streams array<string>, native_exists boolean, native_size int, mtef_version int, application_key string, "
+    "product_version int, product_subversion int, marker_hits array<string>, segments array<string>, "
+    "header struct<header_size int, version int, platform int, product int, product_version int, product_subversion int, detected boolean>, payload_stream string, payload binary, markers array<string>"
+)
+PROVENANCE = (
+    "struct<prog_id_raw string, field_code_raw string, ole_stream_names array<string>, raw_payload_status string, raw_payload_sha256 string, "
+    "transform_chain array<string>, generator_id string, evidence_sources array<string>>"
+)
+FORMULA = (
+    "doc_id", "formula_id", "source_family", "source_role", "doc_part_path", "story_type", "storage_kind", "relationship_id", "embedding_target", "preview_target",
+    "paragraph_index", "run_index", "object_sequence", "canonical_mathml_status", "omml_status", "latex_status", "risk_level", "risk_flags", "failure_mode", "confidence",
+    "provenance", "source_specific",
+)
+
+
+
+def parsed(rows: DataFrame, keys: str, read: Callable[..., list[dict]], fields: str) -> DataFrame:
+    """Run ``read`` on each row and emit its records beside the row's keys.
+
+    ``rows`` has the key columns (strings, named in ``keys``) and then data. What can't be read is one
+    row with its ``error``; records have none.
+    """
+    key_names = keys.split()
+    ddl = ", ".join(f"{k} string" for k in key_names) + f", {fields}, error string"
+    schema = rows.sparkSession.createDataFrame([], ddl).schema
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[dict] = []
+            for k in range(batch.num_rows):
+                row = [c[k].as_py() for c in batch.columns]
+                beside = dict(zip(key_names, row, strict=False))
+                try:
+                    out += [{**beside, **found} for found in read(*row)]
+                except Exception as problem:  # damaged input is data
+                    out.append({**beside, "error": f"{type(problem).__name__}: {problem}"})
+            yield pa.RecordBatch.from_arrays([pa.array([r.get(f.name) for r in out], f.type) for f in arrow], schema=arrow)
+
+    return rows.mapInArrow(run, schema)
+
+
+def part_objects(entries: DataFrame, family: str) -> DataFrame:
+    """(doc_id, part, OBJECT_FIELDS, error): what the family's walk finds in each story part."""
+    walk = word.WALKS[family]
+
+    def read(doc: str, part: str, data: bytes | None) -> list[dict]:
+        return [{"pos": k, **found} for k, found in enumerate(walk(data or b""))]
+
+    stories = entries.where((F.col("suffix") == ".docx") & is_story(F.col("entry"))).select("doc_id", F.col("entry").alias("part"), "data")
+    return parsed(stories, "doc_id part", read, OBJECT_FIELDS)
+
+
+def relationships(entries: DataFrame) -> DataFrame:
+    """(doc_id, part, rid, type, target, normal, plain, rooted): targets resolved by the rule of each family."""
+
+    def read(doc: str, name: str, data: bytes | None) -> list[dict]:
+        part = word.part_of_relationships(name)
+        return [{"part": part, **r} for r in word.relationships(part, data or b"")] if part else []
+
+    rels = entries.where(F.col("entry").endswith(".rels")).select("doc_id", F.col("entry").alias("rels_path"), "data")
+    return parsed(rels, "doc_id rels_path", read, "part string, rid string, type string, target string, normal string, plain string, rooted string").where("error is null").drop("error")
+
+
+def payloads(entries: DataFrame) -> DataFrame:
+    """(doc_id, entry, PROBE): a probe of every entry that may be an embedded payload."""
+    rows = entries.where((F.col("suffix") == ".docx") & ~F.col("entry").rlike(r"\.(xml|rels)$|/$") & F.col("data").isNotNull()).select("doc_id", "entry", "data")
+    return parsed(rows, "doc_id entry", lambda doc, entry, data: [payload.probe(data)], PROBE).where("error is null").drop("error")
+
+
+def _flags(*pairs: tuple[Column, str | Column]) -> Column:
+    return F.array_compact(F.array(*(F.when(test, F.lit(flag) if isinstance(flag, str) else flag) for test, flag in pairs)))
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """object_sequence: running through a document's parts in story order."""
+    order = Window.partitionBy("doc_id").orderBy(part_order(F.col("part")), "pos")
+    return rows.withColumn("object_sequence", F.row_number().over(order))
+
+
+def _linked(objects: DataFrame, rels: DataFrame, probes: DataFrame | None, resolved: str, only_type: str | None = None) -> DataFrame:
+    """Objects with embedding_target and preview_target from their part's relationships, and the target's probe."""
+    rel = rels.select("doc_id", "part", "rid", "type", F.col(resolved).alias("to"))
+    own = rel.where(F.col("type") == only_type) if only_type else rel
+    out = objects.join(own.select("doc_id", "part", "rid", F.col("to").alias("embedding_target")), ["doc_id", "part", "rid"], "left")
+    out = out.join(rel.select("doc_id", "part", F.col("rid").alias("preview_rid"), F.col("to").alias("preview_target")), ["doc_id", "part", "preview_rid"], "left")
+    if probes is None:
+        return out
+    found = probes.select("doc_id", F.col("entry").alias("embedding_target"), F.struct(*[c for c in probes.columns if c not in ("doc_id", "entry", "payload")]).alias("probe"))
+    return out.join(found, ["doc_id", "embedding_target"], "left")
+
+
+def _formula(rows: DataFrame, family: str, **given: Column | str | float | None) -> DataFrame:
+    defaults: dict[str, Column | str | float | None] = {
+        "formula_id": F.format_string(f"{family}-%04d", "object_sequence"), "source_family": family, "source_role": "native-source", "doc_part_path": F.col("part"),
+        "story_type": story_type(F.col("part")), "relationship_id": None, "embedding_target": None, "preview_target": None, "paragraph_index": None, "run_index": None,
+        "object_sequence": None, "canonical_mathml_status": "unverified", "omml_status": "not-applicable", "latex_status": "not-applicable", "risk_level": "manual-review", "failure_mode": None,
+        "provenance": _provenance(), "source_specific": F.lit(None).cast("string"),
+    }
+    types = {"paragraph_index": "int", "run_index": "int", "object_sequence": "int", "confidence": "double", "risk_flags": "array<string>", "provenance": PROVENANCE}
+    values = defaults | given
+    return rows.select("doc_id", *((v if isinstance(v := values[c], Column) else F.lit(v)).cast(types.get(c, "string")).alias(c) for c in FORMULA[1:]))
+
+
+def _provenance(**given: Column | None) -> Column:
+    none = F.lit(None)
+    names = ("prog_id_raw", "field_code_raw", "ole_stream_names", "raw_payload_status", "raw_payload_sha256", "transform_chain", "generator_id", "evidence_sources")
+    return F.struct(*((none if given.get(n) is None else given[n]).alias(n) for n in names)).cast(PROVENANCE)
+
+
+def _non_main() -> Column:
+    return story_type(F.col("part")) != "main"
+
+
+def _rels_path(part: Column) -> Column:
+    return F.regexp_replace(part, r"([^/]*)$", r"_rels/$1.rels")
+
+
+def omml_native(entries: DataFrame) -> DataFrame:
+    """Outermost OMML elements; a document's math settings are evidence for each of its rows."""
+    settings = entries.where((F.col("entry") == "word/settings.xml") & F.decode("data", "UTF-8").rlike(r"<(\w+:)?mathPr[\s/>]")).select("doc_id").distinct().withColumn("has_math_pr", F.lit(True))
+    rows = _numbered(part_objects(entries, "omml-native").where("error is null")).join(settings, "doc_id", "left")
+    display = F.col("element").endswith("oMathPara")
+    evidence = F.array_compact(F.array("part", F.when(F.col("has_math_pr"), "word/settings.xml")))
+    return _formula(
+        rows, "omml-native", storage_kind=F.when(display, "omml-display").otherwise("omml-inline"), paragraph_index=F.col("paragraph_index"), run_index=F.col("run_index"),
+        object_sequence=F.col("object_sequence"), omml_status="available", risk_level=F.when(_non_main(), "medium").otherwise("low"), risk_flags=_flags((_non_main(), "story-part-nonmain")), confidence=0.99,
+        provenance=_provenance(ole_stream_names=F.array(), raw_payload_status=F.lit("present"), raw_payload_sha256=F.col("sha256"), evidence_sources=evidence),
+        source_specific=F.to_json(F.struct("xpath", F.struct(F.col("element").alias("container_element"), F.when(display, "display").otherwise("inline").alias("display_mode"), F.coalesce("has_math_pr", F.lit(False)).alias("has_mathPr"), F.col("sha256").alias("raw_omml_sha256"), F.col("math_children").alias("math_child_count")).alias("omml"))),
+    )
+
+
+def mathtype_basis(prog_id: Column, field_code: Column, probe: Column) -> dict[str, Column]:
+    return {
+        "prog-id": F.coalesce(F.upper(prog_id).startswith("EQUATION.DSMT"), F.lit(False)),
+        "field-code": F.coalesce(F.upper(field_code).contains("EQUATION.DSMT"), F.lit(False)),
+        "equation-native-stream": F.coalesce(probe["native_exists"], F.lit(False)),
+        "application-key": probe["application_key"].isNotNull(),
+        "mathtype-ef-marker": F.coalesce(F.array_contains(probe["marker_hits"], "MathType EF"), F.lit(False)),
+    }
+
+
+def mathtype_ole(entries: DataFrame, rels: DataFrame, probes: DataFrame) -> DataFrame:
+    """Objects by ProgID, field code, or a native stream with a MathType mark; numbered after that test."""
+    linked = _linked(part_objects(entries, "mathtype-ole").where("error is null"), rels, probes, "normal")
+    basis = mathtype_basis(F.col("prog_id"), F.col("field_code"), F.col("probe"))
+    by_stream = basis["equation-native-stream"] & (basis["application-key"] | basis["mathtype-ef-marker"])
+    rows = _numbered(linked.where(basis["prog-id"] | basis["field-code"] | by_stream))
+    with_rels = rels.select("doc_id", "part").distinct().withColumn("has_rels", F.lit(True))
+    rows = rows.join(with_rels, ["doc_id", "part"], "left")
+    status = F.when(F.col("probe").isNull(), "missing").when(F.col("probe.intact"), "present").otherwise("corrupt")
+    native = basis["equation-native-stream"]
+    steps = {"prog-id": 14, "field-code": 3, "equation-native-stream": 3, "application-key": 1, "mathtype-ef-marker": 1}
+    hundredths = reduce(lambda a, b: a + b, (F.when(basis[k], n).otherwise(0) for k, n in steps.items()), F.lit(78))
+    hundredths = hundredths - F.when(_non_main(), 3).otherwise(0) - F.when(status != "present", 12).otherwise(0)
+    broken = F.when(status != "present", "invalid-ole-payload").when(~native, "missing-equation-native-stream")
+    fields = ("native_exists", "native_size", "mtef_version", "application_key", "product_version", "product_subversion")
+    shown = ("equation_native_stream_exists", "equation_native_size_bytes", *fields[2:])
+    return _formula(
+        rows, "mathtype-ole", storage_kind="ole-embedded", relationship_id=F.col("rid"), embedding_target=F.col("embedding_target"), preview_target=F.col("preview_target"),
+        paragraph_index=F.col("paragraph_index"), run_index=F.col("run_index"), object_sequence=F.col("object_sequence"), canonical_mathml_status=F.when(native, "unverified").otherwise("missing"),
+        omml_status="missing", latex_status="missing", risk_level=F.when(broken.isNotNull(), "high").when(_non_main(), "medium").otherwise("low"),
+        risk_flags=_flags((_non_main(), "story-part-nonmain"), (broken.isNotNull(), broken)), failure_mode=broken, confidence=F.greatest(F.lit(0), F.least(hundredths, F.lit(99))) / 100,
+        provenance=_provenance(
+            prog_id_raw=F.col("prog_id"), field_code_raw=F.col("field_code"), ole_stream_names=F.coalesce("probe.streams", F.array().cast("array<string>")), raw_payload_status=status, raw_payload_sha256=F.col("probe.sha256"),
+            evidence_sources=F.array_compact(F.array("part", F.when(F.col("has_rels"), _rels_path(F.col("part"))), "embedding_target")),
+        ),
+        source_specific=F.to_json(F.struct("xpath", "paragraph_text", "text_before", "text_after", F.struct(*(F.col(f"probe.{a}").alias(b) for a, b in zip(fields, shown, strict=True))).alias("mathtype"))),
+    )
+
+
+# What marks an AxMath installation in a package.
+AXMATH_ARTIFACTS = {"AMDisplayEquation": "amdisplayequation", "AMObj.afx": "amobj.afx", "AxMath.dotm": "axmath.dotm"}
+CUSTOM_SYMBOLS = ("customsymbol", "custom symbol", "usersymbol", "user symbol")
+
+
+def axmath_artifacts(entries: DataFrame) -> DataFrame:
+    """(doc_id, artifacts): members of that name, and marks in the settings, styles, document and comments."""
+    leaf = F.lower(F.regexp_extract("entry", "([^/]*)$", 1))
+    told = F.lower(F.decode("data", "UTF-8"))
+    read = F.col("entry").rlike(r"^word/(settings|styles|document|comments)\.xml$")
+    found = F.array_compact(F.array(*(F.when((leaf == marker) | F.coalesce(read & told.contains(marker), F.lit(False)), name) for name, marker in AXMATH_ARTIFACTS.items())))
+    return entries.select("doc_id", F.explode(found).alias("a")).groupBy("doc_id").agg(F.array_sort(F.collect_set("a")).alias("artifacts"))
+
+
+def axmath_ole(entries: DataFrame, rels: DataFrame, probes: DataFrame) -> DataFrame:
+    """Objects with enough evidence points; every object of a document counts in the numbering."""
+    rows = _linked(_numbered(part_objects(entries, "axmath-ole").where("error is null")), rels, probes, "plain").join(axmath_artifacts(entries), "doc_id", "left")
+    prog_id = F.nullif("prog_id", F.lit(""))
+    by_prog = F.coalesce(F.lower(prog_id) == "equation.axmath", F.lit(False))
+    by_field = F.col("field_code").isNotNull()
+    segments = F.coalesce("probe.segments", F.array().cast("array<string>"))
+    by_payload = F.exists(segments, lambda s: F.lower(s).contains("axmath"))
+    stored = F.col("embedding_target").isNotNull()
+    styled = F.when(F.lower("style") == AXMATH_ARTIFACTS["AMDisplayEquation"], F.array(F.lit("AMDisplayEquation"))).otherwise(F.array().cast("array<string>"))
+    artifacts = F.array_sort(F.array_union(F.coalesce("artifacts", F.array().cast("array<string>")), styled))
+    custom = F.exists(segments, lambda s: reduce(lambda a, b: a | b, (F.lower(s).contains(m) for m in CUSTOM_SYMBOLS)))
+    points = reduce(lambda a, b: a + b, (F.when(t, n).otherwise(0) for t, n in ((by_prog, 2), (by_field, 2), (by_payload, 2), (stored, 1), (F.size(artifacts) > 0, 1))))
+    other_vendor = F.coalesce(F.lower(prog_id).rlike(r"^equation\.(dsmt|3)"), F.lit(False))
+    kept = rows.where(~other_vendor & (points >= 3) & (by_prog | by_field | by_payload))
+    confidence = F.when(by_prog & stored, 0.99).when(by_field & by_payload, 0.97).when(by_field & stored & (F.size(artifacts) > 0), 0.95).otherwise(0.93)
+    with_rels = rels.select("doc_id", "part").distinct().withColumn("has_rels", F.lit(True))
+    flags = F.concat(
+        F.array(*map(F.lit, ("export-assisted-route", "native-static-parse-unverified", "mathml-export-unverified"))),
+        _flags((_non_main(), "story-part-nonmain"), (~by_prog, "prog-id-missing"), (~by_payload, "payload-marker-missing"), (F.coalesce(F.col("preview_target") != "", F.lit(False)), "preview-image-present"), (custom, "custom-symbols-present")),
+    )
+    return _formula(
+        kept.join(with_rels, ["doc_id", "part"], "left"), "axmath-ole", storage_kind=F.when(stored, "ole-embedded").otherwise("ole-object"), relationship_id=F.col("rid"),
+        embedding_target=F.col("embedding_target"), preview_target=F.col("preview_target"), paragraph_index=F.col("paragraph_index"), run_index=F.col("run_index"), object_sequence=F.col("object_sequence"),
+        latex_status="available", risk_level=F.when(_non_main() | ~by_prog | ~stored, "high").otherwise("medium"), risk_flags=flags, confidence=confidence,
+        provenance=_provenance(
+            prog_id_raw=prog_id, field_code_raw=F.col("field_code"), ole_stream_names=F.coalesce("probe.streams", F.array().cast("array<string>")),
+            raw_payload_status=F.when(~stored, "unknown").when(F.col("probe").isNull(), "missing").otherwise("present"), raw_payload_sha256=F.col("probe.sha256"),
+            evidence_sources=F.array_compact(F.array("part", F.when(F.col("has_rels"), _rels_path(F.col("part"))), "embedding_target", F.when(F.array_contains(artifacts, "AMDisplayEquation"), "word/styles.xml"))),
+        ),
+        source_specific=F.to_json(F.struct("xpath", F.struct(artifacts.alias("word_addin_artifacts"), F.array(F.lit("latex"), F.lit("mathml")).alias("export_channels"), F.lit(False).alias("export_route_verified"), F.lit("ui-export-required").alias("automation_mode"), custom.alias("custom_symbol_present"), segments.alias("payload_ascii_preview")).alias("axmath"))),
+    )
+
+
+# Python's white space is wider than the engine's \s; field codes are compacted before, so a space is enough.
+EQ3_FIELD, EQ3_VENDOR = r"(?i)\bEMBED\s+Equation(\s|$|\\)", r"(?i)\bEMBED\s+Equation\.(DSMT\d*|AxMath)\b"
+EQ3_CLASS = "{0002CE02-0000-0000-C000-000000000046}"
+
+
+def _equation3(rows: DataFrame) -> DataFrame:
+    """``rows``: prog_id, field_code, data_size, probe, part, targets and numbers. Rows that are Equation 3.0."""
+    false = F.lit(False)
+    prog_id = F.lower(F.coalesce("prog_id", F.lit("")))
+    field = F.coalesce("field_code", F.lit(""))
+    vendor = prog_id.startswith("equation.dsmt") | prog_id.startswith("equation.axmath") | field.rlike(EQ3_VENDOR)
+    by_prog, by_field = prog_id == "equation.3", field.rlike(EQ3_FIELD)
+    header = F.coalesce("probe.header.detected", false)
+    told = F.exists(F.coalesce("probe.markers", F.array().cast("array<string>")), lambda m: F.lower(m).contains("equation.3"))
+    points = reduce(lambda a, b: a + b, (F.when(t, n).otherwise(0) for t, n in ((by_prog, 55), (by_field, 20), (header, 20), (told, 5))))
+    present = F.coalesce(F.col("probe.size") > 0, false)
+    preview_only = ~present & F.col("preview_target").isNotNull() & (F.col("preview_target") != "")
+    return rows.where(~vendor & (by_prog | by_field | header)).withColumns(
+        {
+            "header_found": header, "eq_confidence": F.least(points, F.lit(99)) / 100, "preview_only": preview_only, "present": present,
+            "eq_flags": _flags((by_prog, "eq3-prog-id"), (by_field, "eq3-field-code"), (header, "eqnolefilehdr-present"), (preview_only, "missing-native-payload"), (preview_only, "preview-only"), (~header & present, "header-unverified")),
+            "class_id": F.when(by_prog | by_field, EQ3_CLASS),
+        }
+    )
+
+
+def _equation3_formula(rows: DataFrame, storage_kind: str, part: Column, story: Column, evidence: Column, markers: Column, streams: Column) -> DataFrame:
+    preview = F.col("preview_only")
+    return _formula(
+        rows, "equation-editor-3-ole", doc_part_path=part, story_type=story, source_role=F.when(preview, "preview-only").otherwise("native-source"), storage_kind=storage_kind, relationship_id=F.col("rid"),
+        embedding_target=F.col("embedding_target"), preview_target=F.col("preview_target"), paragraph_index=F.col("paragraph_index"), run_index=F.col("run_index"), object_sequence=F.col("object_sequence"),
+        omml_status="missing", latex_status="missing", risk_level=F.when(preview, "manual-review").when(F.col("header_found"), "low").otherwise("medium"), risk_flags=F.col("eq_flags"),
+        failure_mode=F.when(preview, "missing-native-payload"), confidence=F.col("eq_confidence"),
+        provenance=_provenance(
+            prog_id_raw=F.col("prog_id"), field_code_raw=F.col("field_code"), ole_stream_names=streams, raw_payload_status=F.when(F.col("present"), "present").otherwise("missing"),
+            raw_payload_sha256=F.when(F.col("present"), F.col("probe.sha256")), transform_chain=F.array().cast("array<string>"), evidence_sources=evidence,
+        ),
+        source_specific=F.to_json(
+            F.struct(
+                F.struct(
+                    F.col("class_id").alias("class_id_raw"), F.col("probe.header.header_size").alias("native_header_size_bytes"), F.col("probe.header.platform").alias("mtef_platform"),
+                    F.col("probe.header.product").alias("mtef_generating_product"), F.col("probe.header.version").alias("mtef_version"), F.when(preview, "preview-only").otherwise("mtef-v3-mainline").alias("selected_route"),
+                ).alias("equation_editor_3"),
+                markers.alias("ascii_markers"), F.col("probe.payload_stream").alias("payload_stream_name"),
+            )
+        ),
+    )
+
+
+def equation_editor_3_ole(entries: DataFrame, rels: DataFrame, probes: DataFrame) -> DataFrame:
+    """Equation 3.0 objects of OOXML documents (every OLE object counts in the numbering) and streams of legacy ones."""
+    none = F.array().cast("array<string>")
+    linked = _linked(_numbered(part_objects(entries, "equation-editor-3-ole").where("error is null")), rels, probes, "rooted", word.OLE_RELATION)
+    docx = _equation3_formula(
+        _equation3(linked), "ole-embedded", F.col("part"), story_type(F.col("part")), F.filter(F.array_compact(F.array("part", "embedding_target", "preview_target")), lambda x: x != ""),
+        F.coalesce("probe.markers", none), F.coalesce("probe.streams", none),
+    )
+    return docx.union(_legacy(entries))
+
+
+def _legacy(entries: DataFrame) -> DataFrame:
+    """Equation Native streams of .doc files; an object's streams tell its vendor together."""
+    streams = entries.where(F.col("suffix") == ".doc")
+    read = parsed(streams.select("doc_id", "entry", "data"), "doc_id entry", lambda d, e, data: [{"markers": payload.vendor_markers(data or b"")}], "markers array<string>")
+    folder = F.when(F.col("entry").contains("/"), F.regexp_replace("entry", "/[^/]*$", "")).otherwise("")
+    told = read.withColumn("storage", F.expr("filter(transform(sequence(1, size(split(entry, '/'))), k -> array_join(slice(split(entry, '/'), 1, k - 1), '/')), x -> x <> '')"))
+    by_storage = (
+        told.select("doc_id", F.explode("storage").alias("storage"), "entry", "markers")
+        .groupBy("doc_id", "storage")
+        .agg(F.array_sort(F.collect_list(F.struct("entry", "markers"))).alias("s"))
+        .select("doc_id", "storage", F.col("s.entry").alias("children"), F.array_distinct(F.flatten("s.markers")).alias("object_markers"))
+    )
+    natives = streams.where(F.col("entry").rlike(r"(^|/)Equation Native$")).select("doc_id", "entry", "data")
+    probed = parsed(natives, "doc_id entry", lambda d, e, data: [payload.probe(data)], PROBE).drop("error").withColumn("storage", folder)
+    probe = F.struct(*[c for c in probed.columns if c not in ("doc_id", "entry", "storage", "payload")])
+    none = F.array().cast("array<string>")
+    rows = probed.select("doc_id", "entry", "storage", probe.alias("probe")).join(by_storage, ["doc_id", "storage"], "left").withColumn("object_markers", F.coalesce("object_markers", none))
+    said = F.lower(F.array_join("object_markers", "\n"))
+    is_eq3 = said.contains("equation.3") | said.contains("microsoft equation 3.0")
+    conflict = said.contains("equation.dsmt") | said.contains("equation.axmath") | said.contains("mathtype")
+    kept = rows.where(~conflict & (is_eq3 | F.coalesce("probe.header.detected", F.lit(False))))
+    order = Window.partitionBy("doc_id").orderBy("entry")
+    kept = kept.withColumns(
+        {
+            "prog_id": F.when(is_eq3, "Equation.3"), "field_code": F.when(is_eq3, "EMBED Equation.3"), "object_sequence": F.row_number().over(order), "run_index": F.lit(0), "rid": F.lit(""),
+            "embedding_target": F.col("entry"), "preview_target": F.lit(None).cast("string"), "part": F.concat(F.lit("legacy-doc:"), "entry"),
+        }
+    ).withColumn("paragraph_index", F.col("object_sequence") - 1)
+    children = F.coalesce("children", none)
+    return _equation3_formula(_equation3(kept), "ole-cfb-stream", F.col("part"), F.lit("main"), F.concat(F.array("doc_id", "entry"), children), F.col("object_markers"), children)
+
+
+# Names of user-defined metadata that tell a LibreOffice bridge.
+BRIDGE_FIELDS = ("original_origin", "conversion_mode", "input_filter", "profile_isolated")
+BRIDGE_PREFIXES = ("ag_", "", "libreoffice_")
+
+
+def odf_meta(entries: DataFrame) -> DataFrame:
+    """(doc_id, generator, the bridge fields, is_bridge) of documents with a meta.xml."""
+    rows = entries.where(F.col("entry") == "meta.xml").select("doc_id", "data")
+    read = parsed(rows, "doc_id", lambda doc, data: [odf.office_meta(data or b"")], "generator string, values map<string,string>")
+    fields = {f: F.coalesce(*(F.nullif(F.element_at("values", p + f), F.lit("")) for p in BRIDGE_PREFIXES)) for f in BRIDGE_FIELDS}
+    lowered = F.lower("generator")
+    bridge = (lowered.contains("libreoffice") | lowered.contains("collabora office")) & F.coalesce(*fields.values()).isNotNull()
+    return read.where("error is null").select("doc_id", "generator", *(c.alias(n) for n, c in fields.items()), bridge.alias("is_bridge"))
+
+
+def _odf_formulas(entries: DataFrame) -> DataFrame:
+    """Formulas of main content parts with their numbers; drawn objects count if their subdocument is a formula."""
+    packages = entries.where(F.col("suffix").isin(".odt", ".odf", ".fodt"))
+    flat = F.col("suffix") == ".fodt"
+    content = packages.where((F.col("entry") == "content.xml") | flat).select("doc_id", "data")
+
+    def read(doc: str, data: bytes | None) -> list[dict]:
+        return [{"pos": k, **found} for k, found in enumerate(odf.content_formulas(data or b""))]
+
+    found = parsed(content, "doc_id", read, "pos int, kind string, href string, member string").where("error is null").drop("error")
+    roots = parsed(packages.where(F.col("entry").endswith(".xml")).select("doc_id", "entry", "data"), "doc_id entry", lambda d, e, data: [{"math": odf.has_math_root(data or b"")}], "math boolean")
+    own = roots.where("math").select("doc_id", F.col("entry").alias("member"), F.lit(True).alias("is_math"))
+    kept = found.join(own, ["doc_id", "member"], "left").where("kind <> 'odf-draw-object-subdocument' or is_math")
+    return kept.withColumn("object_sequence", F.row_number().over(Window.partitionBy("doc_id").orderBy("pos"))).withColumn("part", F.coalesce("member", F.lit("content.xml")))
+
+
+def _odf_formula(rows: DataFrame, family: str, **given: Column | str | float) -> DataFrame:
+    evidence = F.array_compact(F.array(F.col("doc_id"), F.lit("content.xml"), F.col("member"), given.pop("more", F.lit(None))))
+    chain = given.pop("chain", F.array().cast("array<string>"))
+    return _formula(
+        rows, family, story_type="main", storage_kind=F.col("kind"), embedding_target=F.nullif("href", F.lit("")), object_sequence=None, canonical_mathml_status="available", failure_mode="",
+        provenance=_provenance(transform_chain=chain, generator_id=given.pop("generator", F.lit(None)), evidence_sources=evidence), **given,
+    )
+
+
+def odf_native(entries: DataFrame) -> DataFrame:
+    """ODF formulas of documents that no LibreOffice bridge has made."""
+    rows = _odf_formulas(entries).join(odf_meta(entries).select("doc_id", "is_bridge"), "doc_id", "left").where(~F.coalesce("is_bridge", F.lit(False)))
+    return _odf_formula(rows, "odf-native", risk_level="low", risk_flags=F.array().cast("array<string>"), confidence=0.99)
+
+
+def libreoffice_transformed(entries: DataFrame) -> DataFrame:
+    """The same formulas where metadata tells of a bridge."""
+    rows = _odf_formulas(entries).join(odf_meta(entries).where("is_bridge"), "doc_id")
+    unknown = F.lit("unknown")
+    isolated = F.lower(F.trim("profile_isolated"))
+    flags = F.array_compact(F.array(F.lit("transformed-source"), F.lit("libreoffice-bridge"), F.concat(F.lit("original-origin:"), "original_origin")))
+    specific = F.struct(
+        F.coalesce(F.nullif(F.regexp_extract("generator", r"LibreOffice/([0-9][^ $/]*)", 1), F.lit("")), unknown).alias("producer_version"),
+        *(F.coalesce(f, unknown).alias(f) for f in ("conversion_mode", "input_filter", "original_origin")),
+        F.when(isolated.isin("true", "1", "yes"), True).when(isolated.isin("false", "0", "no"), False).alias("profile_isolated"),
+    )
+    return _odf_formula(
+        rows, "libreoffice-transformed", source_role="transformed-source", risk_level="high", risk_flags=flags, confidence=0.9, more=F.lit("meta.xml"), chain=F.array(F.lit("libreoffice-filter")),
+        generator=F.lit("libreoffice"), source_specific=F.to_json(F.struct(specific.alias("libreoffice"))),
+    )
+
+
+def detect_all(entries: DataFrame) -> DataFrame:
+    """The formula table: the rows of all families. Parts that can't be parsed give no rows (see :func:`failures`)."""
+    rels, probes = relationships(entries), payloads(entries)
+    found = [omml_native(entries), odf_native(entries), libreoffice_transformed(entries)]
+    found += [f(entries, rels, probes) for f in (mathtype_ole, axmath_ole, equation_editor_3_ole)]
+    return reduce(lambda a, b: a.unionByName(b), found)
+
+
+def failures(entries: DataFrame) -> DataFrame:
+    """(doc_id, part, error): containers, entries and parts that could not be read; no detector stops for them."""
+    opened = entries.where("error is not null").select("doc_id", F.col("entry").alias("part"), "error")
+    return opened.union(part_objects(entries, "omml-native").where("error is not null").select("doc_id", "part", "error"))
