@@ -1,11 +1,416 @@
-"""Queries over the reference's own operators."""
+"""Queries over the equation engine's own operators.
+
+The supplied tables hold no equations, so most queries here run an operator over a stand-in of the
+same shape (events for formulas, conversations for runs of a paragraph, line items for shapes). Each
+has SQL to be held against; decoders of bytes and trees run on literal fixtures instead.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from mathquarry import samples
+from mathquarry.functions import mtef, omml, repair
+from mathquarry.operators import canonical, detect, rewrite, risk
+from mathquarry.plans import dimensions as dim
+from mathquarry.plans import routing, status
+from mathquarry.sources import containers
+
+QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
+
+
+def query(sql: str | None = None):
+    def add(function):
+        QUERIES[function.__name__] = (function, sql)
+        return function
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: function for name, (function, _) in QUERIES.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for name, (_, sql) in QUERIES.items() if sql}
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+def _values(rows: list[tuple], *names: str) -> str:
+    said = lambda v: "NULL" if v is None else str(v).upper() if isinstance(v, bool) else str(v) if isinstance(v, int) else _text(v)
+    return f"(VALUES {', '.join('(' + ', '.join(map(said, r)) + ')' for r in rows)}) AS v({', '.join(names)})"
+
+
+# Events stand in for formulas: each type is a family, the user is the document.
+_FAMILY_OF = {"view": "mathtype-ole", "click": "omml-native", "purchase": "equation-editor-3-ole", "signup": "axmath-ole", "error": "unknown-ole"}
+_FAMILY_SQL = f"(SELECT e.*, m.source_family FROM events e JOIN {_values(list(_FAMILY_OF.items()), 'event_type', 'source_family')} ON e.event_type = v.event_type)".replace("m.source_family", "v.source_family")
+_ROUTES_SQL = f"(SELECT * FROM {_values(dim.ROUTES, 'source_family', 'route_kind', 'priority', 'next_action', 'confidence_policy', 'requires_manual_review')})"
+_CONTRACTS_SQL = f"(SELECT * FROM {_values(dim.CONTRACTS, 'source_family', 'source_line', 'contract_status', 'conversion_claim', 'binding')})"
+_ACTION_ROWS = [(f, dim.PROVIDERS[f], k, a, b) for f, found in dim.ACTIONS.items() for k, (a, b) in enumerate(found, 1)]
+_ACTIONS_SQL = f"(SELECT source_family, provider, action_order, action_id, blocking::BOOLEAN AS blocking FROM {_values(_ACTION_ROWS, 'source_family', 'provider', 'action_order', 'action_id', 'blocking')})"
+
+
+def _formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    family = F.element_at(F.create_map(*[F.lit(x) for pair in _FAMILY_OF.items() for x in pair]), F.col("event_type"))
+    return _table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), family.alias("source_family"), "event_id", "value")
+
+
+@query("SELECT doc_id, sha256(text) AS sha256, length(text) AS length FROM documents")
+def content_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file's hash."""
+    return _table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"), F.length("text").cast("long").alias("length"))
+
+
+@query(
+    """SELECT page_id, (length(html) - length(replace(html, '<p>', ''))) // 3 AS paragraphs, (length(html) - length(replace(html, '<a href', ''))) // 7 AS links,
+    (length(html) - length(replace(html, '.*', ''))) // 2 AS odd FROM pages WHERE contains(html, '<p>') OR contains(html, '<a href') OR contains(html, '.*')"""
+)
+def part_pattern_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Literal byte patterns counted in parts; parts without any are left out."""
+    data = F.encode("html", "UTF-8")
+    counts = {"paragraphs": "<p>", "links": "<a href", "odd": ".*"}
+    rows = _table(spark, sf_dir, "pages").select("page_id", *(containers.occurrences(data, t).cast("long").alias(n) for n, t in counts.items()))
+    return rows.where("paragraphs + links + odd > 0")
+
+
+@query(f"SELECT user_id AS doc_id, source_family, count(*) AS formula_count FROM {_FAMILY_SQL} GROUP BY ALL")
+def family_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A1: formulas per document and family."""
+    return routing.source_counts(_formulas(spark, sf_dir))
+
+
+@query(
+    f"""SELECT c.source_family, formula_count, route_kind, priority, next_action, confidence_policy, requires_manual_review
+    FROM (SELECT source_family, count(*) AS formula_count FROM {_FAMILY_SQL} GROUP BY ALL) c JOIN {_ROUTES_SQL} r ON c.source_family = r.source_family"""
+)
+def route_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every family's count with its route; a family without one stops the job."""
+    counts = _formulas(spark, sf_dir).groupBy("source_family").agg(F.count("*").alias("formula_count"))
+    return routing.route_plan(counts).select("source_family", "formula_count", "route_kind", "priority", "next_action", "confidence_policy", "requires_manual_review")
+
+
+@query(
+    f"""SELECT doc_id, sum(n)::BIGINT AS formula_count, string_agg(source_family, '>' ORDER BY priority, source_family) AS recommended_sequence, bool_or(requires_manual_review) AS manual_review_required,
+    coalesce(string_agg(source_family, '>' ORDER BY priority, source_family) FILTER (requires_manual_review), '') AS manual_review_reasons
+    FROM (SELECT user_id AS doc_id, f.source_family, count(*) AS n, any_value(priority) AS priority, any_value(requires_manual_review) AS requires_manual_review
+      FROM {_FAMILY_SQL} f JOIN {_ROUTES_SQL} r ON f.source_family = r.source_family GROUP BY ALL) GROUP BY doc_id"""
+)
+def routing_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One report per document."""
+    report = routing.routing_report(routing.route_plan(routing.source_counts(_formulas(spark, sf_dir))))
+    joined = [F.array_join(c, ">").alias(c) for c in ("recommended_sequence", "manual_review_reasons")]
+    return report.select("doc_id", "formula_count", "manual_review_required", *joined)
+
+
+@query(
+    f"""SELECT e.event_type AS source_family, coalesce(source_line, 'unknown') AS source_line, coalesce(contract_status, 'manual-triage') AS contract_status, coalesce(conversion_claim, FALSE) AS conversion_claim,
+    coalesce(binding, 'unregistered-source-to-canonical-mathml') AS binding, 'canonical-mathml' AS target_format
+    FROM (SELECT DISTINCT source_family AS event_type FROM {_FAMILY_SQL} UNION SELECT DISTINCT event_type FROM events) e LEFT JOIN {_CONTRACTS_SQL} c ON e.event_type = c.source_family"""
+)
+def canonical_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Families with their contract, unregistered ones with the default."""
+    families = _formulas(spark, sf_dir).select("source_family").union(_table(spark, sf_dir, "events").select("event_type")).distinct()
+    return routing.default_contract(families)
+
+
+@query(
+    f"""SELECT doc_id, p.source_family, formula_count, coalesce(provider, 'default') AS provider, coalesce(action_order, 1) AS action_order, coalesce(action_id, 'manual-triage') AS action_id,
+    CASE WHEN provider IS NULL THEN TRUE ELSE coalesce(blocking, requires_manual_review) END AS blocking
+    FROM (SELECT user_id AS doc_id, source_family, count(*) AS formula_count FROM {_FAMILY_SQL} GROUP BY ALL) p JOIN {_ROUTES_SQL} r ON p.source_family = r.source_family
+    LEFT JOIN {_ACTIONS_SQL} a ON p.source_family = a.source_family"""
+)
+def execution_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Routes exploded onto actions, manual triage for families without a provider."""
+    plan = routing.execution_plan(routing.route_plan(routing.source_counts(_formulas(spark, sf_dir))))
+    return plan.select("doc_id", "source_family", "formula_count", "provider", "action_order", "action_id", "blocking")
+
+
+@query(
+    """SELECT conv_id, turn, role, right(coalesce(string_agg(text, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), ''), 60) AS text_before,
+    left(coalesce(string_agg(text, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), ''), 60) AS text_after,
+    count(*) OVER (PARTITION BY conv_id) > 1 AS inline_context FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)"""
+)
+def context_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last 60 characters before and the first 60 after, over all other runs of a paragraph."""
+    w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    before = F.array_join(F.collect_list("text").over(w.rowsBetween(Window.unboundedPreceding, -1)), "")
+    after = F.array_join(F.collect_list("text").over(w.rowsBetween(1, Window.unboundedFollowing)), "")
+    rows = _table(spark, sf_dir, "conversations").withColumns({"b": before, "a": after})
+    return rows.select("conv_id", "turn", "role", F.right("b", F.lit(60)).alias("text_before"), F.left("a", F.lit(60)).alias("text_after"), ((F.trim("b") != "") | (F.trim("a") != "")).alias("inline_context"))
+
+
+@query(
+    """SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS object_sequence,
+    row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS sibling_ordinal FROM lineitem"""
+)
+def object_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Running numbers of a document and of siblings with the same name."""
+    order = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    numbered = {"object_sequence": Window.partitionBy("l_orderkey").orderBy(*order), "sibling_ordinal": Window.partitionBy("l_orderkey", "l_returnflag").orderBy(*order)}
+    return _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", *(F.row_number().over(w).alias(n) for n, w in numbered.items()))
+
+
+@query("SELECT doc_id, source, n_chars FROM documents ANTI JOIN labels USING (doc_id)")
+def resume_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inputs that have no output yet."""
+    return _table(spark, sf_dir, "documents").join(_table(spark, sf_dir, "labels"), "doc_id", "left_anti").select("doc_id", "source", "n_chars")
+
+
+@query("SELECT doc_id, source, n_chars FROM documents SEMI JOIN (SELECT doc_id FROM labels WHERE quality = 1) q USING (doc_id)")
+def replace_semijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items that are in a set."""
+    chosen = _table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return _table(spark, sf_dir, "documents").join(chosen, "doc_id", "left_semi").select("doc_id", "source", "n_chars")
+
+
+@query(
+    """SELECT source, expected, accepted, unsupported, CASE WHEN expected = accepted AND unsupported = 0 THEN 'passed' WHEN expected = accepted THEN 'unsupported-fragments' ELSE 'mismatch' END AS parity,
+    CASE WHEN accepted > 0 AND expected = accepted AND unsupported = 0 THEN 'passed' ELSE 'blocked-canonical-artifact' END AS gate
+    FROM (SELECT source, count(*) AS expected, count(*) FILTER (quality IS NOT NULL) AS accepted, count(*) FILTER (quality = 0) AS unsupported FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source)"""
+)
+def parity_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many out as in, and whether anything came out."""
+    joined = _table(spark, sf_dir, "documents").join(_table(spark, sf_dir, "labels"), "doc_id", "left")
+    counts = joined.groupBy("source").agg(F.count("*").alias("expected"), F.count("quality").alias("accepted"), F.count_if(F.col("quality") == 0).alias("unsupported"))
+    parity = status.parity(F.col("expected"), F.col("accepted"), F.col("unsupported"), "mathtype-ole")
+    return counts.withColumn("parity", parity).withColumn("gate", status.canonical_gate(F.col("accepted"), F.col("parity"), "mathtype-ole"))
+
+
+_STATUS_OF = {"view": "succeeded", "click": "skipped-existing", "purchase": "validation-gated", "signup": "manual-gate", "error": "blocked-external-tool"}
+_STEPS_SQL = f"""(SELECT user_id, hour, CASE WHEN bool_or(s = 'blocked-external-tool') THEN 'blocked' WHEN bool_and(s = 'manual-gate') OR bool_or(value < 0.2) THEN 'manual-only'
+    WHEN bool_or(s = 'validation-gated') THEN 'validation-gated' WHEN bool_or(s = 'skipped-existing') THEN 'completed-with-skips' ELSE 'completed' END AS status
+    FROM (SELECT user_id, date_trunc('day', ts) AS hour, value, v.s FROM events e JOIN {_values(list(_STATUS_OF.items()), 'event_type', 's')} ON e.event_type = v.event_type) GROUP BY ALL)"""
+
+
+def _steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.element_at(F.create_map(*[F.lit(x) for pair in _STATUS_OF.items() for x in pair]), F.col("event_type"))
+    rows = _table(spark, sf_dir, "events").select("user_id", F.date_trunc("day", "ts").alias("day"), said.alias("s"), (F.col("value") >= 0.2).alias("supported"))
+    return rows.groupBy("user_id", "day").agg(status.step_status(F.col("s"), F.col("supported")).alias("status"), status.dry_run_status(F.col("supported")).alias("dry_run"))
+
+
+@query(f"SELECT user_id, status, count(*) AS steps FROM {_STEPS_SQL} GROUP BY ALL")
+def step_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Actions reduced to a step's status by fixed precedence."""
+    return _steps(spark, sf_dir).groupBy("user_id", "status").agg(F.count("*").alias("steps"))
+
+
+@query(
+    f"""SELECT user_id, count(*) AS step_count, count(*) FILTER (status LIKE 'completed%') AS completed_step_count, count(*) FILTER (status = 'manual-only') AS manual_only_step_count,
+    count(*) FILTER (status NOT LIKE 'completed%' AND status <> 'manual-only') AS blocked_step_count FROM {_STEPS_SQL} GROUP BY user_id"""
+)
+def plan_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A plan's counters of step statuses."""
+    return status.plan_counters(_steps(spark, sf_dir), "user_id")
+
+
+_WHITE = r"[ \t\n\x0b\f\r]"
+_CHECK = lambda where, reason: f"CASE WHEN {where} THEN {_text(reason)} END"
+_TRIM = lambda c: f"regexp_replace(coalesce({c}, ''), '^{_WHITE}+|{_WHITE}+$', '', 'g')"
+_RISK_ROWS_SQL = f"""(SELECT d.doc_id, {_TRIM('text')} AS p, CASE WHEN quality = 0 THEN 'failed' ELSE 'ok' END AS status, CASE WHEN toxic = 1 THEN 'False' ELSE 'True' END AS omml_exists FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
+    UNION ALL SELECT id, {_TRIM('latex')}, 'ok', 'True' FROM {_values(list(enumerate(samples.LATEX, -len(samples.LATEX))), 'id', 'latex')})"""
+_SPACED = lambda p: p.replace(r"\s", _WHITE)
+_MANUAL_SQL = ", ".join(
+    [_CHECK("status <> 'ok'", "status_not_ok"), _CHECK("omml_exists <> 'True'", "missing_omml"), _CHECK("p = ''", "empty_latex_preview")]
+    + [_CHECK(f"regexp_matches(p, {_text(_SPACED(pattern))})", reason) for pattern, reason in risk.MANUAL]
+    + [_CHECK(" OR ".join(f"contains(replace(p, ' ', ''), {_text(t)})" for t in texts), reason) for texts, reason in risk.WITHOUT_SPACES]
+)
+_SPOT_SQL = ", ".join(
+    [
+        _CHECK(f"length(p) >= {risk.LONG}", "long_formula"),
+        _CHECK(" OR ".join(f"contains(p, {_text(c)})" for c in risk.COMMANDS), "has_complex_commands"),
+        _CHECK("contains(p, '_') OR contains(p, '^')", "has_scripts"),
+        _CHECK("contains(p, '|') OR contains(p, '//')", "has_set_or_geometry_relation"),
+    ]
+)
+_SORTED = lambda items: f"list_sort(list_distinct(list_filter([{items}], lambda x: x IS NOT NULL)))"
+_RISK_SQL = f"""(SELECT doc_id, CASE WHEN len(m) > 0 THEN 'manual_review' WHEN len(s) > 0 OR (starts_with(p, '{{') AND ends_with(p, '}}')) THEN 'spot_check' ELSE 'auto_replace' END AS category,
+    CASE WHEN len(m) > 0 THEN m WHEN len(s) > 0 THEN s WHEN starts_with(p, '{{') AND ends_with(p, '}}') THEN ['grouped_output_needs_review'] ELSE [] END AS reasons
+    FROM (SELECT doc_id, p, {_SORTED(_MANUAL_SQL)} AS m, {_SORTED(_SPOT_SQL)} AS s FROM {_RISK_ROWS_SQL}))"""
+
+
+def _risks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = _table(spark, sf_dir, "documents").join(_table(spark, sf_dir, "labels"), "doc_id", "left")
+    said = joined.select("doc_id", F.when(F.col("quality") == 0, "failed").otherwise("ok").alias("status"), F.when(F.col("toxic") == 1, "False").otherwise("True").alias("omml_exists"), F.col("text").alias("latex_preview"))
+    literal = spark.createDataFrame([(k, "ok", "True", t) for k, t in enumerate(samples.LATEX, -len(samples.LATEX))], "doc_id long, status string, omml_exists string, latex_preview string")
+    rows = said.union(literal).withColumns({"tex_exists": F.lit("True"), "text_after": F.lit("")})
+    return risk.classified(rows)
+
+
+@query(f"SELECT doc_id, category, array_to_string(reasons, ',') AS reasons FROM {_RISK_SQL}")
+def risk_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts and literal LaTeX as previews, classified."""
+    return _risks(spark, sf_dir).select("doc_id", "category", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query(f"SELECT reason, count(*) AS n FROM (SELECT unnest(reasons) AS reason FROM {_RISK_SQL} WHERE category = 'manual_review') GROUP BY reason ORDER BY n DESC, reason")
+def reason_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reasons of manual review, most frequent first."""
+    return risk.reason_ranking(_risks(spark, sf_dir))
+
+
+_LINE_SQL = """CASE WHEN greatest(360, l_linenumber * 100, round_even(l_quantity * 20, 0)::INT) > 360
+    THEN greatest(360, round_even(greatest(360, l_linenumber * 100, round_even(l_quantity * 20, 0)::INT) * 1.01375::DOUBLE, 0)::INT) ELSE 360 END"""
+
+
+@query(f"SELECT l_orderkey, l_linenumber, l_quantity, {_LINE_SQL} AS adjusted_line FROM lineitem")
+def layout_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantities as heights, line numbers times 100 as previous lines."""
+    line = rewrite.adjusted_line(F.col("l_quantity"), F.col("l_linenumber") * 100)
+    return _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", line.alias("adjusted_line"))
+
+
+@query(f"SELECT l_orderkey, count(*) AS adjusted_paragraph_count, min(a)::INT AS line_min, max(a)::INT AS line_max, sum(a)::DOUBLE / count(*) AS line_mean FROM (SELECT l_orderkey, {_LINE_SQL} AS a FROM lineitem) GROUP BY l_orderkey")
+def layout_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A5: a document's lines."""
+    return rewrite.layout_summary(layout_lines(spark, sf_dir), "l_orderkey")
+
+
+@query(
+    """SELECT event_type, sum(k)::BIGINT AS mathml_attribute_count, array_to_string(list_sort(list(DISTINCT user_id::VARCHAR) FILTER (k > 90)), ',') AS root_display_values, count(*) FILTER (k % 2 = 0) AS has_accent
+    FROM (SELECT event_type, user_id, (props::JSON ->> '$.k')::BIGINT AS k FROM events) GROUP BY event_type"""
+)
+def property_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums, sorted distinct values and counts of signals."""
+    k = F.get_json_object("props", "$.k").cast("long")
+    rows = _table(spark, sf_dir, "events").select("event_type", "user_id", k.alias("k"))
+    shown = F.array_join(F.array_sort(F.collect_set(F.when(F.col("k") > 90, F.col("user_id").cast("string")))), ",")
+    return rows.groupBy("event_type").agg(F.sum("k").alias("mathml_attribute_count"), shown.alias("root_display_values"), F.count_if(F.col("k") % 2 == 0).alias("has_accent"))
+
+
+_PAGES_SQL = """(SELECT user_id AS doc_id, coalesce(a.page, b.page) AS page, a.value AS original, b.value AS converted FROM
+    (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS page FROM events WHERE event_type = 'view') a
+    FULL JOIN (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS page FROM events WHERE event_type = 'click') b USING (user_id, page))"""
+
+
+def _matched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    page = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    rows = _table(spark, sf_dir, "events")
+    sides = [rows.where(F.col("event_type") == kind).select(F.col("user_id").alias("doc_id"), page.alias("page"), "value") for kind in ("view", "click")]
+    return status.matched_pages(*sides).select("doc_id", "page", F.col("original.value").alias("original"), F.col("converted.value").alias("converted"))
+
+
+@query(f"SELECT doc_id, page, original, converted FROM {_PAGES_SQL}")
+def positional_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages matched by position, unmatched ones kept."""
+    return _matched(spark, sf_dir)
+
+
+@query(
+    f"""SELECT doc_id, page_count_compared, unmatched_pages_total, max_changed_ratio, CASE WHEN unmatched_pages_total > 0 OR max_changed_ratio > 0.5 THEN 'review-gated' ELSE 'passed' END AS status,
+    (unmatched_pages_total > 0)::INT + (max_changed_ratio > 0.5)::INT AS reason_count
+    FROM (SELECT doc_id, count(*) FILTER (original IS NOT NULL AND converted IS NOT NULL) AS page_count_compared, count(*) FILTER (original IS NULL OR converted IS NULL) AS unmatched_pages_total,
+      coalesce(max(abs(original - converted) / (abs(original) + abs(converted) + 1)), 0.0) AS max_changed_ratio FROM {_PAGES_SQL} GROUP BY doc_id)"""
+)
+def visual_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page comparison's gate."""
+    ratio = F.abs(F.col("original") - F.col("converted")) / (F.abs("original") + F.abs("converted") + 1)
+    found = status.visual_gate(_matched(spark, sf_dir).withColumn("changed_ratio", ratio), max_ratio=0.5)
+    return found.select("doc_id", "page_count_compared", "unmatched_pages_total", "max_changed_ratio", "status", F.size("reasons").alias("reason_count"))
+
+
+@query(
+    """SELECT doc_id, CASE WHEN NOT target THEN 'blocked' WHEN export AND passed AND visual AND ref AND vs = 'failed' THEN 'blocked' WHEN export AND passed AND visual AND ref AND vs = 'review-gated' THEN 'review-gated'
+    WHEN export AND NOT passed THEN 'blocked' WHEN export THEN 'deliverable-ready' ELSE 'research-only' END AS conclusion
+    FROM (SELECT doc_id, doc_id % 11 <> 0 AS target, doc_id % 3 <> 0 AS export, doc_id % 5 <> 0 AS passed, doc_id % 2 = 0 AS visual, doc_id % 7 <> 0 AS ref, ['passed', 'failed', 'review-gated'][doc_id % 3 + 1] AS vs FROM documents)"""
+)
+def validation_conclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state machine of a document's validation."""
+    d = F.col("doc_id")
+    kinds = F.array(*map(F.lit, ("passed", "failed", "review-gated")))
+    asked = {
+        "target_exists": d % 11 != 0, "export_requested": d % 3 != 0, "export_status": F.when(d % 5 != 0, "passed").otherwise("failed"), "visual_requested": d % 2 == 0, "has_reference": d % 7 != 0,
+        "visual_status": F.element_at(kinds, (d % 3 + 1).cast("int")), "visual_reasons": F.array().cast("array<string>"),
+    }
+    return status.validation(_table(spark, sf_dir, "documents").select("doc_id").withColumns(asked)).select("doc_id", "conclusion")
+
+
+@query(r"""SELECT doc_id, left(trim(regexp_replace(text, '[ \t\n\x0b\f\r]+', ' ', 'g')), 120) AS preview FROM documents""")
+def one_line_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A preview in one line of at most 120 characters."""
+    return _table(spark, sf_dir, "documents").select("doc_id", F.left(F.trim(F.regexp_replace("text", r"[ \t\n\x0b\f\r]+", " ")), F.lit(120)).alias("preview"))
+
+
+@query(
+    r"""SELECT page_id, list_sort(list_distinct(regexp_extract_all(html, '<([a-z][a-z0-9]*)', 1)))::VARCHAR[] AS tags FROM pages""".replace("AS tags", "AS t").replace("SELECT page_id, ", "SELECT page_id, array_to_string(").replace("::VARCHAR[] AS t", ", ',') AS tags")
+)
+def distinct_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set and sort."""
+    found = F.array_sort(F.array_distinct(F.regexp_extract_all("html", F.lit("<([a-z][a-z0-9]*)"), 1)))
+    return _table(spark, sf_dir, "pages").select("page_id", F.array_join(found, ",").alias("tags"))
+
+
+# ---- literal fixtures --------------------------------------------------------------------------
+
+
+@query()
+def mtef_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Equation Native streams decoded; what is not supported says why."""
+
+    def read(name: str, stream: bytes) -> list[dict]:
+        try:
+            made = mtef.decode_stream(stream)
+        except mtef.MtefError as problem:
+            return [{"problem": str(problem)}]
+        return [{"mathml": made.mathml, "version": made.version, "parsed_bytes": made.parsed_bytes, "templates": made.template_counts, "typefaces": made.typeface_counts}]
+
+    rows = spark.createDataFrame(list(samples.STREAMS.items()), "name string, stream binary")
+    found = detect.parsed(rows, "name", read, "mathml string, version int, parsed_bytes int, templates map<string,int>, typefaces map<string,int>, problem string")
+    return found.withColumn("canonical_sha256", F.sha2("mathml", 256))
+
+
+@query()
+def omml_to_mathml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OMML fragments to MathML."""
+    rows = spark.createDataFrame(list(samples.OMML.items()), "name string, omml string")
+    return detect.parsed(rows, "name", lambda name, text: [{"mathml": omml.omml_to_mathml(text)}], "mathml string")
+
+
+@query()
+def normalize_mathml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D3: scripts and function names repaired."""
+    rows = spark.createDataFrame(list(samples.MATHML.items()), "name string, mathml string")
+    return detect.parsed(rows, "name", lambda name, text: [{"repaired": repair.repair_xml(text)}], "repaired string")
+
+
+def _sample_entries(spark: SparkSession) -> DataFrame:
+    files = spark.createDataFrame([(name, bytearray(data)) for name, data in samples.containers().items()], "doc_id string, content binary")
+    return containers.entries_of(containers.described(files))
+
+
+@query()
+def detected_formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The formula table of literal containers, all families."""
+    return detect.detect_all(_sample_entries(spark))
+
+
+@query()
+def container_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the containers hold."""
+    entries = _sample_entries(spark)
+    return containers.scan(entries).join(containers.story_parts(entries), "doc_id", "left")
+
 
-def queries():
-    return {}
+@query()
+def canonical_formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canonical MathML of OMML, ODF and Equation 3.0 formulas with its signals."""
+    entries = _sample_entries(spark)
+    made = [canonical.omml_canonical(entries), canonical.odf_canonical(entries), canonical.equation3_canonical(entries, detect.detect_all(entries))]
+    return made[0].unionByName(made[1]).unionByName(made[2])
 
 
-def oracle_sql():
-    return {}
+@query()
+def canonical_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canonical rows held against the formula table's counts."""
+    entries = _sample_entries(spark)
+    counts = routing.source_counts(detect.detect_all(entries)).where(F.col("source_family").isin("omml-native", "odf-native", "equation-editor-3-ole"))
+    return canonical.canonical_summary(canonical_formulas(spark, sf_dir), counts)
