@@ -133,7 +133,7 @@ def containers() -> dict[str, bytes]:
         "mathtype.docx": packed({"word/document.xml": document(run("Before ") + ole("Equation.DSMT4") + run("After")), "word/embeddings/oleObject1.bin": mathtype, **one}),
         "equation3.docx": packed({"word/document.xml": document(ole("Equation.3")), "word/embeddings/oleObject1.bin": native, **one}),
         "axmath.docx": packed({"word/document.xml": document(ole("Equation.AxMath")), "word/embeddings/oleObject1.bin": b"AxMath payload with custom symbol", **one}),
-        "legacy.doc": compound({"Equation Native": native, "\x01CompObj": b"Microsoft Equation 3.0"}),
+        "legacy.doc": compound({"ObjectPool/_1/Equation Native": native, "ObjectPool/_1/\x01CompObj": b"Microsoft Equation 3.0 Equation.3"}),
         "native.odt": packed({"content.xml": content, "Object 1/content.xml": _MATH}),
         "bridge.odt": packed({"content.xml": content, "Object 1/content.xml": _MATH, "meta.xml": _META}),
         "flat.fodt": content.encode(),
