@@ -53,7 +53,7 @@ def test_ole_rows(formulas):
     a = formulas["axmath.docx", "axmath-ole-0001"]
     assert (a.confidence, a.risk_level) == (0.99, "medium") and "custom-symbols-present" in a.risk_flags
     d = formulas["legacy.doc", "equation-editor-3-ole-0001"]
-    assert (d.storage_kind, d.doc_part_path, d.confidence) == ("ole-cfb-stream", "legacy-doc:ObjectPool/_1/Equation Native", 0.8)
+    assert (d.storage_kind, d.doc_part_path, d.confidence) == ("ole-cfb-stream", "legacy-doc:ObjectPool/_1/Equation Native", 0.75)
 
 
 def test_odf_rows(formulas):
