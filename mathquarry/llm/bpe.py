@@ -29,7 +29,7 @@ from mathquarry.llm.common import sliced, texts_of
 from mathquarry.llm.pieces import TEXT_BYTES, Remembering, pieces_of
 
 #: Arcs and words that a worker's tables hold before they start anew.
-TABLED = 300_000
+TABLED = 120_000
 SUFFIX = "</w>"
 _WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 

@@ -15,12 +15,12 @@ import pyarrow.compute as pc
 from mathquarry.llm.common import lengths
 
 #: Distinct pieces that a worker remembers at least, and half of what it remembers at most.
-REMEMBERED = 200_000
+REMEMBERED = 70_000
 _MARK = r"([A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{24F}])([.,])(?:[ \t\n\v\f\r]|$)"
 
 
 #: Bytes of text whose pieces are told apart at once; more text repeats more of its pieces.
-TEXT_BYTES = 16_000_000
+TEXT_BYTES = 6_000_000
 
 
 def pieces_of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
