@@ -117,10 +117,11 @@ def rows_of(docs: DataFrame, keep: DataFrame, id_col: str = "doc_id", text_col:
 
     The join deals documents by that pair, and repeats are dropped within the same deal.
     """
-    a, b = (next(n for n in (f"{x}{i}" for i in range(10**6)) if n not in docs.columns) for x in ("id_", "sha_"))
-    keyed = docs.withColumns({a: F.col(id_col).cast("long"), b: F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256)})
-    right = keep.select(F.col("doc_id").alias("keep_a"), F.col("text_sha256").alias("keep_b"))
-    return keyed.join(right, keyed[a].eqNullSafe(right.keep_a) & (keyed[b] == right.keep_b), "left_semi").dropDuplicates([a, b]).drop(a, b)
+    key = next(n for n in (f"key{i}" for i in range(10**6)) if n not in docs.columns)
+    one = lambda i, digest: F.concat_ws(":", F.coalesce(i.cast("long").cast("string"), F.lit("null")), digest)
+    keyed = docs.withColumn(key, one(F.col(id_col), F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256)))
+    right = keep.select(one(F.col("doc_id"), F.col("text_sha256")).alias(key))
+    return keyed.join(right, key, "left_semi").dropDuplicates([key]).select(*docs.columns)
 
 
 def rows_with_id(docs: DataFrame, keep: DataFrame, id_col: str = "doc_id") -> DataFrame:
