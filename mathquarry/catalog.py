@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from mathquarry import samples
 from mathquarry.functions import mtef, omml, repair
-from mathquarry.operators import canonical, detect, rewrite, risk
+from mathquarry.operators import canonical, detect, object_map, rewrite, risk
 from mathquarry.plans import dimensions as dim
 from mathquarry.plans import routing, status
 from mathquarry.sources import containers
@@ -414,3 +414,34 @@ def canonical_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = _sample_entries(spark)
     counts = routing.source_counts(detect.detect_all(entries)).where(F.col("source_family").isin("omml-native", "odf-native", "equation-editor-3-ole"))
     return canonical.canonical_summary(canonical_formulas(spark, sf_dir), counts)
+
+
+@query()
+def object_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where objects stand in their documents."""
+    entries = _sample_entries(spark)
+    return object_map.object_map(entries, detect.relationships(entries))
+
+
+@query()
+def payload_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Streams of embedded compound files."""
+    return object_map.streams(_sample_entries(spark))
+
+
+@query()
+def document_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and first embeddings of each document."""
+    return object_map.overview(_sample_entries(spark))
+
+
+@query()
+def action_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every action's status from what the converters found."""
+    from mathquarry.__main__ import document_facts
+    from mathquarry.plans import execution
+
+    entries = _sample_entries(spark)
+    formulas = detect.detect_all(entries)
+    plan = routing.execution_plan(routing.route_plan(routing.source_counts(formulas)))
+    return execution.action_reports(plan, document_facts(entries, formulas))
