@@ -8,8 +8,7 @@ from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from mathquarry.operators import canonical, detect
 from mathquarry.plans import execution, routing
@@ -27,30 +26,23 @@ def main(argv: list[str] | None = None) -> None:
         command.add_argument("--allow-external-tools", action="store_true")
     asked = parser.parse_args(argv)
     spark = SparkSession.builder.getOrCreate()
-    entries = containers.entries_of(containers.read_containers(spark, asked.folder, asked.glob))
-    entries.write.mode("overwrite").parquet(f"{asked.out}/entries")
-    entries = spark.read.parquet(f"{asked.out}/entries")
-    formulas = detect.detect_all(entries)
-    formulas.write.mode("overwrite").parquet(f"{asked.out}/formulas")
-    formulas = spark.read.parquet(f"{asked.out}/formulas")
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{asked.out}/{name}")
+        return spark.read.parquet(f"{asked.out}/{name}")
+
+    entries = keep(containers.entries_of(containers.read_containers(spark, asked.folder, asked.glob)), "entries")
+    formulas = keep(detect.detect_all(entries, keep), "formulas")
     plan = routing.route_plan(routing.source_counts(formulas))
     tables.write_json(routing.manifest(formulas, containers.scan(entries)), f"{asked.out}/manifest")
     tables.write_json(routing.routing_report(plan), f"{asked.out}/routing")
     tables.write_json(detect.failures(entries), f"{asked.out}/failures")
     if asked.command == "run-plan":
-        reports = execution.action_reports(routing.execution_plan(plan), document_facts(entries, formulas), asked.allow_external_tools)
+        reports = execution.action_reports(routing.execution_plan(plan), canonical.document_facts(entries, formulas), asked.allow_external_tools)
         tables.write_json(reports, f"{asked.out}/actions")
         tables.write_json(execution.step_reports(reports), f"{asked.out}/steps")
         tables.write_json(execution.blockers(reports), f"{asked.out}/blockers")
 
 
-def document_facts(entries, formulas):
-    """What the converters found: whether a document opened, gave fragments, and passed its gate."""
-    made = canonical.omml_canonical(entries).unionByName(canonical.odf_canonical(entries)).unionByName(canonical.equation3_canonical(entries, formulas))
-    summary = canonical.canonical_summary(made, routing.source_counts(formulas))
-    opened = entries.groupBy("doc_id").agg(F.bool_or(F.col("entry").isNotNull()).alias("opened"))
-    return summary.join(opened, "doc_id", "left").select("doc_id", "source_family", "opened", (F.col("accepted") + F.col("unsupported") > 0).alias("extracted"), F.col("gate_status").startswith("passed").alias("converted"))
-
-
 if __name__ == "__main__":
     main()

@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 from mathquarry import samples
 from mathquarry.functions import mtef, omml, repair
-from mathquarry.operators import canonical, detect, object_map, rewrite, risk
+from mathquarry.operators import batches, canonical, detect, object_map, rewrite, risk
 from mathquarry.plans import dimensions as dim
-from mathquarry.plans import routing, status
+from mathquarry.plans import execution, routing, status
 from mathquarry.sources import containers
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -53,7 +53,7 @@ def _values(rows: list[tuple], *names: str) -> str:
 
 # Events stand in for formulas: each type is a family, the user is the document.
 _FAMILY_OF = {"view": "mathtype-ole", "click": "omml-native", "purchase": "equation-editor-3-ole", "signup": "axmath-ole", "error": "unknown-ole"}
-_FAMILY_SQL = f"(SELECT e.*, m.source_family FROM events e JOIN {_values(list(_FAMILY_OF.items()), 'event_type', 'source_family')} ON e.event_type = v.event_type)".replace("m.source_family", "v.source_family")
+_FAMILY_SQL = f"(SELECT e.*, v.source_family FROM events e JOIN {_values(list(_FAMILY_OF.items()), 'event_type', 'source_family')} ON e.event_type = v.event_type)"
 _ROUTES_SQL = f"(SELECT * FROM {_values(dim.ROUTES, 'source_family', 'route_kind', 'priority', 'next_action', 'confidence_policy', 'requires_manual_review')})"
 _CONTRACTS_SQL = f"(SELECT * FROM {_values(dim.CONTRACTS, 'source_family', 'source_line', 'contract_status', 'conversion_claim', 'binding')})"
 _ACTION_ROWS = [(f, dim.PROVIDERS[f], k, a, b) for f, found in dim.ACTIONS.items() for k, (a, b) in enumerate(found, 1)]
@@ -340,15 +340,35 @@ def one_line_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", F.left(F.trim(F.regexp_replace("text", r"[ \t\n\x0b\f\r]+", " ")), F.lit(120)).alias("preview"))
 
 
-@query(
-    r"""SELECT page_id, list_sort(list_distinct(regexp_extract_all(html, '<([a-z][a-z0-9]*)', 1)))::VARCHAR[] AS tags FROM pages""".replace("AS tags", "AS t").replace("SELECT page_id, ", "SELECT page_id, array_to_string(").replace("::VARCHAR[] AS t", ", ',') AS tags")
-)
+@query("SELECT page_id, array_to_string(list_sort(list_distinct(regexp_extract_all(html, '<([a-z][a-z0-9]*)', 1))), ',') AS tags FROM pages")
 def distinct_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Set and sort."""
     found = F.array_sort(F.array_distinct(F.regexp_extract_all("html", F.lit("<([a-z][a-z0-9]*)"), 1)))
     return _table(spark, sf_dir, "pages").select("page_id", F.array_join(found, ",").alias("tags"))
 
 
+@query(
+    """SELECT doc_id, name, position FROM (SELECT doc_id, 'oleObject' || doc_id || '.bin' AS name, doc_id AS position, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS n FROM documents)
+    WHERE n BETWEEN 10 AND 5000 AND doc_id NOT IN (SELECT doc_id FROM labels) ORDER BY position LIMIT 50"""
+)
+def payload_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payloads in natural order of their names, a range of them, without those done, the first 50 (the feature)."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "lang", F.concat(F.lit("oleObject"), F.col("doc_id").cast("string"), F.lit(".bin")).alias("name"))
+    done = _table(spark, sf_dir, "labels").select(F.concat(F.lit("oleObject"), F.col("doc_id").cast("string"), F.lit(".bin")).alias("name"))
+    return batches.to_convert(docs, done, by="lang", start=10, end=5000, limit=50).select("doc_id", "name", "position")
+
+
+@query(
+    """SELECT source, count(*) AS total, count(quality) AS converted, count(*) FILTER (quality = 1) AS ok, count(*) FILTER (quality = 0) AS failed, count(*) FILTER (quality = 1 AND toxic = 0) AS accepted
+    FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source"""
+)
+def pipeline_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A conversion run's counts."""
+    said = F.when(F.col("quality") == 1, "ok").when(F.col("quality") == 0, "error")
+    rows = _table(spark, sf_dir, "documents").join(_table(spark, sf_dir, "labels"), "doc_id", "left").select("source", said.alias("status"), F.when(F.col("toxic") == 0, "True").otherwise("False").alias("omml_exists"))
+    return batches.run_counts(rows, "source")
+
+
 # ---- literal fixtures --------------------------------------------------------------------------
 
 
@@ -384,13 +404,17 @@ def normalize_mathml(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sample_entries(spark: SparkSession) -> DataFrame:
     files = spark.createDataFrame([(name, bytearray(data)) for name, data in samples.containers().items()], "doc_id string, content binary")
-    return containers.entries_of(containers.described(files))
+    return containers.entries_of(containers.described(files)).cache()
+
+
+def _sample_formulas(entries: DataFrame) -> DataFrame:
+    return detect.detect_all(entries, lambda df, name: df.cache()).cache()
 
 
 @query()
 def detected_formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The formula table of literal containers, all families."""
-    return detect.detect_all(_sample_entries(spark))
+    return _sample_formulas(_sample_entries(spark))
 
 
 @query()
@@ -404,16 +428,16 @@ def container_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def canonical_formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical MathML of OMML, ODF and Equation 3.0 formulas with its signals."""
     entries = _sample_entries(spark)
-    made = [canonical.omml_canonical(entries), canonical.odf_canonical(entries), canonical.equation3_canonical(entries, detect.detect_all(entries))]
-    return made[0].unionByName(made[1]).unionByName(made[2])
+    return canonical.all_canonical(entries, _sample_formulas(entries))
 
 
 @query()
 def canonical_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical rows held against the formula table's counts."""
     entries = _sample_entries(spark)
-    counts = routing.source_counts(detect.detect_all(entries)).where(F.col("source_family").isin("omml-native", "odf-native", "equation-editor-3-ole"))
-    return canonical.canonical_summary(canonical_formulas(spark, sf_dir), counts)
+    formulas = _sample_formulas(entries)
+    counts = routing.source_counts(formulas).where(F.col("source_family").isin("omml-native", "odf-native", "equation-editor-3-ole"))
+    return canonical.canonical_summary(canonical.all_canonical(entries, formulas), counts)
 
 
 @query()
@@ -438,10 +462,15 @@ def document_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def action_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every action's status from what the converters found."""
-    from mathquarry.__main__ import document_facts
-    from mathquarry.plans import execution
-
     entries = _sample_entries(spark)
-    formulas = detect.detect_all(entries)
+    formulas = _sample_formulas(entries)
     plan = routing.execution_plan(routing.route_plan(routing.source_counts(formulas)))
-    return execution.action_reports(plan, document_facts(entries, formulas))
+    return execution.action_reports(plan, canonical.document_facts(entries, formulas))
+
+
+@query()
+def validation_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document and family, parity, gate, signals and the contract that they serve."""
+    entries = _sample_entries(spark)
+    formulas = _sample_formulas(entries)
+    return canonical.evidence(canonical.all_canonical(entries, formulas).cache(), routing.source_counts(formulas))

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from xml.etree import ElementTree
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mathquarry.functions import display_mode, mathml, mtef, odf, omml, payload, repair, word
 from mathquarry.operators.detect import parsed
+from mathquarry.plans.routing import default_contract, source_counts
 from mathquarry.plans.status import canonical_gate, parity
 from mathquarry.sources.cfb import Compound, is_compound
 from mathquarry.sources.containers import is_story
@@ -136,9 +137,22 @@ def canonical_summary(rows: DataFrame, expected: DataFrame) -> DataFrame:
     return filled.withColumn("formula_count_parity", status).withColumn("gate_status", canonical_gate(F.col("accepted"), F.col("formula_count_parity"), F.col("source_family")))
 
 
-def corpus_counts(counts: Column) -> Column:
-    """Explode a decoder's map of counters, for a sum over the corpus."""
-    return F.explode(counts)
+def all_canonical(entries: DataFrame, formulas: DataFrame) -> DataFrame:
+    """The families that are converted here."""
+    return omml_canonical(entries).unionByName(odf_canonical(entries)).unionByName(equation3_canonical(entries, formulas))
+
+
+def evidence(rows: DataFrame, expected: DataFrame) -> DataFrame:
+    """The summary with the signals of what was accepted, and the contract of the family."""
+    return default_contract(canonical_summary(rows, expected).join(property_summary(rows, "doc_id", "source_family"), ["doc_id", "source_family"], "left"))
+
+
+def document_facts(entries: DataFrame, formulas: DataFrame) -> DataFrame:
+    """What the converters found, per document and family: whether it opened, gave fragments, and passed its gate."""
+    summary = canonical_summary(all_canonical(entries, formulas), source_counts(formulas))
+    opened = entries.groupBy("doc_id").agg(F.bool_or(F.col("entry").isNotNull()).alias("opened"))
+    facts = summary.join(opened, "doc_id", "left")
+    return facts.select("doc_id", "source_family", "opened", (F.col("accepted") + F.col("unsupported") > 0).alias("extracted"), F.col("gate_status").startswith("passed").alias("converted"))
 
 
 def with_display_mode(df: DataFrame, xml: str, default: str = "block") -> DataFrame:

@@ -397,9 +397,13 @@ def libreoffice_transformed(entries: DataFrame) -> DataFrame:
     )
 
 
-def detect_all(entries: DataFrame) -> DataFrame:
-    """The formula table: the rows of all families. Parts that can't be parsed give no rows (see :func:`failures`)."""
-    rels, probes = relationships(entries), payloads(entries)
+def detect_all(entries: DataFrame, keep: Callable[[DataFrame, str], DataFrame] = lambda df, name: df) -> DataFrame:
+    """The formula table: the rows of all families. Parts that can't be parsed give no rows (see :func:`failures`).
+
+    Relationships and payload probes serve three families; ``keep(df, name)`` may write or cache them
+    (and the caller its entries) so that they are made once.
+    """
+    rels, probes = keep(relationships(entries), "relationships"), keep(payloads(entries), "payloads")
     found = [omml_native(entries), odf_native(entries), libreoffice_transformed(entries)]
     found += [f(entries, rels, probes) for f in (mathtype_ole, axmath_ole, equation_editor_3_ole)]
     return reduce(lambda a, b: a.unionByName(b), found)

@@ -28,6 +28,17 @@ ROUTES = [
     ("unknown-ole", "manual-classification", 80, "manual-classification-required", "low", True),
 ]
 
+_CANONICAL_FILES = ["canonical-mathml/*.xml", "canonicalization-summary.json", "validation-evidence.json"]
+_BLOCKER_FILE = ["blocker-record.json"]
+#: what a family's conversion leaves behind
+ARTIFACTS = {
+    "mathtype-ole": ["converted/*.mml", "converted/*.mathml", *_CANONICAL_FILES],
+    "omml-native": _CANONICAL_FILES,
+    "equation-editor-3-ole": _CANONICAL_FILES,
+    "axmath-ole": _BLOCKER_FILE,
+    "odf-native": _CANONICAL_FILES,
+    "libreoffice-transformed": _BLOCKER_FILE,
+}
 CONTRACT_COLUMNS = "source_family string, source_line string, contract_status string, conversion_claim boolean, binding string"
 CONTRACTS = [
     ("mathtype-ole", "mathtype", "external-tool-gated", False, "equation-native-mtef-to-normalized-mathml"),
@@ -57,6 +68,11 @@ def routes(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(ROUTES, ROUTE_COLUMNS)
 
 
+def artifacts(spark: SparkSession) -> DataFrame:
+    """(source_family, expected_artifacts); families that are not here leave a blocker record."""
+    return spark.createDataFrame(list(ARTIFACTS.items()), "source_family string, expected_artifacts array<string>")
+
+
 def contracts(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(CONTRACTS, CONTRACT_COLUMNS)
 
