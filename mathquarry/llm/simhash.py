@@ -351,6 +351,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     nodes = written(marked.groupBy(*names).agg(F.min("doc_id").alias("low")).withColumn("node", node), "nodes")
     roots = written(connected_components(near_links(nodes.drop("low"), scheme)), "roots")
     named = nodes.join(roots, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
-    lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
+    # written, so that the join with a large component can be split
+    lowest = written(named.groupBy("root").agg(F.min("low").alias("component_id")), "lowest")
     by_node = written(named.join(lowest, "root").select("node", "component_id"), "classes")
     return marked.withColumn("node", node).join(by_node, "node").select("doc_id", *names, "component_id")
