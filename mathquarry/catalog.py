@@ -403,7 +403,7 @@ def normalize_mathml(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sample_entries(spark: SparkSession) -> DataFrame:
-    files = spark.createDataFrame([(name, bytearray(data)) for name, data in samples.containers().items()], "doc_id string, content binary")
+    files = spark.createDataFrame([(name, bytearray(data)) for name, data in samples.containers().items()], "doc_id string, content binary").coalesce(1)
     return containers.entries_of(containers.described(files)).cache()
 
 
