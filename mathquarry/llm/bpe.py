@@ -29,7 +29,7 @@ from mathquarry.llm.common import sliced, texts_of
 from mathquarry.llm.pieces import TEXT_BYTES, Remembering, pieces_of
 
 #: Arcs and words that a worker's tables hold before they start anew.
-TABLED = 120_000
+ARCS, WORDS = 300_000, 10_000
 SUFFIX = "</w>"
 _WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -57,14 +57,14 @@ class Automaton:
         # arc labels by spelling: those inside a word, and those that end one
         self.inner: dict[str, int] = {}
         self.final: dict[str, int] = {}
-        self.reach: dict[str, int] = {}
+        self.reach: dict[str, int] = {}  # longest label with the same first four letters; three where there is none
         for token, i in vocab.items():
             body, ends = self._spelled(token)
             if self.made[i] < 0 and len(body) > 1:
                 continue  # no merge makes it
             (self.final if ends else self.inner)[body] = i
             if not ends or not suffix:
-                self.reach[body[:2]] = max(len(body), self.reach.get(body[:2], 0))
+                self.reach[body[:4]] = max(len(body), self.reach.get(body[:4], 0))
         if not suffix:
             self.final = self.inner
         self.table: dict[int, bool] = {}
@@ -84,7 +84,7 @@ class Automaton:
         key = s << 20 | t
         found = self.table.get(key)
         if found is None:
-            if len(self.table) >= TABLED:
+            if len(self.table) >= ARCS:
                 self.table.clear()
             found = self.table[key] = self._resolve(s, t)
         return found
@@ -124,7 +124,7 @@ class Automaton:
                 if t is not None and (state < 0 or arc(state, t)):
                     path.append((j, n, t))
                     break
-                k = min(n - 1, j + reach(word[j : j + 2], 1))
+                k = min(n - 1, j + reach(word[j : j + 4], 3))
             while k > j:
                 t = inner(word[j:k])
                 if t is not None and k not in dead:
@@ -145,7 +145,7 @@ class Automaton:
                 k -= 1
         found = tuple([t for _, _, t in path])
         if n <= 64:
-            if len(self.words) >= TABLED:
+            if len(self.words) >= WORDS:
                 self.words.clear()
             self.words[word] = found
         return found

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from mathquarry.llm.common import lengths
 
 #: Distinct pieces that a worker remembers at least, and half of what it remembers at most.
-REMEMBERED = 70_000
+REMEMBERED = 90_000
 _MARK = r"([A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{24F}])([.,])(?:[ \t\n\v\f\r]|$)"
 
 
