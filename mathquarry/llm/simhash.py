@@ -7,7 +7,7 @@ carry-save adders, and words whose lanes have all exceeded the radius are abando
 components by star contraction.
 
 Two schemes of blocks are here. EXACT: 64 bits in five blocks; fingerprints that differ in at most
-three bits agree in two whole blocks, so no link is missed. WIDE: fingerprints of 256 bits whose
+three bits agree in two whole blocks, so no link is missed. WIDE: fingerprints of 512 bits whose
 distance estimates the similarity of shingle sets; pairs agree in two of nine seven-bit blocks of
 the first or the second word, which misses few pairs of similarity 0.8 and more.
 """
@@ -34,7 +34,7 @@ HOT_BROADCAST = 50_000
 #: Buckets of up to this many rows are compared side by side, larger ones each on its own.
 SMALL = 32
 #: Rows that are gathered before their buckets are compared.
-GATHERED = 200_000
+GATHERED = 120_000
 
 
 @dataclass(frozen=True)
@@ -53,7 +53,7 @@ class Scheme:
 
 
 EXACT = Scheme(1, 3, (13, 13, 13, 13, 12), 2, 1)
-WIDE = Scheme(4, 48, (7,) * 9, 2, 2)
+WIDE = Scheme(8, 88, (7,) * 9, 2, 2)
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
