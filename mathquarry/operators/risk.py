@@ -32,7 +32,7 @@ def _any(tests) -> Column:
 
 
 def _trimmed(text: Column) -> Column:
-    return F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", "")
+    return F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\f\r"))
 
 
 def classified(rows: DataFrame) -> DataFrame:
@@ -41,8 +41,10 @@ def classified(rows: DataFrame) -> DataFrame:
     Reasons are sorted and distinct. A formula that ends in an operator before a blank to fill in is a
     spot check whatever else is wrong with it.
     """
-    preview = _trimmed(F.col("latex_preview"))
-    bare = F.replace(preview, F.lit(" "), F.lit(""))
+    # columns of their own, so that no test works them out anew
+    rows = rows.withColumns({"risk_preview": _trimmed(F.col("latex_preview")), "risk_after": _trimmed(F.col("text_after"))})
+    rows = rows.withColumn("risk_bare", F.replace("risk_preview", F.lit(" "), F.lit("")))
+    preview, bare = F.col("risk_preview"), F.col("risk_bare")
     differs = lambda c, v: ~F.col(c).eqNullSafe(F.lit(v))
     tests: list[tuple[Column, str]] = [(differs("status", "ok"), "status_not_ok"), (differs("omml_exists", "True"), "missing_omml"), (differs("tex_exists", "True"), "missing_latex"), (preview == "", "empty_latex_preview")]
     tests += [(preview.rlike(pattern), reason) for pattern, reason in MANUAL]
@@ -54,7 +56,7 @@ def classified(rows: DataFrame) -> DataFrame:
         (preview.contains("_") | preview.contains("^"), "has_scripts"),
         (preview.contains("|") | preview.contains("//"), "has_set_or_geometry_relation"),
     ]
-    before_blank = preview.rlike(TAIL) & _trimmed(F.col("text_after")).rlike(r"^_{3,}[.]*$")
+    before_blank = F.col("risk_after").rlike(r"^_{3,}[.]*$") & preview.rlike(TAIL)
     one = lambda r: F.array(F.lit(r))
     found = rows.withColumns({"manual": flagged(tests), "spot": flagged(checks)})
     is_manual, is_spot = F.size("manual") > 0, F.size("spot") > 0
@@ -64,7 +66,7 @@ def classified(rows: DataFrame) -> DataFrame:
             "category": F.when(is_manual & ~before_blank, "manual_review").when(is_manual | is_spot | grouped, "spot_check").otherwise("auto_replace"),
             "reasons": F.when(is_manual, F.when(before_blank, one("formula_followed_by_blank")).otherwise(F.col("manual"))).when(is_spot, F.col("spot")).when(grouped, one("grouped_output_needs_review")).otherwise(F.array().cast("array<string>")),
         }
-    ).drop("manual", "spot")
+    ).drop("manual", "spot", "risk_preview", "risk_bare", "risk_after")
 
 
 def stem(path: Column) -> Column:
@@ -88,7 +90,8 @@ def records(summary: DataFrame, objects: DataFrame) -> DataFrame:
 
 def reason_ranking(classified_rows: DataFrame) -> DataFrame:
     """How often each reason sends a formula to manual review, most frequent first."""
-    reasons = classified_rows.where("category = 'manual_review'").select(F.explode("reasons").alias("reason"))
+    # no filter, which would be pushed below the classes and work them out once more
+    reasons = classified_rows.select(F.explode(F.when(F.col("category") == "manual_review", F.col("reasons"))).alias("reason"))
     return reasons.groupBy("reason").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "reason")
 
 
