@@ -1,7 +1,7 @@
 """Repeated passages: Rabin-Karp hashes of every window of words, counted over the whole corpus.
 
-Windows are hashed in numpy and dealt by hash into buckets, packed as binary blocks: eight bytes a
-window, and the documents as runs. Within a slice only the earliest of equal windows is sent, so a
+Windows are hashed in numpy and dealt by hash into buckets, packed as binary blocks: seven bytes a
+window, and documents and starts pressed. Within a slice only the earliest of equal windows is sent, so a
 passage that a third of all documents share is pre-aggregated before the shuffle. A bucket tells
 which of its windows also start earlier; these starts go back, packed by group of documents, merge
 into maximal intervals, and the words in them are removed.
@@ -45,30 +45,36 @@ def windows(values: list[bytes], window: int = WINDOW) -> tuple[np.ndarray, np.n
 
 
 def _packed(docs: np.ndarray, starts: np.ndarray, hashes: np.ndarray | None = None) -> bytes:
-    """Windows in order of (doc, start): hashes if any, runs of documents as differences, starts as differences."""
+    """Windows in order of (doc, start): runs of documents and starts as differences, pressed; then hashes, if any.
+
+    Seven bytes of a hash are kept: the eighth is mostly told by the bucket that the block goes to.
+    """
     new = np.flatnonzero(np.append(True, docs[1:] != docs[:-1]))
     ids = docs[new]
     runs = np.diff(np.append(new, len(docs))).astype(np.int32)
     steps = np.diff(starts, prepend=0)
     steps[new] = starts[new]
     narrow = np.uint16 if steps.max(initial=0) < 65536 else np.uint32
-    head = np.array([len(docs), len(ids), np.dtype(narrow).itemsize], dtype=np.int64)
-    return b"".join([head.tobytes(), np.diff(ids, prepend=0).tobytes(), runs.tobytes(), steps.astype(narrow).tobytes(), b"" if hashes is None else hashes.tobytes()])
+    places = zstandard.ZstdCompressor(level=1).compress(np.diff(ids, prepend=0).tobytes() + runs.tobytes() + steps.astype(narrow).tobytes())
+    head = np.array([len(docs), len(ids), np.dtype(narrow).itemsize, len(places)], dtype=np.int64)
+    kept = b"" if hashes is None else hashes.view(np.uint8).reshape(-1, 8)[:, :7].tobytes()
+    return b"".join([head.tobytes(), places, kept])
 
 
 def _unpacked(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(docs, starts, hashes) of a packed block; hashes are empty if it has none."""
-    n, m, width = np.frombuffer(block, np.int64, 3).tolist()
-    at = 24
-    ids = np.cumsum(np.frombuffer(block, np.int64, m, at))
-    at += 8 * m
-    runs = np.frombuffer(block, np.int32, m, at)
-    at += 4 * m
-    steps = np.frombuffer(block, np.uint16 if width == 2 else np.uint32, n, at).astype(np.int64)
+    n, m, width, size = np.frombuffer(block, np.int64, 4).tolist()
+    places = zstandard.ZstdDecompressor().decompress(block[32 : 32 + size])
+    ids = np.cumsum(np.frombuffer(places, np.int64, m))
+    runs = np.frombuffer(places, np.int32, m, 8 * m)
+    steps = np.frombuffer(places, np.uint16 if width == 2 else np.uint32, n, 12 * m).astype(np.int64)
     total = np.cumsum(steps)
     begin = np.cumsum(runs) - runs
     starts = total - np.repeat(total[begin] - steps[begin], runs)
-    return np.repeat(ids, runs), starts, np.frombuffer(block[at + width * n :], np.uint64)
+    kept = np.frombuffer(block, np.uint8, offset=32 + size)
+    hashes = np.zeros((len(kept) // 7, 8), dtype=np.uint8)
+    hashes[:, :7] = kept.reshape(-1, 7)
+    return np.repeat(ids, runs), starts, hashes.view(np.uint64).ravel()
 
 
 def _later(docs: np.ndarray, starts: np.ndarray, hashes: np.ndarray) -> np.ndarray:
