@@ -121,7 +121,7 @@ def rows_of(docs: DataFrame, keep: DataFrame, id_col: str = "doc_id", text_col:
     one = lambda i, digest: F.concat_ws(":", F.coalesce(i.cast("long").cast("string"), F.lit("null")), digest)
     keyed = docs.withColumn(key, one(F.col(id_col), F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256)))
     right = keep.select(one(F.col("doc_id"), F.col("text_sha256")).alias(key))
-    return keyed.join(right, key, "left_semi").dropDuplicates([key]).select(*docs.columns)
+    return keyed.join(right, key, "left_semi").dropDuplicates([key]).drop(key)
 
 
 def rows_with_id(docs: DataFrame, keep: DataFrame, id_col: str = "doc_id") -> DataFrame:

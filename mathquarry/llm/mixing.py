@@ -61,7 +61,7 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     repeated rows are taken alike. A source without words takes nothing. No document is taken more
     than ``most`` times. An empty table stays empty; other columns keep their names, whatever they are.
     """
-    sized = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col).cast("string")).alias("size"))
+    sized = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col).cast("string")).alias("size"))
     targets = written(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most), "targets")
     side = targets.withColumnRenamed("source", "of")
     side = F.broadcast(side) if targets.count() <= SOURCE_BROADCAST else side

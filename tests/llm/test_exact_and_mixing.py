@@ -90,3 +90,10 @@ def test_excess_is_shared_again(spark):
             del open_[s]
     target |= share
     assert all(np.isclose(got[s], target[s]) for s in weight) and np.isclose(sum(got.values()), 3020)
+
+
+def test_names_with_dots(spark):
+    docs = spark.createDataFrame([(1, "a b", "s", 1), (2, "a b", "s", 2)], "doc_id long, text string, source string, `x.y` int")
+    kept = exact_dedup.rows_of(docs, exact_dedup.exact_groups(docs).where("kept"))
+    assert kept.columns == docs.columns and [tuple(r) for r in kept.collect()] == [(2, "a b", "s", 2)]
+    assert mixing.mixed(docs).columns == docs.columns
