@@ -35,6 +35,8 @@ HOT_BROADCAST = 50_000
 SMALL = 32
 #: Rows that are gathered before their buckets are compared.
 GATHERED = 120_000
+#: Shingles of a candidate group that one task confirms; larger groups are dealt out as pairs of blocks.
+CONFIRMED = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -44,6 +46,7 @@ class Scheme:
     widths: tuple[int, ...]  # blocks of a word
     agree: int  # blocks that candidates share
     keyed: int  # words that candidates are looked for in
+    similar: tuple[int, int] | None = None  # Jaccard similarity of shingle sets that links need, as a fraction
 
     def masks(self) -> list[tuple[int, int]]:
         """(word, mask of the blocks that agree) of each table."""
@@ -53,7 +56,7 @@ class Scheme:
 
 
 EXACT = Scheme(1, 3, (13, 13, 13, 13, 12), 2, 1)
-WIDE = Scheme(8, 88, (7,) * 9, 2, 2)
+WIDE = Scheme(8, 88, (7,) * 9, 2, 2, (4, 5))
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
@@ -67,11 +70,15 @@ def fingerprints(values: list[bytes], shingle: int = 5, words: int = 1) -> np.nd
 
     The first word is from XXH64 (seed 42) of the shingles, further ones from that hash mixed anew.
     """
-    out = np.zeros((len(values), words), dtype=np.uint64)
+    return _fingerprints(*shingle_hashes(values, shingle), words)
+
+
+def shingle_hashes(values: list[bytes], shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """XXH64 (seed 42) of every shingle, text by text in their order, and how many each text has."""
     data, starts = joined(values)
     first, end = word_bounds(data)
     if not len(first):
-        return out
+        return np.zeros(0, dtype="<u8"), np.zeros(len(values), dtype=np.int64)
     size = end - first
     space = SPACE[data]
     kept = ~space
@@ -91,6 +98,25 @@ def fingerprints(values: list[bytes], shingle: int = 5, words: int = 1) -> np.nd
     stop = np.minimum(word + shingle, last[group]) - 1
     digest = xxhash.xxh64_intdigest
     hashes = np.fromiter((digest(text[a:b], 42) for a, b in zip(at[word].tolist(), to[stop].tolist(), strict=True)), dtype="<u8", count=total)
+    return hashes, count
+
+
+def shingle_sets(values: list[bytes], shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """As :func:`shingle_hashes`, each hash once a text, in rising order."""
+    hashes, count = shingle_hashes(values, shingle)
+    owner = np.repeat(np.arange(len(values)), count)
+    hashes = hashes[np.lexsort((hashes, owner))]
+    new = np.ones(len(hashes), dtype=bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
+    return hashes[new], np.bincount(owner[new], minlength=len(values))
+
+
+def _fingerprints(hashes: np.ndarray, count: np.ndarray, words: int) -> np.ndarray:
+    out = np.zeros((len(count), words), dtype=np.uint64)
+    live = np.flatnonzero(count)
+    if not len(live):
+        return out
+    offset = np.cumsum(count) - count
     # sums of at most 255 rows fit a byte lane; then lanes are widened and added per document
     pieces = (count[live] + 254) // 255
     owner = np.repeat(live, pieces)
@@ -110,15 +136,37 @@ def fingerprints(values: list[bytes], shingle: int = 5, words: int = 1) -> np.nd
     return out
 
 
-def fingerprint_table(docs: DataFrame, id_col: str, text_col: str, shingle: int, words: int) -> DataFrame:
+def fingerprint_table(docs: DataFrame, id_col: str, text_col: str, shingle: int, words: int, distinct: bool = False) -> DataFrame:
+    """(doc_id, fp0, fp1, ...); of ``distinct`` shingles also (node), which stands for the set of them."""
     names = [f"fp{k}" for k in range(words)]
+    schema = "doc_id long, " + ", ".join(f"{x} long" for x in names)
+
+    def run_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, "text"):
+            hashes, count = shingle_sets(as_bytes(batch.column("text")), shingle)
+            found = _fingerprints(hashes, count, words).view(np.int64)
+            nodes = pa.array([_node(x) for x in _split(hashes, count)], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(found[:, k]) for k in range(words)), nodes], ["doc_id", *names, "node"])
+
+    if distinct:
+        return texts_of(docs, id_col, text_col).mapInArrow(run_sets, schema + ", node long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):
             found = fingerprints(as_bytes(batch.column("text")), shingle, words).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(found[:, k]) for k in range(words))], ["doc_id", *names])
 
-    return texts_of(docs, id_col, text_col).mapInArrow(run, "doc_id long, " + ", ".join(f"{x} long" for x in names))
+    return texts_of(docs, id_col, text_col).mapInArrow(run, schema)
+
+
+def _split(hashes: np.ndarray, count: np.ndarray) -> list[bytes]:
+    """The hashes of each text as bytes."""
+    data, ends = hashes.tobytes(), (np.cumsum(count) * 8).tolist()
+    return [data[a:b] for a, b in zip([0, *ends], ends)]
+
+
+def _node(one: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(one) - 2**63
 
 
 def _signed(x: int) -> int:
@@ -335,6 +383,97 @@ def near_links(nodes: DataFrame, scheme: Scheme) -> DataFrame:
     return dealt.repartition(n, "t", "k", "i", "j").sortWithinPartitions("t", "k", "i", "j").mapInArrow(_bucket_links(scheme), "a long, b long")
 
 
+def similar_clusters(sets: list[np.ndarray], similar: tuple[int, int]) -> np.ndarray:
+    """For each set (distinct values, none empty) the lowest row that a chain of similar sets leads to.
+
+    Breadth first: one row at a time is held against the rows that no cluster has yet.
+    """
+    over, under = similar
+    size = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
+    values, place = np.unique(np.concatenate(sets), return_inverse=True)
+    owned = np.split(place, np.cumsum(size)[:-1])
+    has = np.zeros(len(values), dtype=bool)
+    root = np.arange(len(sets))
+    free, place, begin = root[1:].copy(), place[size[0] :], np.cumsum(size[1:]) - size[1:]
+    seed, waiting = 0, [0]
+    while len(free):
+        at = waiting.pop()
+        has[owned[at]] = True
+        shared = np.add.reduceat(has[place], begin, dtype=np.int64)
+        has[owned[at]] = False
+        near = under * shared >= over * (size[at] + size[free] - shared)
+        root[free[near]] = seed
+        waiting += free[near].tolist()
+        rest = ~near
+        if not waiting:
+            seed = int(free[0])
+            waiting, rest[0] = [seed], False
+        if not rest.all():
+            place = place[np.repeat(rest, size[free])]
+            free = free[rest]
+            begin = np.cumsum(size[free]) - size[free]
+    return root
+
+
+def similar_links(texts: DataFrame, marked: DataFrame, groups: DataFrame, shingle: int, similar: tuple[int, int]) -> DataFrame:
+    """Links (a, b) that connect all nodes of one candidate group whose shingle sets are ``similar``.
+
+    ``groups``: (node, root) of all that has candidates. Only their texts are read again, and sets are
+    compared within a group, so what is linked is decided by the sets alone.
+    """
+    spark = texts.sparkSession
+    wanted = marked.join(groups.select("node"), "node", "left_semi").select(F.col("doc_id").alias("wanted")).distinct()
+
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, "text"):
+            hashes, count = shingle_sets(as_bytes(batch.column("text")), shingle)
+            some = [(_node(x), len(x) // 8, x) for x in _split(hashes, count) if x]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in some], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["node", "n", "shingles"])
+
+    sets = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi").mapInArrow(sets_of, "node long, n long, shingles binary")
+    rooted = written(sets.dropDuplicates(["node"]).join(groups, "node"), "sets")
+    hot = written(rooted.groupBy("root").agg(F.sum("n").alias("n")).where(F.col("n") > CONFIRMED).select("root", F.ceil(F.col("n") * 2 / CONFIRMED).cast("int").alias("m")), "hot")
+    many, zero = hot.count(), F.lit(0)
+    dealt = rooted.select("root", zero.alias("i"), zero.alias("j"), "node", "shingles")
+    if many:
+        j = F.col("j")
+        dealt = (
+            rooted.join(F.broadcast(hot) if many <= HOT_BROADCAST else hot, "root", "left")
+            .withColumn("own", F.coalesce(F.pmod(F.xxhash64("node"), F.col("m")).cast("int"), zero))
+            .withColumn("j", F.explode(F.sequence(zero, F.coalesce(F.col("m"), F.lit(1)) - 1)))
+            .select("root", F.least("own", j).alias("i"), F.greatest("own", j).alias("j"), "node", "shingles")
+        )
+
+    def links(rows: list[tuple]) -> pa.RecordBatch:
+        a, b, at = [], [], 0
+        while at < len(rows):
+            to = at + 1
+            while to < len(rows) and rows[to][0] == rows[at][0]:
+                to += 1
+            if to - at > 1:
+                for k, up in enumerate(similar_clusters([np.frombuffer(x[2], dtype="<u8") for x in rows[at:to]], similar).tolist()):
+                    if up != k:
+                        a.append(rows[at + k][1])
+                        b.append(rows[at + up][1])
+            at = to
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        size = 0
+        for batch in batches:
+            for *key, node, shingles in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if size >= CONFIRMED * 8 and key != held[-1][0]:
+                    yield links(held)
+                    held, size = [], 0
+                held.append((key, node, shingles))
+                size += len(shingles)
+        yield links(held)
+
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(n, "root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(run, "a long, b long")
+
+
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, scheme: Scheme = WIDE) -> DataFrame:
     """Near-duplicate groups of the whole table: (doc_id long, fp0, fp1, ... long, component_id long).
 
@@ -345,13 +484,17 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     a component_id unless the group has no other id. An empty table gives no rows. Other columns,
     whatever their names, are not looked at.
     """
-    marked = written(fingerprint_table(docs, id_col, text_col, shingle, scheme.words), "fp")
+    marked = written(fingerprint_table(docs, id_col, text_col, shingle, scheme.words, scheme.similar is not None), "fp")
     names = [f"fp{k}" for k in range(scheme.words)]
-    node = F.col("fp0") if scheme.words == 1 else F.xxhash64(*names)
-    nodes = written(marked.groupBy(*names).agg(F.min("doc_id").alias("low")).withColumn("node", node), "nodes")
+    if not scheme.similar:
+        marked = marked.withColumn("node", F.col("fp0") if scheme.words == 1 else F.xxhash64(*names))
+    nodes = written(marked.groupBy("node", *names).agg(F.min("doc_id").alias("low")), "nodes")
     roots = written(connected_components(near_links(nodes.drop("low"), scheme)), "roots")
+    if scheme.similar:
+        alike = similar_links(texts_of(docs, id_col, text_col), marked, roots, shingle, scheme.similar)
+        roots = written(connected_components(alike), "roots")
     named = nodes.join(roots, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
     # written, so that the join with a large component can be split
     lowest = written(named.groupBy("root").agg(F.min("low").alias("component_id")), "lowest")
     by_node = written(named.join(lowest, "root").select("node", "component_id"), "classes")
-    return marked.withColumn("node", node).join(by_node, "node").select("doc_id", *names, "component_id")
+    return marked.join(by_node, "node").select("doc_id", *names, "component_id")

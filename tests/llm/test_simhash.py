@@ -105,3 +105,49 @@ def test_components_of_chains_and_hubs(spark):
     hub = [(1, k) for k in range(2, 60)]
     got = dict(connected_components(spark.createDataFrame([*chain, *hub, (7, 7), (900, -5), (None, 3)], "a long, b long")).collect())
     assert got == {**{k: 100 for k in range(100, 161)}, **{k: 1 for k in range(1, 60)}, 900: -5, -5: -5}
+
+
+def shingle_set(text, n=5):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text.lower())
+    return {" ".join(words[i : i + n]) for i in range(max(len(words) - n + 1, min(len(words), 1)))}
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a or b else 1.0
+
+
+def jaccard_components(texts):
+    sets = [shingle_set(t) for t in texts]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if jaccard(sets[i], sets[j]) >= 0.8 and label[i] != label[j]:
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    return label
+
+
+def test_texts_that_share_a_repeated_line_stay_apart(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    line = " ".join(f"c{i}" for i in range(9))
+    own = lambda k, n: " ".join(f"t{k}x{x}" for x in rng.integers(0, 10**6, n))
+    texts = [own(k, n) + f" {line}" * times for k, (n, times) in enumerate([(100, 20), (100, 10), (200, 40), (200, 20)] * 4)]
+    texts += [texts[0] + " end", texts[2] + " end", "", "one two", "one two"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for most in (simhash.CONFIRMED, 300):
+        monkeypatch.setattr(simhash, "CONFIRMED", most)
+        found = dict(simhash.simhash_groups(docs).select("doc_id", "component_id").collect())
+        assert [found[k] for k in range(len(texts))] == jaccard_components(texts)
+
+
+def test_similar_clusters_hold_against_brute_force():
+    rng = np.random.default_rng(5)
+    base = [rng.choice(10**6, 60, replace=False) for _ in range(6)]
+    sets = [np.unique(np.concatenate([base[k % 6][: 60 - cut], rng.integers(10**6, 10**7, k % 9)])).astype("<u8") for k, cut in enumerate(rng.integers(0, 9, 80))]
+    label = list(range(80))
+    for i in range(80):
+        for j in range(i):
+            if jaccard(set(sets[i].tolist()), set(sets[j].tolist())) >= 0.8:
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    assert simhash.similar_clusters(sets, (4, 5)).tolist() == label
