@@ -7,9 +7,11 @@ carry-save adders, and words whose lanes have all exceeded the radius are abando
 components by star contraction.
 
 Two schemes of blocks are here. EXACT: 64 bits in five blocks; fingerprints that differ in at most
-three bits agree in two whole blocks, so no link is missed. WIDE: fingerprints of 512 bits whose
-distance estimates the similarity of shingle sets; pairs agree in two of nine seven-bit blocks of
-the first or the second word, which misses few pairs of similarity 0.8 and more.
+three bits agree in two whole blocks, so no link is missed. WIDE: fingerprints of 256 bits, each shingle
+counted once, whose distance estimates the similarity of shingle sets. The radius is far beyond what
+a similarity of 0.8 gives (39 bits, standard deviation 6), and pairs agree in two of nine seven-bit blocks
+of any of the four words. Such pairs are only candidates: components of them are read again, and
+links are made where the Jaccard similarity of the sets of 64-bit shingle hashes is 0.8 or more.
 """
 
 from __future__ import annotations
@@ -56,7 +58,7 @@ class Scheme:
 
 
 EXACT = Scheme(1, 3, (13, 13, 13, 13, 12), 2, 1)
-WIDE = Scheme(8, 88, (7,) * 9, 2, 2, (4, 5))
+WIDE = Scheme(4, 64, (7,) * 9, 2, 4, (4, 5))
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
@@ -480,7 +482,8 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Texts are lower-cased (A-Z only) and cut into words ``[^\\x20\\x09-\\x0D]+``; ``shingle`` words
     form a shingle, a shorter text is one shingle, a text without words has fingerprint zero and is
     linked like any other. Null text is empty. component_id is the smallest id that is reachable over
-    links within the scheme's radius. Rows of the same id each get their row; a null id never becomes
+    links within the scheme's radius, or of the scheme's similarity if it has one (texts without words
+    are then alike to each other only). Rows of the same id each get their row; a null id never becomes
     a component_id unless the group has no other id. An empty table gives no rows. Other columns,
     whatever their names, are not looked at.
     """

@@ -151,3 +151,20 @@ def test_similar_clusters_hold_against_brute_force():
                 low, high = sorted((label[i], label[j]))
                 label = [low if x == high else x for x in label]
     assert simhash.similar_clusters(sets, (4, 5)).tolist() == label
+
+
+def test_links_are_those_of_brute_force_around_the_threshold(spark):
+    rng = np.random.default_rng(19)
+    texts = []
+    for g in range(150):
+        words = [f"g{g}w{x}" for x in rng.integers(0, 10**6, 200 if g % 2 else 40)]
+        shingles = len(words) - 4
+        texts.append(" ".join(words))
+        # both lose a part of the end and get another: similarities from about 0.66 to 0.84
+        swapped = round(shingles * (0.09 + 0.11 * (g % 30) / 30))
+        texts.append(" ".join([*words[: len(words) - swapped], *(f"g{g}new{x}" for x in range(swapped))]))
+    sets = [shingle_set(t) for t in texts]
+    near = [jaccard(sets[k], sets[k + 1]) for k in range(0, 300, 2)]
+    assert sum(0.8 <= x < 0.85 for x in near) >= 30 and sum(0.7 <= x < 0.8 for x in near) >= 50
+    found = dict(simhash.simhash_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select("doc_id", "component_id").collect())
+    assert [found[k] for k in range(300)] == jaccard_components(texts)
