@@ -140,19 +140,29 @@ def _is_boiler(node: Node) -> bool:
     return node.tag not in ("html", "body") and any(NAMES.search(named.get(k, "")) for k in ("class", "id"))
 
 
+def _says(node: Node) -> bool:
+    """Whether some text stands in it outside of boilerplate."""
+    todo: list[Node | str] = [*node.children]
+    while todo:
+        at = todo.pop()
+        if isinstance(at, str):
+            if html.unescape(at).strip():
+                return True
+        elif not _is_boiler(at):
+            todo += at.children
+    return False
+
+
 def _mains(root: Node) -> list[Node]:
-    """The outermost articles, else the main elements, that are not inside of boilerplate."""
-    for tag in MAIN:
-        found, todo = [], [root]
-        while todo:
-            at = todo.pop()
-            if at.tag == tag or tag == "main" and at.attrs and at.attributes().get("role", "").lower() == "main":
-                found.append(at)
-            elif not _is_boiler(at) or at.tag == "form":
-                todo += [c for c in reversed(at.children) if isinstance(c, Node)]
-        if found:
-            return found
-    return []
+    """The outermost main elements and articles with text that are not inside of boilerplate."""
+    found, todo = [], [root]
+    while todo:
+        at = todo.pop()
+        if (at.tag in MAIN or at.attrs and at.attributes().get("role", "").lower() == "main") and _says(at):
+            found.append(at)
+        elif not _is_boiler(at) or at.tag == "form":
+            todo += [c for c in reversed(at.children) if isinstance(c, Node)]
+    return found
 
 
 def subtrees(root: Node) -> set[int]:

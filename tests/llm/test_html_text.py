@@ -42,3 +42,10 @@ def test_templates_of_a_host(spark):
     finally:
         h.TEMPLATE_BROADCAST = was
     assert h.extract_pages(df.limit(0)).count() == 0
+
+
+def test_articles_do_not_hide_what_is_around_them():
+    assert text("<main><p>story</p><article>teaser card</article><p>more</p></main>") == "story\nteaser card\nmore"
+    assert text("<div><p>body</p></div><article> &nbsp;</article>") == "body"
+    assert text("<main></main><article>a</article>") == "a"
+    assert text("<main><p>m</p></main><article>a</article>") == "m\na"
