@@ -1,21 +1,27 @@
 """SimHash near-duplicate groups with bit-sliced comparison.
 
-Fingerprints are made per document in numpy. Candidates are fingerprints that agree in some whole
-blocks of bits, and share a bucket for each such choice of blocks. Within a bucket the fingerprints
-are stored as vertical bit planes, the distances of whole rows of 64-bit lanes are counted by
-carry-save adders, and words whose lanes have all exceeded the radius are abandoned. Links become
-components by star contraction.
-
-Two schemes of blocks are here. EXACT: 64 bits in five blocks; fingerprints that differ in at most
-three bits agree in two whole blocks, so no link is missed. WIDE: fingerprints of 256 bits, each shingle
-counted once, whose distance estimates the similarity of shingle sets. The radius is far beyond what
-a similarity of 0.8 gives (39 bits, standard deviation 6), and pairs agree in two of nine seven-bit blocks
-of any of the four words. Such pairs are only candidates: components of them are read again, and
-links are made where the Jaccard similarity of the sets of 64-bit shingle hashes is 0.8 or more.
+Fingerprints are made per document in numpy. Candidates agree in a chosen set of bits, and there are
+many such choices; each is a table whose rows are dealt into buckets, packed as binary blocks.
+Within a bucket the fingerprints are stored as vertical bit planes, the distances of whole rows of
+64-bit lanes are counted by carry-save adders, and words whose lanes have all exceeded the radius are
+abandoned. Links become components by star contraction.
+
+Two schemes are here. EXACT: 64 bits cut into b blocks, each choice of b - 3 of them a table;
+fingerprints that differ in at most three bits agree in one of the choices, so no link is missed.
+WIDE: fingerprints of 256 bits, each shingle counted once, whose distance estimates the similarity of
+shingle sets. Its tables look at random bits of these, as many tables as leave a pair at a similarity of
+0.8 without a common key once in 200 times, and one at 0.85 once in 1,500. Distances are taken over the
+first 128 bits: 0.8 is about 19 (standard deviation 4), and the radius is 34. Such pairs are only
+candidates: components of them are read again, and links are made where the Jaccard similarity of the
+sets of 64-bit shingle hashes is 0.8 or more.
+
+In both, keys widen with the number of fingerprints, so that a key keeps a few rows: of n fingerprints
+the WIDE scheme makes about n ** 1.3 rows of 20 bytes, instead of comparing n ** 2 pairs.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import combinations
@@ -26,39 +32,73 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mathquarry.llm.common import SPACE, as_bytes, joined, mixed_hash, sliced, texts_of, word_bounds, written
+from mathquarry.llm.common import SPACE, as_bytes, forget, joined, mixed_hash, sliced, texts_of, word_bounds, written
 from mathquarry.llm.components import connected_components
 
-#: Rows of a bucket that one task compares; larger buckets are dealt out as pairs of blocks.
-BLOCK = 4096
-#: Oversized buckets up to this many are joined by broadcast (24 bytes each), more by a shuffle.
-HOT_BROADCAST = 50_000
-#: Buckets of up to this many rows are compared side by side, larger ones each on its own.
-SMALL = 32
-#: Rows that are gathered before their buckets are compared.
-GATHERED = 120_000
+#: Rows of a bucket, and of one key that one task compares; keys of more rows are dealt out as pairs of blocks.
+BUCKET, BLOCK = 200_000, 32_768
+#: Keys that are dealt out so: the block grows where there would be more of them, so that this bounds what the driver holds.
+HOT = 200_000
+#: Fingerprints that a task deals at once.
+DEALT = 200_000
+#: Keys of up to this many rows are compared side by side, larger ones each on its own.
+SMALL = 128
 #: Shingles of a candidate group that one task confirms; larger groups are dealt out as pairs of blocks.
 CONFIRMED = 1 << 20
+#: Oversized candidate groups up to this many are joined by broadcast (16 bytes each), more by a shuffle.
+HOT_BROADCAST = 50_000
+
+
+#: Share of pairs at the very similarity that may have no key in common.
+MISSED = 0.005
 
 
 @dataclass(frozen=True)
 class Scheme:
     words: int  # 64-bit words of a fingerprint
+    sent: int  # of these, the first ones are compared
     radius: int
-    widths: tuple[int, ...]  # blocks of a word
-    agree: int  # blocks that candidates share
-    keyed: int  # words that candidates are looked for in
     similar: tuple[int, int] | None = None  # Jaccard similarity of shingle sets that links need, as a fraction
 
-    def masks(self) -> list[tuple[int, int]]:
-        """(word, mask of the blocks that agree) of each table."""
-        ends = np.cumsum(self.widths).tolist()
-        blocks = [((1 << w) - 1) << (e - w) for w, e in zip(self.widths, ends, strict=True)]
-        return [(word, sum(chosen)) for word in range(self.keyed) for chosen in combinations(blocks, self.agree)]
+    def masks(self, n: int) -> np.ndarray:
+        """For n fingerprints: the bits in which candidates of each table agree, (tables, words)."""
+        size = max(1, n).bit_length()
+        if not self.similar:  # of the blocks, at most `radius` differ: no pair within the radius is missed
+            blocks = self.radius + 2
+            while 64 * (blocks - self.radius) < (size - 2) * blocks:
+                blocks += 1
+            ends = [64 * k // blocks for k in range(blocks + 1)]
+            cut = [((1 << b - a) - 1) << a for a, b in zip(ends, ends[1:])]
+            return np.array([[sum(x)] for x in combinations(cut, blocks - self.radius)], dtype=np.uint64)
+        width, bits = max(12, size - 5), 64 * self.words
+        tables = n_tables(bits, width, self.similar)
+        rng = np.random.default_rng(20260103)
+        chosen = [x for _ in range(-(-tables // (bits // width))) for x in np.split(rng.permutation(bits)[: bits // width * width], bits // width)]
+        out = np.zeros((tables, bits), dtype=np.uint8)
+        for row, x in zip(out, chosen):
+            row[x] = 1
+        return np.packbits(out, axis=1, bitorder="little").view("<u8")
+
+
+def n_tables(bits: int, width: int, similar: tuple[int, int]) -> int:
+    """Tables of ``width`` random bits that leave a share of MISSED of pairs at that similarity without a common key.
+
+    The distance of a pair varies as a binomial; given it, the tables are as good as independent.
+    """
+    over, under = similar
+    differ = math.acos(2 * over / (over + under)) / math.pi
+    choose = lambda n, k: math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
+    far = range(bits - width)
+    chance = np.array([math.exp(choose(bits, d) + d * math.log(differ) + (bits - d) * math.log(1 - differ)) for d in far])
+    common = np.array([math.exp(choose(bits - d, width) - choose(bits, width)) for d in far])
+    tables = 1
+    while chance @ (1 - common) ** tables > MISSED:
+        tables += 1 + tables // 50
+    return tables
 
 
-EXACT = Scheme(1, 3, (13, 13, 13, 13, 12), 2, 1)
-WIDE = Scheme(4, 64, (7,) * 9, 2, 4, (4, 5))
+EXACT = Scheme(1, 1, 3)
+WIDE = Scheme(4, 2, 34, (4, 5))
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
@@ -138,27 +178,31 @@ def _fingerprints(hashes: np.ndarray, count: np.ndarray, words: int) -> np.ndarr
     return out
 
 
-def fingerprint_table(docs: DataFrame, id_col: str, text_col: str, shingle: int, words: int, distinct: bool = False) -> DataFrame:
-    """(doc_id, fp0, fp1, ...); of ``distinct`` shingles also (node), which stands for the set of them."""
+def fingerprint_table(docs: DataFrame, id_col: str, text_col: str, shingle: int, scheme: Scheme) -> DataFrame:
+    """(doc_id, fp0, fp1, ..., node): node stands for what is compared; where sets of shingles count, also (alike), which stands for the set."""
+    distinct, words = scheme.similar is not None, scheme.words
     names = [f"fp{k}" for k in range(words)]
-    schema = "doc_id long, " + ", ".join(f"{x} long" for x in names)
+    columns = ["doc_id", *names, "node", *(["alike"] if distinct else [])]
 
-    def run_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):
-            hashes, count = shingle_sets(as_bytes(batch.column("text")), shingle)
-            found = _fingerprints(hashes, count, words).view(np.int64)
-            nodes = pa.array([_node(x) for x in _split(hashes, count)], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(found[:, k]) for k in range(words)), nodes], ["doc_id", *names, "node"])
+            values = as_bytes(batch.column("text"))
+            hashes, count = shingle_sets(values, shingle) if distinct else shingle_hashes(values, shingle)
+            found = _fingerprints(hashes, count, words)
+            made = [*(found[:, k].view(np.int64) for k in range(words)), _nodes(found[:, : scheme.sent])]
+            if distinct:
+                made.append(np.array([_alike(x) for x in _split(hashes, count)], dtype=np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, made)], columns)
 
-    if distinct:
-        return texts_of(docs, id_col, text_col).mapInArrow(run_sets, schema + ", node long")
+    return texts_of(docs, id_col, text_col).mapInArrow(run, ", ".join(f"{x} long" for x in columns))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "text"):
-            found = fingerprints(as_bytes(batch.column("text")), shingle, words).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(found[:, k]) for k in range(words))], ["doc_id", *names])
 
-    return texts_of(docs, id_col, text_col).mapInArrow(run, schema)
+def _nodes(values: np.ndarray) -> np.ndarray:
+    """One 64-bit value for each row of words: the word itself, or a hash. A collision only joins candidates."""
+    out = values[:, 0].copy()
+    for k in range(1, values.shape[1]):
+        out = mixed_hash(out) + values[:, k]
+    return out.view(np.int64)
 
 
 def _split(hashes: np.ndarray, count: np.ndarray) -> list[bytes]:
@@ -167,14 +211,10 @@ def _split(hashes: np.ndarray, count: np.ndarray) -> list[bytes]:
     return [data[a:b] for a, b in zip([0, *ends], ends)]
 
 
-def _node(one: bytes) -> int:
+def _alike(one: bytes) -> int:
     return xxhash.xxh3_64_intdigest(one) - 2**63
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
-
-
 def planes_of(values: np.ndarray) -> np.ndarray:
     """Bit planes of rows of 64-bit words; lane i of a plane (bit i % 64 of word i // 64) is that bit of row i."""
     n, words = values.shape
@@ -315,74 +355,136 @@ class Forest:
                 self.up = further
 
 
-def _bucket_links(scheme: Scheme) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows (t, k, i, j, node, words) come sorted by bucket; links of each whole bucket leave as stars."""
-
-    def links(rows: np.ndarray) -> pa.RecordBatch:
-        new = np.any(rows[1:, :4] != rows[:-1, :4], axis=1)
-        ends = np.append(np.flatnonzero(new) + 1, len(rows))
-        sizes = np.diff(ends, prepend=0)
-        a, b = [], []
-        for k in np.flatnonzero(sizes > SMALL).tolist():
-            part = rows[ends[k] - sizes[k] : ends[k]]
-            root = clusters(part[:, 5:].view(np.uint64), scheme.radius)
-            linked = np.flatnonzero(root != np.arange(len(root)))
-            a.append(part[linked, 4])
-            b.append(part[root[linked], 4])
-        reach = np.repeat(ends, sizes) - 1 - np.arange(len(rows))
-        busy = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= SMALL), sizes))
-        rows, reach = rows[busy], reach[busy]
-        forest = Forest(len(rows))
-        for x, y in near_pairs(np.ascontiguousarray(rows[:, 5:]).view(np.uint64), reach, scheme.radius):
-            forest.join(x, y)
-        linked = np.flatnonzero(forest.up != np.arange(len(rows)))
-        a.append(rows[linked, 4])
-        b.append(rows[forest.up[linked], 4])
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+def _keys(values: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each row's masked words; what collides is only compared in vain."""
+    out = np.zeros(len(values), dtype=np.uint64)
+    for k in np.flatnonzero(mask):
+        out = mixed_hash(out + (values[:, k] & mask[k]) + np.uint64(0x9E3779B97F4A7C15 + int(k)))
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], axis=1))
-            if sum(map(len, held)) < GATHERED:
-                continue
-            rows = np.concatenate(held)
-            other = np.flatnonzero(np.any(rows[:, :4] != rows[-1, :4], axis=1))
-            whole = int(other[-1]) + 1 if len(other) else 0
-            if whole:
-                yield links(rows[:whole])
-            held = [rows[whole:]]
-        if held:
-            yield links(np.concatenate(held))
 
-    return run
+def _gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[np.ndarray]:
+    """Rows of long columns as rows of 64-bit words, about ``most`` at a time."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], axis=1).view(np.uint64))
+        n += batch.num_rows
+        if n >= most:
+            yield np.concatenate(held)
+            held, n = [], 0
+    if n:
+        yield np.concatenate(held)
+
+
+def key_links(values: np.ndarray, keys: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (a, b) that connect what is within the radius of each other, among rows of one key."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    ends = np.append(np.flatnonzero(keys[1:] != keys[:-1]) + 1, len(keys))
+    sizes = np.diff(ends, prepend=0)
+    a, b = [], []
+    for k in np.flatnonzero(sizes > SMALL).tolist():
+        part = order[ends[k] - sizes[k] : ends[k]]
+        root = clusters(values[part], radius)
+        linked = np.flatnonzero(root != np.arange(len(root)))
+        a.append(part[linked])
+        b.append(part[root[linked]])
+    reach = np.repeat(ends, sizes) - 1 - np.arange(len(keys))
+    busy = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= SMALL), sizes))
+    rows, reach = order[busy], reach[busy]
+    forest = Forest(len(rows))
+    for x, y in near_pairs(np.ascontiguousarray(values[rows]), reach, radius):
+        forest.join(x, y)
+    linked = np.flatnonzero(forest.up != np.arange(len(rows)))
+    return np.concatenate([*a, rows[linked]]), np.concatenate([*b, rows[forest.up[linked]]])
+
+
+def hot_keys(nodes: DataFrame, masks: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(table, key, blocks) of keys with more than BLOCK rows, in order of table and key.
+
+    Each task reports keys that stand eight times or more among the DEALT rows that it holds at once. It
+    leaves out at most seven rows a key each time, so a key that isn't found has at most that many more
+    than BLOCK. At most HOT keys are found: where there would be more, longer ones only.
+    """
+    usual, most = 8, max(BLOCK, len(masks) * n // HOT)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for values in _gathered(batches, DEALT):
+            for t, mask in enumerate(masks):
+                keys, rows = np.unique(_keys(values, mask), return_counts=True)
+                often = rows >= usual
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(int(often.sum()), t, dtype=np.int32)), pa.array(keys[often].view(np.int64)), pa.array(rows[often])], ["t", "k", "n"])
+
+    counted = nodes.mapInArrow(count, "t int, k long, n long").groupBy("t", "k").agg(F.sum("n").alias("n")).where(F.col("n") > most)
+    found = sorted((t, k % 2**64, -(-2 * n // most)) for t, k, n in counted.collect())
+    return tuple(np.array([x[i] for x in found], dtype=kind) for i, kind in enumerate((np.int64, np.uint64, np.int64)))
 
 
 def near_links(nodes: DataFrame, scheme: Scheme) -> DataFrame:
-    """``nodes``: distinct fingerprints (node, fp0, fp1, ...). Links (a, b) that connect all candidates within the radius."""
-    spark = nodes.sparkSession
-    names = [f"fp{k}" for k in range(scheme.words)]
-    tables = [F.struct(F.lit(t).alias("t"), F.col(names[word]).bitwiseAND(F.lit(_signed(mask))).alias("k")) for t, (word, mask) in enumerate(scheme.masks())]
-    keyed = nodes.select("node", *names, F.explode(F.array(*tables)).alias("x")).select("x.t", "x.k", "node", *names)
-    hot = written(keyed.groupBy("t", "k").count().where(F.col("count") > BLOCK).select("t", "k", F.ceil(F.col("count") * 2 / BLOCK).cast("int").alias("m")), "hot")
-    many = hot.count()
-    zero = F.lit(0)
-    if many:
-        side = F.broadcast(hot) if many <= HOT_BROADCAST else hot
-        own = F.pmod(F.xxhash64("node"), F.col("m")).cast("int")
-        j = F.col("j")
-        dealt = (
-            keyed.join(side, ["t", "k"], "left")
-            .withColumn("own", F.coalesce(own, zero))
-            .withColumn("j", F.explode(F.sequence(zero, F.coalesce(F.col("m"), F.lit(1)) - 1)))
-            .select("t", "k", F.least("own", j).alias("i"), F.greatest("own", j).alias("j"), "node", *names)
-        )
-    else:
-        dealt = keyed.select("t", "k", zero.alias("i"), zero.alias("j"), "node", *names)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(n, "t", "k", "i", "j").sortWithinPartitions("t", "k", "i", "j").mapInArrow(_bucket_links(scheme), "a long, b long")
+    """``nodes``: distinct fingerprints (fp0, fp1, ...), written. Links (a, b) of their nodes that connect all candidates within the radius."""
+    n = nodes.count()
+    masks = scheme.masks(n)
+    hot_t, hot_k, hot_m = hot_keys(nodes, masks, n)
+    hot_base = np.cumsum(hot_m * hot_m) - hot_m * hot_m
+    parts = -(-n // BUCKET)
+
+    def blocks(t: int, part: np.ndarray, keys: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
+        order = np.argsort(part, kind="stable")
+        part = part[order]
+        cut = np.append(0, np.flatnonzero(part[1:] != part[:-1]) + 1)
+        short, whole = keys[order].astype("<u4"), np.ascontiguousarray(values[order, : scheme.sent])
+        packed = [short[a:b].tobytes() + whole[a:b].tobytes() for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(part)])]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(cut), t, dtype=np.int32)), pa.array(part[cut].astype(np.int64)), pa.array(packed, pa.binary())], ["t", "part", "block"])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for values in _gathered(batches, DEALT):
+            for t, mask in enumerate(masks):
+                keys = _keys(values, mask)
+                plain = np.ones(len(keys), dtype=bool)
+                a, b = np.searchsorted(hot_t, [t, t + 1])
+                if a < b:
+                    place = np.minimum(a + np.searchsorted(hot_k[a:b], keys), b - 1)
+                    plain = hot_k[place] != keys
+                    rows, at = np.flatnonzero(~plain), place[~plain]
+                    m = hot_m[at]
+                    own = (_nodes(values[rows, : scheme.sent]).view(np.uint64) % m.astype(np.uint64)).astype(np.int64)
+                    for j in range(int(m.max(initial=0))):  # a row meets each block of its key once
+                        some = m > j
+                        low, high = np.minimum(own, j)[some], np.maximum(own, j)[some]
+                        if len(low):
+                            yield blocks(t, -1 - (hot_base[at[some]] + low * m[some] + high), keys[rows[some]], values[rows[some]])
+                if plain.any():
+                    yield blocks(t, (keys[plain] >> np.uint64(40)) % np.uint64(parts), keys[plain], values[plain])
+
+    row = 4 + 8 * scheme.sent
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[bytes, bytes]] = []
+        bucket = None
+
+        def links() -> pa.RecordBatch:
+            short, whole = (b"".join(x) for x in zip(*held))
+            held.clear()
+            values = np.frombuffer(whole, dtype=np.uint64).reshape(-1, scheme.sent)
+            a, b = key_links(values, np.frombuffer(short, dtype="<u4"), scheme.radius)
+            names = _nodes(values)
+            return pa.RecordBatch.from_arrays([pa.array(names[a]), pa.array(names[b])], ["a", "b"])
+
+        for batch in batches:
+            for t, part, block in zip(batch.column("t").to_pylist(), batch.column("part").to_pylist(), batch.column("block"), strict=True):
+                if bucket != (t, part):
+                    if held:
+                        yield links()
+                    bucket = (t, part)
+                data = block.as_py()
+                n_keys = len(data) // row * 4
+                held.append((data[:n_keys], data[n_keys:]))
+        if held:
+            yield links()
+
+    # partitions follow the rows, so that a task's share stays the same as the input grows
+    dealt = nodes.mapInArrow(deal, "t int, part long, block binary")
+    return dealt.repartition(-(-len(masks) * n // BUCKET) + 1, "t", "part").sortWithinPartitions("t", "part").mapInArrow(compare, "a long, b long")
 
 
 def similar_clusters(sets: list[np.ndarray], similar: tuple[int, int]) -> np.ndarray:
@@ -420,30 +522,30 @@ def similar_clusters(sets: list[np.ndarray], similar: tuple[int, int]) -> np.nda
 def similar_links(texts: DataFrame, marked: DataFrame, groups: DataFrame, shingle: int, similar: tuple[int, int]) -> DataFrame:
     """Links (a, b) that connect all nodes of one candidate group whose shingle sets are ``similar``.
 
-    ``groups``: (node, root) of all that has candidates. Only their texts are read again, and sets are
+    ``groups``: (alike, root) of all that has candidates. Only their texts are read again, and sets are
     compared within a group, so what is linked is decided by the sets alone.
     """
     spark = texts.sparkSession
-    wanted = marked.join(groups.select("node"), "node", "left_semi").select(F.col("doc_id").alias("wanted")).distinct()
+    wanted = marked.join(groups.select("alike"), "alike", "left_semi").groupBy("alike").agg(F.min("doc_id").alias("wanted")).select("wanted").distinct()
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):
             hashes, count = shingle_sets(as_bytes(batch.column("text")), shingle)
-            some = [(_node(x), len(x) // 8, x) for x in _split(hashes, count) if x]
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in some], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["node", "n", "shingles"])
+            some = [(_alike(x), len(x) // 8, x) for x in _split(hashes, count) if x]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in some], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["alike", "n", "shingles"])
 
-    sets = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi").mapInArrow(sets_of, "node long, n long, shingles binary")
-    rooted = written(sets.dropDuplicates(["node"]).join(groups, "node"), "sets")
+    sets = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi").mapInArrow(sets_of, "alike long, n long, shingles binary")
+    rooted = written(sets.dropDuplicates(["alike"]).join(groups, "alike"), "sets")
     hot = written(rooted.groupBy("root").agg(F.sum("n").alias("n")).where(F.col("n") > CONFIRMED).select("root", F.ceil(F.col("n") * 2 / CONFIRMED).cast("int").alias("m")), "hot")
     many, zero = hot.count(), F.lit(0)
-    dealt = rooted.select("root", zero.alias("i"), zero.alias("j"), "node", "shingles")
+    dealt = rooted.select("root", zero.alias("i"), zero.alias("j"), "alike", "shingles")
     if many:
         j = F.col("j")
         dealt = (
             rooted.join(F.broadcast(hot) if many <= HOT_BROADCAST else hot, "root", "left")
-            .withColumn("own", F.coalesce(F.pmod(F.xxhash64("node"), F.col("m")).cast("int"), zero))
+            .withColumn("own", F.coalesce(F.pmod(F.xxhash64("alike"), F.col("m")).cast("int"), zero))
             .withColumn("j", F.explode(F.sequence(zero, F.coalesce(F.col("m"), F.lit(1)) - 1)))
-            .select("root", F.least("own", j).alias("i"), F.greatest("own", j).alias("j"), "node", "shingles")
+            .select("root", F.least("own", j).alias("i"), F.greatest("own", j).alias("j"), "alike", "shingles")
         )
 
     def links(rows: list[tuple]) -> pa.RecordBatch:
@@ -464,16 +566,16 @@ def similar_links(texts: DataFrame, marked: DataFrame, groups: DataFrame, shingl
         held: list[tuple] = []
         size = 0
         for batch in batches:
-            for *key, node, shingles in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for *key, alike, shingles in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if size >= CONFIRMED * 8 and key != held[-1][0]:
                     yield links(held)
                     held, size = [], 0
-                held.append((key, node, shingles))
+                held.append((key, alike, shingles))
                 size += len(shingles)
         yield links(held)
 
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(n, "root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(run, "a long, b long")
+    total = rooted.agg(F.sum("n")).first()[0] or 0
+    return dealt.repartition(-(-2 * total // CONFIRMED) + 1, "root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(run, "a long, b long")
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, scheme: Scheme = WIDE) -> DataFrame:
@@ -487,17 +589,28 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     a component_id unless the group has no other id. An empty table gives no rows. Other columns,
     whatever their names, are not looked at.
     """
-    marked = written(fingerprint_table(docs, id_col, text_col, shingle, scheme.words, scheme.similar is not None), "fp")
+    marked = written(fingerprint_table(docs, id_col, text_col, shingle, scheme), "fp")
     names = [f"fp{k}" for k in range(scheme.words)]
-    if not scheme.similar:
-        marked = marked.withColumn("node", F.col("fp0") if scheme.words == 1 else F.xxhash64(*names))
-    nodes = written(marked.groupBy("node", *names).agg(F.min("doc_id").alias("low")), "nodes")
-    roots = written(connected_components(near_links(nodes.drop("low"), scheme)), "roots")
+    distinct = written(marked.select(*names).distinct(), "nodes")
+    roots = written(connected_components(near_links(distinct, scheme)), "roots")
+    forget(distinct)
+    own = "node"
     if scheme.similar:
-        alike = similar_links(texts_of(docs, id_col, text_col), marked, roots, shingle, scheme.similar)
+        # texts of one fingerprint are candidates, too, if their sets differ
+        own = "alike"
+        placed = marked.groupBy("alike").agg(F.first("node").alias("node")).join(roots, "node", "left").select("alike", F.coalesce("root", "node").alias("root"))
+        placed = written(placed, "placed")
+        some = placed.groupBy("root").count().where("count > 1").select("root")
+        candidates = written(placed.join(some, "root", "left_semi"), "candidates")
+        alike = similar_links(texts_of(docs, id_col, text_col), marked, candidates, shingle, scheme.similar)
         roots = written(connected_components(alike), "roots")
-    named = nodes.join(roots, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
+        forget(placed)
+    nodes = marked.groupBy(own).agg(F.min("doc_id").alias("low"))
+    named = nodes.join(roots.withColumnRenamed("node", own), own, "left").select(own, "low", F.coalesce("root", own).alias("root"))
+    named = written(named, "named")
     # written, so that the join with a large component can be split
     lowest = written(named.groupBy("root").agg(F.min("low").alias("component_id")), "lowest")
-    by_node = written(named.join(lowest, "root").select("node", "component_id"), "classes")
-    return marked.join(by_node, "node").select("doc_id", *names, "component_id")
+    by_node = written(named.join(lowest, "root").select(own, "component_id"), "classes")
+    for done in (named, lowest, roots):
+        forget(done)
+    return marked.join(by_node, own).select("doc_id", *names, "component_id")

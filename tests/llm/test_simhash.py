@@ -168,3 +168,52 @@ def test_links_are_those_of_brute_force_around_the_threshold(spark):
     assert sum(0.8 <= x < 0.85 for x in near) >= 30 and sum(0.7 <= x < 0.8 for x in near) >= 50
     found = dict(simhash.simhash_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select("doc_id", "component_id").collect())
     assert [found[k] for k in range(300)] == jaccard_components(texts)
+
+
+def test_rows_of_a_key_are_linked_as_by_brute_force(monkeypatch):
+    rng = np.random.default_rng(23)
+    values = spread(rng, 2)
+    keys = rng.integers(0, 9, len(values)).astype(np.uint64)
+    for small in (64, 3):
+        monkeypatch.setattr(simhash, "SMALL", small)
+        a, b = simhash.key_links(values, keys, 3)
+        got, want = simhash.Forest(len(values)), simhash.Forest(len(values))
+        got.join(a, b)
+        pairs = [(i, j) for i in range(len(values)) for j in range(i) if keys[i] == keys[j] and far(values[i], values[j]) <= 3]
+        want.join(np.array([i for i, _ in pairs]), np.array([j for _, j in pairs]))
+        assert got.up.tolist() == want.up.tolist() and len(pairs) > 9
+
+
+def test_masks_leave_no_near_pair_out_and_widen():
+    for n in (10, 10**9, 10**13):
+        masks = simhash.EXACT.masks(n)[:, 0]
+        assert min(int(m).bit_count() for m in masks) >= min(25, n.bit_length() - 3)
+        rng = np.random.default_rng(1)
+        for _ in range(200):
+            flips = sum(1 << int(b) for b in rng.choice(64, 3, replace=False))
+            assert any(int(m) & flips == 0 for m in masks)
+    for n in (10, 10**6, 10**9):
+        masks = simhash.WIDE.masks(n)
+        width = max(12, n.bit_length() - 5)
+        assert {sum(int(x).bit_count() for x in row) for row in masks} == {width}
+        if n < 10**8:  # 151 of 1,000 bits differ at a similarity of 0.8
+            pairs = np.packbits(rng.random((4000, 256)) < 0.151, axis=1).view("<u8")
+            met = np.zeros(len(pairs), dtype=bool)
+            for mask in masks:
+                met |= ~(pairs & mask).any(axis=1)
+            assert met.mean() > 0.99
+
+
+def test_oversized_keys_are_dealt_out(spark, monkeypatch):
+    rng = np.random.default_rng(29)
+    base = rng.integers(0, 2**63, 2, dtype=np.uint64)
+    values = np.unique(base ^ (np.uint64(1) << rng.integers(0, 63, (300, 2), dtype=np.uint64)), axis=0)
+    values = np.concatenate([values, np.zeros_like(values)], axis=1)
+    nodes = spark.createDataFrame([tuple(map(int, x.view(np.int64))) for x in values], "fp0 long, fp1 long, fp2 long, fp3 long")
+    monkeypatch.setattr(simhash, "BLOCK", 100)
+    monkeypatch.setattr(simhash, "n_tables", lambda *_: 4)
+    masks = simhash.WIDE.masks(len(values))
+    t, _, m = simhash.hot_keys(nodes, masks, len(values))
+    assert len(t) and m.min() > 1
+    linked = {x for r in simhash.near_links(nodes, simhash.WIDE).collect() for x in (r.a, r.b)}
+    assert linked == set(simhash._nodes(values[:, :2]).tolist())
