@@ -1,10 +1,11 @@
 """Repeated passages: Rabin-Karp hashes of every window of words, counted over the whole corpus.
 
-Windows are hashed in numpy and dealt by hash into buckets, packed as binary blocks: seven bytes a
-window, and documents and starts pressed. Within a slice only the earliest of equal windows is sent, so a
-passage that a third of all documents share is pre-aggregated before the shuffle. A bucket tells
-which of its windows also start earlier; these starts go back, packed by group of documents, merge
-into maximal intervals, and the words in them are removed.
+Words get a 128-bit digest, and a window two polynomial hashes of its words' digests, 64 bits each. Windows
+are hashed in numpy and dealt into buckets, packed as binary blocks: twelve bytes a window, and documents
+and starts pressed. Within a slice, where all 128 bits are compared, only the earliest of equal windows is
+sent, so a passage that a third of all documents share is pre-aggregated before the shuffle. A bucket tells
+which of its windows also start earlier, by the 96 bits sent and those that led to the bucket; these starts
+go back, packed by group of documents, merge into maximal intervals, and the words in them are removed.
 """
 
 from __future__ import annotations
@@ -14,41 +15,51 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mathquarry.llm.common import as_bytes, joined, mixed_hash, sliced, span_hashes, texts_of, word_bounds, written
+from mathquarry.llm.common import SPACE, as_bytes, joined, mixed_hash, sliced, span_hashes, texts_of, word_bounds, written
 
 WINDOW = 20
 #: Bytes of text whose windows share a bucket; a bucket is what one task holds at once.
 BUCKET_BYTES = 12_000_000
 _NULL = np.iinfo(np.int64).min
 
-_BYTE_BASE, _WORD_BASE = 0x9E3779B97F4A7C17, 0xC2B2AE3D27D4EB53
-_LETTER = np.random.default_rng(20260102).integers(0, 2**64, 256, dtype=np.uint64)
+_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB53)
+
+
+def word_digests(data: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """128 bits of each word, as (words, 2). Each distinct word is digested once; a word's bytes can't be chosen to collide."""
+    space = SPACE[data]
+    kept = ~space
+    kept[end] = True
+    text = np.where(space, np.uint8(0x20), data)[kept]
+    ends = np.append(0, np.cumsum(end - first + 1)).astype(np.int64)
+    words = pa.Array.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(text)]).dictionary_encode()
+    found = b"".join(map(xxhash.xxh3_128_digest, words.dictionary.to_pylist()))
+    return np.frombuffer(found, dtype="<u8").reshape(-1, 2)[words.indices.to_numpy(zero_copy_only=False)]
 
 
 def windows(values: list[bytes], window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, row, start word) of every window of every text, in that order of rows and starts."""
+    """(two hashes as a row, row, start word) of every window of every text, in that order of rows and starts."""
     data, starts = joined(values)
     first, end = word_bounds(data)
     words = np.diff(np.searchsorted(first, starts))
     count = np.maximum(words - window + 1, 0)
     rows = np.repeat(np.arange(len(values)), count)
     start = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-    if not len(rows):
-        return np.zeros(0, dtype=np.uint64), rows, start
-    word = mixed_hash(span_hashes(_LETTER[data], _BYTE_BASE, first, end) + (end - first).astype(np.uint64))
-    at = (np.cumsum(words) - words)[rows] + start
-    return mixed_hash(span_hashes(word, _WORD_BASE, at, at + window)), rows, start
+    out = np.empty((len(rows), 2), dtype=np.uint64)
+    if len(rows):
+        at = (np.cumsum(words) - words)[rows] + start
+        for k, digest in enumerate(word_digests(data, first, end).T):
+            out[:, k] = mixed_hash(span_hashes(digest, _BASES[k], at, at + window))
+    return out, rows, start
 
 
 def _packed(docs: np.ndarray, starts: np.ndarray, hashes: np.ndarray | None = None) -> bytes:
-    """Windows in order of (doc, start): runs of documents and starts as differences, pressed; then hashes, if any.
-
-    Seven bytes of a hash are kept: the eighth is mostly told by the bucket that the block goes to.
-    """
+    """Windows in order of (doc, start): runs of documents and starts as differences, pressed; then 96 bits of hashes, if any."""
     new = np.flatnonzero(np.append(True, docs[1:] != docs[:-1]))
     ids = docs[new]
     runs = np.diff(np.append(new, len(docs))).astype(np.int32)
@@ -57,7 +68,7 @@ def _packed(docs: np.ndarray, starts: np.ndarray, hashes: np.ndarray | None = No
     narrow = np.uint16 if steps.max(initial=0) < 65536 else np.uint32
     places = zstandard.ZstdCompressor(level=1).compress(np.diff(ids, prepend=0).tobytes() + runs.tobytes() + steps.astype(narrow).tobytes())
     head = np.array([len(docs), len(ids), np.dtype(narrow).itemsize, len(places)], dtype=np.int64)
-    kept = b"" if hashes is None else hashes.view(np.uint8).reshape(-1, 8)[:, :7].tobytes()
+    kept = b"" if hashes is None else hashes[:, 0].tobytes() + hashes[:, 1].astype("<u4").tobytes()
     return b"".join([head.tobytes(), places, kept])
 
 
@@ -71,26 +82,25 @@ def _unpacked(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     total = np.cumsum(steps)
     begin = np.cumsum(runs) - runs
     starts = total - np.repeat(total[begin] - steps[begin], runs)
-    kept = np.frombuffer(block, np.uint8, offset=32 + size)
-    hashes = np.zeros((len(kept) // 7, 8), dtype=np.uint8)
-    hashes[:, :7] = kept.reshape(-1, 7)
-    return np.repeat(ids, runs), starts, hashes.view(np.uint64).ravel()
+    hashes = np.zeros((n if len(block) > 32 + size else 0, 2), dtype=np.uint64)
+    hashes[:, 0] = np.frombuffer(block[32 + size :], np.uint64, len(hashes))
+    hashes[:, 1] = np.frombuffer(block[32 + size + 8 * len(hashes) :], "<u4", len(hashes))
+    return np.repeat(ids, runs), starts, hashes
 
 
 def _later(docs: np.ndarray, starts: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Which windows have an equal one with a smaller (doc, start). Rows come in any order."""
-    order = np.argsort(hashes, kind="stable")
-    same = hashes[order[1:]] == hashes[order[:-1]]
-    busy = np.append(False, same) | np.append(same, False)
-    order = order[busy]
-    if not len(order):
-        return np.zeros(len(hashes), dtype=bool)
-    order = order[np.lexsort((starts[order], docs[order], hashes[order]))]
-    h, d, s = hashes[order], docs[order], starts[order]
-    first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-    lead = np.repeat(first, np.diff(np.append(first, len(h))))
+    order = np.argsort(hashes[:, 0], kind="stable")
+    short = hashes[order, 0]
+    same = short[1:] == short[:-1]
+    order = order[np.append(False, same) | np.append(same, False)]
     out = np.zeros(len(hashes), dtype=bool)
-    out[order] = (d != d[lead]) | (s != s[lead])
+    if len(order):
+        order = order[np.lexsort((starts[order], docs[order], hashes[order, 1], hashes[order, 0]))]
+        h, d, s = hashes[order], docs[order], starts[order]
+        first = np.flatnonzero(np.append(True, (h[1:] != h[:-1]).any(axis=1)))
+        lead = np.repeat(first, np.diff(np.append(first, len(h))))
+        out[order] = (d != d[lead]) | (s != s[lead])
     return out
 
 
@@ -127,9 +137,9 @@ _BACK_DDL = "grp int, ord long, doc_id long, block binary"
 def repeated_starts(docs: DataFrame, buckets: int, window: int = WINDOW) -> DataFrame:
     """``docs``: doc_id, text. Rows (grp, block): packed starts of windows that also start earlier, for a group of documents.
 
-    A group's number comes from its documents' ids, and there are as many groups as buckets.
+    A group's number comes from its documents' ids, and there are as many groups as buckets, and as many
+    partitions, so that what a task reads doesn't grow with the input.
     """
-    spark = docs.sparkSession
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):
@@ -138,7 +148,7 @@ def repeated_starts(docs: DataFrame, buckets: int, window: int = WINDOW) -> Data
                 continue
             ids = batch.column("doc_id").fill_null(_NULL).to_numpy(zero_copy_only=False)[rows]
             later = _later(ids, starts, hashes)
-            bucket = ((hashes >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
+            bucket = ((hashes[:, 1] >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)  # bits that are not sent
             # windows with an earlier equal in the slice need no counting: they pass through a bucket on their way back
             out = [(group, group, block) for group, block in _grouped(ids[later], starts[later], buckets)]
             sent = np.flatnonzero(~later)
@@ -173,9 +183,8 @@ def repeated_starts(docs: DataFrame, buckets: int, window: int = WINDOW) -> Data
         if held:
             yield settled()
 
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = docs.mapInArrow(deal, "bucket int, grp int, block binary")
-    return dealt.repartition(min(n, buckets), "bucket").sortWithinPartitions("bucket").mapInArrow(count, _BACK_DDL)
+    return dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(count, _BACK_DDL)
 
 
 def cut_words(words: list[bytes], starts: np.ndarray, window: int) -> list[bytes]:
@@ -196,10 +205,11 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``[^\\x20\\x09-\\x0D]+``, unchanged; null text has none. A null id is below every other. Rows of
     one id are one document: at equal starts neither is earlier, and a start removed in one is removed
     in the other where its text is long enough. An empty table gives no rows; other columns are not
-    looked at. Windows are compared by a 64-bit hash.
+    looked at. Windows are told apart by 96 bits of hashes and the bucket that further bits lead to:
+    at 9e9 windows (30 GB) the chance that any two different ones are taken for equal is about 1e-12,
+    at 3e13 (100 TB) about 1e-9.
     """
     plain = texts_of(docs, id_col, text_col)
-    spark = docs.sparkSession
     size = plain.select(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(16, -(-size // BUCKET_BYTES))
     back = written(repeated_starts(plain, buckets, window), "starts")
@@ -242,6 +252,5 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     ["doc_id", "n_words", "n_removed", "kept_text", "kept_sha256"],
                 )
 
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = plain.mapInArrow(shrink, _BACK_DDL).union(back).repartition(min(n, buckets), "grp").sortWithinPartitions("grp", F.col("ord").asc_nulls_first())
+    dealt = plain.mapInArrow(shrink, _BACK_DDL).union(back).repartition(buckets, "grp").sortWithinPartitions("grp", F.col("ord").asc_nulls_first())
     return dealt.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string")

@@ -45,3 +45,24 @@ def test_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(sd, "BUCKET_BYTES", 100)
     assert sorted(r.n_removed for r in sd.substring_dedup(docs, window=3).collect()) == sorted(x[2] for x in brute(rows, 3))
     assert sd.substring_dedup(docs.limit(0)).count() == 0
+
+
+def test_words_made_to_collide_stay_apart(spark):
+    # a Thue-Morse word and its complement have equal polynomial hashes modulo 2**64 in every base
+    word = "".join("ab"[k.bit_count() % 2] for k in range(4096))
+    other = word.translate(str.maketrans("ab", "ba"))
+    tail = [f"w{k}" for k in range(19)]
+    rows = [(1, " ".join([word, *tail])), (2, " ".join([other, *tail])), (3, " ".join([*tail, word])), (4, " ".join([other, *tail, "x"]))]
+    got = {r.doc_id: r.n_removed for r in sd.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 0, 3: 0, 4: 20}
+    hashes, _, _ = sd.windows([t.encode() for _, t in rows])
+    assert len({tuple(x) for x in hashes.tolist()}) == 4 and len(hashes) == 5
+
+
+def test_packed_blocks_come_back_whole():
+    docs, starts = sd.np.array([3, 3, 9, 9, 9]), sd.np.array([0, 70000, 2, 3, 8])
+    hashes = sd.np.arange(10, dtype=sd.np.uint64).reshape(-1, 2) << sd.np.uint64(28)
+    found = sd._unpacked(sd._packed(docs, starts, hashes))
+    assert found[0].tolist() == docs.tolist() and found[1].tolist() == starts.tolist()
+    assert found[2].tolist() == (hashes & sd.np.array([2**64 - 1, 2**32 - 1], dtype=sd.np.uint64)).tolist()
+    assert len(sd._unpacked(sd._packed(docs, starts))[2]) == 0
