@@ -9,19 +9,20 @@ from pyspark.sql import functions as F
 from mathquarry.llm.common import held_out, texts_of
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, rows: int, id_col: str = "doc_id", text_col: str = "text", longest: int | None = None) -> DataFrame:
-    """(doc_id, text, label int) of at most ``rows`` labelled ids, the first in order of a hash of the id.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, rows: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text, label int) of at most ``rows`` labelled documents, the first in order of a hash of the id.
 
-    Ids held out (see :func:`held_out`) never come; null labels don't; of an id labelled twice the
-    higher label counts. ``longest`` leaves texts of more bytes out of the sample. The ids are at
-    most ``rows`` longs, so they are broadcast.
+    Ids held out (see :func:`held_out`) never come, and labels without a document don't count; null labels don't
+    come; of an id labelled twice the higher label counts, of several texts of an id one comes. Texts are
+    whole, however long. The ids are at most ``rows`` longs, so they are broadcast.
     """
     known = labels.select(F.col(id_col).cast("long").alias("labelled"), F.col(label_col).cast("int").alias("label"))
     known = known.where(F.col("label").isNotNull() & F.col("labelled").isNotNull() & ~held_out("labelled")).groupBy("labelled").agg(F.max("label").alias("label"))
-    some = known.orderBy(F.xxhash64("labelled"), "labelled").limit(rows)
     plain = texts_of(docs, id_col, text_col)
-    plain = plain.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= longest) if longest else plain
-    return plain.join(F.broadcast(some), plain.doc_id == some.labelled).select("doc_id", "text", "label")
+    there = known.join(plain.select(F.col("doc_id").alias("labelled")), "labelled", "left_semi")
+    some = there.orderBy(F.xxhash64("labelled"), "labelled").limit(rows)
+    found = plain.join(F.broadcast(some), plain.doc_id == some.labelled)
+    return found.groupBy("doc_id").agg(F.min_by(F.coalesce("text", F.lit("")), F.xxhash64("text")).alias("text"), F.max("label").alias("label"))
 
 
 def scorer(score) -> Column:

@@ -7,6 +7,7 @@ weighted by the lines' lengths, become the document's score through a two-parame
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,8 +19,8 @@ from pyspark.sql import functions as F
 from mathquarry.llm.common import SPACE, as_bytes, held_out, joined, mixed_hash, sliced, span_hashes, texts_of, word_bounds
 from mathquarry.llm.labelled import labelled_sample, scorer
 
-#: The training sample: so many labelled documents, of so many bytes and lines at most.
-SAMPLE, SAMPLE_BYTES, SAMPLE_LINES = 6000, 64_000, 200
+#: The training sample: so many labelled documents at most, and of a longer document so many lines that follow each other.
+SAMPLE, SAMPLE_LINES = 6000, 200
 ACCEPT = 0.7
 _GOOD_CUTS, _BAD_CUTS = (0.003, 0.02, 0.1, 0.3, 0.5, 0.7, 0.9, 0.98, 0.997), (0.1, 0.25, 0.5, 0.75, 0.9)
 BINS = len(_GOOD_CUTS) + len(_BAD_CUTS) + 1
@@ -236,23 +237,32 @@ def calibrated(logit: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
     return max(0.05, float(beta[0])), float(beta[1])
 
 
-def train_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality") -> LineModel:
-    """Fit on at most SAMPLE labelled documents; their line features, of a bounded size, come to the driver."""
+def train_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality", rows: int = SAMPLE, lines: int = SAMPLE_LINES) -> LineModel:
+    """Fit on at most ``rows`` labelled documents; their line features come to the driver.
+
+    Documents of every length take part. Features are those of the whole text; of a document with more than
+    ``lines`` lines, so many that follow each other are learned from, beginning where a hash of its id says,
+    so what the driver holds has a bound. Null texts are empty; other columns are not looked at.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):
             features, first = line_features(as_bytes(batch.column("text")))
-            packed = [features[a:b].astype("<f4").tobytes() if b - a <= SAMPLE_LINES else None for a, b in zip(first[:-1], first[1:], strict=True)]
+            packed = []
+            for doc, a, b in zip(batch.column("doc_id").to_pylist(), first[:-1].tolist(), first[1:].tolist(), strict=True):
+                a += zlib.crc32(str(doc).encode()) % max(1, b - a - lines + 1)
+                packed.append(features[a : min(b, a + lines)].astype("<f4").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(packed, pa.binary())], ["doc_id", "label", "packed"])
 
-    sample = labelled_sample(docs, labels, label_col, SAMPLE, longest=SAMPLE_BYTES).mapInArrow(run, "doc_id long, label int, packed binary").where("packed is not null")
-    rows = sorted(map(tuple, sample.collect()))
-    parts = [np.frombuffer(x, "<f4").reshape(-1, len(_FEATURES)).astype(float) for _, _, x in rows]
+    sample = labelled_sample(docs, labels, label_col, rows).mapInArrow(run, "doc_id long, label int, packed binary")
+    found = sorted(map(tuple, sample.collect()))
+    parts = [np.frombuffer(x, "<f4").reshape(-1, len(_FEATURES)).astype(float) for _, _, x in found]
     first = np.cumsum([0, *map(len, parts)])
-    return fit(np.concatenate(parts) if parts else np.zeros((0, len(_FEATURES))), first, np.array([y for _, y, _ in rows], dtype=float))
+    return fit(np.concatenate(parts) if parts else np.zeros((0, len(_FEATURES))), first, np.array([y for _, y, _ in found], dtype=float))
 
 
 def quality_column(model: LineModel, text_col: str = "text"):
+    """The score as a column of doubles, one for every row; null and empty texts are one empty line."""
     return scorer(lambda texts: model.scores(as_bytes(texts)))(F.col(text_col).cast("string"))
 
 

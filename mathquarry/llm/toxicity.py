@@ -1,9 +1,11 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Words of a clause become six classes. Five small transducers read them side by side: insult, threat,
+Words of a sentence become seven classes. Five small transducers read them side by side: insult, threat,
 target, negation and reported speech. They are composed once into a deterministic table; a run over a
-clause says how much insult weight stands plainly, under negation and in reported speech, whether a
-target is named and whether a threat is complete. Sums over matched clauses feed a logistic score.
+sentence puts out what each insult or threat word is worth there: an arc's weight is the product of the
+parts' weights, so what is denied or only reported weighs less, and what is aimed at somebody more.
+Reported speech also reaches back over a quotation ("...", she said), which a second run from the right
+finds. The sums over sentences feed a logistic score; single words count only through their sentence.
 
 The insult words are learned: words and word beginnings that mark toxic documents in the labelled
 sample, chosen greedily until every toxic document is covered twice. Seed words are there beside them.
@@ -27,8 +29,8 @@ from pyspark.sql import functions as F
 from mathquarry.llm.common import held_out, texts_of, written
 from mathquarry.llm.labelled import labelled_sample, scorer
 
-#: The training sample: so many labelled documents of so many bytes at most; units that are looked at closely.
-SAMPLE, SAMPLE_BYTES, CANDIDATES = 12_000, 100_000, 4000
+#: The training sample is of so many labelled documents at most, and so many words and beginnings are looked at closely.
+SAMPLE, CANDIDATES = 12_000, 4000
 FLAG = 0.3
 PREFIXES = (4, 5, 6, 7, 8)
 
@@ -42,41 +44,79 @@ TARGETS = "you your yourself he him she her they them these those people du dich
 NEGATIONS = "not no never neither nor don't doesn't didn't isn't aren't wasn't nicht kein keine nie niemals pas jamais aucun nunca jamás ningún".split()
 REPORTED = "said says say called calls wrote writes quoted reported according claims sagte sagt schrieb nannte laut dit disait écrit selon dijo dice escribió según".split()
 
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
-_WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
-_EDGE = re.compile(r"[.,;:!?\n\r]+")
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, QUOTE = range(7)
+_WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[\"“”„«»]")
+_END = re.compile(r"[.;!?\n\r]+")
 _LETTERS = re.compile(r"[^\W\d_]+")
+_QUOTES = frozenset("\"“”„«»")
 
-# Transducers: (state, class) -> (state, output); what is not listed stays and puts out nothing.
-_INSULT = {(0, INSULT): (1, "insult"), (1, INSULT): (1, "insult")}
-_THREAT = {(0, THREAT): (1, ""), (1, TARGET): (2, "threat"), (1, THREAT): (1, "")}
-_TARGET = {(0, TARGET): (1, "")}
-_NEGATION = {(0, NEGATION): (3, ""), **{(s, c): (s - 1, "") for s in (1, 2, 3) for c in (OTHER, INSULT, THREAT, TARGET, REPORT)}, **{(s, NEGATION): (3, "") for s in (1, 2, 3)}}
-_REPORT = {(0, REPORT): (1, "")}
+#: Words that a negation and a verb of reporting reach.
+DENIED, SAID = 3, 24
+#: Arc weights: of an insult or threat word when it is denied, reported, or aimed at somebody named before in the sentence.
+WEIGHT_DENIED, WEIGHT_REPORTED, WEIGHT_AIMED, WEIGHT_THREAT = 0.2, 0.4, 1.5, 3.0
 
 
-def composed() -> tuple[list[list[int]], list[list[tuple[str, ...]]], list[tuple[int, ...]]]:
-    """The product of the five transducers, reachable states only: moves, outputs, and what each state is made of."""
-    parts = (_INSULT, _THREAT, _TARGET, _NEGATION, _REPORT)
-    states, moves, outputs = [(0,) * len(parts)], [], []
+def _countdown(start: int, reach: int) -> dict:
+    """Class ``start`` opens a scope of ``reach`` words."""
+    words = (OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT)
+    return {(s, c): (reach if c == start else s - 1, 1.0) for s in range(reach + 1) for c in words if s or c == start}
+
+
+# Transducers: (state, class) -> (state, weight); what is not listed stays, at weight 1.
+_INSULT = {(0, INSULT): (1, 1.0)}
+_THREAT = {(0, THREAT): (1, 1.0), (1, TARGET): (0, WEIGHT_THREAT), (1, NEGATION): (0, 1.0), (1, INSULT): (0, WEIGHT_THREAT)}
+_TARGET = {(0, TARGET): (1, 1.0), (1, INSULT): (1, WEIGHT_AIMED)}
+_NEGATION = _countdown(NEGATION, DENIED) | {(s, c): (s - 1, WEIGHT_DENIED) for s in range(1, DENIED + 1) for c in (INSULT, TARGET)}
+_REPORT = _countdown(REPORT, SAID) | {(s, c): (s - 1, WEIGHT_REPORTED) for s in range(1, SAID + 1) for c in (INSULT, TARGET)}
+PARTS = (_INSULT, _THREAT, _TARGET, _NEGATION, _REPORT)
+
+
+def composed() -> tuple[list[list[int]], list[list[float]], list[tuple[int, ...]]]:
+    """The product of the five transducers, reachable states only: moves, weights put out, and what each state is made of.
+
+    An arc puts something out where an insult stands or a threat finds its target; its weight is the product of the parts'.
+    """
+    states = [(0,) * len(PARTS)]
+    number, moves, weights = {states[0]: 0}, [], []
     for state in states:
         moves.append([])
-        outputs.append([])
-        for c in range(6):
-            steps = [part.get((s, c), (s, "")) for part, s in zip(parts, state, strict=True)]
+        weights.append([])
+        for c in range(7):
+            steps = [part.get((s, c), (s, 1.0)) for part, s in zip(PARTS, state, strict=True)]
             after = tuple(s for s, _ in steps)
-            if after not in states:
+            if after not in number:
+                number[after] = len(states)
                 states.append(after)
-            said = [out for _, out in steps if out]
-            channel = "reported" if state[4] else "negated" if state[3] else "plain"
-            moves[-1].append(states.index(after))
-            outputs[-1].append(tuple(channel if x == "insult" else x if channel == "plain" else "" for x in said))
-    return moves, outputs, states
-
-
-MOVES, OUTPUTS, STATES = composed()
-_CHANNELS = {"plain": 0, "negated": 1, "reported": 2, "threat": 4}
-N_FEATURES = 8
+            said = c == INSULT or c == TARGET and state[1] == 1
+            moves[-1].append(number[after])
+            weights[-1].append(math.prod(w for _, w in steps) if said else 0.0)
+    return moves, weights, states
+
+
+MOVES, WEIGHTS, STATES = composed()
+N_FEATURES = 4
+
+
+def sentence_weights(kinds: list[int], worth: list[float]) -> list[float]:
+    """What each word of a sentence puts out: the composed transducer's weight, times ``worth`` for an insult word."""
+    out, state = [], 0
+    for kind, w in zip(kinds, worth, strict=True):
+        found = WEIGHTS[state][kind]
+        out.append(found * w if kind == INSULT else found)
+        state = MOVES[state][kind]
+    if REPORT in kinds and QUOTE in kinds:
+        # from the right: a verb of reporting reaches back over the quotation before it
+        open_, late = False, False
+        quotes = kinds.count(QUOTE)
+        for k in range(len(kinds) - 1, -1, -1):
+            if kinds[k] == QUOTE:
+                open_ = late and not open_ and quotes > 1
+                quotes -= 1
+            elif kinds[k] == REPORT:
+                late, open_ = True, False
+            elif open_:
+                out[k] *= WEIGHT_REPORTED
+    return out
 
 
 @dataclass
@@ -107,35 +147,30 @@ class ToxicModel:
         return found
 
     def features(self, text: str) -> np.ndarray | None:
-        """Sums over the text's matched clauses; None without any."""
-        low = text.lower()
+        """Sums over the text's sentences; None without an insult or threat."""
+        low = text.lower().replace("’", "'")
         places = [end - n + 1 for end, n in self._matches().iter(low) if end - n < 0 or not low[end - n].isalpha()]
         if not places:
             return None
-        cuts = [0, *(m.end() for m in _EDGE.finditer(low)), len(low)]
-        out, seen, hits = np.zeros(N_FEATURES), set(), 0
+        cuts = [0, *(m.end() for m in _END.finditer(low)), len(low)]
+        total = aimed = 0.0
+        seen: dict[str, float] = {}
         for k in dict.fromkeys(bisect_right(cuts, p) - 1 for p in places):
-            state = 0
-            for word in _WORD.findall(low[cuts[k] : cuts[k + 1]]):
-                weight = self.weight(word)
-                kind = INSULT if weight else _CLASSES.get(word, OTHER)
-                for said in OUTPUTS[state][kind]:
-                    if said:
-                        out[_CHANNELS[said]] += weight if said != "threat" else 1
-                if weight:
-                    hits += 1
-                    seen.add(word)
-                state = MOVES[state][kind]
-            insulted, _, targeted, _, _ = STATES[state]
-            out[3] += bool(insulted and targeted)
-        if not hits and not out[4]:
+            words = _WORD.findall(low[cuts[k] : cuts[k + 1]])
+            worth = [self.weight(w) for w in words]
+            kinds = [INSULT if x else QUOTE if w in _QUOTES else _CLASSES.get(w, OTHER) for w, x in zip(words, worth, strict=True)]
+            found = sentence_weights(kinds, worth)
+            weight = sum(found)
+            if weight:
+                total += weight
+                aimed += weight * (TARGET in kinds)
+                for word, kind, x, w in zip(words, kinds, found, worth, strict=True):
+                    if x:
+                        seen[word] = max(seen.get(word, 0.0), min(1.0, x / w) if kind == INSULT else 1.0)
+        if not total:
             return None
-        out[5] = math.log1p(hits)
-        out[6] = min(len(seen), 4)
-        out[7] = 100 * hits / max(1, low.count(" ") + low.count("\n") + 1)
-        out[:3] = np.log1p(out[:3])
-        out[[3, 4, 7]] = np.log1p(out[[3, 4, 7]])
-        return out
+        length = low.count(" ") + low.count("\n") + 1
+        return np.array([math.log1p(total), math.log1p(aimed), min(sum(seen.values()), 4.0), math.log1p(100 * total / length)])
 
     def scores(self, texts: pa.Array) -> np.ndarray:
         out = np.full(len(texts), 1 / (1 + math.exp(-self.beta[-1])))
@@ -151,7 +186,7 @@ _CLASSES = {w: c for c, words in ((TARGET, TARGETS), (REPORT, REPORTED), (NEGATI
 
 def units_of(text: str) -> set[str]:
     """Distinct words of three letters or more, and beginnings of longer ones: "x*", and "x**" where two words begin so."""
-    words = {w for w in _LETTERS.findall(text.lower()) if 3 <= len(w) <= 40}
+    words = {w for w in _LETTERS.findall(text.lower()) if len(w) >= 3}
     begun = Counter([w[:n] for w in words for n in PREFIXES if len(w) > n])
     return words | {x + "*" for x in begun} | {x + "**" for x, n in begun.items() if n > 1}
 
@@ -198,13 +233,15 @@ def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> np.ndarray:
     return beta
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic") -> ToxicModel:
-    """Learn words, beginnings and weights from at most SAMPLE labelled documents.
+def train_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", rows: int = SAMPLE, units: int = CANDIDATES) -> ToxicModel:
+    """Learn words, beginnings and weights from at most ``rows`` labelled documents, whole ones.
 
-    Units are counted in Spark; the driver gets at most CANDIDATES of them, which of these each toxic
-    sample document has, and N_FEATURES numbers for each sample document.
+    Words and beginnings are counted in Spark over the whole sample; the driver gets the ``units`` that most
+    toxic documents have (the size of the dictionary that is chosen from), which of these each toxic sample
+    document has, and N_FEATURES numbers for each sample document. Null texts are empty; without usable
+    labels seed words decide; other columns are not looked at.
     """
-    sample = written(labelled_sample(docs, labels, label_col, SAMPLE, longest=SAMPLE_BYTES), "sample")
+    sample = written(labelled_sample(docs, labels, label_col, rows), "sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         every, toxic = Counter(), Counter()
@@ -221,10 +258,10 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic")
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([every[u] for u in part], pa.int64()), pa.array([0] * len(part), pa.int64())], ["unit", "n", "toxic"])
 
     counted = sample.mapInArrow(count, "unit string, n long, toxic long").groupBy("unit").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
-    rows = counted.where("toxic >= 3 AND toxic >= 0.5 * n").orderBy(F.desc("toxic"), F.desc(F.length("unit")), "unit").limit(CANDIDATES).collect()
+    some = counted.where("toxic >= 3 AND toxic >= 0.5 * n").orderBy(F.desc("toxic"), F.desc(F.length("unit")), "unit").limit(units).collect()
     # of equals the whole word and the longer beginning come first, so the more special one is chosen
-    rows = sorted(rows, key=lambda r: (-r.toxic, r.unit.endswith("*"), -len(r.unit), r.unit))
-    place = {r.unit: k for k, r in enumerate(rows)}
+    some = sorted(some, key=lambda r: (-r.toxic, r.unit.endswith("*"), -len(r.unit), r.unit))
+    place = {r.unit: k for k, r in enumerate(some)}
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -232,10 +269,10 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic")
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "units"])
 
     marked = [r.units for r in sorted(sample.where("label = 1").mapInArrow(present, "doc_id long, units array<int>").collect(), key=lambda r: r.doc_id)]
-    toxic = np.array([r.toxic for r in rows], dtype=float)
-    clean = np.array([r.n - r.toxic for r in rows], dtype=float)
-    chosen = cover(marked, toxic, clean, [r.unit.rstrip("*") for r in rows]) if rows else []
-    weights = {rows[u].unit: min(6.0, math.log((toxic[u] + 0.5) / (clean[u] + 0.5))) for u in chosen}
+    toxic = np.array([r.toxic for r in some], dtype=float)
+    clean = np.array([r.n - r.toxic for r in some], dtype=float)
+    chosen = cover(marked, toxic, clean, [r.unit.rstrip("*") for r in some]) if some else []
+    weights = {some[u].unit: min(6.0, math.log((toxic[u] + 0.5) / (clean[u] + 0.5))) for u in chosen}
     model = ToxicModel({w: 2.0 for w in SEED_INSULTS}, {})
     for unit, weight in weights.items():
         (model.prefixes if unit.endswith("*") else model.words)[unit.rstrip("*")] = max(0.5, weight)
@@ -251,7 +288,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic")
     if len(y) and y.min() < y.max():
         model.beta = logistic(np.array([r.x for r in seen]), y)
     else:  # nothing to learn from: seed words decide
-        model.beta = np.array([1.0, -0.5, -0.5, 0.5, 2.0, 1.0, 0.5, 0.0, -3.0])
+        model.beta = np.array([1.5, 0.5, 0.5, 0.2, -3.0])
     return model
 
 
@@ -269,4 +306,4 @@ def score_toxicity(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id", t
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= FLAG).cast("int").alias("predicted"))
 
 
-__all__ = ["ToxicModel", "composed", "cover", "score_toxicity", "toxicity_column", "train_toxicity"]
+__all__ = ["ToxicModel", "composed", "cover", "score_toxicity", "sentence_weights", "toxicity_column", "train_toxicity"]

@@ -83,10 +83,44 @@ def test_line_features_count_words():
 
 def test_grammar_tells_negation_and_reported_speech():
     model = toxicity.ToxicModel({"grob": 2.0}, {})
-    channel = lambda t: model.features(t)[:5] > 0
-    assert channel("they are grob").tolist() == [True, False, False, True, False]
-    assert channel("he is not a grob").tolist() == [False, True, False, True, False]
-    assert channel("she said he was grob").tolist() == [False, False, True, True, False]
-    assert channel("not here. grob there").tolist() == [True, False, False, False, False]
-    assert model.features("I will kill you, so")[4] > 0
+    total = lambda t: 0.0 if (x := model.features(t)) is None else round(float(np.expm1(x[0])), 6)
+    assert total("grob") == 2 and total("they are grob") == 3 and total("grob, grob") == 4
+    assert total("he is not a grob") == total("You aren’t a grob") == total("you aren't a grob") == 0.6
+    assert total("she said he was grob") == 1.2 and total("He said, \"you are grob\"") == total("He said: you are grob") == 1.2
+    assert total("“you are grob”, she said") == 1.2 and total("\"you\" are grob, she said") == 3
+    assert total("not here. grob there") == 2 and total("he said no. grob") == 2
+    assert total("he did not bring anything to them about this grob") == 3  # too far from the negation
+    assert total("I will kill you, so") == 3 and total("she said, I will kill you") == 1.2
+    assert total("kill that grob") == 6 and total("never kill you") == 0.6
     assert model.features("time to kill. you see") is None and model.features("grobe") is None
+    # and the score follows: single words count only through their sentence
+    model.beta = np.array([1.5, 0.5, 0.5, 0.2, -3.0])
+    texts = ["you are grob", "grob", "she said you are grob", "you are not grob", "nothing"]
+    assert model.scores(toxicity.pa.array(texts)).tolist() == sorted(model.scores(toxicity.pa.array(texts)), reverse=True)
+
+
+def test_composed_transducer_is_its_parts_side_by_side():
+    rng = random.Random(8)
+    for _ in range(300):
+        kinds = rng.choices(range(7), weights=[9, 3, 2, 3, 2, 1, 1], k=rng.randrange(40))
+        states, want = [0] * 5, []
+        for c in kinds:
+            weight, said = 1.0, c == toxicity.INSULT or c == toxicity.TARGET and states[1] == 1
+            for k, part in enumerate(toxicity.PARTS):
+                states[k], w = part.get((states[k], c), (states[k], 1.0))
+                weight *= w
+            want.append(weight if said else 0.0)
+        state, got = 0, []
+        for c in kinds:
+            got.append(toxicity.WEIGHTS[state][c])
+            state = toxicity.MOVES[state][c]
+        assert np.allclose(got, want)
+
+
+def test_sample_takes_long_documents_and_is_bounded(spark):
+    docs = [(i, "word " * 50_000 if i % 2 else "short text") for i in range(60)] + [(4, "other text")] * 30
+    labels = [(i, 1, 0) for i in range(60)] + [(1000 + i, 1, 0) for i in range(500)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    found = labelled_sample(d, lab, "quality", 20).collect()
+    assert len(found) == len({r.doc_id for r in found}) == 20 and any(len(r.text) > 100_000 for r in found)
