@@ -25,6 +25,9 @@ CUT_BITS, SHORTEST, LONGEST = 10, 256, 16384
 #: Identifiers with two chunks up to this many are joined by broadcast (48 bytes each), more by a shuffle.
 CLASH_BROADCAST = 50_000
 
+#: Rows that one array stands for when repeated rows are given back.
+REPEATS = 4096
+
 _GEAR = np.random.default_rng(20260101).integers(0, 2**32, 256, dtype=np.uint32)
 
 
@@ -80,11 +83,11 @@ def _recipes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size long, kept, text_sha256, n_chunks int, n_rows long.
+    """One row per row: doc_id, keep_id, group_size long, kept, text_sha256, n_chunks int, n_rows long.
 
     Texts are equal when identical without any change; null counts as empty. Of equal texts the
-    largest id stays. Rows that repeat both id and text are one document: they give one row, whose
-    n_rows counts them, and group_size counts rows. A null id is below every other; a group of null
+    largest id stays. Rows that repeat both id and text are told apart by nothing: all of them are kept
+    or none, n_rows counts them, and group_size counts rows. A null id is below every other; a group of null
     ids only keeps null. Two texts under one id are two documents. An empty table gives no rows;
     other columns are not looked at.
     """
@@ -101,7 +104,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         "recipes",
     )
     groups = written(recipes.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.sum("n_rows").alias("group_size")), "groups")
-    return recipes.join(groups, "recipe").select(
+    # a recipe that repeats gives as many rows, by way of pieces of up to REPEATS, so no array grows with the data
+    pieces = F.sequence(F.lit(0).cast("long"), F.expr(f"(n_rows - 1) div {REPEATS}"))
+    repeated = recipes.join(groups, "recipe").withColumn("piece", F.explode(pieces)).withColumn("again", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(REPEATS), F.expr(f"n_rows - piece * {REPEATS}")))))
+    return repeated.select(
         "doc_id",
         "keep_id",
         "group_size",
