@@ -67,6 +67,7 @@ class Automaton:
                 self.reach[body[:4]] = max(len(body), self.reach.get(body[:4], 0))
         if not suffix:
             self.final = self.inner
+        self.longest = max(map(len, self.final), default=0)
         self.table: dict[int, bool] = {}
         self.words: dict[str, tuple[int, ...]] = {}
 
@@ -120,7 +121,7 @@ class Automaton:
         state, j, k, fresh = -1, 0, 0, True
         while n:
             if fresh:
-                t = self.final.get(word[j:])
+                t = self.final.get(word[j:]) if n - j <= self.longest else None
                 if t is not None and (state < 0 or arc(state, t)):
                     path.append((j, n, t))
                     break
