@@ -48,8 +48,8 @@ class Remembering:
     then, and what is used again moves to the young one. Very long pieces are not remembered.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list]):
-        self.encode, self.young, self.old = encode, {}, {}
+    def __init__(self, encode: Callable[[list[str]], list], most: int = REMEMBERED):
+        self.encode, self.most, self.young, self.old = encode, most, {}, {}
 
     def __call__(self, pieces: list[str]) -> list:
         young = self.young
@@ -63,7 +63,7 @@ class Remembering:
             for p, value in zip(new, self.encode(new), strict=True):
                 (young if len(p) <= 64 else beside)[p] = value
         found = [young[p] if p in young else beside[p] for p in pieces] if beside else list(map(young.__getitem__, pieces))
-        if len(young) > REMEMBERED:
+        if len(young) > self.most:
             self.young, self.old = {}, young
         return found
 

@@ -13,6 +13,7 @@ of the shard before the image.
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import zlib
@@ -30,6 +31,8 @@ from mathquarry.llm.common import shared_dir, sliced, texts_of
 from mathquarry.llm.pieces import TEXT_BYTES, Remembering, pieces_of, ragged
 
 MAGIC, HEAD, BLOCK = b"TIDS", "<4sBBIIQ", 4096
+#: Pieces whose ids a worker remembers at least (half of what it holds at most), and bytes of text of one partition.
+KNOWN, PART_BYTES = 250_000, 32_000_000
 
 
 def bits_for(vocabulary: int) -> int:
@@ -125,15 +128,41 @@ def encode_pieces(library, pieces: list[str]) -> list[bytes]:
     return [array("I", next(rest).ids).tobytes() if x is None else x for x in out]
 
 
+def by_pieces(path: str) -> bool:
+    """Whether a tokenizer file encodes a text as its white-space pieces one after the other, as :func:`pieces_of` cuts it.
+
+    That is known of files that lower-case, drop white space and take runs of letters as words; for all others texts are encoded whole.
+    """
+    with open(path, encoding="utf-8") as file:
+        data = json.load(file)
+    normal, split = data.get("normalizer") or {}, data.get("pre_tokenizer") or {}
+    first, *rest = split.get("pretokenizers") or [{}]
+    return (
+        [x["type"] for x in normal.get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
+        and normal["normalizers"][1]["pattern"] == {"Regex": r"\s+"}
+        and first.get("pattern") == {"Regex": WORDS}
+        and (first["behavior"], first["invert"]) == ("Removed", True)
+        and [(x["type"], x["add_prefix_space"], x["use_regex"]) for x in rest] == [("ByteLevel", False, False)]
+        and all(x["content"].startswith("<|") for x in data["added_tokens"])
+    )
+
+
+# Fixed value: the words of the tokenizer file that texts are cut for.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
 def write_store(docs: DataFrame, tokenizer: str, path: str, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode every text with a ``tokenizers`` file, append ``end_id``, and write images in ascending order of ids.
 
-    Null text is empty. Null ids come first; rows of one id are ordered by their text, repeated rows
-    are all stored. An empty table writes an empty store. Other columns are not looked at.
+    Null text is empty. Null ids come first; rows of one id are ordered by a hash of their text, so one id
+    may fill many partitions; repeated rows are all stored. An empty table writes an empty store. Other
+    columns are not looked at.
     """
     plain = texts_of(docs, id_col, text_col)
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = plain.select(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_BYTES))
     schema = "shard int, seq int, first long, n_ids long, image binary"
+    cut = by_pieces(tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -143,12 +172,16 @@ def write_store(docs: DataFrame, tokenizer: str, path: str, end_id: int | None =
         library.no_padding()
         library.no_truncation()
         bits = bits_for(library.get_vocab_size())
-        coded = Remembering(lambda pieces: encode_pieces(library, pieces))
+        coded = Remembering(lambda pieces: encode_pieces(library, pieces), KNOWN)
         shard, first = TaskContext.get().partitionId(), 0
         for seq, batch in enumerate(sliced(batches, "text", TEXT_BYTES)):
-            pieces, which, starts = pieces_of(batch.column("text"))
-            ids, bounds = ragged(coded(pieces), which, starts)
-            ends = bounds[1:]
+            if cut:
+                pieces, which, starts = pieces_of(batch.column("text"))
+                ids, bounds = ragged(coded(pieces), which, starts)
+                ends = bounds[1:]
+            else:
+                whole = [np.array(x.ids, dtype=np.uint32) for x in library.encode_batch_fast([t or "" for t in batch.column("text").to_pylist()], add_special_tokens=False)]
+                ids, ends = np.concatenate(whole), np.cumsum([len(x) for x in whole])
             if end_id is not None:
                 ids = np.insert(ids, ends, end_id)
                 ends = ends + np.arange(1, len(ends) + 1)
@@ -157,7 +190,8 @@ def write_store(docs: DataFrame, tokenizer: str, path: str, end_id: int | None =
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["shard", "seq", "first", "n_ids", "image"])
             first += len(ids)
 
-    ordered = plain.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    tied = plain.withColumn("tie", F.xxhash64("text"))
+    ordered = tied.repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
     ordered.mapInArrow(run, schema).write.option("compression", "zstd").parquet(path)
     return docs.sparkSession.read.schema(schema).parquet(path)
 

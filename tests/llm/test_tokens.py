@@ -33,6 +33,20 @@ def test_small_alphabets_have_every_tie():
         assert OWN.encode(word) == LIBRARY.encode(word, add_special_tokens=False).ids
 
 
+def test_long_words_take_linear_time():
+    import time
+
+    rng = random.Random(6)
+    spent = []
+    for n in (50_000, 200_000):
+        word = "".join(rng.choice("abcdefghij") for _ in range(n))
+        began = time.process_time()
+        ids = OWN.encode(word)
+        spent.append(time.process_time() - began)
+        assert ids == LIBRARY.encode(word, add_special_tokens=False).ids
+    assert spent[1] < 10 * spent[0] + 1
+
+
 def test_overlapping_merges():
     vocab = {t: i for i, t in enumerate(["a", "b", "aa", "ab", "aab", "aaaa"])}
     plain = bpe.Automaton(vocab, [("a", "a"), ("a", "b"), ("aa", "b"), ("aa", "aa")], suffix="")
@@ -78,6 +92,24 @@ def test_bits_and_misfits():
         token_store.write_image([1], np.array([1]), np.array([4], dtype=np.uint32), 2)
 
 
+def xxhash64(text):
+    """Spark's hash of a string: seed 42, signed; a null leaves the seed."""
+    import xxhash
+
+    found = 42 if text is None else xxhash.xxh64_intdigest(text.encode(), 42)
+    return found - 2**64 if found >> 63 else found
+
+
+def test_store_takes_other_tokenizer_files(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    texts = ["Hello World, it is", "a\n\nb", "", None, "İ  ß " * 2000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert not token_store.by_pieces(path) and token_store.by_pieces(PATH)
+    got = {r.doc_id: r.ids_crc32 for r in token_store.read_store(token_store.write_store(docs, path, token_store.new_path(docs), end_id=None)).collect()}
+    assert got == {i: zlib.crc32(np.array(library.encode(t or "", add_special_tokens=False).ids, dtype="<u4")) for i, t in enumerate(texts)}
+
+
 def test_store(spark):
     rows = [(i * 3, t) for i, t in enumerate(TEXTS)] + [(6, TEXTS[2]), (6, "b"), (None, "x y")]
     random.Random(1).shuffle(rows)
@@ -85,7 +117,7 @@ def test_store(spark):
     store = token_store.write_store(docs, PATH, token_store.new_path(docs))
     got = sorted((r.start, -1 if r.doc_id is None else r.doc_id, r.n_tokens, r.ids_crc32) for r in token_store.read_store(store).collect())
     want, at = [], 0
-    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
+    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, xxhash64(r[1]))):
         ids = [*LIBRARY.encode(t or "", add_special_tokens=False).ids, 2]
         want.append((at, -1 if i is None else i, len(ids), zlib.crc32(np.array(ids, dtype="<u4"))))
         at += len(ids)
