@@ -1,8 +1,8 @@
 """Queries over the equation engine's own operators.
 
 The supplied tables hold no equations, so most queries here run an operator over a stand-in of the
-same shape (events for formulas, conversations for runs of a paragraph, line items for shapes). Each
-has SQL to be held against; decoders of bytes and trees run on literal fixtures instead.
+same shape (events for formulas, conversations for runs of a paragraph, line items for shapes), or over
+formulas, streams and containers made from the tables' rows. Each has SQL to be held against.
 """
 
 from __future__ import annotations
@@ -12,12 +12,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mathquarry import samples
+from mathquarry import samples, standins
 from mathquarry.functions import mtef, omml, repair
 from mathquarry.operators import batches, canonical, detect, object_map, rewrite, risk
 from mathquarry.plans import dimensions as dim
 from mathquarry.plans import execution, routing, status
-from mathquarry.sources import containers
+from mathquarry.sources import containers, tables
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -369,108 +369,242 @@ def pipeline_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batches.run_counts(rows, "source")
 
 
-# ---- literal fixtures --------------------------------------------------------------------------
+# ---- formulas and containers made from rows --------------------------------------------------------
 
+_MATH = '<math:math xmlns:math="http://www.w3.org/1998/Math/MathML"'
+_DECLARED = f"""'<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '{_MATH} display="block">'"""
 
-@query()
+
+@query(
+    f"""SELECT p_partkey, '{_MATH}>' || replace(replace([
+      '<math:mfrac data-omml-frac-type="skw" bevelled="true"><math:mi>X</math:mi><math:mn>N</math:mn></math:mfrac>',
+      '<math:mfrac data-omml-frac-type="noBar" linethickness="0"><math:mi>X</math:mi><math:mn>N</math:mn></math:mfrac>',
+      '<math:msubsup><math:mi>X</math:mi><math:mi>i</math:mi><math:mn>N</math:mn></math:msubsup>',
+      '<math:mrow><math:munderover><math:mo data-omml-limLoc="undOvr" movablelimits="false">∫</math:mo><math:mn>0</math:mn><math:mn>N</math:mn></math:munderover><math:mi>X</math:mi></math:mrow>',
+      '<math:mroot><math:mi>X</math:mi><math:mn>N</math:mn></math:mroot>',
+      '<math:mfenced open="[" separators=";"><math:mi>X</math:mi></math:mfenced>',
+      '<math:mover accent="true"><math:mi>X</math:mi><math:mo>^</math:mo></math:mover>',
+      '<math:munder accentunder="true"><math:mi>X</math:mi><math:mo>¯</math:mo></math:munder>',
+      '<math:mtable><math:mtr><math:mtd><math:mi>X</math:mi></math:mtd><math:mtd><math:mn>N</math:mn></math:mtd></math:mtr><math:mtr><math:mtd><math:mn>N</math:mn></math:mtd><math:mtd><math:mi>X</math:mi></math:mtd></math:mtr></math:mtable>',
+      '<math:mrow><math:mi>sin</math:mi><math:mo>' || chr(8289) || '</math:mo><math:mi>X</math:mi></math:mrow>',
+      '<math:mi mathvariant="bold">X</math:mi>',
+      '<math:mrow data-omml-unsupported="strange"><math:mn>N</math:mn></math:mrow>',
+      '<math:menclose notation="bottom left right"><math:mi>X</math:mi></math:menclose>',
+      '<math:munder><math:mi>lim</math:mi><math:mi>X</math:mi></math:munder>'][p_partkey % 14 + 1], '>X<', '>' || chr((97 + p_partkey % 26)::INT) || '<'), '>N<', '>' || p_size || '<') || '</math:math>' AS mathml
+    FROM part"""
+)
+def omml_to_mathml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An OMML fragment for each part, in fourteen shapes, to MathML."""
+    rows = standins.omml_fragments(_table(spark, sf_dir, "part"), "p_partkey", "p_size")
+    made = detect.parsed(rows, "p_partkey", lambda key, text: [{"mathml": omml.omml_to_mathml(text)}], "mathml string")
+    return made.select(F.col("p_partkey").cast("long"), "mathml")
+
+
+@query(
+    """SELECT c_custkey, '<math xmlns="http://www.w3.org/1998/Math/MathML">' || CASE c_custkey % 4
+      WHEN 0 THEN '<msup><mi>' || x || '</mi><mn>' || n || '</mn></msup>'
+      WHEN 1 THEN '<msub><mi>' || x || '</mi><mi>i</mi></msub>'
+      WHEN 2 THEN '<mi>' || ['sin', 'cos', 'tan', 'cot', 'sec', 'csc', 'log', 'ln'][c_custkey % 8 + 1] || '</mi><mi>' || x || '</mi>'
+      ELSE '<mi>' || x || '</mi><mo>=</mo><msub><mi>log</mi><mn>' || n || '</mn></msub>' END || '</math>' AS repaired
+    FROM (SELECT c_custkey, chr((119 + c_custkey % 4)::INT) AS x, c_custkey % 90 + 2 AS n FROM customer)"""
+)
+def normalize_mathml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scripts without their base and function names in letters, one for each customer, repaired."""
+    rows = standins.broken_mathml(_table(spark, sf_dir, "customer"), "c_custkey")
+    made = detect.parsed(rows, "c_custkey", lambda key, text: [{"repaired": repair.repair_xml(text)}], "repaired string")
+    return made.select(F.col("c_custkey").cast("long"), "repaired")
+
+
+@query(
+    f"""SELECT p_partkey, CASE k WHEN 0 THEN {_DECLARED} || '<math:mrow><math:mfrac><math:mrow><math:mi>' || x || '</math:mi></math:mrow><math:mrow><math:mi>' || y || '</math:mi></math:mrow></math:mfrac></math:mrow></math:math>' || chr(10)
+      WHEN 1 THEN {_DECLARED} || '<math:mrow><math:msup><math:mi>' || x || '</math:mi><math:mrow><math:mn>' || p_partkey % 10 || '</math:mn></math:mrow></math:msup></math:mrow></math:math>' || chr(10)
+      WHEN 3 THEN {_DECLARED} || '<math:mrow><math:mi>' || x || '</math:mi></math:mrow></math:math>' || chr(10) END AS mathml,
+      CASE WHEN k IN (0, 1, 3) THEN 3 END AS version, [25, 24, NULL, 12, NULL][k + 1] AS parsed_bytes, ['14:0:tmFRACT', '15:0:tmSUP', NULL, '', NULL][k + 1] AS templates,
+      ['3:fnVARIABLE=2', '3:fnVARIABLE=1,8:fnNUMBER=1', NULL, '3:fnVARIABLE=1', NULL][k + 1] AS typefaces,
+      [NULL, NULL, 'Unsupported template selector=43 variation=2 at offset 7.', NULL, 'Unexpected EOF at offset 7.'][k + 1] AS problem
+    FROM (SELECT p_partkey, (p_partkey % 5)::INT AS k, chr((97 + p_partkey % 26)::INT) AS x, chr((97 + p_partkey % 25)::INT) AS y FROM part)"""
+)
 def mtef_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Equation Native streams decoded; what is not supported says why."""
+    """An Equation Native stream for each part decoded; what is not supported says why."""
 
-    def read(name: str, stream: bytes) -> list[dict]:
+    def read(key: str, stream: bytes) -> list[dict]:
         try:
             made = mtef.decode_stream(stream)
         except mtef.MtefError as problem:
             return [{"problem": str(problem)}]
-        return [{"mathml": made.mathml, "version": made.version, "parsed_bytes": made.parsed_bytes, "templates": made.template_counts, "typefaces": made.typeface_counts}]
+        faces = ",".join(f"{k}={n}" for k, n in sorted(made.typeface_counts.items()))
+        return [{"mathml": made.mathml, "version": made.version, "parsed_bytes": made.parsed_bytes, "templates": ",".join(sorted(made.template_counts)), "typefaces": faces}]
 
-    rows = spark.createDataFrame(list(samples.STREAMS.items()), "name string, stream binary")
-    found = detect.parsed(rows, "name", read, "mathml string, version int, parsed_bytes int, templates map<string,int>, typefaces map<string,int>, problem string")
-    return found.withColumn("canonical_sha256", F.sha2("mathml", 256))
+    rows = standins.equation_streams(_table(spark, sf_dir, "part"), "p_partkey")
+    found = detect.parsed(rows, "p_partkey", read, "mathml string, version int, parsed_bytes int, templates string, typefaces string, problem string")
+    return found.select(F.col("p_partkey").cast("long"), "mathml", "version", "parsed_bytes", "templates", "typefaces", "problem")
 
 
-@query()
-def omml_to_mathml(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """OMML fragments to MathML."""
-    rows = spark.createDataFrame(list(samples.OMML.items()), "name string, omml string")
-    return detect.parsed(rows, "name", lambda name, text: [{"mathml": omml.omml_to_mathml(text)}], "mathml string")
+# A container for each supplier: v its variant, n the objects in it, x its letter; o numbers the objects.
+_FILES_SQL = """s AS (SELECT s_suppkey % 9 AS v, 1 + s_suppkey % 3 AS n, chr((97 + s_suppkey % 26)::INT) AS x,
+      s_suppkey || '-' || ['omml.docx', 'mathtype.docx', 'equation3.docx', 'axmath.docx', 'legacy.doc', 'native.odt', 'bridge.odt', 'flat.fodt', 'broken.docx'][s_suppkey % 9 + 1] AS doc_id FROM supplier),
+    o AS (SELECT *, unnest(range(1, n + 1)) AS i FROM s)"""
 
 
-@query()
-def normalize_mathml(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """D3: scripts and function names repaired."""
-    rows = spark.createDataFrame(list(samples.MATHML.items()), "name string, mathml string")
-    return detect.parsed(rows, "name", lambda name, text: [{"repaired": repair.repair_xml(text)}], "repaired string")
+def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = standins.container_files(_table(spark, sf_dir, "supplier"), "s_suppkey")
+    return tables.kept(containers.entries_of(containers.described(files)), "entries")
 
 
-def _sample_entries(spark: SparkSession) -> DataFrame:
-    files = spark.createDataFrame([(name, bytearray(data)) for name, data in samples.containers().items()], "doc_id string, content binary").coalesce(1)
-    return containers.entries_of(containers.described(files)).cache()
+def _formula_table(entries: DataFrame) -> DataFrame:
+    return tables.kept(detect.detect_all(entries, tables.kept), "formulas")
 
 
-def _sample_formulas(entries: DataFrame) -> DataFrame:
-    return detect.detect_all(entries, lambda df, name: df.cache()).cache()
+_FORMULAS_SQL = f"""WITH {_FILES_SQL},
+    f AS (SELECT doc_id, 'omml-native' AS family, 'word/document.xml' AS part, 'main' AS story, 'omml-inline' AS kind, i AS paragraph, 2 AS run, i AS seq, NULL AS target, 'low' AS risk, '' AS flags, 0.99 AS sure FROM o WHERE v = 0
+    UNION ALL SELECT doc_id, 'omml-native', 'word/comments.xml', 'comment', 'omml-inline', 1, 1, n + 1, NULL, 'medium', 'story-part-nonmain', 0.99 FROM s WHERE v = 0
+    UNION ALL SELECT doc_id, 'mathtype-ole', 'word/document.xml', 'main', 'ole-embedded', i, 2, i, 'word/embeddings/oleObject' || i || '.bin', 'low', '', 0.97 FROM o WHERE v = 1
+    UNION ALL SELECT doc_id, 'equation-editor-3-ole', 'word/document.xml', 'main', 'ole-embedded', i - 1, 1, i, 'word/embeddings/oleObject' || i || '.bin', 'low', 'eq3-prog-id,eqnolefilehdr-present', 0.75 FROM o WHERE v = 2
+    UNION ALL SELECT doc_id, 'axmath-ole', 'word/document.xml', 'main', 'ole-embedded', i, 2, i, 'word/embeddings/oleObject' || i || '.bin', 'medium',
+      'export-assisted-route,native-static-parse-unverified,mathml-export-unverified,custom-symbols-present', 0.99 FROM o WHERE v = 3
+    UNION ALL SELECT doc_id, 'equation-editor-3-ole', 'legacy-doc:ObjectPool/_1/Equation Native', 'main', 'ole-cfb-stream', 0, 0, 1, 'ObjectPool/_1/Equation Native', 'low', 'eq3-prog-id,eqnolefilehdr-present', 0.75 FROM s WHERE v = 4
+    UNION ALL SELECT doc_id, if(v = 6, 'libreoffice-transformed', 'odf-native'), 'content.xml', 'main', 'odf-content-inline-mathml', NULL, NULL, i, NULL, if(v = 6, 'high', 'low'),
+      if(v = 6, 'transformed-source,libreoffice-bridge,original-origin:omml', ''), if(v = 6, 0.9, 0.99) FROM o WHERE v IN (5, 6, 7)
+    UNION ALL SELECT doc_id, if(v = 6, 'libreoffice-transformed', 'odf-native'), 'Object 1/content.xml', 'main', 'odf-draw-object-subdocument', NULL, NULL, n + 1, './Object 1', if(v = 6, 'high', 'low'),
+      if(v = 6, 'transformed-source,libreoffice-bridge,original-origin:omml', ''), if(v = 6, 0.9, 0.99) FROM s WHERE v IN (5, 6))"""
 
 
-@query()
+@query(
+    f"""{_FORMULAS_SQL} SELECT doc_id, format('{{}}-{{:04d}}', family, seq) AS formula_id, family AS source_family, if(family = 'libreoffice-transformed', 'transformed-source', 'native-source') AS source_role,
+    part AS doc_part_path, story AS story_type, kind AS storage_kind, paragraph::INT AS paragraph_index, run::INT AS run_index, target AS embedding_target, risk AS risk_level, flags AS risk_flags, sure::DOUBLE AS confidence FROM f"""
+)
 def detected_formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The formula table of literal containers, all families."""
-    return _sample_formulas(_sample_entries(spark))
+    """The formula table of a container for each supplier, all families."""
+    found = _formula_table(_entries(spark, sf_dir))
+    plain = ("doc_id", "formula_id", "source_family", "source_role", "doc_part_path", "story_type", "storage_kind", "paragraph_index", "run_index", "embedding_target", "risk_level")
+    return found.select(*plain, F.array_join("risk_flags", ",").alias("risk_flags"), "confidence")
 
 
-@query()
+@query(
+    f"""WITH {_FILES_SQL} SELECT doc_id, split_part(doc_id, '.', -1) AS container_format, ['ooxml-zip', 'ooxml-zip', 'ooxml-zip', 'ooxml-zip', 'ole-cfb', 'odf-zip', 'odf-zip', 'flat-xml', 'ooxml-zip'][v + 1] AS package_kind,
+    [3, n + 2, n + 2, n + 2, 2, 2, 3, 1, 0][v + 1]::BIGINT AS entry_count,
+    CASE WHEN v IN (1, 2, 3) THEN array_to_string([ 'word/embeddings/oleObject' || i || '.bin' for i in range(1, n + 1)], ',') WHEN v = 4 THEN 'ObjectPool/_1/Equation Native' ELSE '' END AS embedding_targets,
+    if(v IN (1, 2, 3), 'word/_rels/document.xml.rels', '') AS relationship_parts, CASE v WHEN 4 THEN 'ObjectPool/_1' WHEN 5 THEN 'Object 1/content.xml' WHEN 6 THEN 'Object 1/content.xml' ELSE '' END AS object_parts,
+    if(v = 8, 1, 0)::INT AS notes, part_path, story_type, omml::INT AS omml_count, ole::INT AS ole_object_count, odf::INT AS odf_math_count, drawn::INT AS graphic_reference_count
+    FROM s LEFT JOIN (SELECT doc_id AS d, 'word/document.xml' AS part_path, 'main' AS story_type, if(v = 0, n, 0) AS omml, if(v = 0, 0, n) AS ole, 0 AS odf, 0 AS drawn FROM s WHERE v < 4
+      UNION ALL SELECT doc_id, 'word/comments.xml', 'comment', 1, 0, 0, 0 FROM s WHERE v = 0 UNION ALL SELECT doc_id, 'WordDocument', 'main', 0, 1, 0, 0 FROM s WHERE v = 4
+      UNION ALL SELECT doc_id, if(v = 7, doc_id, 'content.xml'), 'main', 0, 0, n, 1 FROM s WHERE v IN (5, 6, 7) UNION ALL SELECT doc_id, 'Object 1/content.xml', 'object', 0, 0, 1, 0 FROM s WHERE v IN (5, 6)) ON d = doc_id"""
+)
 def container_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the containers hold."""
-    entries = _sample_entries(spark)
-    return containers.scan(entries).join(containers.story_parts(entries), "doc_id", "left")
+    """What the containers hold."""
+    entries = _entries(spark, sf_dir)
+    found = containers.scan(entries).join(containers.story_parts(entries), "doc_id", "left")
+    lists = [F.array_join(c, ",").alias(c) for c in ("embedding_targets", "relationship_parts", "object_parts")]
+    counts = ("part_path", "story_type", "omml_count", "ole_object_count", "odf_math_count", "graphic_reference_count")
+    return found.select("doc_id", "container_format", "package_kind", "entry_count", *lists, F.size("notes").alias("notes"), *counts)
+
+
+_FRACTION_SQL = f"""{_DECLARED} || '<math:mrow><math:mfrac><math:mrow><math:mi>' || x || '</math:mi></math:mrow><math:mrow><math:mi>y</math:mi></math:mrow></math:mfrac></math:mrow></math:math>' || chr(10)"""
+_OMML_SQL = f"""'{_MATH}><math:mfrac><math:mi>' || x || '</math:mi><math:mn>' || n || '</math:mn></math:mfrac></math:math>'"""
+_ODF_SQL = """'<ns0:math xmlns:ns0="http://www.w3.org/1998/Math/MathML"><ns0:mi>' || x || '</ns0:mi></ns0:math>'"""
+_CANONICAL_SQL = f"""c AS (SELECT doc_id, 'omml-native' AS family, 'word/comments.xml' AS part, 1 AS place, 1 AS number, {_OMML_SQL} AS mathml, 0 AS attributes, '' AS display FROM s WHERE v = 0
+    UNION ALL SELECT doc_id, 'omml-native', 'word/document.xml', i, i + 1, {_OMML_SQL}, 0, '' FROM o WHERE v = 0
+    UNION ALL SELECT doc_id, 'equation-editor-3-ole', 'word/document.xml', i, i, {_FRACTION_SQL}, 1, 'block' FROM o WHERE v = 2
+    UNION ALL SELECT doc_id, 'equation-editor-3-ole', 'legacy-doc:ObjectPool/_1/Equation Native', 1, 1, {_FRACTION_SQL}, 1, 'block' FROM s WHERE v = 4
+    UNION ALL SELECT doc_id, 'odf-native', 'Object 1/content.xml', 1, 1, {_ODF_SQL}, 0, '' FROM s WHERE v IN (5, 6)
+    UNION ALL SELECT doc_id, 'odf-native', if(v = 7, doc_id, 'content.xml'), i, if(v = 7, i, i + 1), {_ODF_SQL}, 0, '' FROM o WHERE v IN (5, 6, 7))"""
 
 
-@query()
+@query(
+    f"""WITH {_FILES_SQL}, {_CANONICAL_SQL} SELECT doc_id, family AS source_family, part, place::INT AS part_index, 'accepted' AS status, format('{{}}-{{:04d}}', family, number) AS canonical_id, mathml, sha256(mathml) AS canonical_sha256,
+    attributes::INT AS mathml_attribute_count, display AS root_display FROM c"""
+)
 def canonical_formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Canonical MathML of OMML, ODF and Equation 3.0 formulas with its signals."""
-    entries = _sample_entries(spark)
-    return canonical.all_canonical(entries, _sample_formulas(entries))
+    """Canonical MathML of OMML, ODF and Equation 3.0 formulas with its digest and signals."""
+    entries = _entries(spark, sf_dir)
+    made = canonical.all_canonical(entries, _formula_table(entries))
+    return made.select("doc_id", "source_family", "part", "part_index", "status", "canonical_id", "mathml", "canonical_sha256", "signals.mathml_attribute_count", "signals.root_display")
+
 
+_PARITY_SQL = f"""{_FORMULAS_SQL}, {_CANONICAL_SQL}, p AS (SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(a.family, b.family) AS source_family, coalesce(expected, 0) AS expected, coalesce(accepted, 0) AS accepted, attributes, displays
+    FROM (SELECT doc_id, family, count(*) AS expected FROM f GROUP BY ALL) a
+    FULL JOIN (SELECT doc_id, family, count(*) AS accepted, sum(attributes)::BIGINT AS attributes, coalesce(string_agg(DISTINCT display) FILTER (display <> ''), '') AS displays FROM c GROUP BY ALL) b USING (doc_id, family))"""
+_GATES_SQL = """expected, accepted, 0::BIGINT AS unsupported, if(expected = accepted, 'passed', 'mismatch') AS formula_count_parity,
+    CASE WHEN expected <> accepted OR accepted = 0 THEN 'blocked-canonical-artifact' WHEN source_family = 'equation-editor-3-ole' THEN 'passed-limited' ELSE 'passed' END AS gate_status"""
 
-@query()
+
+@query(f"{_PARITY_SQL} SELECT doc_id, source_family, {_GATES_SQL} FROM p")
 def canonical_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Canonical rows held against the formula table's counts."""
-    entries = _sample_entries(spark)
-    formulas = _sample_formulas(entries)
-    counts = routing.source_counts(formulas).where(F.col("source_family").isin("omml-native", "odf-native", "equation-editor-3-ole"))
-    return canonical.canonical_summary(canonical.all_canonical(entries, formulas), counts)
+    """Canonical rows held against the formula table's counts, all families."""
+    entries = _entries(spark, sf_dir)
+    formulas = _formula_table(entries)
+    found = canonical.canonical_summary(canonical.all_canonical(entries, formulas), routing.source_counts(formulas))
+    return found.select("doc_id", "source_family", "expected", "accepted", "unsupported", "formula_count_parity", "gate_status")
+
 
+@query(
+    f"""{_PARITY_SQL} SELECT doc_id, source_family, {_GATES_SQL}, attributes AS mathml_attribute_count, displays AS root_display_values, contract_status, conversion_claim, binding
+    FROM p JOIN (VALUES ('mathtype-ole', 'external-tool-gated', FALSE, 'equation-native-mtef-to-normalized-mathml'), ('omml-native', 'implemented-basic', TRUE, 'internal-omml-to-canonical-mathml'),
+      ('equation-editor-3-ole', 'implemented-limited', TRUE, 'internal-equation3-mtef-v2v3-to-canonical-mathml-limited'), ('axmath-ole', 'export-gated', FALSE, 'approved-axmath-export-to-canonical-mathml'),
+      ('odf-native', 'implemented', TRUE, 'preserve-existing-odf-mathml'), ('libreoffice-transformed', 'bridge-review-gated', FALSE, 'bridge-provenance-review-before-canonical-mathml')) k(source_family, contract_status, conversion_claim, binding) USING (source_family)"""
+)
+def validation_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document and family, parity, gate, signals and the contract that they serve."""
+    entries = _entries(spark, sf_dir)
+    formulas = _formula_table(entries)
+    found = canonical.evidence(tables.kept(canonical.all_canonical(entries, formulas), "canonical"), routing.source_counts(formulas))
+    plain = ("doc_id", "source_family", "expected", "accepted", "unsupported", "formula_count_parity", "gate_status", "mathml_attribute_count")
+    return found.select(*plain, F.array_join("root_display_values", ",").alias("root_display_values"), "contract_status", "conversion_claim", "binding")
 
-@query()
+
+@query(
+    f"""WITH {_FILES_SQL} SELECT doc_id, i::INT AS sequence, i::INT AS paragraph_index, 2::INT AS run_index, '[OLE]' AS run_text, 'Before ' || x || i || ' [OLE]After' AS paragraph_text, 'Before ' || x || i || ' ' AS text_before, 'After' AS text_after,
+    ['Equation.DSMT4', 'Equation.3', 'Equation.AxMath'][v] AS prog_id, 'rId' || i AS ole_rid, 'embeddings/oleObject' || i || '.bin' AS ole_target, n::INT AS paragraph_count, 0::INT AS omml_run_child_count FROM o WHERE v IN (1, 2, 3)
+    UNION ALL SELECT doc_id, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, n::INT, n::INT FROM s WHERE v = 0"""
+)
 def object_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where objects stand in their documents."""
-    entries = _sample_entries(spark)
-    return object_map.object_map(entries, detect.relationships(entries))
+    """Where objects stand in their documents."""
+    entries = _entries(spark, sf_dir)
+    found = object_map.object_map(entries, detect.relationships(entries))
+    return found.select("doc_id", "sequence", "paragraph_index", "run_index", "run_text", "paragraph_text", "text_before", "text_after", "prog_id", "ole_rid", "ole_target", "paragraph_count", "omml_run_child_count")
 
 
-@query()
+@query(
+    f"""WITH {_FILES_SQL} SELECT doc_id, 'word/embeddings/oleObject' || i || '.bin' AS entry, 'Equation Native' AS name, 4096::BIGINT AS size_bytes, rpad('MathType EF MTEF5 DSMT7 ' || x, 96, '.') AS ascii_preview,
+    rpad(lower(hex('MathType EF MTEF5 DSMT7 ' || x)), 64, '0') AS hex_prefix, sha256(rpad('MathType EF MTEF5 DSMT7 ' || x, 4096, chr(0))) AS content_sha256 FROM o WHERE v = 1"""
+)
 def payload_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Streams of embedded compound files."""
-    return object_map.streams(_sample_entries(spark))
+    """Streams of embedded compound files."""
+    return object_map.streams(_entries(spark, sf_dir)).select("doc_id", "entry", "name", "size_bytes", "ascii_preview", "hex_prefix", F.sha2("content", 256).alias("content_sha256"))
 
 
-@query()
+@query(
+    f"""WITH {_FILES_SQL} SELECT doc_id, [3, n + 2, n + 2, n + 2, 2, 2, 3, 1, 0][v + 1]::BIGINT AS entry_count, CASE WHEN v = 0 THEN n WHEN v < 4 THEN 0 END::INT AS omath_count, if(v < 4, 0, NULL)::INT AS omath_para_count,
+    CASE WHEN v = 0 THEN 0 WHEN v < 4 THEN n END::INT AS ole_object_count, CASE WHEN v = 0 THEN 0 WHEN v < 4 THEN n END::BIGINT AS embedding_count,
+    CASE WHEN v = 0 THEN '' WHEN v < 4 THEN array_to_string(['word/embeddings/oleObject' || i || '.bin|' || [5632, 53, 29][v] || '|' || ['MathType+MTEF', '', ''][v] || '|' || ['MathType EF MTEF5 DSMT7 ' || x, '', 'AxMath ' || x || ' with a custom symbol'][v]
+      for i in range(1, n + 1)], ';') END AS first_embeddings FROM s"""
+)
 def document_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts and first embeddings of each document."""
-    return object_map.overview(_sample_entries(spark))
+    """Counts and first embeddings of each document."""
+    said = F.transform("first_embeddings", lambda e: F.concat_ws("|", e["name"], e["size_bytes"].cast("string"), F.array_join(e["found_keywords"], "+"), F.array_join(e["ascii_preview"], "+")))
+    return object_map.overview(_entries(spark, sf_dir)).select("doc_id", "entry_count", "omath_count", "omath_para_count", "ole_object_count", "embedding_count", F.array_join(said, ";").alias("first_embeddings"))
 
 
-@query()
+@query(
+    f"""{_FORMULAS_SQL} SELECT doc_id, source_family, formula_count, provider, action_order::INT AS action_order, action_id, blocking, status
+    FROM (SELECT doc_id, family AS source_family, count(*) AS formula_count FROM f GROUP BY ALL) JOIN (VALUES
+      ('omml-native', 'omml', 1, 'extract-omml', FALSE, 'completed'), ('omml-native', 'omml', 2, 'normalize-omml', FALSE, 'completed'), ('omml-native', 'omml', 3, 'omml-to-canonical-mathml', FALSE, 'completed'),
+      ('omml-native', 'omml', 4, 'render-check', FALSE, 'skipped'), ('omml-native', 'omml', 5, 'package-omml-output', FALSE, 'completed'),
+      ('mathtype-ole', 'mathtype', 1, 'extract-equation-native', TRUE, 'blocked-external-tool'), ('mathtype-ole', 'mathtype', 2, 'mtef-to-mathml', TRUE, 'blocked-external-tool'),
+      ('mathtype-ole', 'mathtype', 3, 'normalize-mathml', TRUE, 'blocked-external-tool'), ('mathtype-ole', 'mathtype', 4, 'mathml-to-omml', TRUE, 'blocked-external-tool'),
+      ('mathtype-ole', 'mathtype', 5, 'replace-ole-with-omml', TRUE, 'blocked-external-tool'), ('mathtype-ole', 'mathtype', 6, 'validate-word-output', FALSE, 'blocked-external-tool'),
+      ('equation-editor-3-ole', 'equation3', 1, 'probe-header-and-classid', FALSE, 'completed'), ('equation-editor-3-ole', 'equation3', 2, 'attempt-mtef-conversion', TRUE, 'completed'),
+      ('equation-editor-3-ole', 'equation3', 3, 'fallback-manual-triage', TRUE, 'skipped-not-needed'), ('equation-editor-3-ole', 'equation3', 4, 'word-roundtrip-validation', TRUE, 'skipped-downstream'),
+      ('axmath-ole', 'axmath', 1, 'classify-axmath-object', TRUE, 'export-gate'), ('axmath-ole', 'axmath', 2, 'export-assisted-conversion', TRUE, 'blocked-external-tool'),
+      ('axmath-ole', 'axmath', 3, 'import-converted-math', TRUE, 'skipped-until-export-artifacts'), ('axmath-ole', 'axmath', 4, 'manual-spot-check', TRUE, 'review-gated'),
+      ('odf-native', 'odf', 1, 'extract-odf-formula', TRUE, 'completed'), ('odf-native', 'odf', 2, 'convert-odf-mathml', TRUE, 'completed'), ('odf-native', 'odf', 3, 'emit-target-format', FALSE, 'validation-gated'),
+      ('libreoffice-transformed', 'odf', 1, 'inspect-transform-chain', TRUE, 'review-gated'), ('libreoffice-transformed', 'odf', 2, 'bridge-review', TRUE, 'review-gated'),
+      ('libreoffice-transformed', 'odf', 3, 'decide-reconvert-or-accept', TRUE, 'review-gated')) a(source_family, provider, action_order, action_id, blocking, status) USING (source_family)"""
+)
 def action_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every action's status from what the converters found."""
-    entries = _sample_entries(spark)
-    formulas = _sample_formulas(entries)
+    """Every action's status from what the converters found."""
+    entries = _entries(spark, sf_dir)
+    formulas = _formula_table(entries)
     plan = routing.execution_plan(routing.route_plan(routing.source_counts(formulas)))
-    return execution.action_reports(plan, canonical.document_facts(entries, formulas))
-
-
-@query()
-def validation_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document and family, parity, gate, signals and the contract that they serve."""
-    entries = _sample_entries(spark)
-    formulas = _sample_formulas(entries)
-    return canonical.evidence(canonical.all_canonical(entries, formulas).cache(), routing.source_counts(formulas))
+    found = execution.action_reports(plan, canonical.document_facts(entries, formulas))
+    return found.select("doc_id", "source_family", "formula_count", "provider", "action_order", "action_id", "blocking", "status")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,3 +58,21 @@ def validation_target(direct: Column, metadata: Column) -> Column:
 def slug(name: Column) -> Column:
     """A file-name-safe form of a stream name."""
     return F.regexp_replace(F.regexp_replace(name, r"[^A-Za-z0-9._-]+", "_"), "^_+|_+$", "")
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """The same rows, written to the shared folder and read back, so that several uses don't make them anew.
+
+    The folder is spark.checkpoint.dir, or one in the warehouse where that is unset; a warehouse without a file
+    system's name may lie on one machine only, so on a cluster it is refused.
+    """
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        if not spark.sparkContext.master.startswith("local") and (":" not in folder or folder.startswith("file:")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder += "/_checkpoints"
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
