@@ -125,10 +125,63 @@ def _flac(b: bytes, at: int) -> int | None:
             return None
         last, first, to = b[to] & 0x80, False, to + 4 + size
         if last:
-            return len(b) - at if b[to : to + 1] in (b"", b"\xff") else None
+            least = int.from_bytes(b[at + 12 : at + 15], "big")
+            total = int.from_bytes(b[at + 21 : at + 26], "big") & (1 << 36) - 1
+            return _flac_frames(b, to, least, total) - at
     return None
 
 
+def _crc(width: int, polynomial: int) -> list[int]:
+    """Table of a CRC that takes the highest bit first."""
+    top, mask = 1 << width - 1, (1 << width) - 1
+    table = []
+    for value in range(256):
+        value <<= width - 8
+        for _ in range(8):
+            value = (value << 1 ^ polynomial if value & top else value << 1) & mask
+        table.append(value)
+    return table
+
+
+_CRC8, _CRC16 = _crc(8, 0x07), _crc(16, 0x8005)
+
+
+def _flac_header(b: bytes, to: int) -> int | None:
+    """Samples of the frame whose header stands there, confirmed by its CRC-8."""
+    if b[to : to + 2] not in (b"\xff\xf8", b"\xff\xf9") or to + 6 > len(b):
+        return None
+    size, rate = b[to + 2] >> 4, b[to + 2] & 15
+    lead = b[to + 4]
+    number = 1 if lead < 0x80 else 8 - (lead ^ 0xFF).bit_length()  # bytes of the frame's number, coded like UTF-8
+    if not size or rate == 15 or number > 7 or lead & 0xC0 == 0x80:
+        return None
+    after = to + 4 + number
+    samples = 192 if size == 1 else 576 << size - 2 if size < 6 else 256 << size - 8 if size > 7 else int.from_bytes(b[after : after + size - 5], "big") + 1
+    end = after + (size - 5 if size in (6, 7) else 0) + {12: 1, 13: 2, 14: 2}.get(rate, 0)
+    crc = 0
+    for x in b[to:end]:
+        crc = _CRC8[crc ^ x]
+    return samples if b[end : end + 1] == bytes([crc]) else None
+
+
+def _flac_frames(b: bytes, to: int, least: int, total: int) -> int:
+    """Where the frames end that follow each other: each is confirmed by its CRC-16, up to the stream's number of samples if that is told."""
+    done = 0
+    while (samples := _flac_header(b, to)) and not (total and done >= total):
+        crc, at, end = 0, to, None
+        while at < len(b):
+            crc = (crc << 8 & 0xFFFF) ^ _CRC16[crc >> 8 ^ b[at]]
+            at += 1
+            # the CRC of a whole frame and its footer is zero; what follows tells a chance zero from the frame's end
+            if not crc and at - to >= max(least, 8) and (_flac_header(b, at) or total and done + samples >= total or at == len(b)):
+                end = at
+                break
+        if end is None:
+            break
+        to, done = end, done + samples
+    return to
+
+
 def _ogg(b: bytes, at: int) -> int | None:
     to = at
     while b[to : to + 4] == b"OggS" and to + 27 <= len(b):
@@ -147,7 +200,42 @@ def _id3(b: bytes, at: int) -> int | None:
     if len(h) < 10 or h[3] not in (2, 3, 4) or h[4] == 0xFF or any(x & 0x80 for x in h[6:]):
         return None
     to = at + 10 + (h[6] << 21 | h[7] << 14 | h[8] << 7 | h[9])
-    return len(b) - at if b[to : to + 1] == b"\xff" and b[to + 1 : to + 2] and b[to + 1] & 0xE0 == 0xE0 else None
+    first = to
+    while size := _mpeg_frame(b, to):
+        if to + size > len(b):
+            break
+        to += size
+    if to == first:
+        return None
+    return to - at + (128 if b[to : to + 3] == b"TAG" and to + 128 <= len(b) else 0)
+
+
+# Fixed values of MPEG audio: kilobits a second by (MPEG 1, layer), and sample rates of MPEG 1.
+_BITRATES = {
+    (True, 1): (32, 64, 96, 128, 160, 192, 224, 256, 288, 320, 352, 384, 416, 448),
+    (True, 2): (32, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320, 384),
+    (True, 3): (32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320),
+    (False, 1): (32, 48, 56, 64, 80, 96, 112, 128, 144, 160, 176, 192, 224, 256),
+    (False, 2): (8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160),
+    (False, 3): (8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160),
+}
+_RATES = (44100, 48000, 32000)
+
+
+def _mpeg_frame(b: bytes, to: int) -> int:
+    """Bytes of the MPEG audio frame whose header stands there; 0 if none does."""
+    h = b[to : to + 4]
+    if len(h) < 4 or h[0] != 0xFF or h[1] & 0xE0 != 0xE0:
+        return 0
+    version, layer, bits, rate = h[1] >> 3 & 3, 4 - (h[1] >> 1 & 3), h[2] >> 4, h[2] >> 2 & 3
+    if version == 1 or layer == 4 or bits in (0, 15) or rate == 3:
+        return 0
+    kilobits = _BITRATES[version == 3, layer][bits - 1]
+    hertz = _RATES[rate] >> {3: 0, 2: 1, 0: 2}[version]
+    padding = h[2] >> 1 & 1
+    if layer == 1:
+        return (12_000 * kilobits // hertz + padding) * 4
+    return (72_000 if layer == 3 and version != 3 else 144_000) * kilobits // hertz + padding
 
 
 def _midi(b: bytes, at: int) -> int | None:
@@ -223,7 +311,10 @@ class Sniffer:
         self.tree.make_automaton()
 
     def __call__(self, data: bytes) -> list[tuple[int, int, str]]:
-        """(offset, length, type) of every confirmed medium; those inside another confirmed one are left to it."""
+        """(offset, length, type) of every confirmed medium, also of those in PDF files and in members that a ZIP file stores as they are.
+
+        What stands inside of other media is left to them.
+        """
         out: list[tuple[int, int, str]] = []
         free = 0
         for end, found in self.tree.iter(data.decode("latin-1")):
@@ -231,18 +322,37 @@ class Sniffer:
                 at = end - back
                 if at >= free and (n := check(data, at)):
                     out.append((at, n, kind))
-                    free = at + n
+                    free = at + (5 if kind == "application/pdf" else n)
+                    if kind == "application/zip":
+                        out += [(a + begin, m, inner) for a, size in stored_members(data, at, n) for begin, m, inner in self(data[a : a + size])]
                     break
         return out
 
 
+def stored_members(b: bytes, at: int, length: int) -> list[tuple[int, int]]:
+    """(offset, size) of the members that the ZIP file at ``at`` holds without compression."""
+    tail = b.rfind(b"PK\x05\x06", at, at + length)
+    found = []
+    to = at + struct.unpack_from("<I", b, tail + 16)[0]
+    while to + 46 <= tail and b[to : to + 4] == b"PK\x01\x02":
+        method, size, n, more, note = struct.unpack_from("<H", b, to + 10)[0], *struct.unpack_from("<I", b, to + 20), *struct.unpack_from("<HHH", b, to + 28)
+        local = at + struct.unpack_from("<I", b, to + 42)[0]
+        if method == 0 and b[local : local + 4] == b"PK\x03\x04" and local + 30 <= tail:
+            begin = local + 30 + sum(struct.unpack_from("<HH", b, local + 26))
+            if begin + size <= tail:
+                found.append((begin, size))
+        to += 46 + n + more + note
+    return found
+
+
 def sniff_media(df: DataFrame, column: str, declared: str | None = None, name: str = "media_info") -> DataFrame:
     """Adds struct ``name``: type, declared, corrected, length, embedded array<struct<at, length, type, data>>.
 
     type is that of the medium confirmed at offset 0, else null; corrected tells that it differs from
     the declared type (null: not declared). Embedded media are those further in; inside of a WAV,
     its samples are searched too. Null and empty values have type null and nothing embedded. A
-    column called ``name`` is replaced, all others stay.
+    column called ``name`` is replaced, all others stay. Repeated rows each get their row, an empty
+    table gives none; a value of any length is searched whole.
     """
     kind = "struct<type string, declared string, corrected boolean, length long, embedded array<struct<at long, length long, type string, data binary>>>"
 

@@ -45,6 +45,55 @@ def test_sniff_column(spark):
     assert [(e.at, e.type, bytes(e.data)) for e in got[2].embedded] == [(4, "image/png", png())]
     assert got[3].type is None and got[4].type is None and not got[4].embedded
     assert (got[5].type, got[5].corrected, [(e.at, e.type) for e in got[5].embedded]) == ("audio/wav", False, [(45, "image/png")])
+    twice = spark.createDataFrame([(1, png(), "image/png", "x")] * 2, "id int, b binary, d string, media_info string")
+    assert media.sniff_media(twice, "b", "d").count() == 2 and media.sniff_media(twice.limit(0), "b", "d").count() == 0
+
+
+def mp3(frames=3):
+    return b"ID3\x04\0\0\0\0\0\x05hello" + (b"\xff\xfb\x90\x00" + b"\0" * 413) * frames
+
+
+def flac(frames=3, total=True):
+    """Frames of constant subframes: 16 bits, one channel, 192 samples each."""
+    out = b""
+    for k in range(frames):
+        head = b"\xff\xf8\x19\x08" + bytes([k])
+        crc = 0
+        for x in head:
+            crc = media._CRC8[crc ^ x]
+        body = head + bytes([crc]) + b"\0\x12" + bytes([k * 7 % 256])
+        crc = 0
+        for x in body:
+            crc = (crc << 8 & 0xFFFF) ^ media._CRC16[crc >> 8 ^ x]
+        out += body + crc.to_bytes(2, "big")
+    info = struct.pack(">HH", 192, 192) + b"\0" * 6 + ((44100 << 44) | (15 << 36) | (192 * frames if total else 0)).to_bytes(8, "big") + b"\0" * 16
+    return b"fLaC\x80\0\0\x22" + info + out
+
+
+def test_frames_tell_where_audio_ends():
+    sniffer = media.Sniffer()
+    assert media._CRC8[1] == 0x07 and media._CRC16[1] == 0x8005
+    for sound, kind in ((mp3(), "audio/mpeg"), (mp3() + b"TAG" + b"t" * 125, "audio/mpeg"), (flac(), "audio/flac"), (flac(total=False), "audio/flac")):
+        assert sniffer(sound) == [(0, len(sound), kind)]
+        if b"TAG" in sound or kind == "audio/mpeg" or sound == flac():
+            assert sniffer(b"x" + sound + b"yy" + png()) == [(1, len(sound), kind), (len(sound) + 3, len(png()), "image/png")]
+    assert sniffer(mp3(0)) == [] and sniffer(flac(0))[0][2] == "audio/flac"
+
+
+def test_media_in_stored_members_and_documents():
+    box, inner = io.BytesIO(), io.BytesIO()
+    with zipfile.ZipFile(inner, "w") as z:
+        z.writestr("deep.gif", samples()["image/gif"])
+    with zipfile.ZipFile(box, "w") as z:
+        z.writestr("a.png", png())
+        z.writestr("b.png", png(), compress_type=zipfile.ZIP_DEFLATED)
+        z.writestr("c.zip", inner.getvalue())
+    data = b"lead " + box.getvalue()
+    found = media.Sniffer()(data)
+    assert [k for _, _, k in found] == ["application/zip", "image/png", "application/zip", "image/gif"]
+    assert all(data[a : a + n] in (box.getvalue(), png(), inner.getvalue(), samples()["image/gif"]) for a, n, _ in found)
+    pdf = b"%PDF-1.4\n1 0 obj\nstream\n" + samples()["image/jpeg"] + b"\nendstream\nstartxref\n0\n%%EOF"
+    assert [k for _, _, k in media.Sniffer()(pdf)] == ["application/pdf", "image/jpeg"]
 
 
 def test_features_come_from_what_was_stored(spark):
