@@ -2,6 +2,8 @@
 
     python -m mathquarry scan FOLDER OUT [--glob '*.docx']
     python -m mathquarry run-plan FOLDER OUT [--allow-external-tools]
+    python -m mathquarry validate CHECKS.json OUT
+    python -m mathquarry risk SUMMARY.csv OUT --objects MAP.json
 """
 
 from __future__ import annotations
@@ -10,11 +12,17 @@ import argparse
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mathquarry.operators import canonical, detect
-from mathquarry.plans import execution, routing
+from mathquarry.operators import canonical, detect, risk
+from mathquarry.plans import execution, reports, routing, status
 from mathquarry.sources import containers, tables
 
 
+CHECKS = (
+    "doc_id string, provider string, source_family string, reference_pdf string, target_exists boolean, export_requested boolean, export_status string, "
+    "visual_requested boolean, has_reference boolean, visual_status string, visual_reasons array<string>"
+)
+
+
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="mathquarry", description=__doc__.splitlines()[0])
     commands = parser.add_subparsers(dest="command", required=True)
@@ -24,8 +32,22 @@ def main(argv: list[str] | None = None) -> None:
         command.add_argument("out")
         command.add_argument("--glob")
         command.add_argument("--allow-external-tools", action="store_true")
+    for name, what in (("validate", "JSON lines: what was asked of each document, and what export and comparison reported"), ("risk", "a conversion summary in CSV")):
+        command = commands.add_parser(name)
+        command.add_argument("input", help=what)
+        command.add_argument("out")
+    commands.choices["risk"].add_argument("--objects", required=True, help="object maps in JSON")
     asked = parser.parse_args(argv)
     spark = SparkSession.builder.getOrCreate()
+    if asked.command == "validate":
+        found = reports.validation_text(status.validation(spark.read.schema(CHECKS).json(asked.input)))
+        tables.write_json(found, asked.out)
+        return
+    if asked.command == "risk":
+        records = tables.kept(risk.records(tables.read_summary(spark, asked.input), tables.read_object_map(spark, asked.objects)), "risk")
+        tables.write_json(records, f"{asked.out}/records", "category")
+        reports.risk_lines(records).orderBy("position").select("line").write.text(f"{asked.out}/report")
+        return
 
     def keep(df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").parquet(f"{asked.out}/{name}")

@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from mathquarry import samples, standins
 from mathquarry.functions import mtef, omml, repair
 from mathquarry.operators import batches, canonical, detect, object_map, rewrite, risk
-from mathquarry.plans import dimensions as dim
 from mathquarry.plans import execution, routing, status
 from mathquarry.sources import containers, tables
 
@@ -54,10 +53,29 @@ def _values(rows: list[tuple], *names: str) -> str:
 # Events stand in for formulas: each type is a family, the user is the document.
 _FAMILY_OF = {"view": "mathtype-ole", "click": "omml-native", "purchase": "equation-editor-3-ole", "signup": "axmath-ole", "error": "unknown-ole"}
 _FAMILY_SQL = f"(SELECT e.*, v.source_family FROM events e JOIN {_values(list(_FAMILY_OF.items()), 'event_type', 'source_family')} ON e.event_type = v.event_type)"
-_ROUTES_SQL = f"(SELECT * FROM {_values(dim.ROUTES, 'source_family', 'route_kind', 'priority', 'next_action', 'confidence_policy', 'requires_manual_review')})"
-_CONTRACTS_SQL = f"(SELECT * FROM {_values(dim.CONTRACTS, 'source_family', 'source_line', 'contract_status', 'conversion_claim', 'binding')})"
-_ACTION_ROWS = [(f, dim.PROVIDERS[f], k, a, b) for f, found in dim.ACTIONS.items() for k, (a, b) in enumerate(found, 1)]
-_ACTIONS_SQL = f"(SELECT source_family, provider, action_order, action_id, blocking::BOOLEAN AS blocking FROM {_values(_ACTION_ROWS, 'source_family', 'provider', 'action_order', 'action_id', 'blocking')})"
+_ROUTES_SQL = """(SELECT * FROM (VALUES
+    ('mathtype-ole', 'primary-source-first', 10, 'run-mathtype-source-first-pipeline', 'high', FALSE), ('omml-native', 'primary-source-first', 20, 'run-omml-native-pipeline', 'high', FALSE),
+    ('equation-editor-3-ole', 'primary-candidate', 30, 'run-equation3-probe-and-conversion', 'medium', TRUE), ('odf-native', 'primary-source-first', 40, 'run-odf-native-pipeline', 'medium', FALSE),
+    ('axmath-ole', 'export-assisted', 50, 'run-axmath-export-assisted-pipeline', 'medium', TRUE), ('libreoffice-transformed', 'bridge-source', 60, 'run-libreoffice-bridge-review-pipeline', 'low', TRUE),
+    ('graphic-fallback', 'fallback', 70, 'manual-review-or-ocr-fallback', 'low', TRUE), ('unknown-ole', 'manual-classification', 80, 'manual-classification-required', 'low', TRUE)
+    ) v(source_family, route_kind, priority, next_action, confidence_policy, requires_manual_review))"""
+_CONTRACTS_SQL = """(SELECT * FROM (VALUES
+    ('mathtype-ole', 'mathtype', 'external-tool-gated', FALSE, 'equation-native-mtef-to-normalized-mathml'), ('omml-native', 'omml', 'implemented-basic', TRUE, 'internal-omml-to-canonical-mathml'),
+    ('equation-editor-3-ole', 'equation-editor-3', 'implemented-limited', TRUE, 'internal-equation3-mtef-v2v3-to-canonical-mathml-limited'),
+    ('axmath-ole', 'axmath', 'export-gated', FALSE, 'approved-axmath-export-to-canonical-mathml'), ('odf-native', 'libreoffice-odf', 'implemented', TRUE, 'preserve-existing-odf-mathml'),
+    ('libreoffice-transformed', 'libreoffice-odf', 'bridge-review-gated', FALSE, 'bridge-provenance-review-before-canonical-mathml')
+    ) v(source_family, source_line, contract_status, conversion_claim, binding))"""
+_ACTIONS_SQL = """(SELECT * FROM (VALUES
+    ('mathtype-ole', 'mathtype', 1, 'extract-equation-native', TRUE), ('mathtype-ole', 'mathtype', 2, 'mtef-to-mathml', TRUE), ('mathtype-ole', 'mathtype', 3, 'normalize-mathml', TRUE),
+    ('mathtype-ole', 'mathtype', 4, 'mathml-to-omml', TRUE), ('mathtype-ole', 'mathtype', 5, 'replace-ole-with-omml', TRUE), ('mathtype-ole', 'mathtype', 6, 'validate-word-output', FALSE),
+    ('omml-native', 'omml', 1, 'extract-omml', FALSE), ('omml-native', 'omml', 2, 'normalize-omml', FALSE), ('omml-native', 'omml', 3, 'omml-to-canonical-mathml', FALSE),
+    ('omml-native', 'omml', 4, 'render-check', NULL), ('omml-native', 'omml', 5, 'package-omml-output', FALSE),
+    ('equation-editor-3-ole', 'equation3', 1, 'probe-header-and-classid', FALSE), ('equation-editor-3-ole', 'equation3', 2, 'attempt-mtef-conversion', TRUE),
+    ('equation-editor-3-ole', 'equation3', 3, 'fallback-manual-triage', TRUE), ('equation-editor-3-ole', 'equation3', 4, 'word-roundtrip-validation', TRUE),
+    ('axmath-ole', 'axmath', 1, 'classify-axmath-object', TRUE), ('axmath-ole', 'axmath', 2, 'export-assisted-conversion', TRUE), ('axmath-ole', 'axmath', 3, 'import-converted-math', TRUE), ('axmath-ole', 'axmath', 4, 'manual-spot-check', NULL),
+    ('odf-native', 'odf', 1, 'extract-odf-formula', TRUE), ('odf-native', 'odf', 2, 'convert-odf-mathml', TRUE), ('odf-native', 'odf', 3, 'emit-target-format', FALSE),
+    ('libreoffice-transformed', 'odf', 1, 'inspect-transform-chain', TRUE), ('libreoffice-transformed', 'odf', 2, 'bridge-review', TRUE), ('libreoffice-transformed', 'odf', 3, 'decide-reconvert-or-accept', TRUE)
+    ) v(source_family, provider, action_order, action_id, blocking))"""
 
 
 def _formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,10 +83,11 @@ def _formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), family.alias("source_family"), "event_id", "value")
 
 
-@query("SELECT doc_id, sha256(text) AS sha256, length(text) AS length FROM documents")
+@query("SELECT 'document' || doc_id || '.TXT' AS doc_id, '.txt' AS suffix, strlen(text) AS length, sha256(text) AS sha256 FROM documents")
 def content_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A file's hash."""
-    return _table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"), F.length("text").cast("long").alias("length"))
+    """A file's suffix, size and hash."""
+    files = _table(spark, sf_dir, "documents").select(F.concat(F.lit("document"), F.col("doc_id").cast("string"), F.lit(".TXT")).alias("doc_id"), F.encode("text", "UTF-8").alias("content"))
+    return containers.described(files).drop("content")
 
 
 @query(
@@ -142,11 +161,8 @@ def execution_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def context_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last 60 characters before and the first 60 after, over all other runs of a paragraph."""
-    w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    before = F.array_join(F.collect_list("text").over(w.rowsBetween(Window.unboundedPreceding, -1)), "")
-    after = F.array_join(F.collect_list("text").over(w.rowsBetween(1, Window.unboundedFollowing)), "")
-    rows = _table(spark, sf_dir, "conversations").withColumns({"b": before, "a": after})
-    return rows.select("conv_id", "turn", "role", F.right("b", F.lit(60)).alias("text_before"), F.left("a", F.lit(60)).alias("text_after"), ((F.trim("b") != "") | (F.trim("a") != "")).alias("inline_context"))
+    found = object_map.neighbours(_table(spark, sf_dir, "conversations"), "conv_id", ["turn", "role", "text"])
+    return found.select("conv_id", "turn", "role", "text_before", "text_after", "inline_context")
 
 
 @query(
@@ -156,14 +172,16 @@ def context_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 def object_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Running numbers of a document and of siblings with the same name."""
     order = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
-    numbered = {"object_sequence": Window.partitionBy("l_orderkey").orderBy(*order), "sibling_ordinal": Window.partitionBy("l_orderkey", "l_returnflag").orderBy(*order)}
-    return _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", *(F.row_number().over(w).alias(n) for n, w in numbered.items()))
+    rows = detect.numbered(_table(spark, sf_dir, "lineitem"), "object_sequence", ["l_orderkey"], *order)
+    rows = detect.numbered(rows, "sibling_ordinal", ["l_orderkey", "l_returnflag"], *order)
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "object_sequence", "sibling_ordinal")
 
 
 @query("SELECT doc_id, source, n_chars FROM documents ANTI JOIN labels USING (doc_id)")
 def resume_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inputs that have no output yet."""
-    return _table(spark, sf_dir, "documents").join(_table(spark, sf_dir, "labels"), "doc_id", "left_anti").select("doc_id", "source", "n_chars")
+    named = lambda t: _table(spark, sf_dir, t).withColumn("name", F.concat(F.lit("oleObject"), F.col("doc_id").cast("string"), F.lit(".bin")))
+    return batches.to_convert(named("documents"), named("labels")).select("doc_id", "source", "n_chars")
 
 
 @query("SELECT doc_id, source, n_chars FROM documents SEMI JOIN (SELECT doc_id FROM labels WHERE quality = 1) q USING (doc_id)")
@@ -174,27 +192,36 @@ def replace_semijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT source, expected, accepted, unsupported, CASE WHEN expected = accepted AND unsupported = 0 THEN 'passed' WHEN expected = accepted THEN 'unsupported-fragments' ELSE 'mismatch' END AS parity,
-    CASE WHEN accepted > 0 AND expected = accepted AND unsupported = 0 THEN 'passed' ELSE 'blocked-canonical-artifact' END AS gate
-    FROM (SELECT source, count(*) AS expected, count(*) FILTER (quality IS NOT NULL) AS accepted, count(*) FILTER (quality = 0) AS unsupported FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source)"""
+    """SELECT source, lang, expected, accepted, unsupported, CASE WHEN expected = accepted AND unsupported = 0 THEN 'passed' WHEN family = 'equation-editor-3-ole' THEN 'failed'
+      WHEN family = 'mathtype-ole' AND expected = accepted THEN 'unsupported-fragments' ELSE 'mismatch' END AS parity,
+    CASE WHEN accepted = 0 OR expected <> accepted OR unsupported > 0 THEN 'blocked-canonical-artifact' WHEN family = 'equation-editor-3-ole' THEN 'passed-limited' ELSE 'passed' END AS gate
+    FROM (SELECT source, lang, ['mathtype-ole', 'equation-editor-3-ole', 'omml-native'][(length(source) + length(lang) + ascii(lang)) % 3 + 1] AS family, count(*) AS expected, count(*) FILTER (doc_id % 7 < 6 OR length(source) % 2 = 0) AS accepted,
+      count(*) FILTER (quality = 0 AND toxic = 1) AS unsupported FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source, lang)"""
 )
 def parity_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As many out as in, and whether anything came out."""
+    """As many out as in, and whether anything came out, by the rule of each family."""
     joined = _table(spark, sf_dir, "documents").join(_table(spark, sf_dir, "labels"), "doc_id", "left")
-    counts = joined.groupBy("source").agg(F.count("*").alias("expected"), F.count("quality").alias("accepted"), F.count_if(F.col("quality") == 0).alias("unsupported"))
-    parity = status.parity(F.col("expected"), F.col("accepted"), F.col("unsupported"), "mathtype-ole")
-    return counts.withColumn("parity", parity).withColumn("gate", status.canonical_gate(F.col("accepted"), F.col("parity"), "mathtype-ole"))
+    accepted = (F.col("doc_id") % 7 < 6) | (F.length("source") % 2 == 0)
+    counts = joined.groupBy("source", "lang").agg(F.count("*").alias("expected"), F.count_if(accepted).alias("accepted"), F.count_if((F.col("quality") == 0) & (F.col("toxic") == 1)).alias("unsupported"))
+    kind = F.element_at(F.array(*map(F.lit, ("mathtype-ole", "equation-editor-3-ole", "omml-native"))), (F.length("source") + F.length("lang") + F.ascii("lang")) % 3 + 1)
+    parity = status.parity(F.col("expected"), F.col("accepted"), F.col("unsupported"), kind)
+    found = counts.withColumn("parity", parity)
+    return found.withColumn("gate", status.canonical_gate(F.col("accepted"), F.col("parity"), kind)).select("source", "lang", "expected", "accepted", "unsupported", "parity", "gate")
 
 
-_STATUS_OF = {"view": "succeeded", "click": "skipped-existing", "purchase": "validation-gated", "signup": "manual-gate", "error": "blocked-external-tool"}
-_STEPS_SQL = f"""(SELECT user_id, hour, CASE WHEN bool_or(s = 'blocked-external-tool') THEN 'blocked' WHEN bool_and(s = 'manual-gate') OR bool_or(value < 0.2) THEN 'manual-only'
-    WHEN bool_or(s = 'validation-gated') THEN 'validation-gated' WHEN bool_or(s = 'skipped-existing') THEN 'completed-with-skips' ELSE 'completed' END AS status
-    FROM (SELECT user_id, date_trunc('day', ts) AS hour, value, v.s FROM events e JOIN {_values(list(_STATUS_OF.items()), 'event_type', 's')} ON e.event_type = v.event_type) GROUP BY ALL)"""
+_STEPS_SQL = """(SELECT user_id, hour, CASE WHEN bool_or(s = 'failed') THEN 'failed' WHEN bool_or(s = 'blocked-external-tool') THEN 'blocked' WHEN bool_and(s = 'manual-gate') OR bool_or(value < 0.05) THEN 'manual-only'
+    WHEN bool_or(s = 'validation-gated') THEN 'validation-gated' WHEN bool_or(s = 'review-gated') THEN 'review-gated' WHEN bool_or(starts_with(s, 'skipped')) THEN 'completed-with-skips' ELSE 'completed' END AS status
+    FROM (SELECT user_id, date_trunc('day', ts) AS hour, value, CASE WHEN event_type = 'error' AND event_id % 3 = 0 THEN 'failed' WHEN event_type = 'error' THEN 'blocked-external-tool' WHEN event_type = 'signup' THEN 'manual-gate'
+      WHEN event_type = 'purchase' AND event_id % 2 = 0 THEN 'validation-gated' WHEN event_type = 'purchase' THEN 'review-gated' WHEN event_type = 'click' THEN 'skipped-existing' ELSE 'completed' END AS s FROM events) GROUP BY ALL)"""
 
 
 def _steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = F.element_at(F.create_map(*[F.lit(x) for pair in _STATUS_OF.items() for x in pair]), F.col("event_type"))
-    rows = _table(spark, sf_dir, "events").select("user_id", F.date_trunc("day", "ts").alias("day"), said.alias("s"), (F.col("value") >= 0.2).alias("supported"))
+    kind, k = F.col("event_type"), F.col("event_id")
+    said = (
+        F.when((kind == "error") & (k % 3 == 0), "failed").when(kind == "error", "blocked-external-tool").when(kind == "signup", "manual-gate")
+        .when((kind == "purchase") & (k % 2 == 0), "validation-gated").when(kind == "purchase", "review-gated").when(kind == "click", "skipped-existing").otherwise("completed")
+    )
+    rows = _table(spark, sf_dir, "events").select("user_id", F.date_trunc("day", "ts").alias("day"), said.alias("s"), (F.col("value") >= 0.05).alias("supported"))
     return rows.groupBy("user_id", "day").agg(status.step_status(F.col("s"), F.col("supported")).alias("status"), status.dry_run_status(F.col("supported")).alias("dry_run"))
 
 
@@ -213,37 +240,31 @@ def plan_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return status.plan_counters(_steps(spark, sf_dir), "user_id")
 
 
-_WHITE = r"[ \t\n\x0b\f\r]"
-_CHECK = lambda where, reason: f"CASE WHEN {where} THEN {_text(reason)} END"
-_TRIM = lambda c: f"regexp_replace(coalesce({c}, ''), '^{_WHITE}+|{_WHITE}+$', '', 'g')"
-_RISK_ROWS_SQL = f"""(SELECT d.doc_id, {_TRIM('text')} AS p, CASE WHEN quality = 0 THEN 'failed' ELSE 'ok' END AS status, CASE WHEN toxic = 1 THEN 'False' ELSE 'True' END AS omml_exists FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
-    UNION ALL SELECT id, {_TRIM('latex')}, 'ok', 'True' FROM {_values(list(enumerate(samples.LATEX, -len(samples.LATEX))), 'id', 'latex')})"""
-_SPACED = lambda p: p.replace(r"\s", _WHITE)
-_MANUAL_SQL = ", ".join(
-    [_CHECK("status <> 'ok'", "status_not_ok"), _CHECK("omml_exists <> 'True'", "missing_omml"), _CHECK("p = ''", "empty_latex_preview")]
-    + [_CHECK(f"regexp_matches(p, {_text(_SPACED(pattern))})", reason) for pattern, reason in risk.MANUAL]
-    + [_CHECK(" OR ".join(f"contains(replace(p, ' ', ''), {_text(t)})" for t in texts), reason) for texts, reason in risk.WITHOUT_SPACES]
-)
-_SPOT_SQL = ", ".join(
-    [
-        _CHECK(f"length(p) >= {risk.LONG}", "long_formula"),
-        _CHECK(" OR ".join(f"contains(p, {_text(c)})" for c in risk.COMMANDS), "has_complex_commands"),
-        _CHECK("contains(p, '_') OR contains(p, '^')", "has_scripts"),
-        _CHECK("contains(p, '|') OR contains(p, '//')", "has_set_or_geometry_relation"),
-    ]
-)
+_TRIM = lambda c: rf"regexp_replace(coalesce({c}, ''), '^[ \t\n\x0b\f\r]+|[ \t\n\x0b\f\r]+$', '', 'g')"
+_RISK_ROWS_SQL = f"""(SELECT d.doc_id, {_TRIM('text')} AS p, CASE WHEN quality = 0 THEN 'failed' ELSE 'ok' END AS status, CASE WHEN toxic = 1 THEN 'False' ELSE 'True' END AS omml_exists, '' AS after FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
+    UNION ALL SELECT id - 100 * blank, {_TRIM('latex')}, 'ok', 'True', CASE WHEN blank = 1 THEN '____.' ELSE '' END FROM {_values(list(enumerate(samples.LATEX, -len(samples.LATEX))), 'id', 'latex')}, range(2) AS b(blank))"""
+_MANUAL_SQL = r"""CASE WHEN status <> 'ok' THEN 'status_not_ok' END, CASE WHEN omml_exists <> 'True' THEN 'missing_omml' END, CASE WHEN p = '' THEN 'empty_latex_preview' END,
+    CASE WHEN contains(p, '\frac{}{') THEN 'empty_numerator' END, CASE WHEN regexp_matches(p, '\\frac\{[^}]*\}\{\}') THEN 'empty_denominator' END,
+    CASE WHEN contains(p, '^{}') OR contains(replace(p, ' ', ''), '{}^{}') THEN 'empty_superscript' END, CASE WHEN contains(p, '_{}') OR contains(replace(p, ' ', ''), '_{}') THEN 'empty_subscript' END,
+    CASE WHEN regexp_matches(p, '\\left\{[ \t\n\x0b\f\r]*\\right\.') THEN 'suspicious_empty_piecewise' END,
+    CASE WHEN regexp_matches(p, '\\left\{[ \t\n\x0b\f\r]*\{[ \t\n\x0b\f\r]*\}[ \t\n\x0b\f\r]*\\right\.') OR contains(replace(p, ' ', ''), '\left\{{}\right.') THEN 'empty_piecewise_body' END,
+    CASE WHEN regexp_matches(p, '[=+\-*/][ \t\n\x0b\f\r]*\)') THEN 'operator_missing_rhs' END, CASE WHEN regexp_matches(p, '\([ \t\n\x0b\f\r]*[+\-*/=]') THEN 'operator_missing_lhs' END,
+    CASE WHEN tail THEN 'trailing_operator_or_relation' END, CASE WHEN contains(replace(p, ' ', ''), 'x+)') OR contains(replace(p, ' ', ''), 'x-)') THEN 'missing_operand_inside_parentheses' END"""
+_SPOT_SQL = r"""CASE WHEN length(p) >= 28 THEN 'long_formula' END, CASE WHEN contains(p, '_') OR contains(p, '^') THEN 'has_scripts' END, CASE WHEN contains(p, '|') OR contains(p, '//') THEN 'has_set_or_geometry_relation' END,
+    CASE WHEN regexp_matches(p, '\\(left|right|overrightarrow|bigtriangleup|cup|cap|subset|lbrack|rbrack|alpha|beta|Omega|log|sin|cos|tan|parallel|perp|sum|prod|int)') THEN 'has_complex_commands' END"""
 _SORTED = lambda items: f"list_sort(list_distinct(list_filter([{items}], lambda x: x IS NOT NULL)))"
-_RISK_SQL = f"""(SELECT doc_id, CASE WHEN len(m) > 0 THEN 'manual_review' WHEN len(s) > 0 OR (starts_with(p, '{{') AND ends_with(p, '}}')) THEN 'spot_check' ELSE 'auto_replace' END AS category,
-    CASE WHEN len(m) > 0 THEN m WHEN len(s) > 0 THEN s WHEN starts_with(p, '{{') AND ends_with(p, '}}') THEN ['grouped_output_needs_review'] ELSE [] END AS reasons
-    FROM (SELECT doc_id, p, {_SORTED(_MANUAL_SQL)} AS m, {_SORTED(_SPOT_SQL)} AS s FROM {_RISK_ROWS_SQL}))"""
+_RISK_SQL = rf"""(SELECT doc_id, CASE WHEN len(m) > 0 AND NOT blank THEN 'manual_review' WHEN len(m) > 0 OR len(s) > 0 OR (starts_with(p, '{{') AND ends_with(p, '}}')) THEN 'spot_check' ELSE 'auto_replace' END AS category,
+    CASE WHEN len(m) > 0 AND blank THEN ['formula_followed_by_blank'] WHEN len(m) > 0 THEN m WHEN len(s) > 0 THEN s WHEN starts_with(p, '{{') AND ends_with(p, '}}') THEN ['grouped_output_needs_review'] ELSE [] END AS reasons
+    FROM (SELECT doc_id, p, {_SORTED(_MANUAL_SQL)} AS m, {_SORTED(_SPOT_SQL)} AS s, tail AND regexp_matches(after, '^_{{3,}}[.]*$') AS blank
+      FROM (SELECT *, regexp_matches(p, '(=|\+|-|/|\\leq|\\geq|<|>|//)[ \t\n\x0b\f\r]*(\\\]|\\\)|$)') AS tail FROM {_RISK_ROWS_SQL})))"""
 
 
 def _risks(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = _table(spark, sf_dir, "documents").join(_table(spark, sf_dir, "labels"), "doc_id", "left")
-    said = joined.select("doc_id", F.when(F.col("quality") == 0, "failed").otherwise("ok").alias("status"), F.when(F.col("toxic") == 1, "False").otherwise("True").alias("omml_exists"), F.col("text").alias("latex_preview"))
-    literal = spark.createDataFrame([(k, "ok", "True", t) for k, t in enumerate(samples.LATEX, -len(samples.LATEX))], "doc_id long, status string, omml_exists string, latex_preview string")
-    rows = said.union(literal).withColumns({"tex_exists": F.lit("True"), "text_after": F.lit("")})
-    return risk.classified(rows)
+    said = joined.select("doc_id", F.when(F.col("quality") == 0, "failed").otherwise("ok").alias("status"), F.when(F.col("toxic") == 1, "False").otherwise("True").alias("omml_exists"), F.col("text").alias("latex_preview"), F.lit("").alias("text_after"))
+    fixed = [(k - 100 * blank, "ok", "True", t, "____." if blank else "") for k, t in enumerate(samples.LATEX, -len(samples.LATEX)) for blank in (0, 1)]
+    literal = spark.createDataFrame(fixed, "doc_id long, status string, omml_exists string, latex_preview string, text_after string")
+    return risk.classified(said.union(literal).withColumn("tex_exists", F.lit("True")))
 
 
 @query(f"SELECT doc_id, category, array_to_string(reasons, ',') AS reasons FROM {_RISK_SQL}")
@@ -281,10 +302,11 @@ def layout_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def property_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sums, sorted distinct values and counts of signals."""
-    k = F.get_json_object("props", "$.k").cast("long")
-    rows = _table(spark, sf_dir, "events").select("event_type", "user_id", k.alias("k"))
-    shown = F.array_join(F.array_sort(F.collect_set(F.when(F.col("k") > 90, F.col("user_id").cast("string")))), ",")
-    return rows.groupBy("event_type").agg(F.sum("k").alias("mathml_attribute_count"), shown.alias("root_display_values"), F.count_if(F.col("k") % 2 == 0).alias("has_accent"))
+    k = F.get_json_object("props", "$.k").cast("int")
+    flags = [x.split()[0] for x in canonical.SIGNALS.split(", ") if x.endswith("boolean")]
+    signals = F.struct(k.alias("mathml_attribute_count"), F.when(k > 90, F.col("user_id").cast("string")).otherwise("").alias("root_display"), *((k % 2 == 0 if x == "has_accent" else F.lit(False)).alias(x) for x in flags))
+    rows = _table(spark, sf_dir, "events").select("event_type", F.lit("accepted").alias("status"), signals.alias("signals"))
+    return canonical.property_summary(rows, "event_type").select("event_type", "mathml_attribute_count", F.array_join("root_display_values", ",").alias("root_display_values"), "has_accent")
 
 
 _PAGES_SQL = """(SELECT user_id AS doc_id, coalesce(a.page, b.page) AS page, a.value AS original, b.value AS converted FROM
@@ -337,13 +359,13 @@ def validation_conclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(r"""SELECT doc_id, left(trim(regexp_replace(text, '[ \t\n\x0b\f\r]+', ' ', 'g')), 120) AS preview FROM documents""")
 def one_line_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A preview in one line of at most 120 characters."""
-    return _table(spark, sf_dir, "documents").select("doc_id", F.left(F.trim(F.regexp_replace("text", r"[ \t\n\x0b\f\r]+", " ")), F.lit(120)).alias("preview"))
+    return _table(spark, sf_dir, "documents").select("doc_id", risk.one_line(F.col("text")).alias("preview"))
 
 
-@query("SELECT page_id, array_to_string(list_sort(list_distinct(regexp_extract_all(html, '<([a-z][a-z0-9]*)', 1))), ',') AS tags FROM pages")
+@query("SELECT page_id, array_to_string(list_filter(t, lambda x, i: list_position(t, x) = i), ',') AS tags FROM (SELECT page_id, regexp_extract_all(html, '<([a-z][a-z0-9]*)', 1) AS t FROM pages)")
 def distinct_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Set and sort."""
-    found = F.array_sort(F.array_distinct(F.regexp_extract_all("html", F.lit("<([a-z][a-z0-9]*)"), 1)))
+    """Each value once, in order."""
+    found = detect.ordered_distinct(F.regexp_extract_all("html", F.lit("<([a-z][a-z0-9]*)"), 1))
     return _table(spark, sf_dir, "pages").select("page_id", F.array_join(found, ",").alias("tags"))
 
 

@@ -42,7 +42,8 @@ def replace_objects(document: str, targets: dict[str, str], equations: dict[str,
     """Put equations (by file stem) in place of the runs that hold their objects.
 
     ``targets``: relationship id to target. An object is replaced if its target's name or stem is a
-    key of ``equations``. A run that holds more than its object is an error, and so is an empty equation.
+    key of ``equations``. A run that holds more than its object is an error, and so is an empty equation or,
+    where the value is None, one that is wanted and not there.
     """
     for prefix, uri in {**NS, "r": R}.items():
         ElementTree.register_namespace(prefix, uri)
@@ -54,9 +55,12 @@ def replace_objects(document: str, targets: dict[str, str], equations: dict[str,
         for k, run in enumerate(runs):
             for ole in (c.find("o:OLEObject", NS) for c in run if local(c.tag) == "object"):
                 target = "" if ole is None else targets.get(ole.attrib.get(f"{{{R}}}id", ""), "")
-                text = equations.get(stem(target), equations.get(re.split(r"[/\\]", target)[-1])) if target else None
-                if text is None:
+                names = [n for n in (stem(target), re.split(r"[/\\]", target)[-1]) if n in equations] if target else []
+                if not names:
                     continue
+                text = equations[names[0]]
+                if text is None:
+                    raise LookupError(f"no OMML for {target}")
                 if not text.strip():
                     raise ValueError(f"empty OMML for {target}")
                 extra = [local(c.tag) for c in run if local(c.tag) not in ("rPr", "object")]
@@ -92,7 +96,7 @@ def paragraph_heights(document: str) -> dict[int, float]:
 
 def line_for(height: float, previous: int, factor: float = FACTOR) -> int:
     if factor < 1:
-        raise ValueError(f"layout preservation factor must be >= 1.0, got {factor!r}")
+        raise ValueError(f"a layout factor below 1 would cut lines: {factor!r}")
     line = max(LINE_FLOOR, previous, round(height * 20))
     return max(LINE_FLOOR, round(line * factor)) if line > LINE_FLOOR else line
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from xml.etree import ElementTree
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -158,11 +159,17 @@ def document_facts(entries: DataFrame, formulas: DataFrame) -> DataFrame:
 def with_display_mode(df: DataFrame, xml: str, default: str = "block") -> DataFrame:
     """Adds ``xml_with_display`` and ``display_added``; XML that can't be parsed stays as it is."""
 
-    @F.udf("struct<xml:string,changed:boolean>")
-    def add(text):
+    kind = pa.struct([("xml", pa.string()), ("changed", pa.bool_())])
+
+    def one(text: str | None) -> dict:
         try:
-            return display_mode.with_display_mode(text, default)
+            made, changed = display_mode.with_display_mode(text, default)
         except (ElementTree.ParseError, TypeError):
-            return text, False
+            made, changed = text, False
+        return {"xml": made, "changed": changed}
+
+    @F.arrow_udf("struct<xml:string,changed:boolean>")
+    def add(texts: pa.Array) -> pa.Array:
+        return pa.array(map(one, texts.to_pylist()), kind)
 
     return df.withColumn("d", add(xml)).withColumns({"xml_with_display": F.col("d.xml"), "display_added": F.col("d.changed")}).drop("d")

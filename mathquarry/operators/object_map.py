@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mathquarry.functions.mathml import local
@@ -64,6 +64,24 @@ def object_map(entries: DataFrame, rels: DataFrame) -> DataFrame:
     return out.withColumns({c: F.when(F.col("sequence").isNotNull(), F.coalesce(c, F.lit(""))) for c in ("ole_target", "image_target")})
 
 
+def neighbours(rows: DataFrame, by: str, order: list[str], text: str = "text", width: int = 60) -> DataFrame:
+    """Adds text_before and text_after: the last and first ``width`` characters of all other runs of a group, and inline_context.
+
+    At most ``width`` runs with some text can reach into them, so no row gathers more than that, however long the
+    group. Null texts are empty.
+    """
+    said = F.coalesce(F.col(text), F.lit(""))
+    filled = rows.withColumn("some_text", said != "")
+    own, group = Window.partitionBy(by, "some_text").orderBy(*order), Window.partitionBy(by).orderBy(*order)
+    tail = F.right(F.array_join(F.collect_list(F.right(said, F.lit(width))).over(own.rowsBetween(1 - width, 0)), ""), F.lit(width))
+    head = F.left(F.array_join(F.collect_list(F.left(said, F.lit(width))).over(own.rowsBetween(0, width - 1)), ""), F.lit(width))
+    filled = filled.withColumns({"tail": F.when(F.col("some_text"), tail), "head": F.when(F.col("some_text"), head)})
+    before = F.coalesce(F.last("tail", True).over(group.rowsBetween(Window.unboundedPreceding, -1)), F.lit(""))
+    after = F.coalesce(F.first("head", True).over(group.rowsBetween(1, Window.unboundedFollowing)), F.lit(""))
+    found = filled.withColumns({"text_before": before, "text_after": after}).drop("tail", "head", "some_text")
+    return found.withColumn("inline_context", (F.trim("text_before") != "") | (F.trim("text_after") != ""))
+
+
 STREAM = "name string, size_bytes long, ascii_preview string, hex_prefix string, content binary"
 
 

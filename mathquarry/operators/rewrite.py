@@ -12,13 +12,22 @@ from mathquarry.functions import docx
 from mathquarry.functions.word import relationships
 
 
+def replacements(equations: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """``equations``: doc_id, stem, omml. ``wanted``: doc_id, stem of the objects to replace; without it, all that have an equation.
+
+    (doc_id, stem, omml): what is wanted and has no equation has a null one, which stops its document.
+    """
+    return equations if wanted is None else wanted.select("doc_id", "stem").distinct().join(equations, ["doc_id", "stem"], "left")
+
+
 def replaced(containers: DataFrame, equations: DataFrame, keep_layout: bool = False, factor: float = docx.FACTOR) -> DataFrame:
-    """``containers``: doc_id, content. ``equations``: doc_id, stem, omml. (doc_id, content, replaced_count, error).
+    """``containers``: doc_id, content. ``equations``: doc_id, stem, omml (see :func:`replacements`). (doc_id, content, replaced_count, error).
 
-    Documents without equations come back unchanged; what can't be rewritten comes back with its error.
+    Documents without equations come back unchanged; what can't be rewritten, or lacks an equation that is
+    wanted, comes back with its error.
     """
     per_doc = equations.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("stem", "omml"))).alias("omml"))
-    rows = containers.select("doc_id", "content").join(per_doc, "doc_id", "left").select("doc_id", "content", F.to_json("omml").alias("omml"))
+    rows = containers.select("doc_id", "content").join(per_doc, "doc_id", "left").select("doc_id", "content", F.to_json("omml", {"ignoreNullFields": "false"}).alias("omml"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import io
@@ -55,7 +64,7 @@ def style_points(style: Column, key: str) -> Column:
 def adjusted_line(height: Column, previous: Column, factor: float = docx.FACTOR) -> Column:
     """Line height in twentieths of a point; halves round to even."""
     if factor < 1:
-        raise ValueError(f"layout preservation factor must be >= 1.0, got {factor!r}")
+        raise ValueError(f"a layout factor below 1 would cut lines: {factor!r}")
     floor = F.lit(docx.LINE_FLOOR)
     base = F.greatest(floor, previous, F.bround(height * 20).cast("int"))
     return F.when(base > floor, F.greatest(floor, F.bround(base * factor).cast("int"))).otherwise(base)

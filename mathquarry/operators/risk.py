@@ -22,7 +22,10 @@ MANUAL = (
     (TAIL, "trailing_operator_or_relation"),
 )
 WITHOUT_SPACES = ((("{}^{}",), "empty_superscript"), (("_{}",), "empty_subscript"), (("x+)", "x-)"), "missing_operand_inside_parentheses"), (("\\left\\{{}\\right.",), "empty_piecewise_body"))
-COMMANDS = tuple("\\" + c for c in "left right overrightarrow bigtriangleup cup cap subset lbrack rbrack alpha beta Omega log sin cos tan parallel perp sum prod int".split())
+COMMANDS = (
+    "\\left", "\\right", "\\overrightarrow", "\\bigtriangleup", "\\cup", "\\cap", "\\subset", "\\lbrack", "\\rbrack", "\\alpha", "\\beta", "\\Omega",
+    "\\log", "\\sin", "\\cos", "\\tan", "\\parallel", "\\perp", "\\sum", "\\prod", "\\int",
+)
 LONG = 28
 LAST = 10**9
 
@@ -69,6 +72,11 @@ def classified(rows: DataFrame) -> DataFrame:
     ).drop("manual", "spot", "risk_preview", "risk_bare", "risk_after")
 
 
+def one_line(text: Column, most: int = 120) -> Column:
+    """A preview: white space made one blank, trimmed, at most so many characters."""
+    return F.left(F.trim(F.regexp_replace(text, r"[ \t\n\x0b\f\r]+", " ")), F.lit(most))
+
+
 def stem(path: Column) -> Column:
     return F.regexp_replace(F.regexp_extract(path, r"([^/\\]*)$", 1), r"(?<=.)\.[^.]*$", "")
 

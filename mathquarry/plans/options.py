@@ -40,6 +40,24 @@ def mathtype_options(options: Column) -> Column:
     )
 
 
+def mathtype_arguments(options: Column, script: bool = True) -> Column:
+    """The converter's arguments that a map of options asks for, as an array: layout first, then resuming and the range.
+
+    ``script``: as parameters of the script; else as options of the layout tool, which knows the layout only.
+    """
+    at = lambda k: F.element_at(options, F.lit(k))
+    none = F.array().cast("array<string>")
+    factor = real(at("mathtype_layout_factor"), FACTOR)
+    # up to six significant digits, without zeros at the end
+    shown = F.regexp_replace(F.regexp_replace(F.format_string("%.6f", F.round(factor, F.lit(5))), "0+$", ""), "[.]$", "")
+    layout = F.when(boolean(at("preserve_mathtype_layout")), F.array(F.lit("-PreserveMathTypeLayout" if script else "--preserve-mathtype-layout"), F.lit("-MathTypeLayoutFactor" if script else "--mathtype-layout-factor"), shown)).otherwise(none)
+    if not script:
+        return layout
+    resume = F.when(boolean(at("resume_mathtype_pipeline")), F.array(F.lit("-Resume"))).otherwise(none)
+    ends = [F.when(integer(at(k)) > 0, F.array(F.lit(flag), integer(at(k)).cast("string"))).otherwise(none) for flag, k in (("-StartIndex", "mathtype_start_index"), ("-EndIndex", "mathtype_end_index"))]
+    return F.concat(layout, resume, *ends)
+
+
 def equation3_review(entry: Column) -> Column:
     """Of four signals in a map any true one wins; without any signal review is needed."""
     keys = ("requires_manual_review", "manual_review_required", "manual_review_signal", "manual_review")

@@ -16,3 +16,13 @@ def spark(tmp_path_factory):
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
+
+
+@pytest.fixture(scope="session")
+def sample_entries(spark):
+    """The entries of the literal containers."""
+    from mathquarry import samples
+    from mathquarry.sources import containers
+
+    files = spark.createDataFrame([(name, bytearray(data)) for name, data in samples.containers().items()], "doc_id string, content binary").coalesce(1)
+    return containers.entries_of(containers.described(files)).cache()

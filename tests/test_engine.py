@@ -15,10 +15,8 @@ from mathquarry.sources import containers
 
 
 @pytest.fixture(scope="module")
-def entries(spark):
-    found = catalog._sample_entries(spark).cache()
-    yield found
-    found.unpersist()
+def entries(sample_entries):
+    return sample_entries
 
 
 @pytest.fixture(scope="module")
@@ -109,16 +107,18 @@ def test_unknown_family_stops(spark):
 
 
 def test_canonical_rows(entries, spark):
-    rows = catalog.canonical_formulas(spark, "").collect()
+    found = detect.detect_all(entries)
+    made = canonical.all_canonical(entries, found)
+    rows = made.collect()
     by = {}
     for r in rows:
         by.setdefault(r.doc_id, []).append(r)
     assert [r.canonical_id for r in sorted(by["omml.docx"], key=lambda r: (r.part, r.part_index))] == [f"omml-native-000{k}" for k in range(1, 6)]
     assert by["equation3.docx"][0].status == "accepted" and by["legacy.doc"][0].mathml == by["equation3.docx"][0].mathml
-    summary = {(r.doc_id, r.source_family): r for r in catalog.canonical_parity(spark, "").collect()}
+    summary = {(r.doc_id, r.source_family): r for r in canonical.canonical_summary(made, routing.source_counts(found)).collect()}
     assert summary["equation3.docx", "equation-editor-3-ole"].gate_status == "passed-limited"
     assert summary["omml.docx", "omml-native"].formula_count_parity == "mismatch"  # nested equations are converted too
-    props = canonical.property_summary(catalog.canonical_formulas(spark, ""), "source_family").collect()
+    props = canonical.property_summary(made, "source_family").collect()
     assert {p.source_family: p.has_mfrac_bevelled for p in props}["omml-native"] == 2
 
 
@@ -194,7 +194,7 @@ def test_rewriting(spark):
 def test_queries_hold_against_sql(spark, name, request):
     sf = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    for t in ("events", "documents", "pages", "conversations", "lineitem", "labels"):
+    for t in ("events", "documents", "pages", "conversations", "lineitem", "labels", "part", "customer", "supplier"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     got = catalog.queries()[name](spark, sf).toArrow()
     want = con.sql(catalog.oracle_sql()[name]).to_arrow_table()
@@ -202,3 +202,22 @@ def test_queries_hold_against_sql(spark, name, request):
     assert columns == sorted(want.column_names)
     rows = lambda t: sorted(map(repr, zip(*(t.column(c).to_pylist() for c in columns))))
     assert rows(got) == rows(want)
+
+
+def test_context_of_long_paragraphs_and_empty_runs(spark):
+    from mathquarry.operators.object_map import neighbours
+
+    texts = ["", "a" * 70, "", "b", None, "c" * 59, "", "d e"] + ["x"] * 200
+    rows = spark.createDataFrame([(1, k, t) for k, t in enumerate(texts)] + [(2, 0, "alone"), (3, 0, None)], "p int, k int, text string")
+    got = {(r.p, r.k): r for r in neighbours(rows, "p", ["k"]).collect()}
+    for k in range(len(texts)):
+        before, after = "".join(t or "" for t in texts[:k])[-60:], "".join(t or "" for t in texts[k + 1 :])[:60]
+        assert (got[1, k].text_before, got[1, k].text_after, got[1, k].inline_context) == (before, after, bool(before.strip(" ") or after.strip(" ")))
+    assert not got[2, 0].inline_context and not got[3, 0].inline_context
+
+
+def test_stand_ins_reach_every_arm(spark):
+    sf = "/root/testdata/sf0.01"
+    assert {r.status for r in catalog.step_status(spark, sf).collect()} >= {"failed", "blocked", "manual-only", "validation-gated", "review-gated", "completed-with-skips", "completed"}
+    assert {r.reasons for r in catalog.risk_classify(spark, sf).collect()} >= {"formula_followed_by_blank", "", "long_formula"}
+    assert {(r.parity, r.gate) for r in catalog.parity_gate(spark, sf).collect()} >= {("passed", "passed"), ("passed", "passed-limited"), ("failed", "blocked-canonical-artifact"), ("mismatch", "blocked-canonical-artifact")}

@@ -50,8 +50,8 @@ def test_validation_target(spark):
     assert [r.t for r in got] == ["x", "b", "a", "c", None]
 
 
-def test_action_statuses(spark):
-    entries = catalog._sample_entries(spark).cache()
+def test_action_statuses(spark, sample_entries):
+    entries = sample_entries
     formulas = detect.detect_all(entries).cache()
     plan = routing.execution_plan(routing.route_plan(routing.source_counts(formulas)))
     facts = document_facts(entries, formulas)
@@ -67,8 +67,8 @@ def test_action_statuses(spark):
     assert [(r.provider, r.action_id, r.blocking, r.status) for r in execution.action_reports(unknown, facts).collect()] == [("default", "manual-triage", True, "manual-gate")]
 
 
-def test_object_map(spark):
-    entries = catalog._sample_entries(spark)
+def test_object_map(spark, sample_entries):
+    entries = sample_entries
     rows = {r.doc_id: r for r in object_map.object_map(entries, detect.relationships(entries)).collect()}
     m = rows["mathtype.docx"]
     assert (m.sequence, m.run_text, m.paragraph_text, m.text_before, m.text_after, m.ole_target) == (1, "[OLE]", "Before [OLE]After", "Before ", "After", "embeddings/oleObject1.bin")
