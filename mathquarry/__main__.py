@@ -60,10 +60,10 @@ def main(argv: list[str] | None = None) -> None:
     tables.write_json(routing.routing_report(plan), f"{asked.out}/routing")
     tables.write_json(detect.failures(entries), f"{asked.out}/failures")
     if asked.command == "run-plan":
-        reports = execution.action_reports(routing.execution_plan(plan), canonical.document_facts(entries, formulas), asked.allow_external_tools)
-        tables.write_json(reports, f"{asked.out}/actions")
-        tables.write_json(execution.step_reports(reports), f"{asked.out}/steps")
-        tables.write_json(execution.blockers(reports), f"{asked.out}/blockers")
+        actions = execution.action_reports(routing.execution_plan(plan), canonical.document_facts(entries, formulas), asked.allow_external_tools)
+        tables.write_json(actions, f"{asked.out}/actions")
+        tables.write_json(execution.step_reports(actions), f"{asked.out}/steps")
+        tables.write_json(execution.blockers(actions), f"{asked.out}/blockers")
 
 
 if __name__ == "__main__":

@@ -13,6 +13,7 @@ from functools import reduce
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from mathquarry.functions import odf, payload, word
 from mathquarry.sources.containers import is_story, part_order, story_type
@@ -46,7 +47,7 @@ def parsed(rows: DataFrame, keys: str, read: Callable[..., list[dict]], fields:
     """
     key_names = keys.split()
     ddl = ", ".join(f"{k} string" for k in key_names) + f", {fields}, error string"
-    schema = rows.sparkSession.createDataFrame([], ddl).schema
+    schema = StructType.fromDDL(ddl)
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(schema)
@@ -77,6 +78,28 @@ def part_objects(entries: DataFrame, family: str) -> DataFrame:
     return parsed(stories, "doc_id part", read, OBJECT_FIELDS)
 
 
+def story_objects(entries: DataFrame) -> DataFrame:
+    """As :func:`part_objects`, of all families at once, with a column ``family``: a part is read once, and a family's walk that fails is that family's error."""
+
+    def read(doc: str, part: str, data: bytes | None) -> list[dict]:
+        out: list[dict] = []
+        for family, walk in word.WALKS.items():
+            try:
+                out += [{"family": family, "pos": k, **found} for k, found in enumerate(walk(data or b""))]
+            except Exception as problem:
+                out.append({"family": family, "error": f"{type(problem).__name__}: {problem}"})
+        return out
+
+    stories = entries.where((F.col("suffix") == ".docx") & is_story(F.col("entry"))).select("doc_id", F.col("entry").alias("part"), "data")
+    return parsed(stories, "doc_id part", read, "family string, " + OBJECT_FIELDS)
+
+
+def _own(entries: DataFrame, family: str, objects: DataFrame | None) -> DataFrame:
+    """What the family's walk finds, from ``objects`` if they are there."""
+    found = part_objects(entries, family) if objects is None else objects.where(F.col("family") == family).drop("family")
+    return found.where("error is null")
+
+
 def relationships(entries: DataFrame) -> DataFrame:
     """(doc_id, part, rid, type, target, normal, plain, rooted): targets resolved by the rule of each family."""
 
@@ -151,10 +174,10 @@ def _rels_path(part: Column) -> Column:
     return F.regexp_replace(part, r"([^/]*)$", r"_rels/$1.rels")
 
 
-def omml_native(entries: DataFrame) -> DataFrame:
+def omml_native(entries: DataFrame, objects: DataFrame | None = None) -> DataFrame:
     """Outermost OMML elements; a document's math settings are evidence for each of its rows."""
     settings = entries.where((F.col("entry") == "word/settings.xml") & F.decode("data", "UTF-8").rlike(r"<(\w+:)?mathPr[\s/>]")).select("doc_id").distinct().withColumn("has_math_pr", F.lit(True))
-    rows = _numbered(part_objects(entries, "omml-native").where("error is null")).join(settings, "doc_id", "left")
+    rows = _numbered(_own(entries, "omml-native", objects)).join(settings, "doc_id", "left")
     display = F.col("element").endswith("oMathPara")
     evidence = F.array_compact(F.array("part", F.when(F.col("has_math_pr"), "word/settings.xml")))
     return _formula(
@@ -175,9 +198,9 @@ def mathtype_basis(prog_id: Column, field_code: Column, probe: Column) -> dict[s
     }
 
 
-def mathtype_ole(entries: DataFrame, rels: DataFrame, probes: DataFrame) -> DataFrame:
+def mathtype_ole(entries: DataFrame, rels: DataFrame, probes: DataFrame, objects: DataFrame | None = None) -> DataFrame:
     """Objects by ProgID, field code, or a native stream with a MathType mark; numbered after that test."""
-    linked = _linked(part_objects(entries, "mathtype-ole").where("error is null"), rels, probes, "normal")
+    linked = _linked(_own(entries, "mathtype-ole", objects), rels, probes, "normal")
     basis = mathtype_basis(F.col("prog_id"), F.col("field_code"), F.col("probe"))
     by_stream = basis["equation-native-stream"] & (basis["application-key"] | basis["mathtype-ef-marker"])
     rows = _numbered(linked.where(basis["prog-id"] | basis["field-code"] | by_stream))
@@ -218,9 +241,9 @@ def axmath_artifacts(entries: DataFrame) -> DataFrame:
     return entries.select("doc_id", F.explode(found).alias("a")).groupBy("doc_id").agg(F.array_sort(F.collect_set("a")).alias("artifacts"))
 
 
-def axmath_ole(entries: DataFrame, rels: DataFrame, probes: DataFrame) -> DataFrame:
+def axmath_ole(entries: DataFrame, rels: DataFrame, probes: DataFrame, objects: DataFrame | None = None) -> DataFrame:
     """Objects with enough evidence points; every object of a document counts in the numbering."""
-    rows = _linked(_numbered(part_objects(entries, "axmath-ole").where("error is null")), rels, probes, "plain").join(axmath_artifacts(entries), "doc_id", "left")
+    rows = _linked(_numbered(_own(entries, "axmath-ole", objects)), rels, probes, "plain").join(axmath_artifacts(entries), "doc_id", "left")
     prog_id = F.nullif("prog_id", F.lit(""))
     by_prog = F.coalesce(F.lower(prog_id) == "equation.axmath", F.lit(False))
     by_field = F.col("field_code").isNotNull()
@@ -302,10 +325,10 @@ def _equation3_formula(rows: DataFrame, storage_kind: str, part: Column, story:
     )
 
 
-def equation_editor_3_ole(entries: DataFrame, rels: DataFrame, probes: DataFrame) -> DataFrame:
+def equation_editor_3_ole(entries: DataFrame, rels: DataFrame, probes: DataFrame, objects: DataFrame | None = None) -> DataFrame:
     """Equation 3.0 objects of OOXML documents (every OLE object counts in the numbering) and streams of legacy ones."""
     none = F.array().cast("array<string>")
-    linked = _linked(_numbered(part_objects(entries, "equation-editor-3-ole").where("error is null")), rels, probes, "rooted", word.OLE_RELATION)
+    linked = _linked(_numbered(_own(entries, "equation-editor-3-ole", objects)), rels, probes, "rooted", word.OLE_RELATION)
     docx = _equation3_formula(
         _equation3(linked), "ole-embedded", F.col("part"), story_type(F.col("part")), F.filter(F.array_compact(F.array("part", "embedding_target", "preview_target")), lambda x: x != ""),
         F.coalesce("probe.markers", none), F.coalesce("probe.streams", none),
@@ -414,6 +437,7 @@ class Detector:
     find: Callable[..., DataFrame]
     suffixes: tuple[str, ...]
     linked: bool = False  # whether it takes relationships and payload probes, too
+    walked: bool = False  # whether it takes the objects of all families' walks, where they have been kept
     priority: int = 100
 
 
@@ -437,15 +461,17 @@ class Registry:
     def ordered(self) -> list[Detector]:
         return sorted(self.detectors.values(), key=lambda d: (d.priority, d.family))
 
-    def run(self, entries: DataFrame, keep: Callable[[DataFrame, str], DataFrame] = lambda df, name: df) -> DataFrame:
+    def run(self, entries: DataFrame, keep: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
         """The rows of all detectors; one that can't be set up gives a warning and no rows (damaged documents never stop one)."""
         self.warnings = []
         wanted = self.ordered()
-        rels, probes = (keep(relationships(entries), "relationships"), keep(payloads(entries), "payloads")) if any(d.linked for d in wanted) else (None, None)
+        kept = keep or (lambda df, name: df)
+        rels, probes = (kept(relationships(entries), "relationships"), kept(payloads(entries), "payloads")) if any(d.linked for d in wanted) else (None, None)
+        walked = {"objects": keep(story_objects(entries), "objects")} if keep and any(d.walked for d in wanted) else {}
         found = []
         for d in wanted:
             try:
-                found.append(d.find(entries.where(F.col("suffix").isin(*d.suffixes)), *((rels, probes) if d.linked else ())).select(*FORMULA))
+                found.append(d.find(entries.where(F.col("suffix").isin(*d.suffixes)), *((rels, probes) if d.linked else ()), **(walked if d.walked else {})).select(*FORMULA))
             except Exception as problem:
                 self.warnings.append(f"{d.family}: {problem}")
         empty = entries.sparkSession.createDataFrame([], "none int").where("false")
@@ -455,20 +481,20 @@ class Registry:
 def default_registry() -> Registry:
     odf_suffixes = (".odt", ".odf", ".fodt")
     return Registry(
-        Detector("omml-native", omml_native, (".docx",)),
-        Detector("mathtype-ole", mathtype_ole, (".docx",), linked=True),
-        Detector("axmath-ole", axmath_ole, (".docx",), linked=True),
-        Detector("equation-editor-3-ole", equation_editor_3_ole, (".docx", ".doc"), linked=True),
+        Detector("omml-native", omml_native, (".docx",), walked=True),
+        Detector("mathtype-ole", mathtype_ole, (".docx",), linked=True, walked=True),
+        Detector("axmath-ole", axmath_ole, (".docx",), linked=True, walked=True),
+        Detector("equation-editor-3-ole", equation_editor_3_ole, (".docx", ".doc"), linked=True, walked=True),
         Detector("odf-native", odf_native, odf_suffixes),
         Detector("libreoffice-transformed", libreoffice_transformed, odf_suffixes),
     )
 
 
-def detect_all(entries: DataFrame, keep: Callable[[DataFrame, str], DataFrame] = lambda df, name: df) -> DataFrame:
+def detect_all(entries: DataFrame, keep: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
     """The formula table: the rows of all families. Parts that can't be parsed give no rows (see :func:`failures`).
 
-    Relationships and payload probes serve three families; ``keep(df, name)`` may write or cache them
-    (and the caller its entries) so that they are made once.
+    Relationships and payload probes serve three families, and the parts' objects four: ``keep(df, name)`` may
+    write them (and the caller its entries) so that they are made once, and parts are read once.
     """
     return default_registry().run(entries, keep)
 
