@@ -1,10 +1,10 @@
 """Repeated passages: Rabin-Karp hashes of every window of words, counted over the whole corpus.
 
 Words get a 128-bit digest, and a window two polynomial hashes of its words' digests, 64 bits each. Windows
-are hashed in numpy and dealt into buckets, packed as binary blocks: twelve bytes a window, and documents
+are hashed in numpy and dealt into buckets, packed as binary blocks: ten bytes a window, and documents
 and starts pressed. Within a slice, where all 128 bits are compared, only the earliest of equal windows is
 sent, so a passage that a third of all documents share is pre-aggregated before the shuffle. A bucket tells
-which of its windows also start earlier, by the 96 bits sent and those that led to the bucket; these starts
+which of its windows also start earlier, by the 80 bits sent and those that led to the bucket; these starts
 go back, packed by group of documents, merge into maximal intervals, and the words in them are removed.
 """
 
@@ -59,7 +59,7 @@ def windows(values: list[bytes], window: int = WINDOW) -> tuple[np.ndarray, np.n
 
 
 def _packed(docs: np.ndarray, starts: np.ndarray, hashes: np.ndarray | None = None) -> bytes:
-    """Windows in order of (doc, start): runs of documents and starts as differences, pressed; then 96 bits of hashes, if any."""
+    """Windows in order of (doc, start): runs of documents and starts as differences, pressed; then 80 bits of hashes, if any."""
     new = np.flatnonzero(np.append(True, docs[1:] != docs[:-1]))
     ids = docs[new]
     runs = np.diff(np.append(new, len(docs))).astype(np.int32)
@@ -68,7 +68,7 @@ def _packed(docs: np.ndarray, starts: np.ndarray, hashes: np.ndarray | None = No
     narrow = np.uint16 if steps.max(initial=0) < 65536 else np.uint32
     places = zstandard.ZstdCompressor(level=1).compress(np.diff(ids, prepend=0).tobytes() + runs.tobytes() + steps.astype(narrow).tobytes())
     head = np.array([len(docs), len(ids), np.dtype(narrow).itemsize, len(places)], dtype=np.int64)
-    kept = b"" if hashes is None else hashes[:, 0].tobytes() + hashes[:, 1].astype("<u4").tobytes()
+    kept = b"" if hashes is None else hashes[:, 0].tobytes() + hashes[:, 1].astype("<u2").tobytes()
     return b"".join([head.tobytes(), places, kept])
 
 
@@ -84,7 +84,7 @@ def _unpacked(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     starts = total - np.repeat(total[begin] - steps[begin], runs)
     hashes = np.zeros((n if len(block) > 32 + size else 0, 2), dtype=np.uint64)
     hashes[:, 0] = np.frombuffer(block[32 + size :], np.uint64, len(hashes))
-    hashes[:, 1] = np.frombuffer(block[32 + size + 8 * len(hashes) :], "<u4", len(hashes))
+    hashes[:, 1] = np.frombuffer(block[32 + size + 8 * len(hashes) :], "<u2", len(hashes))
     return np.repeat(ids, runs), starts, hashes
 
 
@@ -148,7 +148,7 @@ def repeated_starts(docs: DataFrame, buckets: int, window: int = WINDOW) -> Data
                 continue
             ids = batch.column("doc_id").fill_null(_NULL).to_numpy(zero_copy_only=False)[rows]
             later = _later(ids, starts, hashes)
-            bucket = ((hashes[:, 1] >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)  # bits that are not sent
+            bucket = ((hashes[:, 1] >> np.uint64(16)) % np.uint64(buckets)).astype(np.int32)  # bits that are not sent
             # windows with an earlier equal in the slice need no counting: they pass through a bucket on their way back
             out = [(group, group, block) for group, block in _grouped(ids[later], starts[later], buckets)]
             sent = np.flatnonzero(~later)
@@ -184,7 +184,7 @@ def repeated_starts(docs: DataFrame, buckets: int, window: int = WINDOW) -> Data
             yield settled()
 
     dealt = docs.mapInArrow(deal, "bucket int, grp int, block binary")
-    return dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(count, _BACK_DDL)
+    return dealt.repartitionById(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(count, _BACK_DDL)
 
 
 def cut_words(words: list[bytes], starts: np.ndarray, window: int) -> list[bytes]:
@@ -205,13 +205,13 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``[^\\x20\\x09-\\x0D]+``, unchanged; null text has none. A null id is below every other. Rows of
     one id are one document: at equal starts neither is earlier, and a start removed in one is removed
     in the other where its text is long enough. An empty table gives no rows; other columns are not
-    looked at. Windows are told apart by 96 bits of hashes and the bucket that further bits lead to:
-    at 9e9 windows (30 GB) the chance that any two different ones are taken for equal is about 1e-12,
-    at 3e13 (100 TB) about 1e-9.
+    looked at. Windows are told apart by 80 bits of hashes and the bucket that 48 further bits lead to:
+    at 9e9 windows in 2,500 buckets (30 GB) the chance that any two different ones are taken for equal is about
+    1e-8, at 3e13 in 8 million (100 TB) about 1e-4.
     """
     plain = texts_of(docs, id_col, text_col)
     size = plain.select(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(16, -(-size // BUCKET_BYTES))
+    buckets = max(1, -(-size // BUCKET_BYTES))
     back = written(repeated_starts(plain, buckets, window), "starts")
 
     def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,5 +252,5 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     ["doc_id", "n_words", "n_removed", "kept_text", "kept_sha256"],
                 )
 
-    dealt = plain.mapInArrow(shrink, _BACK_DDL).union(back).repartition(buckets, "grp").sortWithinPartitions("grp", F.col("ord").asc_nulls_first())
+    dealt = plain.mapInArrow(shrink, _BACK_DDL).union(back).repartitionById(buckets, "grp").sortWithinPartitions("grp", F.col("ord").asc_nulls_first())
     return dealt.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string")

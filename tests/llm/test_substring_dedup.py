@@ -64,5 +64,5 @@ def test_packed_blocks_come_back_whole():
     hashes = sd.np.arange(10, dtype=sd.np.uint64).reshape(-1, 2) << sd.np.uint64(28)
     found = sd._unpacked(sd._packed(docs, starts, hashes))
     assert found[0].tolist() == docs.tolist() and found[1].tolist() == starts.tolist()
-    assert found[2].tolist() == (hashes & sd.np.array([2**64 - 1, 2**32 - 1], dtype=sd.np.uint64)).tolist()
+    assert found[2].tolist() == (hashes & sd.np.array([2**64 - 1, 2**16 - 1], dtype=sd.np.uint64)).tolist()
     assert len(sd._unpacked(sd._packed(docs, starts))[2]) == 0
