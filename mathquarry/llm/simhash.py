@@ -484,7 +484,9 @@ def near_links(nodes: DataFrame, scheme: Scheme) -> DataFrame:
 
     # partitions follow the rows, so that a task's share stays the same as the input grows
     dealt = nodes.mapInArrow(deal, "t int, part long, block binary")
-    return dealt.repartition(-(-len(masks) * n // BUCKET) + 1, "t", "part").sortWithinPartitions("t", "part").mapInArrow(compare, "a long, b long")
+    place = F.when(F.col("part") < 0, F.xxhash64("t", "part")).otherwise(F.col("t") * F.lit(parts) + F.col("part"))
+    count = -(-len(masks) * n // BUCKET) + 1
+    return dealt.repartitionById(count, F.pmod(place, F.lit(count).cast("long")).cast("int")).sortWithinPartitions("t", "part").mapInArrow(compare, "a long, b long")
 
 
 def similar_clusters(sets: list[np.ndarray], similar: tuple[int, int]) -> np.ndarray:
