@@ -77,10 +77,21 @@ def test_stages_take_odd_rows(spark, tmp_path):
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
     odd = [(None, None, None, None, None), (None, docs[3][1], None, None, 1), (5, "", "en", None, 0), (70, docs[4][1], "en", "s", 1), (70, docs[4][1], "en", "s", 1), (7, "word " * 30000, "en", "s", 1)]
     table = spark.createDataFrame([(*d, "extra") for d in docs[:60] + odd], "doc_id long, text string, lang string, source string, n_chars long, copies string")
-    for _, stage in corpus_pipeline.STAGES:
+    n = table.count()
+    found = {}
+    for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, table, sf)
-        assert out.count() >= 0
+        found[name] = sorted((r.doc_id is not None, r.doc_id or 0) for r in out.collect())
         if stage is not corpus_pipeline.STAGES[-1][1]:
             assert out.columns == table.columns
-    exact = corpus_pipeline.exact_dedup(spark, table, sf).collect()
-    assert sum(r.doc_id == 70 for r in exact) == 1
+    ids = sorted((d[0] is not None, d[0] or 0) for d in docs[:60] + odd)
+    good = [i for i, q, _ in labels[:60] if q]
+    assert {(True, i) for i in good} <= set(found["quality classifier"]) <= set(ids)
+    exact = found["exact dedup"]
+    # docs[3] has an id, so its copy without one goes; of the rows without text 5 stays; of 4 and its copies the largest id, once
+    assert exact == sorted((True, i) for i in [*(d[0] for d in docs[:60] if d[0] not in (4, 5, 7)), 5, 5, 7, 7, 70])
+    near = found["SimHash near-dedup"]
+    assert (True, 70) not in near and (True, 4) in near and (False, 0) not in near and len(near) >= 60
+    assert found["BPE encoding and decoding"] == ids and len(ids) == n
+    mixed = [found["mixing sources to target weights"].count(x) for x in set(ids)]
+    assert max(mixed) <= 3 * 3 and sum(mixed) > 0
