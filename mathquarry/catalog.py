@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from mathquarry import samples, standins
 from mathquarry.functions import mtef, omml, repair
-from mathquarry.operators import batches, canonical, detect, object_map, rewrite, risk
+from mathquarry.operators import batches, canonical, detect, object_map, package, rewrite, risk
 from mathquarry.plans import execution, routing, status
 from mathquarry.sources import containers, tables
 
@@ -630,3 +630,22 @@ def action_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = routing.execution_plan(routing.route_plan(routing.source_counts(formulas)))
     found = execution.action_reports(plan, canonical.document_facts(entries, formulas))
     return found.select("doc_id", "source_family", "formula_count", "provider", "action_order", "action_id", "blocking", "status")
+
+
+@query(
+    f"""WITH {_FILES_SQL} SELECT doc_id, TRUE AS target_is_the_document, 'pending-external-validation' AS status, 'spot-check' AS review_mode, 'word-open=not-run,word-export-pdf=not-run,render-parity=not-run,formula-count=planned' AS planned_checks,
+    (n + 1)::BIGINT AS formula_count, (n + 1)::BIGINT AS canonical_mathml_count, 0::BIGINT AS unsupported_fragment_count,
+    '{{"source_family":"omml-native","provider":"omml","next_action":"run-omml-native-pipeline","route_kind":"primary-source-first","formula_count":' || (n + 1) || ',"canonical_mathml_count":' || (n + 1) ||
+      ',"unsupported_fragment_count":0,"input_path":"' || doc_id || '","validation_target_docx":"validation-target.docx"}}' AS metadata FROM s WHERE v = 0"""
+)
+def omml_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of native equations packaged for validation, with metadata, plan and evidence."""
+    files = tables.kept(standins.container_files(_table(spark, sf_dir, "supplier"), "s_suppkey"), "files")
+    described = containers.described(files)
+    entries = tables.kept(containers.entries_of(described), "entries")
+    formulas = _formula_table(entries)
+    made = package.packages(files, routing.route_plan(routing.source_counts(formulas)), formulas, canonical.omml_canonical(entries))
+    own = described.select("doc_id", "sha256")
+    checks = F.array_join(F.transform("plan.planned_checks", lambda c: F.concat_ws("=", c["id"], c["status"])), ",")
+    same = (F.col("target_sha256") == F.col("sha256")).alias("target_is_the_document")
+    return made.join(own, "doc_id").select("doc_id", same, "plan.status", "plan.review_mode", checks.alias("planned_checks"), "formula_count", "canonical_mathml_count", "unsupported_fragment_count", "metadata")
