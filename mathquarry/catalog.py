@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from mathquarry import samples, standins
 from mathquarry.functions import mtef, omml, repair
-from mathquarry.operators import batches, canonical, detect, object_map, package, rewrite, risk
-from mathquarry.plans import execution, routing, status
+from mathquarry.operators import batches, canonical, detect, object_map, package, pages, rewrite, risk
+from mathquarry.plans import execution, options, routing, status
 from mathquarry.sources import containers, tables
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -210,8 +210,8 @@ def parity_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _STEPS_SQL = """(SELECT user_id, hour, CASE WHEN bool_or(s = 'failed') THEN 'failed' WHEN bool_or(s = 'blocked-external-tool') THEN 'blocked' WHEN bool_and(s = 'manual-gate') OR bool_or(value < 0.05) THEN 'manual-only'
-    WHEN bool_or(s = 'validation-gated') THEN 'validation-gated' WHEN bool_or(s = 'review-gated') THEN 'review-gated' WHEN bool_or(starts_with(s, 'skipped')) THEN 'completed-with-skips' ELSE 'completed' END AS status
-    FROM (SELECT user_id, date_trunc('day', ts) AS hour, value, CASE WHEN event_type = 'error' AND event_id % 3 = 0 THEN 'failed' WHEN event_type = 'error' THEN 'blocked-external-tool' WHEN event_type = 'signup' THEN 'manual-gate'
+    WHEN bool_or(s = 'validation-gated') THEN 'validation-gated' WHEN bool_or(s = 'review-gated') THEN 'review-gated' WHEN bool_or(starts_with(s, 'skipped')) THEN 'completed-with-skips' ELSE 'completed' END AS status,
+    CASE WHEN bool_and(value >= 0.05) THEN 'runnable' ELSE 'manual-only' END AS dry_run FROM (SELECT user_id, date_trunc('day', ts) AS hour, value, CASE WHEN event_type = 'error' AND event_id % 3 = 0 THEN 'failed' WHEN event_type = 'error' THEN 'blocked-external-tool' WHEN event_type = 'signup' THEN 'manual-gate'
       WHEN event_type = 'purchase' AND event_id % 2 = 0 THEN 'validation-gated' WHEN event_type = 'purchase' THEN 'review-gated' WHEN event_type = 'click' THEN 'skipped-existing' ELSE 'completed' END AS s FROM events) GROUP BY ALL)"""
 
 
@@ -225,10 +225,10 @@ def _steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("user_id", "day").agg(status.step_status(F.col("s"), F.col("supported")).alias("status"), status.dry_run_status(F.col("supported")).alias("dry_run"))
 
 
-@query(f"SELECT user_id, status, count(*) AS steps FROM {_STEPS_SQL} GROUP BY ALL")
+@query(f"SELECT user_id, status, dry_run, count(*) AS steps FROM {_STEPS_SQL} GROUP BY ALL")
 def step_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Actions reduced to a step's status by fixed precedence."""
-    return _steps(spark, sf_dir).groupBy("user_id", "status").agg(F.count("*").alias("steps"))
+    """Actions reduced to a step's status by fixed precedence, and its dry run."""
+    return _steps(spark, sf_dir).groupBy("user_id", "status", "dry_run").agg(F.count("*").alias("steps"))
 
 
 @query(
@@ -328,22 +328,24 @@ def positional_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""SELECT doc_id, page_count_compared, unmatched_pages_total, max_changed_ratio, CASE WHEN unmatched_pages_total > 0 OR max_changed_ratio > 0.5 THEN 'review-gated' ELSE 'passed' END AS status,
+    f"""SELECT doc_id, page_count_compared, unmatched_pages_total, max_changed_ratio, round(average, 6) AS average_changed_ratio, CASE WHEN unmatched_pages_total > 0 OR max_changed_ratio > 0.5 THEN 'review-gated' ELSE 'passed' END AS status,
     (unmatched_pages_total > 0)::INT + (max_changed_ratio > 0.5)::INT AS reason_count
     FROM (SELECT doc_id, count(*) FILTER (original IS NOT NULL AND converted IS NOT NULL) AS page_count_compared, count(*) FILTER (original IS NULL OR converted IS NULL) AS unmatched_pages_total,
-      coalesce(max(abs(original - converted) / (abs(original) + abs(converted) + 1)), 0.0) AS max_changed_ratio FROM {_PAGES_SQL} GROUP BY doc_id)"""
+      coalesce(max(abs(original - converted) / (abs(original) + abs(converted) + 1)), 0.0) AS max_changed_ratio, coalesce(avg(abs(original - converted) / (abs(original) + abs(converted) + 1)), 0.0) AS average FROM {_PAGES_SQL} GROUP BY doc_id)"""
 )
 def visual_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The page comparison's gate."""
     ratio = F.abs(F.col("original") - F.col("converted")) / (F.abs("original") + F.abs("converted") + 1)
     found = status.visual_gate(_matched(spark, sf_dir).withColumn("changed_ratio", ratio), max_ratio=0.5)
-    return found.select("doc_id", "page_count_compared", "unmatched_pages_total", "max_changed_ratio", "status", F.size("reasons").alias("reason_count"))
+    return found.select("doc_id", "page_count_compared", "unmatched_pages_total", "max_changed_ratio", F.round("average_changed_ratio", 6).alias("average_changed_ratio"), "status", F.size("reasons").alias("reason_count"))
 
 
 @query(
     """SELECT doc_id, CASE WHEN NOT target THEN 'blocked' WHEN export AND passed AND visual AND ref AND vs = 'failed' THEN 'blocked' WHEN export AND passed AND visual AND ref AND vs = 'review-gated' THEN 'review-gated'
-    WHEN export AND NOT passed THEN 'blocked' WHEN export THEN 'deliverable-ready' ELSE 'research-only' END AS conclusion
-    FROM (SELECT doc_id, doc_id % 11 <> 0 AS target, doc_id % 3 <> 0 AS export, doc_id % 5 <> 0 AS passed, doc_id % 2 = 0 AS visual, doc_id % 7 <> 0 AS ref, ['passed', 'failed', 'review-gated'][doc_id % 3 + 1] AS vs FROM documents)"""
+    WHEN export AND NOT passed THEN 'blocked' WHEN export THEN 'deliverable-ready' ELSE 'research-only' END AS conclusion,
+    CASE WHEN NOT target THEN 'Target DOCX does not exist.' ELSE concat_ws('; ', CASE WHEN NOT export THEN 'Word export not run; current result is research-only.' WHEN NOT passed THEN 'Word PDF export failed; output is not deliverable-ready.' END,
+      CASE WHEN NOT visual THEN 'Visual PDF comparison not run.' WHEN NOT ref THEN 'Visual comparison requested without reference PDF.' WHEN export AND passed AND vs = 'failed' THEN 'Visual PDF comparison failed; inspect logs before claiming visual parity.' END,
+      CASE WHEN export AND passed AND visual AND ref AND vs = 'review-gated' THEN 'Visual compare gate: too much has changed' END) END AS residual_risks FROM (SELECT doc_id, doc_id % 11 <> 0 AS target, doc_id % 3 <> 0 AS export, doc_id % 5 <> 0 AS passed, doc_id % 2 = 0 AS visual, doc_id % 7 <> 0 AS ref, ['passed', 'failed', 'review-gated'][doc_id % 3 + 1] AS vs FROM documents)"""
 )
 def validation_conclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The state machine of a document's validation."""
@@ -351,9 +353,9 @@ def validation_conclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = F.array(*map(F.lit, ("passed", "failed", "review-gated")))
     asked = {
         "target_exists": d % 11 != 0, "export_requested": d % 3 != 0, "export_status": F.when(d % 5 != 0, "passed").otherwise("failed"), "visual_requested": d % 2 == 0, "has_reference": d % 7 != 0,
-        "visual_status": F.element_at(kinds, (d % 3 + 1).cast("int")), "visual_reasons": F.array().cast("array<string>"),
+        "visual_status": F.element_at(kinds, (d % 3 + 1).cast("int")), "visual_reasons": F.array(F.lit("too much has changed")),
     }
-    return status.validation(_table(spark, sf_dir, "documents").select("doc_id").withColumns(asked)).select("doc_id", "conclusion")
+    return status.validation(_table(spark, sf_dir, "documents").select("doc_id").withColumns(asked)).select("doc_id", "conclusion", F.array_join("residual_risks", "; ").alias("residual_risks"))
 
 
 @query(r"""SELECT doc_id, left(trim(regexp_replace(text, '[ \t\n\x0b\f\r]+', ' ', 'g')), 120) AS preview FROM documents""")
@@ -649,3 +651,136 @@ def omml_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     checks = F.array_join(F.transform("plan.planned_checks", lambda c: F.concat_ws("=", c["id"], c["status"])), ",")
     same = (F.col("target_sha256") == F.col("sha256")).alias("target_is_the_document")
     return made.join(own, "doc_id").select("doc_id", same, "plan.status", "plan.review_mode", checks.alias("planned_checks"), "formula_count", "canonical_mathml_count", "unsupported_fragment_count", "metadata")
+
+
+# ---- single operators over rows --------------------------------------------------------------------
+
+
+@query(
+    """SELECT c_custkey, 2::INT AS width, 2::INT AS height, (d > 24)::INT::BIGINT AS changed_pixels, (d > 24)::INT / 4::DOUBLE AS changed_ratio, d / 4::DOUBLE AS mean_abs_diff, d / 2::DOUBLE AS rms_diff,
+    if(d > 24, '1,1,2,2', '') AS diff_box FROM (SELECT c_custkey, c_custkey % 50 AS d FROM customer)"""
+)
+def page_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two grey pictures of four pixels for each customer, of which the last may differ."""
+    k = F.col("c_custkey")
+    pixel = lambda grey: F.repeat(F.lpad(F.hex(grey), 2, "0"), 3)
+    head = F.hex(F.encode(F.lit("P6\n2 2\n255\n"), "UTF-8"))
+    base = k % 200
+    picture = lambda last: F.unhex(F.concat(head, pixel(base), pixel(base), pixel(base), pixel(last)))
+    rows = _table(spark, sf_dir, "customer").select(k.cast("string").alias("doc_id"), F.lit(1).alias("page"), picture(base).alias("a"), picture(base + k % 50).alias("b"))
+    found = pages.page_metrics(rows.withColumnRenamed("a", "picture"), rows.withColumnRenamed("b", "picture"))
+    box = F.coalesce(F.concat_ws(",", *(F.col(f"diff_box.{side}").cast("string") for side in ("left", "top", "right", "bottom"))), F.lit(""))
+    return found.select(F.col("doc_id").cast("long").alias("c_custkey"), "width", "height", "changed_pixels", "changed_ratio", "mean_abs_diff", "rms_diff", box.alias("diff_box"))
+
+
+@query(
+    f"""WITH {_FILES_SQL} SELECT doc_id, if(k % 2 = 0, n, 0)::INT AS replaced_count, if(k % 2 = 0, NULL, 'LookupError: no OMML for embeddings/oleObject1.bin') AS error, if(k % 2 = 0, n, 0)::INT AS omml_count, if(k % 2 = 0, 0, n)::INT AS ole_object_count
+    FROM (SELECT *, split_part(doc_id, '-', 1)::BIGINT AS k FROM s WHERE v = 1)"""
+)
+def replaced_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects replaced by equations, layout kept; a document that lacks an equation says so."""
+    suppliers = _table(spark, sf_dir, "supplier").where("s_suppkey % 9 = 1")
+    files = tables.kept(standins.container_files(suppliers, "s_suppkey"), "files")
+    key = F.substring_index("doc_id", "-", 1).cast("long")
+    wanted = files.select("doc_id", F.explode(F.sequence(F.lit(1), (key % 3 + 1).cast("int"))).alias("i")).select("doc_id", "i", F.concat(F.lit("oleObject"), F.col("i").cast("string")).alias("stem"))
+    there = wanted.where((key % 2 == 0) | (F.col("i") > 1)).select("doc_id", "stem", F.lit(samples.OMML["fraction"]).alias("omml"))
+    made = tables.kept(rewrite.replaced(files, rewrite.replacements(there, wanted), keep_layout=True), "replaced")
+    parts = containers.story_parts(containers.entries_of(containers.described(made.select("doc_id", "content"))))
+    return made.select("doc_id", "replaced_count", "error").join(parts.select("doc_id", "omml_count", "ole_object_count"), "doc_id", "left")
+
+
+@query(
+    f"""SELECT c_custkey, if(c_custkey % 10 = 9, 'failed', 'accepted') AS status, if(c_custkey % 10 = 9, 'empty MathML', NULL) AS problem, CASE WHEN c_custkey % 10 < 9 THEN '<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '{_MATH}>' || CASE c_custkey % 4
+      WHEN 0 THEN '<math:msup><math:mi>' || x || '</math:mi><math:mn>' || n || '</math:mn></math:msup>' WHEN 1 THEN '<math:msub><math:mi>' || x || '</math:mi><math:mi>i</math:mi></math:msub>'
+      WHEN 2 THEN '<math:mi>' || ['sin', 'cos', 'tan', 'cot', 'sec', 'csc', 'log', 'ln'][c_custkey % 8 + 1] || '</math:mi><math:mi>' || x || '</math:mi>'
+      ELSE '<math:mi>' || x || '</math:mi><math:mo>=</math:mo><math:msub><math:mi>log</math:mi><math:mn>' || n || '</math:mn></math:msub>' END || '</math:math>' || chr(10) END AS mathml
+    FROM (SELECT c_custkey, chr((119 + c_custkey % 4)::INT) AS x, c_custkey % 90 + 2 AS n FROM customer)"""
+)
+def mathtype_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an outer converter made, repaired and accepted, or refused."""
+    made = standins.broken_mathml(_table(spark, sf_dir, "customer"), "c_custkey")
+    told = F.when(F.col("c_custkey").cast("long") % 10 == 9, " ").otherwise(F.concat(F.lit("\ufeff"), "mathml"))
+    found = canonical.mathtype_canonical(made.select(F.col("c_custkey").alias("doc_id"), F.lit("oleObject1.bin").alias("part"), told.alias("mathml")))
+    return found.select(F.col("doc_id").cast("long").alias("c_custkey"), "status", "problem", "mathml")
+
+
+@query(
+    """SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN '<root><mtef><mtef_version>3</mtef_version><product_subversion>0</product_subversion><equation_options>block</equation_options><x>' || p_size || '</x></mtef></root>'
+      WHEN 1 THEN '<root><mtef><mtef_version>5</mtef_version><product_subversion>0</product_subversion><x>' || p_size || '</x></mtef></root>' ELSE '<root>' || p_size END AS xml, p_partkey % 3 = 0 AS display_added FROM part"""
+)
+def display_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Equation options added where version 3 lacks them."""
+    version = F.when(F.col("p_partkey") % 3 == 0, "3").otherwise("5")
+    whole = F.concat(F.lit("<root><mtef><mtef_version>"), version, F.lit("</mtef_version><product_subversion>0</product_subversion><x>"), F.col("p_size").cast("string"), F.lit("</x></mtef></root>"))
+    xml = F.when(F.col("p_partkey") % 3 == 2, F.concat(F.lit("<root>"), F.col("p_size").cast("string"))).otherwise(whole)
+    found = canonical.with_display_mode(_table(spark, sf_dir, "part").select("p_partkey", xml.alias("xml")), "xml")
+    return found.select("p_partkey", F.col("xml_with_display").alias("xml"), "display_added")
+
+
+@query(
+    """SELECT p_partkey, [TRUE, TRUE, FALSE, FALSE, FALSE, FALSE, FALSE, FALSE, FALSE][k] AS yes, [TRUE, TRUE, FALSE, FALSE, TRUE, FALSE, FALSE, FALSE, FALSE][k] AS yes_by_letter, [7, 7, 0, 7, 7, 12, 7, 7, 7][k]::BIGINT AS whole,
+    [0.5, 0.5, 0.0, 0.5, 0.5, 12.0, 1.5, 0.5, 0.5][k]::DOUBLE AS decimal_value, if(k = 1, '-PreserveMathTypeLayout -MathTypeLayoutFactor 1.01375', '') || if(k = 2, '-PreserveMathTypeLayout -MathTypeLayoutFactor 1.01375', '') || if(k = 6, '-StartIndex 12', '') AS arguments
+    FROM (SELECT p_partkey, (p_partkey % 9 + 1)::INT AS k FROM part)"""
+)
+def option_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Options as text, read leniently, and the arguments that they ask for."""
+    texts = (" True ", "YES", "0", "n", "y", "+12", "1.5", "", "abc")
+    said = F.element_at(F.array(*map(F.lit, texts)), (F.col("p_partkey") % 9 + 1).cast("int"))
+    rows = _table(spark, sf_dir, "part").select("p_partkey", said.alias("t"))
+    asked = F.create_map(F.lit("preserve_mathtype_layout"), F.col("t"), F.lit("mathtype_start_index"), F.col("t"))
+    t = F.col("t")
+    return rows.select("p_partkey", options.boolean(t).alias("yes"), options.boolean(t, letters=True).alias("yes_by_letter"), options.integer(t, 7).alias("whole"), options.real(t, 0.5).alias("decimal_value"), F.array_join(options.mathtype_arguments(asked), " ").alias("arguments"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_linenumber > 1 THEN l_quantity END AS height FROM lineitem")
+def style_heights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A height in points out of an inline style."""
+    style = F.concat(F.lit("width:"), F.col("l_linenumber").cast("string"), F.when(F.col("l_linenumber") > 1, F.concat(F.lit("pt; HEIGHT : "), F.col("l_quantity").cast("string"), F.lit(" pt"))).otherwise("pt;line-height:2pt"))
+    return _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", rewrite.style_points(style, "height").alias("height"))
+
+
+@query(
+    r"""SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'direct' WHEN 1 THEN 'target' WHEN 2 THEN 'first' WHEN 3 THEN 'artifact' END AS target,
+    trim(regexp_replace(source || ' / ' || lang || ' é.bin ', '[^A-Za-z0-9._-]+', '_', 'g'), '_') AS slug FROM documents"""
+)
+def names_and_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The document to validate, given or named by metadata, and names that are safe for files."""
+    told = ("{}", '{"target_docx": "target"}', '{"target_docx": "target", "validation_target_docx": "first"}', '{"artifacts": {"validation_target": {"validation_target_docx": "artifact"}}}', '{"target_docx": ""}')
+    k = F.col("doc_id") % 5
+    metadata = F.element_at(F.array(*map(F.lit, told)), (k + 1).cast("int"))
+    name = F.concat("source", F.lit(" / "), "lang", F.lit(" é.bin "))
+    return _table(spark, sf_dir, "documents").select("doc_id", tables.validation_target(F.when(k == 0, "direct").otherwise(""), metadata).alias("target"), tables.slug(name).alias("slug"))
+
+
+@query(
+    f"""SELECT doc_id, 'formula_count: ' || sum(n)::BIGINT || chr(10) || 'source_counts:' || chr(10) || string_agg('  ' || source_family || ': ' || n, chr(10) ORDER BY source_family) AS summary
+    FROM (SELECT user_id AS doc_id, source_family, count(*) AS n FROM {_FAMILY_SQL} GROUP BY ALL) GROUP BY doc_id"""
+)
+def document_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K3: a document's total and families as text."""
+    return tables.summary_text(routing.source_counts(_formulas(spark, sf_dir)))
+
+
+_RECORDS_SQL = """(SELECT 'oleObject' || doc_id || '.bin' AS name, 'oleObject' || doc_id AS stem, doc_id AS position, event_id % 97 AS paragraph_index, event_type AS text_before, CASE WHEN doc_id % 3 <> 0 THEN 'auto_replace' WHEN event_id % 2 = 1 THEN 'spot_check' ELSE 'manual_review' END AS category
+    FROM documents LEFT JOIN (SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id) ON user_id = doc_id)"""
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    file = lambda c: F.concat(F.lit("oleObject"), F.col(c).cast("string"), F.lit(".bin"))
+    preview = F.concat("lang", F.when(F.col("doc_id") % 3 == 0, " =").otherwise(""))
+    summary = _table(spark, sf_dir, "documents").select(file("doc_id").alias("name"), F.lit("ok").alias("status"), F.lit("True").alias("omml_exists"), F.lit("True").alias("tex_exists"), preview.alias("latex_preview"))
+    after = F.when(F.col("event_id") % 2 == 1, "___").otherwise("")
+    objects = _table(spark, sf_dir, "events").select(F.concat(F.lit("embeddings/"), file("user_id")).alias("ole_target"), F.col("event_id").alias("sequence"), (F.col("event_id") % 97).alias("paragraph_index"), F.lit(1).alias("run_index"), F.col("event_type").alias("text_before"), after.alias("text_after"))
+    return risk.records(summary, objects)
+
+
+@query(f"SELECT name, stem, position, paragraph_index, text_before, category FROM {_RECORDS_SQL}")
+def risk_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Converted formulas with their place, the last object of a name counting, classified; blanks override."""
+    return _records(spark, sf_dir).select("name", "stem", "position", "paragraph_index", "text_before", "category")
+
+
+@query(f"SELECT name, position FROM {_RECORDS_SQL} WHERE category = 'spot_check' ORDER BY position LIMIT 30")
+def spot_check_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L1: the first 30 spot checks in natural order (the feature)."""
+    return risk.spot_checks(_records(spark, sf_dir)).select("name", "position")
