@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mathquarry.llm.common import as_bytes, joined, sliced, texts_of, written
+from mathquarry.llm.common import as_bytes, forget, joined, sliced, texts_of, written
 
 #: Cut where the top bits of the gear hash are zero: every 2**CUT_BITS bytes on average, within these lengths.
 CUT_BITS, SHORTEST, LONGEST = 10, 256, 16384
@@ -103,6 +103,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         ),
         "recipes",
     )
+    forget(parts)
+    forget(clash)
     groups = written(recipes.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.sum("n_rows").alias("group_size")), "groups")
     # a recipe that repeats gives as many rows, by way of pieces of up to REPEATS, so no array grows with the data
     pieces = F.sequence(F.lit(0).cast("long"), F.expr(f"(n_rows - 1) div {REPEATS}"))

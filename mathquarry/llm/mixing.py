@@ -34,7 +34,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most:
     Weights repeat along the sources in code point order, null last. Targets share the sum of all
     sizes by weight and stop at ``most`` times the source's size; what is cut off is shared again
     until none is above. In order of cap by weight the capped sources are a prefix, so one running
-    sum finds them all; integers keep the comparison exact.
+    sum finds them all; integers keep the comparison exact. The running sums are one task's work: a
+    name and a few numbers for each source, however many documents it has.
     """
     number = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
     listed = sizes.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), ((number - 1) % len(weights) + 1).cast("int")).cast("long"))

@@ -521,8 +521,8 @@ def similar_clusters(sets: list[np.ndarray], similar: tuple[int, int]) -> np.nda
     return root
 
 
-def similar_links(texts: DataFrame, marked: DataFrame, groups: DataFrame, shingle: int, similar: tuple[int, int]) -> DataFrame:
-    """Links (a, b) that connect all nodes of one candidate group whose shingle sets are ``similar``.
+def similar_links(texts: DataFrame, marked: DataFrame, groups: DataFrame, shingle: int, similar: tuple[int, int]) -> tuple[DataFrame, list[DataFrame]]:
+    """Links (a, b) that connect all nodes of one candidate group whose shingle sets are ``similar``, and the tables that they are made from.
 
     ``groups``: (alike, root) of all that has candidates. Only their texts are read again, and sets are
     compared within a group, so what is linked is decided by the sets alone.
@@ -577,7 +577,7 @@ def similar_links(texts: DataFrame, marked: DataFrame, groups: DataFrame, shingl
         yield links(held)
 
     total = rooted.agg(F.sum("n")).first()[0] or 0
-    return dealt.repartition(-(-2 * total // CONFIRMED) + 1, "root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(run, "a long, b long")
+    return dealt.repartition(-(-2 * total // CONFIRMED) + 1, "root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(run, "a long, b long"), [rooted, hot]
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, scheme: Scheme = WIDE) -> DataFrame:
@@ -604,9 +604,11 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         placed = written(placed, "placed")
         some = placed.groupBy("root").count().where("count > 1").select("root")
         candidates = written(placed.join(some, "root", "left_semi"), "candidates")
-        alike = similar_links(texts_of(docs, id_col, text_col), marked, candidates, shingle, scheme.similar)
+        alike, used = similar_links(texts_of(docs, id_col, text_col), marked, candidates, shingle, scheme.similar)
+        forget(roots)
         roots = written(connected_components(alike), "roots")
-        forget(placed)
+        for done in (placed, candidates, *used):
+            forget(done)
     nodes = marked.groupBy(own).agg(F.min("doc_id").alias("low"))
     named = nodes.join(roots.withColumnRenamed("node", own), own, "left").select(own, "low", F.coalesce("root", own).alias("root"))
     named = written(named, "named")

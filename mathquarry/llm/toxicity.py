@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mathquarry.llm.common import held_out, texts_of, written
+from mathquarry.llm.common import forget, held_out, texts_of, written
 from mathquarry.llm.labelled import labelled_sample, scorer
 
 #: The training sample is of so many labelled documents at most, and so many words and beginnings are looked at closely.
@@ -284,6 +284,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic",
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(packed, pa.list_(pa.float64()))], ["doc_id", "label", "x"])
 
     seen = sorted(sample.mapInArrow(measure, "doc_id long, label int, x array<double>").collect(), key=lambda r: r.doc_id)
+    forget(sample)
     y = np.array([r.label for r in seen], dtype=float)
     if len(y) and y.min() < y.max():
         model.beta = logistic(np.array([r.x for r in seen]), y)
