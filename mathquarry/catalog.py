@@ -536,13 +536,13 @@ _CANONICAL_SQL = f"""c AS (SELECT doc_id, 'omml-native' AS family, 'word/comment
 
 @query(
     f"""WITH {_FILES_SQL}, {_CANONICAL_SQL} SELECT doc_id, family AS source_family, part, place::INT AS part_index, 'accepted' AS status, format('{{}}-{{:04d}}', family, number) AS canonical_id, mathml, sha256(mathml) AS canonical_sha256,
-    attributes::INT AS mathml_attribute_count, display AS root_display FROM c"""
+    attributes::INT AS mathml_attribute_count, display AS root_display, CASE WHEN part = 'Object 1/content.xml' THEN 'odf-draw-object-subdocument' WHEN family = 'odf-native' THEN 'odf-content-inline-mathml' END AS storage_kind FROM c"""
 )
 def canonical_formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Canonical MathML of OMML, ODF and Equation 3.0 formulas with its digest and signals."""
+    """Canonical MathML of OMML, ODF and Equation 3.0 formulas with its digest and signals."""
     entries = _entries(spark, sf_dir)
     made = canonical.all_canonical(entries, _formula_table(entries))
-    return made.select("doc_id", "source_family", "part", "part_index", "status", "canonical_id", "mathml", "canonical_sha256", "signals.mathml_attribute_count", "signals.root_display")
+    return made.select("doc_id", "source_family", "part", "part_index", "status", "canonical_id", "mathml", "canonical_sha256", "signals.mathml_attribute_count", "signals.root_display", "storage_kind")
 
 
 _PARITY_SQL = f"""{_FORMULAS_SQL}, {_CANONICAL_SQL}, p AS (SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(a.family, b.family) AS source_family, coalesce(expected, 0) AS expected, coalesce(accepted, 0) AS accepted, attributes, displays

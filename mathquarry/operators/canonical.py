@@ -18,8 +18,8 @@ from mathquarry.sources.containers import is_story
 SIGNALS = "root_display string, mathml_attribute_count int, " + ", ".join(
     f"{s} boolean" for s in ("has_semantics", "has_annotation", "has_mfrac_linethickness", "has_mfrac_bevelled", "has_mfenced_separators", "has_movablelimits", "has_mathvariant", "has_accent", "has_accentunder")
 )
-#: One row per fragment: status is accepted, unsupported or failed; only accepted ones have MathML that counts.
-CANONICAL = f"part_index int, status string, mathml string, canonical_sha256 string, problem string, signals struct<{SIGNALS.replace(' string', ':string').replace(' int', ':int').replace(' boolean', ':boolean')}>"
+#: One row per fragment: status is accepted, unsupported or failed; only accepted ones have MathML that counts. storage_kind is told of ODF formulas.
+CANONICAL = f"part_index int, storage_kind string, status string, mathml string, canonical_sha256 string, problem string, signals struct<{SIGNALS.replace(' string', ':string').replace(' int', ':int').replace(' boolean', ':boolean')}>"
 
 
 def _record(text: str, status: str = "accepted", problem: str | None = None) -> dict:
@@ -58,7 +58,9 @@ def odf_canonical(entries: DataFrame) -> DataFrame:
     content = entries.where(F.col("suffix").isin(".odt", ".odf", ".fodt") & (F.col("entry").rlike(r"(^|/)content\.xml$") | (F.col("suffix") == ".fodt"))).select("doc_id", F.col("entry").alias("part"), "data")
 
     def read(doc: str, part: str, data: bytes | None) -> list[dict]:
-        return [{"part_index": k, **_record(text)} for k, text in enumerate(odf.mathml_nodes(data or b""), 1)]
+        rooted = odf.has_math_root(data or b"")
+        kind = lambda k: "odf-draw-object-subdocument" if part.endswith("/content.xml") else "odf-formula-root" if rooted and k == 1 else "odf-content-inline-mathml"
+        return [{"part_index": k, "storage_kind": kind(k), **_record(text)} for k, text in enumerate(odf.mathml_nodes(data or b""), 1)]
 
     return _sequenced(parsed(content, "doc_id part", read, CANONICAL), "odf-native")
 

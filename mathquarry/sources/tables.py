@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -55,6 +56,17 @@ def validation_target(direct: Column, metadata: Column) -> Column:
     return F.coalesce(F.nullif(direct, F.lit("")), *(F.nullif(F.get_json_object(metadata, p), F.lit("")) for p in paths))
 
 
+def resolved_input(input_path: str, plan_path: str, root: str) -> str:
+    """Where a plan's document is: an absolute path as it stands, else beside the plan if it is there, else below ``root``."""
+    if os.path.isabs(input_path):
+        return input_path
+    if plan_path:
+        beside = os.path.join(os.path.dirname(os.path.join(root, plan_path)), input_path)
+        if os.path.exists(beside):
+            return os.path.realpath(beside)
+    return os.path.realpath(os.path.join(root, input_path))
+
+
 def slug(name: Column) -> Column:
     """A file-name-safe form of a stream name."""
     return F.regexp_replace(F.regexp_replace(name, r"[^A-Za-z0-9._-]+", "_"), "^_+|_+$", "")

@@ -6,6 +6,7 @@ import pytest
 from mathquarry import __main__, samples
 from mathquarry.operators import detect, rewrite
 from mathquarry.plans import options, reports
+from mathquarry.sources import tables
 from pyspark.sql import functions as F
 
 
@@ -53,6 +54,15 @@ def test_arguments(spark):
     assert [reports.decoded_output(x) for x in (None, "x", "é".encode(), "数".encode("gbk"), b"\xff")] == ["", "x", "é", "数", "\ufffd"]
 
 
+def test_inputs_of_plans_are_found(tmp_path):
+    (tmp_path / "plans").mkdir()
+    (tmp_path / "plans" / "a.docx").write_text("")
+    root = str(tmp_path.resolve())
+    assert tables.resolved_input("/x/a.docx", "plans/p.json", root) == "/x/a.docx"
+    assert tables.resolved_input("a.docx", "plans/p.json", root) == f"{root}/plans/a.docx"
+    assert tables.resolved_input("b.docx", "plans/p.json", root) == f"{root}/b.docx" == tables.resolved_input("b.docx", "", root)
+
+
 def test_validate_and_risk_commands(spark, tmp_path):
     checks = [{"doc_id": "a.docx", "provider": "p", "source_family": "f", "target_exists": True, "export_requested": False, "visual_requested": False}, {"doc_id": "b.docx", "target_exists": False, "reference_pdf": "r.pdf"}]
     (tmp_path / "checks.json").write_text("\n".join(map(json.dumps, checks)))
