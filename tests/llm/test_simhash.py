@@ -217,3 +217,34 @@ def test_oversized_keys_are_dealt_out(spark, monkeypatch):
     assert len(t) and m.min() > 1
     linked = {x for r in simhash.near_links(nodes, simhash.WIDE).collect() for x in (r.a, r.b)}
     assert linked == set(simhash._nodes(values[:, :2]).tolist())
+
+
+def test_groups_of_supplied_documents_are_those_of_exact_similarity(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    texts = dict(docs.collect())
+    sets = {i: shingle_set(t or "") for i, t in texts.items()}
+    holders = {}
+    for i, found in sets.items():
+        for x in found:
+            holders.setdefault(x, []).append(i)
+    shared = {}
+    for found in holders.values():
+        for k, a in enumerate(found):
+            for b in found[:k]:
+                shared[a, b] = shared.get((a, b), 0) + 1
+    links = [(a, b) for (a, b), n in shared.items() if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n)]
+    label = {i: i for i in texts}
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for a, b in links:
+        low, high = sorted((root(a), root(b)))
+        label[high] = low
+    got = dict(simhash.simhash_groups(docs).select("doc_id", "component_id").collect())
+    together = sum(got[a] == got[b] for a, b in links)
+    assert len(links) > 30 and together >= 0.99 * len(links)
+    # nothing is linked that exact similarity does not link, directly or by others
+    assert all(root(i) == root(c) for i, c in got.items())
