@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from mathquarry.sources.cfb import Compound, is_compound
 
 ENTRY = "doc_id string, suffix string, entry string, size long, data binary, error string"
-#: An entry that inflates to more bytes than this is an error row, not data.
+#: Unless told otherwise, an entry that inflates to more bytes than this is an error row, not data (a few kB of a zip can inflate to all of a task's memory).
 LARGEST_ENTRY = 512 << 20
 UNWANTED = r"^word/media/"
 
@@ -34,12 +34,12 @@ def described(files: DataFrame) -> DataFrame:
     return files.select("doc_id", F.lower(F.regexp_extract("doc_id", r"(\.[^./\\]+)$", 1)).alias("suffix"), F.length("content").cast("long").alias("length"), F.sha2("content", 256).alias("sha256"), "content")
 
 
-def _opened(suffix: str, data: bytes, leaf: str, unwanted: re.Pattern) -> Iterator[tuple[str, int, bytes | None, str | None]]:
+def _opened(suffix: str, data: bytes, leaf: str, unwanted: re.Pattern, largest: int | None = LARGEST_ENTRY) -> Iterator[tuple[str, int, bytes | None, str | None]]:
     if zipfile.is_zipfile(io.BytesIO(data)):
         with zipfile.ZipFile(io.BytesIO(data)) as file:
             for info in {i.filename: i for i in file.infolist()}.values():
                 wanted = not unwanted.search(info.filename)
-                too_large = info.file_size > LARGEST_ENTRY
+                too_large = largest is not None and info.file_size > largest
                 try:
                     inner = file.read(info) if wanted and not too_large else None
                     yield info.filename, info.file_size, inner, "entry too large" if too_large else None
@@ -59,10 +59,11 @@ def _opened(suffix: str, data: bytes, leaf: str, unwanted: re.Pattern) -> Iterat
         raise ValueError("neither a zip nor a compound file")
 
 
-def entries_of(containers: DataFrame, unwanted: str = UNWANTED) -> DataFrame:
+def entries_of(containers: DataFrame, unwanted: str = UNWANTED, largest: int | None = LARGEST_ENTRY) -> DataFrame:
     """(doc_id, suffix, entry, size, data, error). A file that can't be opened is one row with an error and no entry.
 
-    Duplicate member names keep the last. Null content is an error row. Other columns are dropped.
+    Duplicate member names keep the last. Null content is an error row, and so is an entry of more than
+    ``largest`` bytes (None: no bound). Other columns are dropped.
     """
     pattern = re.compile(unwanted)
 
@@ -73,7 +74,7 @@ def entries_of(containers: DataFrame, unwanted: str = UNWANTED) -> DataFrame:
             for k in range(batch.num_rows):
                 doc, suffix, data = (batch.column(c)[k].as_py() for c in range(3))
                 try:
-                    rows = [(doc, suffix, *x) for x in _opened(suffix or "", data or b"", (doc or "").rpartition("/")[2], pattern)]
+                    rows = [(doc, suffix, *x) for x in _opened(suffix or "", data or b"", (doc or "").rpartition("/")[2], pattern, largest)]
                 except Exception as problem:  # not a container
                     rows = [(doc, suffix, None, None, None, f"{type(problem).__name__}: {problem}")]
                 if rows:

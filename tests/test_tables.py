@@ -106,3 +106,10 @@ def test_batches(spark):
     assert [r.name for r in batches.to_convert(rows, done).collect()] == ["oleObject1.bin", "oleObject10.bin", "x.bin"]
     assert [r.name for r in batches.to_convert(rows, None, start=2, end=3).collect()] == ["oleObject2.bin", "oleObject10.bin"]
     assert [r.name for r in batches.to_convert(rows, None, limit=1).collect()] == ["oleObject1.bin"]
+
+
+def test_entries_beyond_the_bound_are_errors(spark):
+    files = spark.createDataFrame([("a.docx", bytearray(samples.packed({"word/document.xml": "x" * 5000, "small.xml": "y"})))], "doc_id string, content binary")
+    cut = {r.entry: r for r in containers.entries_of(containers.described(files), largest=1000).collect()}
+    assert (cut["word/document.xml"].data, cut["word/document.xml"].error) == (None, "entry too large") and bytes(cut["small.xml"].data) == b"y"
+    assert all(r.error is None for r in containers.entries_of(containers.described(files), largest=None).collect())
