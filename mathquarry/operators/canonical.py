@@ -22,8 +22,10 @@ SIGNALS = "root_display string, mathml_attribute_count int, " + ", ".join(
 CANONICAL = f"part_index int, storage_kind string, status string, mathml string, canonical_sha256 string, problem string, signals struct<{SIGNALS.replace(' string', ':string').replace(' int', ':int').replace(' boolean', ':boolean')}>"
 
 
-def _record(text: str, status: str = "accepted", problem: str | None = None) -> dict:
-    return {"status": status, "mathml": text, "canonical_sha256": mathml.canonical_digest(text), "problem": problem, "signals": mathml.signals(text)}
+def _record(text: str, status: str = "accepted", problem: str | None = None, tree: mathml.Mark | None = None) -> dict:
+    """``tree``: what the text was written from, if it is at hand. Names with a namespace make a text that can't be read, so it is read to say why."""
+    known = tree is not None and not any("{" in name for node in tree.walk() for name in node.attrs)
+    return {"status": status, "mathml": text, "canonical_sha256": mathml.canonical_digest(text), "problem": problem, "signals": mathml.signals_of(tree) if known else mathml.signals(text)}
 
 
 def _failed(problem: str) -> dict:
@@ -106,7 +108,7 @@ def mathtype_canonical(converted: DataFrame) -> DataFrame:
         made = repair.repair(mathml.from_xml(text))
         if made.tag != "math":
             return {**_failed(f"root element is {made.tag}, not math"), "status": "unsupported"}
-        return _record(mathml.DECLARATION + mathml.to_xml(made) + "\n")
+        return _record(mathml.DECLARATION + mathml.to_xml(made) + "\n", tree=made)
 
     read = lambda doc, part, text: [{"part_index": 1, **_attempt(accept, text)}]
     return _sequenced(parsed(converted.select("doc_id", "part", "mathml"), "doc_id part", read, CANONICAL), "mathtype-ole")

@@ -72,6 +72,15 @@ def slug(name: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(name, r"[^A-Za-z0-9._-]+", "_"), "^_+|_+$", "")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """The same rows, dealt out evenly to two tasks a core (or shuffle.partitions, if that is more).
+
+    For narrow rows that much work follows from: a file is split by its bytes, so a million keys may be one task.
+    """
+    spark = rows.sparkSession
+    return rows.repartition(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def kept(df: DataFrame, name: str) -> DataFrame:
     """The same rows, written to the shared folder and read back, so that several uses don't make them anew.
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mathquarry import samples
+from mathquarry.sources.tables import spread
 
 _R = lambda s: f"<m:r><m:t>{s}</m:t></m:r>"
 X, N = _R("{x}"), _R("{n}")
@@ -67,7 +68,7 @@ def broken_mathml(rows: DataFrame, key: str) -> DataFrame:
     name = F.element_at(F.array(*map(F.lit, FUNCTIONS)), (k % len(FUNCTIONS) + 1).cast("int"))
     letters = F.regexp_replace(name, "(.)", "<mi>$1</mi>")
     inner = _filled(BROKEN, k, x=F.char(F.lit(119) + k % 4), n=(k % 90 + 2).cast("string"), letters=letters)
-    return rows.select(k.cast("string").alias(key), F.concat(F.lit('<math xmlns="http://www.w3.org/1998/Math/MathML">'), inner, F.lit("</math>")).alias("mathml"))
+    return spread(rows.select(key)).select(k.cast("string").alias(key), F.concat(F.lit('<math xmlns="http://www.w3.org/1998/Math/MathML">'), inner, F.lit("</math>")).alias("mathml"))
 
 
 def _stream_hex(*records: Column | str) -> Column:

@@ -7,8 +7,8 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from mathquarry import catalog, samples
-from mathquarry.functions import docx, word
+from mathquarry import catalog, samples, standins
+from mathquarry.functions import docx, mathml, word
 from mathquarry.operators import canonical, detect, rewrite, risk
 from mathquarry.plans import routing, status
 from mathquarry.sources import containers
@@ -221,3 +221,26 @@ def test_stand_ins_reach_every_arm(spark):
     assert {r.status for r in catalog.step_status(spark, sf).collect()} >= {"failed", "blocked", "manual-only", "validation-gated", "review-gated", "completed-with-skips", "completed"}
     assert {r.reasons for r in catalog.risk_classify(spark, sf).collect()} >= {"formula_followed_by_blank", "", "long_formula"}
     assert {(r.parity, r.gate) for r in catalog.parity_gate(spark, sf).collect()} >= {("passed", "passed"), ("passed", "passed-limited"), ("failed", "blocked-canonical-artifact"), ("mismatch", "blocked-canonical-artifact")}
+
+
+def _rows_a_task(rows):
+    return [r["count"] for r in rows.groupBy(F.spark_partition_id().alias("task")).count().collect()]
+
+
+def test_mathml_of_one_small_file_is_dealt_to_all_tasks(spark):
+    found = _rows_a_task(standins.broken_mathml(spark.range(2000).coalesce(1), "id"))
+    assert sum(found) == 2000 and len(found) >= 2 * spark.sparkContext.defaultParallelism and max(found) <= 2000 / len(found) + 1
+
+
+def test_signals_of_a_repaired_tree_are_those_of_its_text(spark, monkeypatch):
+    inner = '<mfrac bevelled="true" linethickness="0"><mi mathvariant="bold">s</mi><mrow/></mfrac><mi>x</mi><msup><mrow/><mo accent="true" q="&#10;&quot;">^</mo></msup>'
+    made = mathml.from_xml(f'<math {samples._X} display="block">{inner}</math>')
+    text = mathml.DECLARATION + mathml.to_xml(made)
+    want = mathml.signals(text)
+    assert mathml.signals_of(made) == want and want["mathml_attribute_count"] == 6
+    monkeypatch.setattr(mathml, "from_xml", None)  # the text is not read again
+    assert canonical._record(text, tree=made)["signals"] == want
+    monkeypatch.undo()
+    named = f'<math {samples._X} xml:lang="en"><mi>x</mi></math>'  # can't be written without a prefix
+    rows = spark.createDataFrame([("d", "1.bin", named)], "doc_id string, part string, mathml string")
+    assert canonical.mathtype_canonical(rows).first().status == "failed"
