@@ -713,7 +713,7 @@ def display_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     version = F.when(F.col("p_partkey") % 3 == 0, "3").otherwise("5")
     whole = F.concat(F.lit("<root><mtef><mtef_version>"), version, F.lit("</mtef_version><product_subversion>0</product_subversion><x>"), F.col("p_size").cast("string"), F.lit("</x></mtef></root>"))
     xml = F.when(F.col("p_partkey") % 3 == 2, F.concat(F.lit("<root>"), F.col("p_size").cast("string"))).otherwise(whole)
-    found = canonical.with_display_mode(_table(spark, sf_dir, "part").select("p_partkey", xml.alias("xml")), "xml")
+    found = canonical.with_display_mode(tables.spread(_table(spark, sf_dir, "part").select("p_partkey", "p_size")).select("p_partkey", xml.alias("xml")), "xml")
     return found.select("p_partkey", F.col("xml_with_display").alias("xml"), "display_added")
 
 

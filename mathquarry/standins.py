@@ -59,7 +59,7 @@ def omml_fragments(rows: DataFrame, key: str, number: str) -> DataFrame:
     """(key as text, omml) of every row."""
     k = F.col(key)
     inner = _filled(OMML, k, x=letter(k), n=F.col(number).cast("string"))
-    return rows.select(k.cast("string").alias(key), F.concat(F.lit(f"<m:oMath {samples._M}>"), inner, F.lit("</m:oMath>")).alias("omml"))
+    return spread(rows.select(key, number)).select(k.cast("string").alias(key), F.concat(F.lit(f"<m:oMath {samples._M}>"), inner, F.lit("</m:oMath>")).alias("omml"))
 
 
 def broken_mathml(rows: DataFrame, key: str) -> DataFrame:
@@ -90,7 +90,7 @@ def equation_streams(rows: DataFrame, key: str) -> DataFrame:
         _stream_hex(x),
         F.substring(_stream_hex(x), 1, 2 * 35),
     )
-    return rows.select(k.cast("string").alias(key), F.unhex(F.element_at(F.array(*shapes), (k % len(shapes) + 1).cast("int"))).alias("stream"))
+    return spread(rows.select(key)).select(k.cast("string").alias(key), F.unhex(F.element_at(F.array(*shapes), (k % len(shapes) + 1).cast("int"))).alias("stream"))
 
 
 VARIANTS = ("omml.docx", "mathtype.docx", "equation3.docx", "axmath.docx", "legacy.doc", "native.odt", "bridge.odt", "flat.fodt", "broken.docx")

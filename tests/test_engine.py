@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mathquarry import catalog, samples, standins
-from mathquarry.functions import docx, mathml, word
+from mathquarry.functions import docx, mathml, repair, word
 from mathquarry.operators import canonical, detect, rewrite, risk
 from mathquarry.plans import routing, status
 from mathquarry.sources import containers
@@ -244,3 +244,25 @@ def test_signals_of_a_repaired_tree_are_those_of_its_text(spark, monkeypatch):
     named = f'<math {samples._X} xml:lang="en"><mi>x</mi></math>'  # can't be written without a prefix
     rows = spark.createDataFrame([("d", "1.bin", named)], "doc_id string, part string, mathml string")
     assert canonical.mathtype_canonical(rows).first().status == "failed"
+
+
+def test_other_stand_ins_of_one_small_file_are_dealt_to_all_tasks(spark):
+    keys = spark.range(2000).coalesce(1).select("id", F.col("id").alias("n"))
+    for made in (standins.omml_fragments(keys, "id", "n"), standins.equation_streams(keys, "id")):
+        found = _rows_a_task(made)
+        assert sum(found) == 2000 and len(found) >= 2 * spark.sparkContext.defaultParallelism and max(found) <= 2000 / len(found) + 1
+    assert len(_rows_a_task(catalog.display_mode(spark, "/root/testdata/sf0.001"))) >= 2 * spark.sparkContext.defaultParallelism
+
+
+def test_function_names_are_looked_up_by_their_first_letter(monkeypatch):
+    asked = []
+    letter = repair._letter
+    monkeypatch.setattr(repair, "_letter", lambda node: asked.append(node) or letter(node))
+    assert repair.repair_xml(f"<math {samples._X}>" + "<mi>x</mi>" * 300 + "</math>").count("<mi>x</mi>") == 300
+    assert len(asked) <= 2 * 300
+    letters = lambda *names: "".join(f"<mi>{c}</mi>" for name in names for c in name)
+    made = repair.from_xml(repair.repair_xml(f"<math {samples._X}>" + letters(*repair.NAMES, "SEC", "co") + "</math>"))
+    assert [k.text for k in made.kids] == [*repair.NAMES, "sec", "c", "o"]
+    for name in repair.NAMES:
+        broken = f"<math {samples._X}>{letters('x', name[:-1])}<msub><mi>{name[-1]}</mi><mn>2</mn></msub></math>"
+        assert [k.tag for k in repair.from_xml(repair.repair_xml(broken)).kids] == ["mi", "msub"], name
