@@ -21,6 +21,8 @@ ENTRY = "doc_id string, suffix string, entry string, size long, data binary, err
 #: Unless told otherwise, an entry that inflates to more bytes than this is an error row, not data (a few kB of a zip can inflate to all of a task's memory).
 LARGEST_ENTRY = 512 << 20
 UNWANTED = r"^word/media/"
+#: Entries of small files go on together, up to about so many rows or bytes.
+TOGETHER_ROWS, TOGETHER_BYTES = 1000, 4 << 20
 
 
 def read_containers(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
@@ -70,6 +72,9 @@ def entries_of(containers: DataFrame, unwanted: str = UNWANTED, largest: int | N
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.string())
         names = [x.split()[0] for x in ENTRY.split(", ")]
+        made = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+        held: list[tuple] = []
+        size = 0
         for batch in batches:
             for k in range(batch.num_rows):
                 doc, suffix, data = (batch.column(c)[k].as_py() for c in range(3))
@@ -77,8 +82,14 @@ def entries_of(containers: DataFrame, unwanted: str = UNWANTED, largest: int | N
                     rows = [(doc, suffix, *x) for x in _opened(suffix or "", data or b"", (doc or "").rpartition("/")[2], pattern, largest)]
                 except Exception as problem:  # not a container
                     rows = [(doc, suffix, None, None, None, f"{type(problem).__name__}: {problem}")]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+                own = sum(len(r[4] or b"") for r in rows)
+                if held and (len(held) + len(rows) > TOGETHER_ROWS or size + own > TOGETHER_BYTES):
+                    yield made(held)
+                    held, size = [], 0
+                held += rows
+                size += own
+        if held:
+            yield made(held)
 
     return containers.select("doc_id", "suffix", "content").mapInArrow(run, ENTRY)
 

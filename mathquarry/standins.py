@@ -135,4 +135,4 @@ def container_files(rows: DataFrame, key: str) -> DataFrame:
             files = [container(k % 9, 1 + k % 3, chr(97 + k % 26)) for k in keys]
             yield pa.RecordBatch.from_arrays([pa.array([f"{k}-{VARIANTS[k % 9]}" for k in keys], pa.string()), pa.array(files, pa.binary())], ["doc_id", "content"])
 
-    return rows.select(F.col(key).cast("long")).mapInArrow(run, "doc_id string, content binary")
+    return spread(rows.select(F.col(key).cast("long"))).mapInArrow(run, "doc_id string, content binary")

@@ -228,7 +228,7 @@ def _rows_a_task(rows):
 
 
 def test_mathml_of_one_small_file_is_dealt_to_all_tasks(spark):
-    found = _rows_a_task(standins.broken_mathml(spark.range(2000).coalesce(1), "id"))
+    found = _rows_a_task(standins.broken_mathml(spark.range(0, 2000, 1, 1), "id"))
     assert sum(found) == 2000 and len(found) >= 2 * spark.sparkContext.defaultParallelism and max(found) <= 2000 / len(found) + 1
 
 
@@ -247,7 +247,7 @@ def test_signals_of_a_repaired_tree_are_those_of_its_text(spark, monkeypatch):
 
 
 def test_other_stand_ins_of_one_small_file_are_dealt_to_all_tasks(spark):
-    keys = spark.range(2000).coalesce(1).select("id", F.col("id").alias("n"))
+    keys = spark.range(0, 2000, 1, 1).select("id", F.col("id").alias("n"))
     for made in (standins.omml_fragments(keys, "id", "n"), standins.equation_streams(keys, "id")):
         found = _rows_a_task(made)
         assert sum(found) == 2000 and len(found) >= 2 * spark.sparkContext.defaultParallelism and max(found) <= 2000 / len(found) + 1

@@ -2,9 +2,10 @@
 
 import json
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from mathquarry import catalog, samples
+from mathquarry import catalog, samples, standins
 from mathquarry.__main__ import main
 from mathquarry.operators import batches, detect, object_map
 from mathquarry.operators.canonical import document_facts
@@ -113,3 +114,31 @@ def test_entries_beyond_the_bound_are_errors(spark):
     cut = {r.entry: r for r in containers.entries_of(containers.described(files), largest=1000).collect()}
     assert (cut["word/document.xml"].data, cut["word/document.xml"].error) == (None, "entry too large") and bytes(cut["small.xml"].data) == b"y"
     assert all(r.error is None for r in containers.entries_of(containers.described(files), largest=None).collect())
+
+
+def test_containers_of_one_small_file_are_dealt_to_all_tasks(spark):
+    files = standins.container_files(spark.range(0, 900, 1, 1), "id")
+    found = [r["count"] for r in files.groupBy(F.spark_partition_id().alias("task")).count().collect()]
+    assert sum(found) == 900 and len(found) >= 2 * spark.sparkContext.defaultParallelism and max(found) <= 900 / len(found) + 1
+
+
+def test_entries_of_small_files_go_on_together(spark, monkeypatch):
+    """By rows or bytes, whatever they are; nothing is lost or out of its order, and a large file goes on alone."""
+    made = []
+    monkeypatch.setattr(containers, "TOGETHER_ROWS", 4)
+    monkeypatch.setattr(containers, "TOGETHER_BYTES", 300)
+
+    class Files:  # stands in for a table, so that the batches can be counted
+        def select(self, *names):
+            return self
+
+        def mapInArrow(self, run, schema):
+            made.append(run)
+
+    containers.entries_of(Files())
+    docs = [("a.docx", samples.packed({"x": "1", "y": "2"})), ("b.docx", samples.packed({"z": "3"})), ("c.docx", b"no zip"), ("d.docx", samples.packed({"w": "4" * 1000})), ("e.docx", None), ("f.docx", samples.packed({}))]
+    batch = pa.RecordBatch.from_arrays([pa.array([d for d, _ in docs]), pa.array([".docx"] * len(docs)), pa.array([b for _, b in docs], pa.binary())], ["doc_id", "suffix", "content"])
+    out = list(made[0](iter([batch.slice(0, 2), batch.slice(2)])))
+    assert [b.column(2).to_pylist() for b in out] == [["x", "y", "z", None], ["w"], [None]]
+    assert [b.column(0).to_pylist() for b in out] == [["a.docx", "a.docx", "b.docx", "c.docx"], ["d.docx"], ["e.docx"]]
+    assert list(made[0](iter([]))) == []
